@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm import decontaminate, mixing, near_dedup, topk
+from lumenflow.llm import decontaminate, mixing, near_dedup, secret_scan, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,3 +96,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 )
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_docs(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_register("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_docs(spark, sf_dir))
