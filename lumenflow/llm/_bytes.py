@@ -158,3 +158,32 @@ def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(
         pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
     ).cast(pa.binary())
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows with equal keys, one batch for each key, from batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [column(b, k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in cols)
+            if held and key != last:
+                yield _joined(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            last = key
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(parts) == 1:
+        return parts[0]
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

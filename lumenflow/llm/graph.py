@@ -14,7 +14,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large-star and small-star steps (a node's larger, then smaller neighbours move to its smallest one) until
     the links no longer change; links only ever shrink towards stars, so a step's volume stays that of the links. Both
     steps group by a node with partial aggregation of the minimum, and join it back: a node with very many links is
-    dealt over tasks by the adaptive skew join. Nulls and self links give nothing.
+    dealt over tasks by the adaptive skew join, which needs both sides stored. Nulls and self links give nothing.
     """
     edges = cut(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
@@ -23,10 +23,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large-star: every larger neighbour of a node moves to the node's minimum
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small-star: the node and its smaller neighbours move to the smallest of them
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(small_low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             small_low.select("u", F.col("m").alias("v"))

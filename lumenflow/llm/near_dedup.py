@@ -8,8 +8,10 @@ threshold.
 No group is expanded into all pairs, yet no link between candidates is lost:
 1. rows with equal sets fall into classes, known by a 128-bit digest; only a class's smallest id goes on;
 2. in each bucket of a band, every member is compared with the bucket's smallest id; the links give components;
-3. where a bucket still holds several components, a member of the smaller one is compared with all of the larger one, in
-   blocks of bounded size that are held once in a task. What remains apart then has no link left to find.
+3. where a bucket still holds several components, the members outside its largest one meet the others, in chunks of bounded
+   size. A pair whose signatures agree far less than linked sets would (``estimate``, over four deviations below the
+   threshold) ends there; otherwise the member is compared with the full sets of the other component, in blocks of bounded
+   size that are held once in a task. What remains apart then has no link left to find.
 
 Defined results: null or empty text, and text without words, has an empty set that is linked with nothing; a row with a
 null id is linked with nothing; rows that repeat an id are one node; very long texts are taken whole; an empty table gives
@@ -31,6 +33,8 @@ from lumenflow.llm.graph import components
 CIRCLE = 1 << 20
 #: Shingle hashes in a block of a component, and in the rows compared with it at once.
 BLOCK_HASHES = 1 << 17
+#: Members of a bucket that meet so many others in one task; components of at most so many are compared pair by pair.
+CHUNK, FEW = 512, 8
 
 
 def shingle_sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -95,20 +99,23 @@ def _sketch(size: int, bands: int, rows: int, seed: int):
         digest = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
         has = np.flatnonzero(n)
         keys = np.zeros((len(has), bands), np.uint64)
+        short: list[bytes | None] = [None] * len(n)  # the low byte of each coordinate
         for i, j in enumerate(has):
-            v = signer.sign(sets[j]).reshape(bands, rows).astype(np.uint64)
+            v = signer.sign(sets[j])
+            short[j] = v.astype(np.uint8).tobytes()
+            v = v.reshape(bands, rows).astype(np.uint64)
             keys[i] = np.arange(1, bands + 1, dtype=np.uint64)
             for r in range(rows):
                 keys[i] = B.mix(keys[i] * B._BASE + v[:, r])
         counts = np.where(n > 0, bands, 0)
         return [
             B.column(part, "doc_id").cast(pa.int64()), n, pa.array(digest, pa.binary()),
-            B.packed(keys.view(np.int64).ravel(), counts, pa.int64()),
+            B.packed(keys.view(np.int64).ravel(), counts, pa.int64()), pa.array(short, pa.binary()),
         ]
 
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-    names = ["doc_id", "n_shingles", "digest", "buckets"]
-    return B.mapper(f, names, types), "doc_id long, n_shingles long, digest binary, buckets array<long>"
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    names = ["doc_id", "n_shingles", "digest", "buckets", "signature"]
+    return B.mapper(f, names, types), "doc_id long, n_shingles long, digest binary, buckets array<long>, signature binary"
 
 
 class Filter:
@@ -195,12 +202,38 @@ def _compare(percent: int):
     return f
 
 
+def _approach(estimate: float):
+    """Members outside a bucket's largest component against a chunk of the bucket, by signatures."""
+    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("block", pa.int64()), ("y", pa.int64())])
+
+    def run(batches):
+        for t in B.runs(batches, ["bucket", "turn", "chunk"]):
+            get = lambda c: B.column(t, c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            asks, ids, comp, size, block, few = get("asks"), get("id"), get("component"), get("hashes"), get("block"), get("few")
+            sig = np.frombuffer(b"".join(B.column(t, "signature").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            held = np.flatnonzero(~asks)
+            out = set()
+            for i in np.flatnonzero(asks):
+                # a member of the smaller component meets the larger one
+                h = held[(comp[held] != comp[i]) & ((size[i] < size[held]) | ((size[i] == size[held]) & (comp[i] < comp[held])))]
+                h = h[(sig[h] == sig[i]).mean(axis=1) >= estimate] if len(h) else h
+                out.update(
+                    (int(ids[i]), int(comp[j]), int(block[j]), int(ids[j])) if few[j] else (int(ids[i]), int(comp[j]), int(block[j]), None)
+                    for j in h
+                )
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+
+    return run, "id long, other long, block long, y long"
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, seed: int = 29
+    docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, seed: int = 29, estimate: float = 0.65
 ) -> DataFrame:
     """A row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id, kept.
 
-    A pair at the threshold of 0.8 shares one of 32 bands of 4 coordinates with probability 1 - 5e-8.
+    A pair at the threshold of 0.8 shares one of 32 bands of 4 coordinates with probability 1 - 5e-8, and its signatures
+    agree on fewer than 0.65 of the 128 coordinates with probability 1e-5.
     """
     run, schema = _sketch(shingle, bands, rows, seed)
     sketched = cut(docs.select("doc_id", "text").mapInArrow(run, schema))
@@ -227,18 +260,30 @@ def near_duplicates(
     # buckets that hold several components still
     named = cut(members.select("bucket", "id", "n").join(one, "id", "left").withColumn("component", F.coalesce("component", "id")))
     open_ = cut(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"))
-    people = named.select("id", "n", "component").distinct()
-    size = cut(people.groupBy("component").agg(F.sum("n").alias("hashes")))
-    rest = cut(named.join(open_, "bucket").select("bucket", "id", "n", "component").join(size, "component"))
-    groups = cut(rest.select("bucket", "component", "hashes").distinct())
-    # a member of the smaller component meets the larger one
-    meet = cut(
-        rest.join(groups.select("bucket", F.col("component").alias("other"), F.col("hashes").alias("most")), "bucket")
-        .where("component <> other and (hashes < most or (hashes = most and component < other))")
-        .select("id", "n", "other", "most")
-        .distinct()
+    people = cut(named.select("id", "n", "component").distinct())
+    size = cut(people.groupBy("component").agg(F.sum("n").alias("hashes"), (F.count("*") <= FEW).alias("few")))
+    of = cut(
+        people.join(size, "component")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("long"))
+        .join(sketched.select(F.col("doc_id").alias("id"), "signature"), "id")
+    )
+    rest = cut(named.join(open_, "bucket").select("bucket", "id").join(of, "id"))
+    biggest = cut(rest.groupBy("bucket").agg(F.max(F.struct("hashes", "component")).alias("top"), F.count("*").alias("k")))
+    here = rest.join(biggest, "bucket").withColumn("asks", F.col("component") != F.col("top.component"))
+    chunks = F.ceil(F.col("k") / CHUNK)
+    mine = F.pmod(F.xxhash64("bucket", "id"), chunks)
+    every = F.sequence(F.lit(0).cast("long"), chunks - 1)
+    carried = ["id", "component", "hashes", "block", "few", "signature"]
+    asking = here.where("asks").select("bucket", mine.alias("turn"), F.explode(every).alias("chunk"), F.lit(True).alias("asks"), *carried)
+    held = here.select("bucket", F.explode(every).alias("turn"), mine.alias("chunk"), F.lit(False).alias("asks"), *carried)
+    run, schema = _approach(estimate)
+    met = cut(
+        asking.unionByName(held).repartition("bucket", "turn", "chunk").sortWithinPartitions("bucket", "turn", "chunk")
+        .mapInArrow(run, schema).distinct()
     )
-    links = first.unionByName(_met(meet, named, size, sets, percent))
+    plain = _verified(cut(met.where("y is not null").select(F.col("id").alias("a"), F.col("y").alias("b"))), sets, percent)
+    meet = cut(met.where("y is null").join(people.select("id", "n"), "id").select("id", "n", F.col("other").alias("component"), "block"))
+    links = first.unionByName(plain).unionByName(_met(meet, of, sets, percent))
     final = cut(components(cut(links)).select("id", "component"))
     known = (
         of_class.join(final.withColumnRenamed("id", "class_id"), "class_id", "left")
@@ -259,29 +304,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _met(meet: DataFrame, named: DataFrame, size: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between rows and the components that they met."""
-    few = 8
-    of = cut(
-        named.select("id", "n", "component").distinct().join(size, "component")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("hashes") / BLOCK_HASHES)))
-    )
-    blocks = cut(of.groupBy("component", "block").agg(F.count("*").alias("k")))
-    work = cut(
-        meet.select("id", "n", F.col("other").alias("component")).join(blocks, "component").select("id", "n", "component", "block", "k")
+def _met(meet: DataFrame, of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between rows and the blocks of components that they met: a block is held in a task, against so many rows."""
+    load = cut(meet.groupBy("component", "block").agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("turns")))
+    asked = meet.join(load, ["component", "block"]).withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns"))).select("id", "component", "block", "turn")
+    held = of.select("id", "component", "block").join(
+        load.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns"), ["component", "block"]
     )
-    # small blocks: pair by pair
-    small = work.where(F.col("k") <= few).select(F.col("id").alias("a"), "component", "block")
-    pairs = small.join(of.select("component", "block", F.col("id").alias("b"), F.col("n").alias("nb")), ["component", "block"])
-    plain = _verified(cut(pairs.select("a", "b").distinct()), sets, percent)
-    # large ones: the block is held in a task, against so many rows at once
-    large = work.where(F.col("k") > few)
-    load = cut(large.groupBy("component", "block").agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("turns")))
-    asked = large.join(load, ["component", "block"]).withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns"))).select("id", "component", "block", "turn")
-    held = of.drop("hashes").join(load.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns"), ["component", "block"])
     keys = ["component", "block", "turn"]
     left = asked.join(sets, "id").select(*keys, "id", "hashes")
     # both sides descend from the same tables: new names keep their columns apart
     right = held.join(sets, "id").select(*[F.col(c).alias(f"{c}_") for c in keys], F.col("id").alias("id_"), F.col("hashes").alias("hashes_"))
-    met = left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_" for c in keys])).applyInArrow(_compare(percent), "a long, b long")
-    return plain.unionByName(met)
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_" for c in keys])).applyInArrow(_compare(percent), "a long, b long")
