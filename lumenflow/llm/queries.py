@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm import decontaminate, mixing, near_dedup, secret_scan, topk
+from lumenflow.llm import decontaminate, language, mixing, near_dedup, secret_scan, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -101,3 +101,14 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_docs(spark, sf_dir))
+
+
+def _fold(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
+@_register("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    field = language.train(docs, _fold(3) != 1)
+    return language.identify(docs, field).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
