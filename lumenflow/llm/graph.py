@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lumenflow.checkpoints import cut
 
+#: Links that a task takes.
+LINKS = 100_000
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable over the links, for every id that has one.
@@ -19,22 +22,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     )
+    # frames in the loop hold at most twice as many rows as there are links: few links take few tasks and files
+    parts = max(1, -(-edges.count() // LINKS))
+    few = lambda df: cut(df.coalesce(parts))
     mark = None
     while True:
         # large-star: every larger neighbour of a node moves to the node's minimum
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
-        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = few(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
+        large = few(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small-star: the node and its smaller neighbours move to the smallest of them
-        small_low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small_low = few(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(small_low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             small_low.select("u", F.col("m").alias("v"))
         )
-        edges = cut(small.where("u <> v").distinct())
+        edges = few(small.where("u <> v").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == mark:
             break
         mark = (now["n"], now["h"])
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
-    return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
+    return few(stars.union(stars.select(F.col("component").alias("id"), "component").distinct()))

@@ -34,7 +34,7 @@ CIRCLE = 1 << 20
 #: Shingle hashes in a block of a component, and in the rows compared with it at once.
 BLOCK_HASHES = 1 << 17
 #: Members of a bucket that meet so many others in one task; components of at most so many are compared pair by pair.
-CHUNK, FEW = 512, 8
+CHUNK, FEW = 1024, 8
 
 
 def shingle_sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -255,7 +255,7 @@ def near_duplicates(
     )
     sets = cut(_sets(docs, members.select("id").distinct(), shingle))
     first = _verified(stars, sets, percent)
-    one = cut(components(first).select("id", "component"))
+    one = components(first).select("id", "component")
 
     # buckets that hold several components still
     named = cut(members.select("bucket", "id", "n").join(one, "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -269,13 +269,16 @@ def near_duplicates(
     )
     rest = cut(named.join(open_, "bucket").select("bucket", "id").join(of, "id"))
     biggest = cut(rest.groupBy("bucket").agg(F.max(F.struct("hashes", "component")).alias("top"), F.count("*").alias("k")))
-    here = rest.join(biggest, "bucket").withColumn("asks", F.col("component") != F.col("top.component"))
-    chunks = F.ceil(F.col("k") / CHUNK)
-    mine = F.pmod(F.xxhash64("bucket", "id"), chunks)
-    every = F.sequence(F.lit(0).cast("long"), chunks - 1)
+    here = cut(rest.join(biggest, "bucket").withColumn("asks", F.col("component") != F.col("top.component")))
+    asks = cut(here.groupBy("bucket").agg(F.sum(F.col("asks").cast("int")).alias("k_asks")))
+    here = here.join(asks, "bucket")
+    # members that ask come in turns, those that are held in chunks
+    chunks, turns = F.ceil(F.col("k") / CHUNK), F.ceil(F.col("k_asks") / CHUNK)
+    within = lambda n: F.pmod(F.xxhash64("bucket", "id"), n)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     carried = ["id", "component", "hashes", "block", "few", "signature"]
-    asking = here.where("asks").select("bucket", mine.alias("turn"), F.explode(every).alias("chunk"), F.lit(True).alias("asks"), *carried)
-    held = here.select("bucket", F.explode(every).alias("turn"), mine.alias("chunk"), F.lit(False).alias("asks"), *carried)
+    asking = here.where("asks").select("bucket", within(turns).alias("turn"), F.explode(every(chunks)).alias("chunk"), F.lit(True).alias("asks"), *carried)
+    held = here.select("bucket", F.explode(every(turns)).alias("turn"), within(chunks).alias("chunk"), F.lit(False).alias("asks"), *carried)
     run, schema = _approach(estimate)
     met = cut(
         asking.unionByName(held).repartition("bucket", "turn", "chunk").sortWithinPartitions("bucket", "turn", "chunk")
@@ -284,7 +287,7 @@ def near_duplicates(
     plain = _verified(cut(met.where("y is not null").select(F.col("id").alias("a"), F.col("y").alias("b"))), sets, percent)
     meet = cut(met.where("y is null").join(people.select("id", "n"), "id").select("id", "n", F.col("other").alias("component"), "block"))
     links = first.unionByName(plain).unionByName(_met(meet, of, sets, percent))
-    final = cut(components(cut(links)).select("id", "component"))
+    final = components(cut(links)).select("id", "component")
     known = (
         of_class.join(final.withColumnRenamed("id", "class_id"), "class_id", "left")
         .select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
