@@ -18,11 +18,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
+    """(bytes, offsets) of a string or binary column; null counts as empty."""
+    if not pa.types.is_large_binary(col.type):
+        col = col.cast(pa.large_binary())
     if col.null_count:
-        col = col.fill_null("")
-    if not pa.types.is_large_string(col.type):
-        col = col.cast(pa.large_string())
+        col = col.fill_null(b"")
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = col.buffers()
