@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm import decontaminate, language, mixing, near_dedup, quality, secret_scan, suffix_dedup, topk, toxicity
+from lumenflow.llm import decontaminate, language, mixing, near_dedup, pii, quality, secret_scan, suffix_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -130,3 +130,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_docs(spark, sf_dir)).drop("kept")
+
+
+@_register("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(_docs(spark, sf_dir))
