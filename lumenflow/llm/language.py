@@ -253,12 +253,15 @@ def train(docs: DataFrame, learn: Column, most: int = 600, most_bytes: int = 6 <
     return fit(stratified(rows, "lang", "doc_id", most, most_bytes=most_bytes, seed=41), **options)
 
 
-def identify(docs: DataFrame, field: Field | None, keep: dict[str, tuple[str, pa.DataType]] | None = None) -> DataFrame:
-    """A row per document: the columns of ``keep`` (name: Spark and Arrow type; doc_id by default), lang_pred, score."""
+def identify(
+    docs: DataFrame, field: Field | None, keep: dict[str, tuple[str, pa.DataType]] | None = None, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """A row per document: the columns of ``keep`` (name: Spark and Arrow type; doc_id by default), then the language and
+    its score under ``names``."""
     keep = keep or {"doc_id": ("long", pa.int64())}
     shared = docs.sparkSession.sparkContext.broadcast(field)  # 2**BITS x labels numbers
-    run = B.mapper(_predictor(shared, list(keep)), [*keep, "lang_pred", "score"], [*(t for _, t in keep.values()), pa.string(), pa.float64()])
-    schema = ", ".join([*(f"`{c}` {t}" for c, (t, _) in keep.items()), "lang_pred string", "score double"])
+    run = B.mapper(_predictor(shared, list(keep)), [*keep, *names], [*(t for _, t in keep.values()), pa.string(), pa.float64()])
+    schema = ", ".join([*(f"`{c}` {t}" for c, (t, _) in keep.items()), f"`{names[0]}` string", f"`{names[1]}` double"])
     columns = [F.col(c).cast(t).alias(c) for c, (t, _) in keep.items()]
     return docs.select(*columns, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
