@@ -1,10 +1,61 @@
-"""Corpus pipeline: stages that each apply one training-data operator to what the stage before kept."""
+"""Corpus pipeline: stages that each apply one training-data operator to what the stage before kept.
+
+1. language: documents in which no language is found, or none has a third of the words' mass, go;
+2. near duplicates: of each group linked over five-word shingles at a similarity of 0.8, the smallest doc_id stays;
+3. decontamination: documents that hold ten consecutive words of a benchmark item (or a shorter item whole) go;
+4. secrets: the found spans are masked in the text, and n_chars counts the new text;
+5. mixing: a row for each document that the mix takes words of, with its share.
+
+Null doc_ids are never matched to another row: such rows pass the second and third stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from lumenflow.llm import decontaminate, language, mixing, near_dedup, secret_scan
+
+#: The share of a document's words that its language must have.
+LEAST_SHARE = 1 / 3
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    field = language.train(docs, fold != 1)
+    kept = {f.name: (f.dataType.simpleString(), to_arrow_type(f.dataType)) for f in docs.schema.fields}
+    named = language.identify(docs, field, kept, ("_language", "_share"))
+    return named.where((F.col("_language") != language.UNKNOWN) & (F.col("_share") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = decontaminate.contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.masked(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).where("taken > 0")
+
 
-STAGES: list = []
+STAGES = [
+    ("language", keep_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+]
+#: The stages' models and draws aren't stated in SQL; the tests compare them with brute force.
 ORACLE_SQL: str | None = None
 
 
