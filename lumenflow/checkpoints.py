@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a frame: computed once, read back from the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint of a frame: computed once, read back from the shared folder.
+
+    A checkpointed frame keeps its plan's size estimate, the product of what was joined. In a loop of joins that number
+    squares at every step until its own arithmetic takes over the driver, so the rows are taken up as a new relation of
+    unknown size; adaptive execution measures what it needs.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)

@@ -51,10 +51,10 @@ def facing_pairs(spark: SparkSession, sf: str) -> DataFrame:
 _NEAR = f"l AS (SELECT * FROM p WHERE id % 2 = 0), r AS (SELECT * FROM p WHERE id % 2 = 1), m AS (SELECT a.id, b.id AS right_id, sqrt({_D2}) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) AS n FROM l a JOIN r b ON {_D2} <= 0.06 * 0.06)"
 
 
-@query("nearest_within", f"WITH {_P}, {_NEAR} SELECT l.id, m.right_id, round(coalesce(m.dist, -1), 6) AS dist FROM l LEFT JOIN m ON m.id = l.id AND m.n = 1")
+@query("nearest_within", f"WITH {_P}, {_NEAR} SELECT l.id, coalesce(m.right_id, -1) AS right_id, round(coalesce(m.dist, -1), 6) AS dist FROM l LEFT JOIN m ON m.id = l.id AND m.n = 1")
 def nearest_within(spark: SparkSession, sf: str) -> DataFrame:
     p = cut(_p(spark, sf))
-    return spatial.nearest_within(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 0.06).select("id", "right_id", F.round("dist", 6).alias("dist"))
+    return spatial.nearest_within(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 0.06).select("id", F.coalesce("right_id", F.lit(-1).cast("long")).alias("right_id"), F.round("dist", 6).alias("dist"))
 
 
 @query("nearest_seed", f"WITH {_P} SELECT id, round(sqrt((x - 0.05) * (x - 0.05) + (y + 0.1) * (y + 0.1) + z * z), 6) AS dist FROM p ORDER BY (x - 0.05) * (x - 0.05) + (y + 0.1) * (y + 0.1) + z * z, id LIMIT 1")
