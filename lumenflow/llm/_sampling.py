@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,22 +15,35 @@ def unit(*cols: Column | str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
-def stratified(df: DataFrame, by: str, key: str, most: int, text: str = "text", most_bytes: int = 24 << 20, seed: int = 0):
-    """About ``most`` rows of each value of ``by`` with the lowest keyed hashes, as (value, text) on the driver.
+def stratified(df: DataFrame, by: str, key: str, most: int, text: str = "text", seed: int = 0) -> DataFrame | None:
+    """(value, text, u): about ``most`` rows of each value of ``by``, those with the lowest keyed numbers ``u``.
 
-    The bounds are the number of rows and the bytes of text that are kept; rows beyond them don't enter the sample.
     A first pass counts all rows of each value; the second reads those under the value's share, without a sort or a
-    shuffle.
+    shuffle. None if there is no value.
     """
     counts = {r[by]: r["n"] for r in df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).limit(1000).collect()}
     if not counts:
-        return []
+        return None
     share = F.coalesce(*[F.when(F.col(by) == F.lit(v), F.lit(min(1.0, most / n))) for v, n in sorted(counts.items())], F.lit(0.0))
-    rows = df.where(F.col(text).isNotNull() & (unit(key, seed=seed) < share)).select(by, text, unit(key, seed=seed).alias("_u"))
-    got, size = [], 0
-    for r in sorted(rows.limit(2 * most * len(counts)).toLocalIterator(), key=lambda r: (r["_u"], str(r[by]), r[text])):
-        size += len(r[text].encode())
-        if got and size > most_bytes:
-            break
-        got.append((r[by], r[text]))
-    return got
+    u = unit(key, seed=seed)
+    return df.where(F.col(text).isNotNull() & (u < share)).select(F.col(by).alias("value"), F.col(text).alias("text"), u.alias("u")).limit(
+        2 * most * len(counts)
+    )
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object], most_bytes: int):
+    """A model fitted in one task from a bounded sample (value, text, u): its rows in the order of ``u``, up to
+    ``most_bytes`` of text. Texts don't reach the driver; the model does."""
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+        got, size = [], 0
+        for value, text, _ in sorted(rows, key=lambda r: (r[2], str(r[0]), r[1])):
+            size += len(text.encode())
+            if got and size > most_bytes:
+                break
+            got.append((value, text))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got))], pa.binary())], names=["model"])
+
+    rows = sample.select("value", "text", "u").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(rows[0]["model"]) if rows else fit([])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.llm import _bytes as B
 from lumenflow.llm import _features as W
-from lumenflow.llm._sampling import stratified
+from lumenflow.llm._sampling import fitted, stratified
 
 CHAIN = 64
 BITS, AFFIXES, GRAMS = 17, (1, 2, 3), (2, 3)
@@ -250,7 +250,8 @@ def _predictor(shared, keep: list[str]):
 def train(docs: DataFrame, learn: Column, most: int = 600, most_bytes: int = 6 << 20, **options) -> Field | None:
     """A chain from about ``most`` rows of each label (``most_bytes`` of text in all) among those that ``learn`` picks."""
     rows = docs.where(learn & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    return fit(stratified(rows, "lang", "doc_id", most, most_bytes=most_bytes, seed=41), **options)
+    sample = stratified(rows, "lang", "doc_id", most, seed=41)
+    return None if sample is None else fitted(sample, lambda got: fit(got, **options), most_bytes)
 
 
 def identify(

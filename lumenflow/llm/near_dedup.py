@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.checkpoints import cut
 from lumenflow.llm import _bytes as B
-from lumenflow.llm.graph import components
+from lumenflow.operators.graph import components
 
 CIRCLE = 1 << 20
 #: Shingle hashes in a block of a component, and in the rows compared with it at once.
