@@ -92,12 +92,12 @@ def _bad(name: str, above: float = np.inf, below: float = -np.inf, least: int =
 
 
 def _size(m: dict[str, np.ndarray]) -> np.ndarray:
-    return np.where(m["words"] >= 20, 2, np.where(m["words"] < 3, 1, 0))
+    return np.where(m["words"] >= 1, 2, 1)
 
 
 def _prose(m: dict[str, np.ndarray]) -> np.ndarray:
-    fine = (m["marks"] >= 0.02) & (m["marks"] <= 0.4) & (m["upper"] < 0.2) & (m["symbols"] < 0.01)
-    return np.where(fine & (m["variety"] >= 0.2) & (m["words"] >= 5), 2, 0)
+    fine = (m["marks"] >= 0.02) & (m["marks"] <= 1) & (m["upper"] < 0.2) & (m["symbols"] < 0.01)
+    return np.where(fine & (m["variety"] >= 0.2), 2, 0)
 
 
 #: Votes: 0 none, 1 bad, 2 good. Each way of being bad is seen by more than one labeller.
@@ -135,13 +135,17 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     total = float(counts.sum())
     bad = (patterns == 1).sum(axis=1)
     post = np.where(bad > 0, 0.1, 0.95)
-    prior = np.stack([np.array([0.5, 0.3, 0.2]) * 0.02 * total + 1e-3, np.array([0.8, 0.002, 0.198]) * 0.5 * total + 1e-3])
+    # (votes, of which bad) that the prior is worth in each class
+    prior = {0: (0.02 * total + 1e-3, 0.3), 1: (0.5 * total + 1e-3, 0.002)}
     table, share = np.zeros((2, patterns.shape[1], 3)), 0.5
     for _ in range(rounds):
         for c, w in ((1, post * counts), (0, (1 - post) * counts)):
-            for v in (0, 1, 2):
-                table[c, :, v] = ((patterns == v) * w[:, None]).sum(axis=0) + prior[c, v]
-        table /= table.sum(axis=2, keepdims=True)
+            n, q = prior[c]
+            seen = np.stack([((patterns == v) * w[:, None]).sum(axis=0) for v in (0, 1, 2)], axis=1)
+            table[c, :, 1] = (seen[:, 1] + n * q) / (seen.sum(axis=1) + n)
+            # what isn't a bad vote is split between none and good as it is seen
+            rest = (seen[:, 2] + 0.5) / (seen[:, 0] + seen[:, 2] + 1.0)
+            table[c, :, 2], table[c, :, 0] = (1 - table[c, :, 1]) * rest, (1 - table[c, :, 1]) * (1 - rest)
         share = float((post * counts).sum() + 9) / float(counts.sum() + 10)
         logs = np.log(table)
         like = [logs[c][np.arange(patterns.shape[1])[None, :], patterns].sum(axis=1) for c in (0, 1)]
