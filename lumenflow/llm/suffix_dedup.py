@@ -303,8 +303,8 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _span_batch(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
-def _hot_strings(scan: _Scan):
-    """Each string of a hot anchor: (hash, document, start)."""
+def _hot_strings(scan: _Scan, spans: bool):
+    """Per run of documents: each distinct string of its hot anchors with its earliest start, or the spans of the others."""
     schema = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
 
     def run(batches):
@@ -316,11 +316,17 @@ def _hot_strings(scan: _Scan):
                 n = z - a + 1
                 s = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 row = np.repeat(row, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(B.span_hashes(data, s, s + LENGTH).view(np.int64)), pa.array(ids[row]), pa.array(s - offs[row])], schema=schema
-                )
+                w, doc, start = B.span_hashes(data, s, s + LENGTH), ids[row], s - offs[row]
+                order = np.lexsort((start, doc, w))
+                new = np.concatenate([[True], w[order][1:] != w[order][:-1]])
+                if spans:
+                    rest = order[~new]
+                    yield _span_batch(doc[rest], start[rest], start[rest] + LENGTH)
+                else:
+                    first = order[new]
+                    yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(doc[first]), pa.array(start[first])], schema=schema)
 
-    return run, "w long, doc_id long, start long"
+    return run, "doc_id long, a long, z long" if spans else "w long, doc_id long, start long"
 
 
 def _covered(batches):
@@ -348,7 +354,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     sorted_ = blocks.mapInArrow(_sorted_blocks, "doc_id long, a long, z long")
     run, schema = _surroundings(scan, spans=True)
     local = texts.mapInArrow(run, schema)
-    run, schema = _hot_strings(scan)
+    run, schema = _hot_strings(scan, spans=True)
+    near = texts.mapInArrow(run, schema)
+    run, schema = _hot_strings(scan, spans=False)
     strings = cut(texts.mapInArrow(run, schema))
     least = cut(strings.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("low"), F.count("*").alias("k")).where("k > 1").drop("k"))
     again = (
@@ -357,7 +365,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .select("doc_id", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("z"))
         .mapInArrow(_covered, "doc_id long, a long, z long")
     )
-    return sorted_.unionByName(local).unionByName(again)
+    return sorted_.unionByName(local).unionByName(near).unionByName(again)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
