@@ -6,7 +6,7 @@ anchor), so that the bucket of a suffix is the anchor's hash. Buckets are sorted
 
 1. a scan counts anchors; those that occur once are never shipped (a bitmap of bounded size tells them);
 2. a second scan ships the bytes around the other anchors, once for each distinct surrounding in a task;
-3. a task sorts the suffixes of its buckets, a bounded number of bytes at a time: by their first 32 bytes, and suffixes that
+3. a task sorts the suffixes of its buckets, a bounded number of bytes at a time: by their first 16 bytes, and suffixes that
    tie there by the rank of the next position of the difference-cover sample, which is ranked beforehand by prefix doubling
    over that sample only. Anchors lie on multiples of the cover's period, so that the suffixes of a bucket that can be
    equal have the same residue, and one shift leads all of them to a sampled position;
@@ -124,11 +124,11 @@ def cover_ranks(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     return rank
 
 
-def mark_block(bucket, before, count, place, start, size, data) -> np.ndarray:
+def mark_block(bucket, before, count, size, data) -> np.ndarray:
     """Sort the suffixes of some whole buckets; True for each string that starts earlier elsewhere.
 
-    A surrounding has: its bucket; ``before``, bytes from its first string's start to the anchor; ``count`` of strings;
-    ``place``, the rank of its document; ``start``, where it begins there; its ``size`` and bytes. Strings come in order.
+    A surrounding has: its bucket; ``before``, bytes from its first string's start to the anchor; ``count`` of strings; its
+    ``size`` and bytes. Surroundings come by document and anchor; so do the strings that are returned.
     """
     # lay the surroundings out with their anchors on multiples of the period
     lead = (-before) % PERIOD
@@ -145,20 +145,17 @@ def mark_block(bucket, before, count, place, start, size, data) -> np.ndarray:
     # the suffix bucket: the anchor and the offset to it
     suffix = bucket[owner].astype(np.int64) * LENGTH + (before[owner] - i)
     w = _words(text)
-    first = [w[s + 8 * j] for j in range(4)]
-    tie = rank[s + _NEXT[s % PERIOD]]
-    where = start[owner] + i
-    order = np.lexsort((where, place[owner], tie, *first[::-1], suffix))
+    # a sampled position follows within 12 bytes: the first 16 and its rank put suffixes of a bucket in order
+    order = np.lexsort((rank[s + _NEXT[s % PERIOD]], w[s + 8], w[s], suffix))
     h = B.prefix_hash(text)
     whole = B.mix((h[s + LENGTH] - h[s]) * B.powers(len(text) + 1, inverse=True)[s])[order]
     new = np.ones(len(order), bool)
     new[1:] = (whole[1:] != whole[:-1]) | (suffix[order][1:] != suffix[order][:-1])
-    # the earliest of each run of equal strings stays
-    run = np.cumsum(new) - 1
-    best = np.lexsort((where[order], place[owner][order], run))
-    keep = best[np.concatenate([[True], run[best][1:] != run[best][:-1]])] if len(best) else best
     out = np.ones(len(order), bool)
-    out[order[keep]] = False
+    # the earliest of each run of equal strings stays: surroundings come by document and anchor, so that among strings with
+    # one offset to their anchor the first in number is the first in place
+    if len(order):
+        out[np.minimum.reduceat(order, np.flatnonzero(new))] = False
     return out
 
 
@@ -194,15 +191,20 @@ class _Scan:
     def __init__(self, many, hot) -> None:
         self.many, self.hot = many, hot
 
-    def found(self, part: pa.RecordBatch, hot: bool):
+    def found(self, part: pa.RecordBatch) -> tuple:
+        """(bytes, offsets, ids, anchors that occur again, those of them that are hot)."""
         data, offs = B.bytes_of(B.column(part, "text"))
-        h, p, a, z, row = anchors(data, offs)
-        for shared, want in ((self.many, True), (self.hot, hot)):
-            bits = shared.value
-            spot = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
-            ok = ((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool) == want
-            h, p, a, z, row = h[ok], p[ok], a[ok], z[ok], row[ok]
-        return data, offs, h, p, a, z, row, _ids(part)
+        rows = anchors(data, offs)
+        again = self.among(self.many, rows[0])
+        rows = [x[again] for x in rows]
+        hot = self.among(self.hot, rows[0])
+        return data, offs, _ids(part), [x[~hot] for x in rows], [x[hot] for x in rows]
+
+    @staticmethod
+    def among(shared, h: np.ndarray) -> np.ndarray:
+        bits = shared.value
+        spot = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+        return ((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def bitmap(hashes: DataFrame, column: str, most: int = 1 << 28) -> np.ndarray:
@@ -227,33 +229,59 @@ def _classes(h, size, offs, row, a, p, data, ids):
     return order[new], order[~new]
 
 
-def _surroundings(scan: _Scan, spans: bool):
-    """Per run of documents: its distinct surroundings of ordinary anchors, or the spans that repeat an earlier one."""
+def _surroundings(scan: _Scan):
+    """Per run of documents: its distinct surroundings of ordinary anchors."""
     names = [("h", pa.int64()), ("before", pa.int32()), ("count", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())]
     schema = pa.schema(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in B.slices(batch, limit=4 * B.SLICE_BYTES):
-                data, offs, h, p, a, z, row, ids = scan.found(part, hot=False)
+                data, offs, ids, (h, p, a, z, row), _ = scan.found(part)
                 if not len(h):
                     continue
                 size = z - a + LENGTH
-                first, others = _classes(h, size, offs, row, a, p, data, ids)
-                if spans:
+                first, _ = _classes(h, size, offs, row, a, p, data, ids)
+                bounds = np.concatenate([[0], np.cumsum(size[first])])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h[first].view(np.int64)), pa.array((p - a)[first].astype(np.int32)), pa.array((z - a + 1)[first].astype(np.int32)),
+                        pa.array(ids[row[first]]), pa.array(a[first] - offs[row[first]]), B.binaries(_gather(data, a[first], size[first]), bounds),
+                    ],
+                    schema=schema,
+                )
+
+    return run, "h long, before int, count int, doc_id long, start long, bytes binary"
+
+
+def _local_spans(scan: _Scan):
+    """Per run of documents: the spans of surroundings, and of hot anchors' strings, that repeat an earlier one of the run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in B.slices(batch, limit=4 * B.SLICE_BYTES):
+                data, offs, ids, (h, p, a, z, row), hot = scan.found(part)
+                if len(h):
+                    size = z - a + LENGTH
+                    _, others = _classes(h, size, offs, row, a, p, data, ids)
                     b = a[others] - offs[row[others]]
                     yield _span_batch(ids[row[others]], b, b + size[others])
-                else:
-                    bounds = np.concatenate([[0], np.cumsum(size[first])])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h[first].view(np.int64)), pa.array((p - a)[first].astype(np.int32)), pa.array((z - a + 1)[first].astype(np.int32)),
-                            pa.array(ids[row[first]]), pa.array(a[first] - offs[row[first]]), B.binaries(_gather(data, a[first], size[first]), bounds),
-                        ],
-                        schema=schema,
-                    )
+                if len(hot[0]):
+                    _, doc, start, order, new = _strings(data, offs, ids, *hot)
+                    rest = order[~new]
+                    yield _span_batch(doc[rest], start[rest], start[rest] + LENGTH)
+
+    return run, "doc_id long, a long, z long"
 
-    return run, "doc_id long, a long, z long" if spans else "h long, before int, count int, doc_id long, start long, bytes binary"
+
+def _strings(data, offs, ids, h, p, a, z, row):
+    """Strings of some anchors: (hash, document, start, order by hash and place, True for the first of each hash)."""
+    n = z - a + 1
+    s = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    row = np.repeat(row, n)
+    w, doc, start = B.span_hashes(data, s, s + LENGTH), ids[row], s - offs[row]
+    order = np.lexsort((start, doc, w))
+    return w, doc, start, order, np.concatenate([[True], w[order][1:] != w[order][:-1]])
 
 
 def _whole(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -292,10 +320,10 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         _, inverse, n = np.unique(h[first], return_inverse=True, return_counts=True)
         meet = n[inverse] > 1
         first, bucket = first[meet], inverse[meet]
+        by_place = np.lexsort((start[first] + before[first], doc[first]))
+        first, bucket = first[by_place], bucket[by_place]
         if len(first):
-            dup = mark_block(
-                bucket, before[first], count[first], doc[first], start[first], size[first], _gather(data, offs[first], size[first])
-            )
+            dup = mark_block(bucket, before[first], count[first], size[first], _gather(data, offs[first], size[first]))
             owner = np.repeat(first, count[first])
             i = np.arange(len(owner)) - np.repeat(np.cumsum(count[first]) - count[first], count[first])
             s = start[owner[dup]] + i[dup]
@@ -303,30 +331,20 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _span_batch(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
-def _hot_strings(scan: _Scan, spans: bool):
-    """Per run of documents: each distinct string of its hot anchors with its earliest start, or the spans of the others."""
+def _hot_strings(scan: _Scan):
+    """Per run of documents: each distinct string of its hot anchors with its earliest start."""
     schema = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            for part in B.slices(batch):
-                data, offs, h, p, a, z, row, ids = scan.found(part, hot=True)
-                if not len(h):
-                    continue
-                n = z - a + 1
-                s = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                row = np.repeat(row, n)
-                w, doc, start = B.span_hashes(data, s, s + LENGTH), ids[row], s - offs[row]
-                order = np.lexsort((start, doc, w))
-                new = np.concatenate([[True], w[order][1:] != w[order][:-1]])
-                if spans:
-                    rest = order[~new]
-                    yield _span_batch(doc[rest], start[rest], start[rest] + LENGTH)
-                else:
+            for part in B.slices(batch, limit=4 * B.SLICE_BYTES):
+                data, offs, ids, _, hot = scan.found(part)
+                if len(hot[0]):
+                    w, doc, start, order, new = _strings(data, offs, ids, *hot)
                     first = order[new]
                     yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(doc[first]), pa.array(start[first])], schema=schema)
 
-    return run, "doc_id long, a long, z long" if spans else "w long, doc_id long, start long"
+    return run, "w long, doc_id long, start long"
 
 
 def _covered(batches):
@@ -349,14 +367,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hot = many.where(F.col("n") > HOT)
     shared_hot = spark.sparkContext.broadcast(bitmap(hot, "h"))
     scan = _Scan(shared, shared_hot)
-    run, schema = _surroundings(scan, spans=False)
+    run, schema = _surroundings(scan)
     blocks = texts.mapInArrow(run, schema).repartition("h").sortWithinPartitions("h")
     sorted_ = blocks.mapInArrow(_sorted_blocks, "doc_id long, a long, z long")
-    run, schema = _surroundings(scan, spans=True)
+    run, schema = _local_spans(scan)
     local = texts.mapInArrow(run, schema)
-    run, schema = _hot_strings(scan, spans=True)
-    near = texts.mapInArrow(run, schema)
-    run, schema = _hot_strings(scan, spans=False)
+    run, schema = _hot_strings(scan)
     strings = cut(texts.mapInArrow(run, schema))
     least = cut(strings.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("low"), F.count("*").alias("k")).where("k > 1").drop("k"))
     again = (
@@ -365,7 +381,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .select("doc_id", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("z"))
         .mapInArrow(_covered, "doc_id long, a long, z long")
     )
-    return sorted_.unionByName(local).unionByName(near).unionByName(again)
+    return sorted_.unionByName(local).unionByName(again)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
