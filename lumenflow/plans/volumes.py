@@ -40,7 +40,7 @@ def _r(c: str, digits: int = 6):
 
 
 def _sql_r(x: str, name: str, digits: int = 6) -> str:
-    return f"round({x}, {digits}) + 0.0 AS {name}"
+    return f"round({x}, {digits}) + CAST(0 AS DOUBLE) AS {name}"
 
 
 _EDGES = """s AS (SELECT * FROM v WHERE {mask}),
@@ -208,7 +208,7 @@ def hessian_fd(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("vid", *[_r(f"d{c}") for c in ("ii", "jj", "kk", "ij", "ik", "jk")])
 
 
-@query("eig3_closed_form", f"WITH {_v(16)} SELECT vid, CAST(sum AS DOUBLE) AS trace, {_sql_r('prod', 'det')}, {_sql_r('sq', 'squares', 4)} FROM (SELECT vid, i + j + k AS sum, 1.0 * i * j * k - i * 4 - j * 1 - k * 9 + 2 * 3 * 1 * 2 AS prod, i * i + j * j + k * k + 2.0 * (9 + 1 + 4) AS sq FROM v)")
+@query("eig3_closed_form", f"WITH {_v(16)} SELECT vid, CAST(sum AS DOUBLE) AS trace, {_sql_r('CAST(prod AS DOUBLE)', 'det')}, {_sql_r('CAST(sq AS DOUBLE)', 'squares', 4)} FROM (SELECT vid, i + j + k AS sum, 1.0 * i * j * k - i * 4 - j * 1 - k * 9 + 2 * 3 * 1 * 2 AS prod, i * i + j * j + k * k + 2.0 * (9 + 1 + 4) AS sq FROM v)")
 def eig3_closed_form(spark: SparkSession, sf: str) -> DataFrame:
     """Eigenvalues by their symmetric functions: sum, product and sum of squares of the matrix's trace, determinant and norm."""
     lit = F.lit
