@@ -37,8 +37,9 @@ def auc(v: DataFrame, by: list[str], score: str, truth: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     ranked = per.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2.0)
     pos, total = F.sum("p"), F.sum("n")
+    # a sample of one class has no area: null
     return ranked.groupBy(*by).agg(
-        ((F.sum(F.col("rank") * F.col("p")) - pos * (pos + 1) / 2.0) / (pos * (total - pos))).alias("auc")
+        ((F.sum(F.col("rank") * F.col("p")) - pos * (pos + 1) / 2.0) / F.nullif(pos * (total - pos), F.lit(0))).alias("auc")
     )
 
 

@@ -142,39 +142,48 @@ def kernel(sigma: float, order: int) -> list[tuple[int, float]]:
     return [(int(a), float(b)) for a, b in zip(x, k, strict=True)]
 
 
-def convolve(v: DataFrame, axis: str, n: int, taps: list[tuple[int, float]], value: str = "value", out: str = "value", by: list[str] | None = None, pad: str = "replicate") -> DataFrame:
-    """One separable pass along an axis: every voxel is dealt to the places that it contributes to, and they are summed with
-    partial aggregation. Borders repeat their last voxel, or count as 0.
+def convolve_all(v: DataFrame, axis: str, n: int, plan: list[tuple[str, str, list[tuple[int, float]]]], by: list[str] | None = None, pad: str = "replicate") -> DataFrame:
+    """One separable pass along an axis for several kernels at once: ``plan`` lists (input, output, taps), all taps on the
+    same places.
 
-    Only the lines' keys are shuffled; a volume of lines needs no window and no order.
+    Every voxel is dealt to the places that it contributes to, and the products are summed with partial aggregation: one
+    shuffle whatever the number of kernels, no window and no order. Borders repeat their last voxel, or count as 0.
     """
     by = by or []
-    arr = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in taps])
-    r = max(abs(d) for d, _ in taps)
-    x = v.select(*by, "i", "j", "k", value, F.explode(arr).alias("t"))
-    inner = x.withColumn(axis, F.col(axis) - F.col("t.d")).select(*by, "i", "j", "k", (F.col(value) * F.col("t.w")).alias("_p")).where(F.col(axis).between(0, n - 1))
-    parts = inner
+    places = [d for d, _ in plan[0][2]]
+    weights = [dict(t) for _, _, t in plan]
+    arr = F.array(*[F.struct(F.lit(d).alias("d"), *[F.lit(w[d]).alias(f"w{m}") for m, w in enumerate(weights)]) for d in places])
+    r = max(abs(d) for d in places)
+    x = v.withColumn("t", F.explode(arr))
+    inner = x.withColumn(axis, F.col(axis) - F.col("t.d")).where(F.col(axis).between(0, n - 1))
+    products = [(F.col(c) * F.col(f"t.w{m}")).alias(f"_p{m}") for m, (c, _, _) in enumerate(plan)]
+    parts = inner.select(*by, "i", "j", "k", *products)
     if pad == "replicate":
         # places near a border read the border voxel once for each tap beyond it
         for edge, sign in ((0, -1), (n - 1, 1)):
-            far = v.where(F.col(axis) == edge).select(*by, "i", "j", "k", value, F.explode(F.sequence(F.lit(0), F.lit(min(r, n) - 1))).alias("_s"))
-            far = far.select(*by, "i", "j", "k", value, "_s", F.explode(arr).alias("t")).where(F.col("t.d") * sign > F.col("_s"))
-            far = far.withColumn(axis, F.col(axis) - sign * F.col("_s"))
-            parts = parts.unionByName(far.select(*by, "i", "j", "k", (F.col(value) * F.col("t.w")).alias("_p")))
-    return parts.groupBy(*by, "i", "j", "k").agg(F.sum("_p").alias(out))
+            far = v.where(F.col(axis) == edge).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(min(r, n) - 1)))).withColumn("t", F.explode(arr))
+            far = far.where(F.col("t.d") * sign > F.col("_s")).withColumn(axis, F.col(axis) - sign * F.col("_s"))
+            parts = parts.unionByName(far.select(*by, "i", "j", "k", *products))
+    return parts.groupBy(*by, "i", "j", "k").agg(*[F.sum(f"_p{m}").alias(out) for m, (_, out, _) in enumerate(plan)])
+
+
+def convolve(v: DataFrame, axis: str, n: int, taps: list[tuple[int, float]], value: str = "value", out: str = "value", by: list[str] | None = None, pad: str = "replicate") -> DataFrame:
+    """One kernel along an axis."""
+    return convolve_all(v, axis, n, [(value, out, taps)], by, pad)
 
 
 def gaussian_hessian(v: DataFrame, shape: tuple[int, int, int], sigma: float, value: str = "value", by: list[str] | None = None, pad: str = "replicate") -> DataFrame:
-    """Scale-normalised (times sigma squared) Gaussian second derivatives: dii, djj, dkk, dij, dik, djk."""
-    out = None
-    for a, b in ("ii", "jj", "kk", "ij", "ik", "jk"):
-        cur = v
-        for c, n in zip("ijk", shape, strict=True):
-            order = (c == a) + (c == b)
-            cur = convolve(cur, c, n, kernel(sigma, order), value, value, by, pad)
-        cur = cur.withColumn(f"d{a}{b}", F.col(value) * sigma * sigma).drop(value)
-        out = cur if out is None else out.join(cur, [*(by or []), "i", "j", "k"])
-    return out
+    """Scale-normalised (times sigma squared) Gaussian second derivatives: dii, djj, dkk, dij, dik, djk.
+
+    Three passes in all: each carries every combination of orders that a later one needs.
+    """
+    k = [kernel(sigma, o) for o in range(3)]
+    ni, nj, nk = shape
+    one = convolve_all(v, "i", ni, [(value, f"a{o}", k[o]) for o in range(3)], by, pad)
+    two = convolve_all(one, "j", nj, [(f"a{p}", f"b{p}{q}", k[q]) for p in range(3) for q in range(3 - p)], by, pad)
+    names = {(2, 0, 0): "dii", (0, 2, 0): "djj", (0, 0, 2): "dkk", (1, 1, 0): "dij", (1, 0, 1): "dik", (0, 1, 1): "djk"}
+    three = convolve_all(two, "k", nk, [(f"b{p}{q}", name, k[s]) for (p, q, s), name in names.items()], by, pad)
+    return three.select(*(by or []), "i", "j", "k", *[(F.col(c) * sigma * sigma).alias(c) for c in names.values()])
 
 
 def frobenius(prefix: str = "d") -> Column:
