@@ -31,18 +31,36 @@ def stratified(df: DataFrame, by: str, key: str, most: int, text: str = "text",
     )
 
 
+def within(rows: list[tuple], most_bytes: int) -> list[tuple]:
+    """Rows (value, text, u, ...) of at most ``most_bytes`` of text, in the order of ``u``.
+
+    The bytes are dealt evenly over the values: one that needs less than an even share leaves the rest to the others. A
+    value's rows are taken by ``u``; a text that doesn't fit into what its value has left is passed over. A value of which
+    no text fits gets its shortest one beyond the limit, so that no value is lost.
+    """
+    size = lambda r: len(r[1].encode())
+    by: dict[object, list[tuple]] = {}
+    for r in sorted(rows, key=lambda r: (r[2], str(r[0]), r[1])):
+        by.setdefault(r[0], []).append(r)
+    out, left = [], most_bytes
+    for n, v in enumerate(sorted(by, key=lambda v: (sum(map(size, by[v])), str(v)))):
+        room, got = left // (len(by) - n), []
+        for r in by[v]:
+            if size(r) <= room:
+                got.append(r)
+                room -= size(r)
+        left -= sum(map(size, got))
+        out += got or [min(by[v], key=size)]
+    return sorted(out, key=lambda r: (r[2], str(r[0]), r[1]))
+
+
 def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object], most_bytes: int):
     """A model fitted in one task from a bounded sample (value, text, u): its rows in the order of ``u``, up to
-    ``most_bytes`` of text. Texts don't reach the driver; the model does."""
+    ``most_bytes`` of text, dealt over the values. Texts don't reach the driver; the model does."""
 
     def run(batches):
         rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-        got, size = [], 0
-        for value, text, _ in sorted(rows, key=lambda r: (r[2], str(r[0]), r[1])):
-            size += len(text.encode())
-            if got and size > most_bytes:
-                break
-            got.append((value, text))
+        got = [(value, text) for value, text, _ in within(rows, most_bytes)]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got))], pa.binary())], names=["model"])
 
     rows = sample.select("value", "text", "u").repartition(1).mapInArrow(run, "model binary").collect()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenflow.llm import _bytes as B
-from lumenflow.llm._sampling import unit
+from lumenflow.llm._sampling import unit, within
 
 BITS = 16
 
@@ -249,13 +249,9 @@ def train(docs: DataFrame, most: int = 700, most_bytes: int = 6 << 20, seed: int
                         [B.column(part, "text").take(pa.array(at)).cast(pa.string()), pa.array(p[at]), pa.array(u[at])], names=["text", "p", "u"]
                     )
 
-    got, size = [], 0
     chosen = docs.select("text", unit("doc_id", seed=seed).alias("u")).mapInArrow(pick, "text string, p double, u double").limit(4 * most)
-    for r in sorted(chosen.toLocalIterator(), key=lambda r: (r["u"], r["text"] or "")):
-        size += len((r["text"] or "").encode())
-        if got and size > most_bytes:
-            break
-        got.append((r["text"] or "", r["p"]))
+    some = [(r["p"] >= 0.5, r["text"] or "", r["u"], r["p"]) for r in chosen.toLocalIterator()]
+    got = [(text, p) for _, text, _, p in within(some, most_bytes)]  # the bytes are dealt over the two sides
     w, b = fit([t for t, _ in got], np.array([p for _, p in got]))
     return Scorer(known, w, b)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.llm import _bytes as B
 from lumenflow.llm import _features as W
-from lumenflow.llm._sampling import unit
+from lumenflow.llm._sampling import unit, within
 
 BITS, AFFIXES = 18, (3, 4, 5, 6, 7, 8)
 _END = np.zeros(256, bool)
@@ -121,7 +121,7 @@ def scored(model: Model, data: np.ndarray, offs: np.ndarray):
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, most_bytes: int = 12 << 20, seed: int = 43):
     """((label, text) rows, odds): about ``most`` labelled documents of each kind, the ones with the lowest keyed hashes,
-    up to ``most_bytes`` of text in all. Only ids are sorted out; texts are read for the chosen ones."""
+    up to ``most_bytes`` of text in all, dealt over the kinds. Only ids are sorted out; texts are read for the chosen ones."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("y")
     )
@@ -130,12 +130,8 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500,
     # at most 4 * most short rows
     some = known.where(unit("doc_id", seed=seed) < share).limit(4 * most).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
-    got, size = [], 0
-    for r in sorted(rows.select("y", "text", unit("doc_id", seed=seed).alias("u")).toLocalIterator(), key=lambda r: (r["u"], r["text"])):
-        size += len(r["text"].encode())
-        if got and size > most_bytes:
-            break
-        got.append((r["y"], r["text"]))
+    some = [(r["y"], r["text"], r["u"]) for r in rows.select("y", "text", unit("doc_id", seed=seed).alias("u")).toLocalIterator()]
+    got = [(y, text) for y, text, _ in within(some, most_bytes)]
     n = [sum(1 for v, _ in got if v == k) for k in (0, 1)]
     if not all(n):
         return got, 1.0

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenflow.llm import decontaminate, language, mixing, near_dedup, pii, quality, queries, secret_scan, suffix_dedup, topk, toxicity
+from lumenflow.llm import _sampling, decontaminate, language, mixing, near_dedup, pii, quality, queries, secret_scan, suffix_dedup, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(300)]
@@ -320,6 +320,24 @@ def test_language(spark, docs, none):
     assert language.identify(none, field).count() == 0
 
 
+def test_bounded_samples_keep_rare_labels(spark):
+    """One label on a thousandth of the rows, another only on a text above the limit; the limit binds."""
+    rng = random.Random(13)
+    rows = [("common", "x" * 400, rng.random() * 0.05) for _ in range(600)] + [("rare", "y" * 400, rng.random()) for _ in range(8)]
+    rows += [("long", "z" * 90000, 0.5), ("common", "x" * 90000, 0.0)]
+    got = _sampling.within(rows, 40000)
+    n = {v: sum(r[0] == v for r in got) for v in ("common", "rare", "long")}
+    assert n["rare"] == 8 and n["long"] == 1 and 40 <= n["common"] <= 100 and got == sorted(got, key=lambda r: r[2])
+    assert sum(len(t) for v, t, _ in got if v != "long") <= 40000 and _sampling.within(rows, 1 << 20) == sorted(rows, key=lambda r: (r[2], r[0], r[1]))
+    texts = [(i, f"{'un deux trois' if i % 1000 == 0 else 'one two three'} {i} " * 20, "fr" if i % 1000 == 0 else "en", "s", 0) for i in range(4000)]
+    d = spark.createDataFrame([*texts, (9999, "one two three " * 4000, "en", "s", 0)], DOCS)
+    field = language.train(d, F.lit(True), most=300, most_bytes=12000)
+    assert field.labels == ["en", "fr"]
+    lab = spark.createDataFrame([(r[0], 1, int(r[2] == "fr")) for r in texts], "doc_id long, quality int, toxic int")
+    some, odds = toxicity.sample(d, lab, F.lit(True), most=300, most_bytes=12000)
+    assert sum(y for y, _ in some) == 4 and len(some) > 20 and abs(odds - 3996 / (len(some) - 4)) < 1e-9
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     s, t = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))
