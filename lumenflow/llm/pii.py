@@ -125,8 +125,15 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+#: Draws before a space of surrogates grows by a step.
+PATIENCE = 4
+
+
 def surrogate(key: bytes, kind: str, value: str, gender: str, attempt: int) -> str:
-    """The canonical form of an entity's replacement."""
+    """The canonical form of an entity's replacement. The space grows by a step with every ``PATIENCE`` draws that collided:
+    names by a syllable, e-mail addresses by a letter, numbers by a digit, and addresses move on to the next wider range of
+    their sort."""
+    more = attempt // PATIENCE
     rng = Stream(key, f"{kind}\0{value}\0{attempt}")
     if kind == "name":
         words = value.split(" ")
@@ -135,16 +142,24 @@ def surrogate(key: bytes, kind: str, value: str, gender: str, attempt: int) -> s
         for i, w in enumerate(words):
             if i == 0 and (len(words) > 1 or w.title() in _GENDER):
                 pool = GIVEN[script, gender or "mf"[rng.below(2)]]
-                out.append(pool[rng.below(len(pool))].casefold())
+                tail = more if len(words) == 1 else 0  # of two words, the last one grows
+                out.append(pool[rng.below(len(pool))].casefold() + "".join(_SYLLABLES[script][rng.below(len(_SYLLABLES[script]))] for _ in range(tail)))
             else:
-                out.append("".join(_SYLLABLES[script][rng.below(len(_SYLLABLES[script]))] for _ in range(max(3, len(w) // 2))))
+                out.append("".join(_SYLLABLES[script][rng.below(len(_SYLLABLES[script]))] for _ in range(max(3, len(w) // 2) + more)))
         return " ".join(out)
     if kind == "ip":
         o = [int(x) for x in value.split(".")]
         fixed = 1 if o[0] in (10, 127) else 2 if o[:2] in ([192, 168], [169, 254]) or (o[0] == 172 and 16 <= o[1] < 32) else 0
-        new = o[:fixed] + [rng.below(256) for _ in o[fixed:]]
-        if not fixed:  # a public address outside the special ranges
-            new[0] = [x for x in range(1, 224) if x not in (10, 127, 169, 172, 192)][rng.below(218)]
+        if not fixed and more < 2:  # a public address outside the special ranges
+            new = [[x for x in range(1, 224) if x not in (10, 127, 169, 172, 192)][rng.below(218)], *(rng.below(256) for _ in o[1:])]
+        elif fixed and more == 0:  # the own private range
+            new = o[:fixed] + [rng.below(256) for _ in o[fixed:]]
+        elif fixed == 2 and more == 1:  # 172.16/12
+            new = [172, 16 + rng.below(16), rng.below(256), rng.below(256)]
+        elif fixed and o[0] != 127 and more == 2:
+            new = [10, *(rng.below(256) for _ in o[1:])]
+        else:  # 240/4 is reserved, and routed nowhere
+            new = [240 + rng.below(15), *(rng.below(256) for _ in o[1:])]
         return ".".join(map(str, new))
     if kind == "email":
         local, _, domain = value.partition("@")
@@ -152,9 +167,9 @@ def surrogate(key: bytes, kind: str, value: str, gender: str, attempt: int) -> s
         shape = lambda s: "".join(
             str(rng.below(10)) if c.isdigit() else _LETTERS[script_of(c)][rng.below(len(_LETTERS[script_of(c)]))] if c.isalpha() else c for c in s
         )
-        return f"{shape(local)}@{shape(host)}.{top}"
+        return f"{shape(local)}{''.join(_LETTERS['latin'][rng.below(26)] for _ in range(more))}@{shape(host)}.{top}"
     first = value[:1] if kind == "card" else ""  # the issuer's first digit stays
-    digits = first + "".join(str(rng.below(10)) for _ in value[len(first):])
+    digits = first + "".join(str(rng.below(10)) for _ in range(len(value) - len(first) + more))
     if kind == "card" and luhn(value) == 0:
         digits = next(digits[:-1] + str(d) for d in range(10) if luhn(digits[:-1] + str(d)) == 0)
     return digits
@@ -164,7 +179,7 @@ def dress(original: str, kind: str, new: str) -> str:
     """A canonical surrogate in the format of the text that it replaces: its separators and its case."""
     if kind in ("card", "phone", "ssn"):
         it = iter(new)
-        return "".join(next(it, "0") if c.isdigit() else c for c in original)
+        return "".join([*(next(it, "0") if c.isdigit() else c for c in original), *it])
     if kind == "ip":
         return new
     if original.isupper() and len(original) > 1:
@@ -242,7 +257,7 @@ def assign(entities: DataFrame, key: bytes, rounds: int = 50) -> DataFrame:
         done = settled
         if left.isEmpty():
             return done.select("kind", "value", "surrogate")
-    raise RuntimeError("the space of surrogates of a kind is too small for its entities")
+    raise RuntimeError("more addresses than IPv4 has surrogates for")
 
 
 def replace(docs: DataFrame, key: bytes = b"lumenflow") -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empties, repeats, ties and odd columns."""
 
 import hashlib
+import ipaddress
 import random
 import re
 
@@ -425,6 +426,24 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r["kind"], r["surrogate"]) for r in got} & {(k, v) for k, v, _ in ips}
 
 
+def test_small_surrogate_spaces_grow(spark):
+    titled = {"latin": "Mr", "cyrillic": "Господин", "greek": "Κύριος"}
+    names = [(n, t) for s, t in titled.items() for n in pii.GIVEN[s, "m"]]
+    texts = [f"{t} {n} left" for n, t in names] + [f"write to {a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.replace(d, key=b"k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    new = [g.split(" ")[1] for g in got[: len(names)]]
+    assert all(pii.script_of(a[0]) == pii.script_of(n[0]) and g.split(" ")[0] == t for a, g, (n, t) in zip(new, got, names, strict=False))
+    ips = [("ip", f"192.168.{i // 256}.{i % 256}", "") for i in range(40000)]
+    table = pii.assign(spark.createDataFrame(ips, "kind string, value string, gender string"), b"k").collect()
+    made = {r["surrogate"] for r in table}
+    assert len(made) == len(table) == 40000 and not made & {v for _, v, _ in ips}
+    assert all(ipaddress.ip_address(x).is_private for x in made)
+    long = pii.surrogate(b"k", "card", "4111111111111111", "", pii.PATIENCE)
+    assert len(long) == 17 and pii.luhn(long) == 0 and pii.dress("4111 1111 1111 1111", "card", long).replace(" ", "") == long
+
+
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
