@@ -284,6 +284,34 @@ def test_randomness_battery(spark):
     assert sum(got[i] for i in range(40)) >= 36 and not any(v for i, v in got.items() if i >= 100)
 
 
+def test_few_secrets_among_many_ordinary_tokens(spark, sf):
+    """Six random tokens of each encoding and length among 100000 long ordinary ones; the figures are in the README."""
+    rng = random.Random(17)
+    words = sorted({w.lower() for r in spark.read.parquet(f"{sf}/documents.parquet").limit(400).collect() for w in re.findall(r"\b[A-Za-z]{3,12}\b", r["text"] or "")})
+    shapes = [
+        "".join, "-".join, "/".join, "_".join, lambda w: "".join(x.title() for x in w), lambda w: "_".join(w).upper(), lambda w: "".join(w).upper(),
+        lambda w: "/".join([*w, str(rng.randint(1990, 2030)), f"{rng.randint(1, 12):02d}"]), lambda w: "-".join([*w, str(rng.randint(1, 99999))]),
+        lambda w: str(rng.randint(10**24, 10**25)),
+    ]
+
+    def ordinary():
+        while len(t := rng.choice(shapes)([rng.choice(words) for _ in range(rng.randint(3, 7))])) < 20:
+            pass
+        return t
+
+    rows = [(i, " ".join(ordinary() for _ in range(50)) + " " + " ".join(rng.choice(words) for _ in range(50))) for i in range(2000)]
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    sets = {"base62": low + up + dig, "base64": low + up + dig + "+/", "base32": up + "234567", "HEX": dig + "ABCDEF", "base36": low + dig}
+    planted = [(k, n) for k in sets for n in (20, 24, 32, 40, 64) for _ in range(6)]
+    rows += [(10000 + i, "x " + "".join(rng.choice(sets[k]) for _ in range(n)) + " y") for i, (k, n) in enumerate(planted)]
+    got = {r["doc_id"]: r["n_random"] for r in secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    found = {k: [sum(got[10000 + i] for i, p in enumerate(planted) if p == (k, n)) for n in (20, 24, 32, 40, 64)] for k in sets}
+    wrong = sum(v for i, v in got.items() if i < 10000)
+    print(found, "wrong", wrong)
+    assert sum(map(sum, found.values())) >= 0.9 * len(planted) and all(sum(f) >= 24 for f in found.values()), found
+    assert wrong <= 0.1 * sum(got.values())
+
+
 def test_masking(spark):
     d = spark.createDataFrame([(1, 'é token = "abcdefgh12" end', "k"), (2, None, "k"), (3, "clean", "k")], "doc_id long, text string, other string")
     got = {r["doc_id"]: r["text"] for r in secret_scan.masked(d).collect()}
