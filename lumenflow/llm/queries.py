@@ -130,17 +130,21 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(
     "op6_suffix_dedup",
     """
-WITH h AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS x, coalesce(octet_length(encode(text)), 0) AS n FROM documents),
-w AS (SELECT doc_id, s, md5_number(substr(x, 2 * s + 1, 200)) AS m FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS s FROM h WHERE n >= 100)),
-d AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY m ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
-b AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM d),
-g AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM b),
-i AS (SELECT doc_id, g, min(s) AS a, max(s) + 100 AS z FROM g GROUP BY 1, 2),
-k AS (SELECT i.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY i.doc_id ORDER BY a), 0) AS p FROM i),
-t AS (SELECT k.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept
-      FROM k JOIN h USING (doc_id) GROUP BY 1)
-SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
-FROM h LEFT JOIN t USING (doc_id)
+WITH rows AS (SELECT doc_id, md5(coalesce(text, '')) AS k, coalesce(hex(encode(text)), '') AS x, coalesce(octet_length(encode(text)), 0) AS n FROM documents),
+h AS (SELECT DISTINCT * FROM rows),
+w AS (SELECT doc_id, k, s, md5_number(substr(x, 2 * s + 1, 200)) AS m
+      FROM (SELECT doc_id, k, x, unnest(range(0, n - 99)) AS s FROM h WHERE n >= 100 AND doc_id IS NOT NULL)),
+d AS (SELECT doc_id, k, s FROM (SELECT doc_id, k, s, row_number() OVER (PARTITION BY m ORDER BY doc_id, k, s) AS r FROM w) WHERE r > 1),
+b AS (SELECT doc_id, k, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id, k ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM d),
+g AS (SELECT doc_id, k, s, sum(new) OVER (PARTITION BY doc_id, k ORDER BY s) AS g FROM b),
+i AS (SELECT doc_id, k, g, min(s) AS a, max(s) + 100 AS z FROM g GROUP BY 1, 2, 3),
+j AS (SELECT doc_id, k, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id, k ORDER BY a), 0) AS p FROM i),
+t AS (SELECT doc_id, k, sum(z - a) AS n_removed, count(*) AS n_spans,
+             string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept
+      FROM j JOIN h USING (doc_id, k) GROUP BY 1, 2)
+SELECT r.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM rows r LEFT JOIN t USING (doc_id, k)
 """,
 )
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,20 +4,22 @@ A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts ea
 a string meet in one suffix bucket: every string holds the smallest hash of its ``SEED``-byte substrings at one offset (its
 anchor), so that the bucket of a suffix is the anchor's hash. Buckets are sorted one block at a time:
 
-1. a scan counts anchors; those that occur once are never shipped (a bitmap of bounded size tells them);
-2. a second scan ships the bytes around the other anchors, once for each distinct surrounding in a task;
-3. a task sorts the suffixes of its buckets, a bounded number of bytes at a time: by their first 16 bytes, and suffixes that
-   tie there by the rank of the next position of the difference-cover sample, which is ranked beforehand by prefix doubling
-   over that sample only. Anchors lie on multiples of the cover's period, so that the suffixes of a bucket that can be
-   equal have the same residue, and one shift leads all of them to a sampled position;
+1. a scan counts anchors; those that occur once are not shipped (a bitmap of bounded size tells most of them);
+2. a second scan ships the bytes around the other anchors, once for each distinct surrounding in a task. An anchor with more
+   than ``HOT`` occurrences, whose bucket could fill a task, is dealt over narrower buckets: its strings are grouped by their
+   offsets to it, ``NARROW`` offsets at a time (beyond 4 * ``HOT`` one at a time), and the bytes that a group's strings have in
+   common join the bucket's key. Equal strings have equal offsets, and meet as before;
+3. a task takes its buckets in the order of their bytes, so that equal surroundings come one after the other and all but the
+   earliest are marked as they pass; then it sorts the suffixes of the others, a bounded number of bytes at a time: by
+   their first 16 bytes, and suffixes that tie there by the rank of the next position of the difference-cover sample, which
+   is ranked beforehand by prefix doubling over that sample only. Anchors lie on multiples of the cover's period, so that the
+   suffixes of a bucket that can be equal have the same residue, and one shift leads all of them to a sampled position;
 4. neighbours in that order with ``LENGTH`` bytes in common are equal strings: all but the earliest are marked.
 
-Anchors with more than ``HOT`` occurrences, whose surroundings could fill a task, don't meet in one: their strings are
-grouped by hash with partial aggregation of the earliest start instead.
-
 Defined results: null text is empty, and texts shorter than ``LENGTH`` lose nothing; a row without an id takes no part; rows
-that repeat an id count as one document read from one of them; very long texts are cut into scans of whole documents only;
-an empty table gives no rows; other columns are ignored.
+that repeat an id with another text are documents of their own, ordered by the MD5 of their texts; rows that repeat id and
+text are one document, and each of them gets its result; a document is scanned whole, however long; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +34,9 @@ from pyspark.sql import functions as F
 
 from lumenflow.checkpoints import cut
 from lumenflow.llm import _bytes as B
-from lumenflow.llm.near_dedup import Filter
 
 LENGTH, SEED = 100, 32
-HOT = 20_000
+HOT, NARROW = 10_000, 8
 #: Period and residues of a difference cover: every difference modulo 31 is one of two residues.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 _NEXT = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])
@@ -147,10 +148,14 @@ def mark_block(bucket, before, count, size, data) -> np.ndarray:
     w = _words(text)
     # a sampled position follows within 12 bytes: the first 16 and its rank put suffixes of a bucket in order
     order = np.lexsort((rank[s + _NEXT[s % PERIOD]], w[s + 8], w[s], suffix))
-    h = B.prefix_hash(text)
-    whole = B.mix((h[s + LENGTH] - h[s]) * B.powers(len(text) + 1, inverse=True)[s])[order]
+    # neighbours are equal if all words of their LENGTH bytes are
     new = np.ones(len(order), bool)
-    new[1:] = (whole[1:] != whole[:-1]) | (suffix[order][1:] != suffix[order][:-1])
+    new[1:] = suffix[order][1:] != suffix[order][:-1]
+    same = np.flatnonzero(~new)
+    for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        differ = w[s[order[same]] + k] != w[s[order[same - 1]] + k]
+        new[same[differ]] = True
+        same = same[~differ]
     out = np.ones(len(order), bool)
     # the earliest of each run of equal strings stays: surroundings come by document and anchor, so that among strings with
     # one offset to their anchor the first in number is the first in place
@@ -159,52 +164,30 @@ def mark_block(bucket, before, count, size, data) -> np.ndarray:
     return out
 
 
-def _spans(doc: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(doc: np.ndarray, key: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
     """Unions of the ranges a to z that touch or overlap in a document."""
     if not len(doc):
-        return doc, a, z
-    order = np.lexsort((z, a, doc))
-    doc, a, z = doc[order], a[order], z[order]
-    first = np.concatenate([[True], doc[1:] != doc[:-1]])
+        return doc, key, a, z
+    order = np.lexsort((z, a, key, doc))
+    doc, key, a, z = doc[order], key[order], a[order], z[order]
+    first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
     # the furthest end so far within a document
     big = np.int64(1) << np.int64(40)
     group = np.cumsum(first)
     far = np.maximum.accumulate(z + group * big) - group * big
     new = np.flatnonzero(first | np.concatenate([[False], a[1:] > far[:-1]]))
-    return doc[new], a[new], far[np.append(new[1:] - 1, len(far) - 1)]
-
-
-_SPAN = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("z", pa.int64())])
-
+    return doc[new], key[new], a[new], far[np.append(new[1:] - 1, len(far) - 1)]
 
-def _span_batch(doc, a, z) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _spans(doc, a, z)], schema=_SPAN)
 
+_SPAN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("z", pa.int64())])
 
-def _ids(part: pa.RecordBatch) -> np.ndarray:
-    return B.column(part, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
 
+def _span_batch(doc, key, a, z) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _spans(doc, key, a, z)], schema=_SPAN)
 
-class _Scan:
-    """The anchors of runs of documents: what they need in common."""
-
-    def __init__(self, many, hot) -> None:
-        self.many, self.hot = many, hot
-
-    def found(self, part: pa.RecordBatch) -> tuple:
-        """(bytes, offsets, ids, anchors that occur again, those of them that are hot)."""
-        data, offs = B.bytes_of(B.column(part, "text"))
-        rows = anchors(data, offs)
-        again = self.among(self.many, rows[0])
-        rows = [x[again] for x in rows]
-        hot = self.among(self.hot, rows[0])
-        return data, offs, _ids(part), [x[~hot] for x in rows], [x[hot] for x in rows]
 
-    @staticmethod
-    def among(shared, h: np.ndarray) -> np.ndarray:
-        bits = shared.value
-        spot = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
-        return ((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
+def _numbers(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return B.column(part, name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def bitmap(hashes: DataFrame, column: str, most: int = 1 << 28) -> np.ndarray:
@@ -221,71 +204,111 @@ def bitmap(hashes: DataFrame, column: str, most: int = 1 << 28) -> np.ndarray:
     return out
 
 
-def _classes(h, size, offs, row, a, p, data, ids):
-    """Distinct surroundings of a scan: (order in which they come, places of the first of each, True for others)."""
-    whole = B.span_hashes(data, a, a + size)
-    order = np.lexsort((a - offs[row], ids[row], p - a, size, whole, h))
-    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (whole[order][1:] != whole[order][:-1]) | (size[order][1:] != size[order][:-1]) | ((p - a)[order][1:] != (p - a)[order][:-1])])
-    return order[new], order[~new]
+def _among(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    spot = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return ((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _surroundings(scan: _Scan):
-    """Per run of documents: its distinct surroundings of ordinary anchors."""
-    names = [("h", pa.int64()), ("before", pa.int32()), ("count", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())]
-    schema = pa.schema(names)
+def narrowed(data: np.ndarray, rows: tuple[np.ndarray, ...], width: int) -> tuple[np.ndarray, ...]:
+    """Anchors' runs of strings, cut into groups of ``width`` offsets to the anchor; a group's hash is that of the bytes which
+    all strings with these offsets have in common."""
+    h, p, a, z, row = rows
+    low = (p - z) // width
+    n = (p - a) // width - low + 1
+    each = np.repeat(np.arange(len(h)), n)
+    group = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    start = p[each] - group * width  # the last string's start, from which on all strings of the group hold these bytes
+    common = B.span_hashes(data, start, start + LENGTH + 1 - width)
+    h = B.mix(h[each] ^ B.mix(common + group.astype(np.uint64)))
+    return h, p[each], np.maximum(a[each], start - width + 1), np.minimum(z[each], start), row[each]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in B.slices(batch, limit=4 * B.SLICE_BYTES):
-                data, offs, ids, (h, p, a, z, row), _ = scan.found(part)
-                if not len(h):
-                    continue
-                size = z - a + LENGTH
-                first, _ = _classes(h, size, offs, row, a, p, data, ids)
-                bounds = np.concatenate([[0], np.cumsum(size[first])])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[first].view(np.int64)), pa.array((p - a)[first].astype(np.int32)), pa.array((z - a + 1)[first].astype(np.int32)),
-                        pa.array(ids[row[first]]), pa.array(a[first] - offs[row[first]]), B.binaries(_gather(data, a[first], size[first]), bounds),
-                    ],
-                    schema=schema,
-                )
 
-    return run, "h long, before int, count int, doc_id long, start long, bytes binary"
+_ROW = pa.schema(
+    [("h", pa.int64()), ("before", pa.int32()), ("count", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())]
+)
+_ROW_SQL = "h long, before int, count int, doc_id long, key long, start long, bytes binary"
 
 
-def _local_spans(scan: _Scan):
-    """Per run of documents: the spans of surroundings, and of hot anchors' strings, that repeat an earlier one of the run."""
+def _surroundings(many, hot, hotter):
+    """Per run of documents: its distinct surroundings of anchors that occur again, and as rows of count 0 the spans of those
+    that repeat an earlier one of the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in B.slices(batch, limit=4 * B.SLICE_BYTES):
-                data, offs, ids, (h, p, a, z, row), hot = scan.found(part)
-                if len(h):
-                    size = z - a + LENGTH
-                    _, others = _classes(h, size, offs, row, a, p, data, ids)
-                    b = a[others] - offs[row[others]]
-                    yield _span_batch(ids[row[others]], b, b + size[others])
-                if len(hot[0]):
-                    _, doc, start, order, new = _strings(data, offs, ids, *hot)
-                    rest = order[~new]
-                    yield _span_batch(doc[rest], start[rest], start[rest] + LENGTH)
-
-    return run, "doc_id long, a long, z long"
-
-
-def _strings(data, offs, ids, h, p, a, z, row):
-    """Strings of some anchors: (hash, document, start, order by hash and place, True for the first of each hash)."""
-    n = z - a + 1
-    s = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    row = np.repeat(row, n)
-    w, doc, start = B.span_hashes(data, s, s + LENGTH), ids[row], s - offs[row]
-    order = np.lexsort((start, doc, w))
-    return w, doc, start, order, np.concatenate([[True], w[order][1:] != w[order][:-1]])
-
-
-def _whole(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by h, cut anew so that each holds whole buckets and, unless one bucket is larger, ``limit`` bytes."""
+                data, offs = B.bytes_of(B.column(part, "text"))
+                doc, key = _numbers(part, "doc_id"), _numbers(part, "key")
+                rows = anchors(data, offs)
+                rows = tuple(x[_among(many.value, rows[0])] for x in rows)
+                wide, narrow = _among(hot.value, rows[0]), _among(hotter.value, rows[0])
+                kinds = [(~wide, 0), (wide & ~narrow, NARROW), (wide & narrow, 1)]
+                parts = [narrowed(data, tuple(x[m] for x in rows), k) if k else tuple(x[m] for x in rows) for m, k in kinds]
+                h, p, a, z, row = (np.concatenate(c) for c in zip(*parts, strict=True))
+                if not len(h):
+                    continue
+                size, start = z - a + LENGTH, a - offs[row]
+                place = _names(doc, key)[row]
+                whole = B.span_hashes(data, a, a + size)
+                order = np.lexsort((start, place, p - a, size, whole, h))
+                same = np.zeros(len(h), bool)
+                for x in (h, whole, size, p - a):
+                    same[1:] |= x[order][1:] != x[order][:-1]
+                same[1:] = ~same[1:]
+                # of a class of equal surroundings the earliest goes on; one at the same place is the same row again
+                head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
+                other = order[same & ((place[order] != place[head]) | (start[order] != start[head]))]
+                first = order[~same]
+                bounds = np.concatenate([[0], np.cumsum(size[first])])
+                yield _row_batch(
+                    h[first].view(np.int64), (p - a)[first], (z - a + 1)[first], doc[row[first]], key[row[first]], start[first],
+                    B.binaries(_gather(data, a[first], size[first]), bounds),
+                )
+                d, k, b, e = _spans(doc[row[other]], key[row[other]], start[other], start[other] + size[other])
+                if len(d):
+                    spread = B.mix(d.astype(np.uint64) + b.astype(np.uint64)).view(np.int64)
+                    yield _row_batch(spread, e - b, np.zeros(len(d)), d, k, b, pa.array([b""] * len(d), pa.binary()))
+
+    return run
+
+
+def _row_batch(h, before, count, doc, key, start, data) -> pa.RecordBatch:
+    cols = [pa.array(h), pa.array(before.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(doc), pa.array(key), pa.array(start), data]
+    return pa.RecordBatch.from_arrays(cols, schema=_ROW)
+
+
+class _Collapse:
+    """Sorted rows as they pass: equal surroundings of a bucket follow each other, the earliest first."""
+
+    def __init__(self) -> None:
+        self.last: list[np.ndarray] | None = None
+
+    def __call__(self, b: pa.RecordBatch) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
+        """(the first row of each class, spans of the others)."""
+        h, before, count, doc, key, start = (_numbers(b, c) for c in ("h", "before", "count", "doc_id", "key", "start"))
+        data, offs = B.bytes_of(B.column(b, "bytes"))
+        size = np.diff(offs)
+        cols = [h, before, size, B.span_hashes(data, offs[:-1], offs[1:]).view(np.int64), doc, key, start]
+        old = 0
+        if self.last is not None:
+            cols, old = [np.concatenate([x, c]) for x, c in zip(self.last, cols, strict=True)], 1
+        new = np.ones(len(cols[0]), bool)
+        new[1:] = False
+        for x in cols[:4]:
+            new[1:] |= x[1:] != x[:-1]
+        local = np.concatenate([np.zeros(old, bool), count == 0])
+        new |= local
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        again = ~new & np.logical_or.reduce([x != x[head] for x in cols[4:]])
+        self.last = [x[head[-1:]] for x in cols]
+        again, new = again[old:], new[old:]
+        spans = (again | (count == 0), np.where(count == 0, before, size))
+        spans = tuple(x[spans[0]] for x in (doc, key, start, start + spans[1]))
+        return b.filter(pa.array(new & (count > 0))), spans
+
+
+def _whole(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch | None]:
+    """Batches sorted by h, cut anew so that each holds whole buckets and, unless one bucket is larger, ``limit`` bytes; None
+    after each batch."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         for part in B.slices(b, "bytes", limit) if b.num_rows else ():
@@ -299,63 +322,58 @@ def _whole(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
                 yield B._joined([*held, part.slice(0, k)])
                 held, part = [], part.slice(k)
             held.append(part)
+        yield None
     if held:
         yield B._joined(held)
 
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _whole(batches, BLOCK_BYTES):
-        get = lambda c: B.column(t, c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-        h, before, count, doc, start = (get(c) for c in ("h", "before", "count", "doc_id", "start"))
-        data, offs = B.bytes_of(B.column(t, "bytes"))
-        before, count, size = before.astype(np.int64), count.astype(np.int64), np.diff(offs)
-        # among equal surroundings the earliest comes first: order by where they stand in their documents
-        whole = B.span_hashes(data, offs[:-1], offs[1:])
-        order = np.lexsort((start, doc, before, size, whole, h))
-        same = np.zeros(len(h), bool)
-        same[1:] = (h[order][1:] == h[order][:-1]) & (whole[order][1:] == whole[order][:-1]) & (size[order][1:] == size[order][:-1]) & (before[order][1:] == before[order][:-1])
-        first, others = order[~same], order[same]
-        out = [(doc[others], start[others], start[others] + size[others])]
-        # buckets with one surrounding hold no two equal strings from different places
-        _, inverse, n = np.unique(h[first], return_inverse=True, return_counts=True)
-        meet = n[inverse] > 1
-        first, bucket = first[meet], inverse[meet]
-        by_place = np.lexsort((start[first] + before[first], doc[first]))
-        first, bucket = first[by_place], bucket[by_place]
-        if len(first):
-            dup = mark_block(bucket, before[first], count[first], size[first], _gather(data, offs[first], size[first]))
-            owner = np.repeat(first, count[first])
-            i = np.arange(len(owner)) - np.repeat(np.cumsum(count[first]) - count[first], count[first])
-            s = start[owner[dup]] + i[dup]
-            out.append((doc[owner[dup]], s, s + LENGTH))
-        yield _span_batch(*(np.concatenate(c) for c in zip(*out, strict=True)))
-
-
-def _hot_strings(scan: _Scan):
-    """Per run of documents: each distinct string of its hot anchors with its earliest start."""
-    schema = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for part in B.slices(batch, limit=4 * B.SLICE_BYTES):
-                data, offs, ids, _, hot = scan.found(part)
-                if len(hot[0]):
-                    w, doc, start, order, new = _strings(data, offs, ids, *hot)
-                    first = order[new]
-                    yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(doc[first]), pa.array(start[first])], schema=schema)
-
-    return run, "w long, doc_id long, start long"
-
-
-def _covered(batches):
-    for batch in batches:
-        yield _span_batch(*(B.column(batch, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "a", "z")))
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, z): bytes a to z of a document repeat an earlier string. Spans of a document can overlap."""
-    spark = docs.sparkSession
-    texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    collapse, passed = _Collapse(), []
+
+    def firsts():
+        for b in batches:
+            if b.num_rows:
+                rest, spans = collapse(b)
+                passed.append(spans)
+                yield rest
+
+    for t in _whole(firsts(), BLOCK_BYTES):
+        while passed:
+            yield _span_batch(*passed.pop())
+        if t is not None:
+            yield _marked(t)
+
+
+def _marked(t: pa.RecordBatch) -> pa.RecordBatch:
+    """Spans of the strings that start earlier elsewhere, of some whole buckets of distinct surroundings."""
+    h, before, count, doc, key, start = (_numbers(t, c) for c in ("h", "before", "count", "doc_id", "key", "start"))
+    data, offs = B.bytes_of(B.column(t, "bytes"))
+    size = np.diff(offs)
+    # buckets with one surrounding hold no two equal strings from different places
+    _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+    meet = np.flatnonzero(n[inverse] > 1)
+    meet = meet[np.lexsort((start[meet] + before[meet], key[meet], doc[meet]))]
+    if not len(meet):
+        return _span_batch(*[np.zeros(0, np.int64)] * 4)
+    dup = mark_block(inverse[meet], before[meet], count[meet], size[meet], _gather(data, offs[meet], size[meet]))
+    owner = np.repeat(meet, count[meet])
+    i = np.arange(len(owner)) - np.repeat(np.cumsum(count[meet]) - count[meet], count[meet])
+    s = start[owner[dup]] + i[dup]
+    return _span_batch(doc[owner[dup]], key[owner[dup]], s, s + LENGTH)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): the key tells rows apart that share an id, and is 0 if none do."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    md5 = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 15), 16, 10).cast("long")
+    return rows.select("doc_id", (F.lit(0).cast("long") if shared.isEmpty() else md5).alias("key"), "text")
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(doc_id, key, a, z): bytes a to z of a document (doc_id, key, text) repeat an earlier string. Spans can overlap."""
+    spark = texts.sparkSession
+    texts = texts.where("text is not null and doc_id is not null")
 
     def count(part: pa.RecordBatch) -> list:
         h, n = np.unique(anchors(*B.bytes_of(B.column(part, "text")))[0], return_counts=True)
@@ -363,34 +381,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     run = B.mapper(count, ["h", "n"], [pa.int64(), pa.int64()])
     many = cut(texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
-    shared = spark.sparkContext.broadcast(bitmap(many, "h"))
-    hot = many.where(F.col("n") > HOT)
-    shared_hot = spark.sparkContext.broadcast(bitmap(hot, "h"))
-    scan = _Scan(shared, shared_hot)
-    run, schema = _surroundings(scan)
-    blocks = texts.mapInArrow(run, schema).repartition("h").sortWithinPartitions("h")
-    sorted_ = blocks.mapInArrow(_sorted_blocks, "doc_id long, a long, z long")
-    run, schema = _local_spans(scan)
-    local = texts.mapInArrow(run, schema)
-    run, schema = _hot_strings(scan)
-    strings = cut(texts.mapInArrow(run, schema))
-    least = cut(strings.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("low"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    again = (
-        strings.join(least, "w")
-        .where((F.col("doc_id") != F.col("low.doc_id")) | (F.col("start") != F.col("low.start")))
-        .select("doc_id", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("z"))
-        .mapInArrow(_covered, "doc_id long, a long, z long")
-    )
-    return sorted_.unionByName(local).unionByName(again)
+    maps = [spark.sparkContext.broadcast(bitmap(x, "h")) for x in (many, many.where(F.col("n") > HOT), many.where(F.col("n") > 4 * HOT))]
+    order = ["h", "before", "bytes", "doc_id", "key", "start"]
+    blocks = texts.mapInArrow(_surroundings(*maps), _ROW_SQL).repartition("h").sortWithinPartitions(*order)
+    return blocks.mapInArrow(_sorted_blocks, "doc_id long, key long, a long, z long")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay, as text where they
     are valid UTF-8, else with replacement characters)."""
-    spans = cut(repeated_spans(docs))
+    texts = _keyed(docs)
+    spans = cut(repeated_spans(texts))
     # a document's spans are few: overlapping ones were joined where they were found
-    per = cut(spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("spans")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per, "doc_id", "left")
+    per = cut(spans.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("spans")))
+    rows = texts.join(per, ["doc_id", "key"], "left")
 
     def f(part: pa.RecordBatch) -> list:
         data, offs = B.bytes_of(B.column(part, "text"))

@@ -156,26 +156,49 @@ def test_leftover_components_meet_in_blocks(spark, monkeypatch):
 # substrings
 
 
-def test_suffix_dedup(docs, rows, none):
+def brute_substrings(rows: list[tuple]) -> list[tuple]:
+    """Results of (doc_id, text) rows: equal rows are one document, others come by id and MD5."""
     seen, want = set(), {}
-    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
-        b = (t or "").encode()
+    for i, t in sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda r: (r[0], hashlib.md5(r[1].encode()).hexdigest())):
+        b = t.encode()
         gone = np.zeros(len(b), bool)
         for s in range(len(b) - 99):
             if b[s : s + 100] in seen:
                 gone[s : s + 100] = True
             seen.add(b[s : s + 100])
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        want[i] = (len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), hashlib.sha256(kept).hexdigest())
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect()}
-    assert got == want and sum(w[1] for w in want.values()) > 1000
+        want[i, t] = (len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), hashlib.sha256(kept).hexdigest())
+    whole = lambda t: (len(t.encode()), 0, 0, hashlib.sha256(t.encode()).hexdigest())
+    return sorted(((i, *want.get((i, t or ""), whole(t or ""))) for i, t in rows), key=str)
+
+
+def substrings(df) -> list[tuple]:
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(df).collect()), key=str)
+
+
+def test_suffix_dedup(docs, rows, none):
+    want = brute_substrings([r[:2] for r in rows])
+    assert substrings(docs) == want and sum(w[2] for w in want) > 1000
     assert suffix_dedup.dedup(none).count() == 0
 
 
-def test_hot_anchors_give_the_same(docs, monkeypatch):
-    plain = sorted(tuple(r) for r in suffix_dedup.dedup(docs).collect())
-    monkeypatch.setattr(suffix_dedup, "HOT", 2)
-    assert sorted(tuple(r) for r in suffix_dedup.dedup(docs).collect()) == plain
+def test_suffix_dedup_of_repeated_rows_and_ids(spark):
+    rng = random.Random(8)
+    x, y, w = (" ".join(rng.choice(WORDS) for _ in range(120)) for _ in range(3))
+    rows = [(2, x), (2, x), (2, y), (1, x), (1, w + x[:300]), (2, w), (2, y), (None, x), (None, x), (3, None), (3, y), (3, y[:150] + w[-200:])]
+    df = spark.createDataFrame([(i, t, "a", 7) for i, t in rows], "doc_id long, text string, key string, h int").repartition(5)
+    assert substrings(df) == brute_substrings(rows)
+    alone = spark.createDataFrame([(2, x), (2, x), (3, y)], "doc_id long, text string")
+    assert all(r[2] == 0 for r in substrings(alone))
+
+
+@pytest.mark.parametrize("hot", [0, 2])
+def test_hot_anchors_give_the_same(docs, monkeypatch, hot):
+    """Anchors with more occurrences than ``hot`` in groups of eight offsets, those with four times as many one by one."""
+    plain = substrings(docs)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4096)
+    assert substrings(docs) == plain
 
 
 def test_cover_ranks_order_suffixes():
