@@ -12,8 +12,9 @@ at most ``chunk_bytes``; a larger test set takes more passes over the stored ind
 Words are lower-cased (A-Z) runs of ASCII letters and digits and of everything above ASCII, compared by 64-bit hash.
 
 Defined results: null or empty text has no words and no hits; an item without words has no window and never occurs; rows
-that repeat an item_id are one item; rows that repeat a doc_id are separate documents; a null doc_id stays null; empty
-tables give no rows or no hits.
+that repeat an item_id are one item; all items without an id are one item, which counts but has no name in the list of ids; rows
+that repeat a doc_id, with another text or the same, are separate documents with a result each; a null doc_id stays null; a
+very long text is indexed whole, as a run of its own; empty tables give no rows or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from lumenflow.checkpoints import cut
 from lumenflow.llm import _bytes as B
 
-_INDEX = "doc_ids array<long>, first array<int>, n_words array<int>, terms binary, counts binary, postings binary"
+_INDEX = "doc_ids array<long>, hashes array<long>, first array<int>, n_words array<int>, terms binary, counts binary, postings binary"
 
 
 def encode(deltas: np.ndarray) -> np.ndarray:
@@ -68,19 +69,21 @@ def _block(part: pa.RecordBatch) -> list:
     delta[new] = pos[new]
     counts = np.diff(np.append(new, len(term)))
     one = np.array([part.num_rows])
-    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), B.column(part, "doc_id").cast(pa.int64()))
+    whole = pa.array([0, part.num_rows], pa.int32())
+    ids, hashes = (pa.ListArray.from_arrays(whole, B.column(part, c).cast(pa.int64())) for c in ("doc_id", "h"))
     binary = [x.tobytes() for x in (term[new], counts.astype(np.int32), encode(delta))]
-    return [ids, B.packed(first, one, pa.int32()), B.packed(n, one, pa.int32()), *(pa.array([x], pa.binary()) for x in binary)]
+    return [ids, hashes, B.packed(first, one, pa.int32()), B.packed(n, one, pa.int32()), *(pa.array([x], pa.binary()) for x in binary)]
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The index as a stored table: a row per run of documents."""
-    types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 3]
-    names = ["doc_ids", "first", "n_words", "terms", "counts", "postings"]
-    return cut(docs.select("doc_id", "text").mapInArrow(B.mapper(_block, names, types), _INDEX))
+    """The index as a stored table: a row per run of documents, with a number of its own (``block``)."""
+    types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 3]
+    names = ["doc_ids", "hashes", "first", "n_words", "terms", "counts", "postings"]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return cut(rows.mapInArrow(B.mapper(_block, names, types), _INDEX).withColumn("block", F.monotonically_increasing_id()))
 
 
-def windows(ids: list[str], texts: list[str | None], size: int) -> dict[str, np.ndarray | list[str]]:
+def windows(ids: list[str | None], texts: list[str | None], size: int) -> dict[str, np.ndarray | list[str]]:
     """All windows of some items: vocabulary (sorted hashes), terms [windows, size] as places in it, -1 beyond the
     window's length, and the item of each."""
     data, offs = B.bytes_of(pa.array(texts, pa.large_string()))
@@ -178,7 +181,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _search(shared, reach: int | None, rarity):
     out = pa.schema(
-        [("block", pa.string()), ("at", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
+        [("block", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()),
          ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
     )
 
@@ -210,12 +213,12 @@ def _search(shared, reach: int | None, rarity):
                     mine = doc == d
                     a, b = merged(s[mine] - first[d], e[mine] - first[d])
                     spans[int(d)] = (a.tolist(), b.tolist())
-                    items[int(d)] = sorted({tests["ids"][i] for i in tests["item"][w[mine]]})
+                    items[int(d)] = sorted({tests["ids"][i] for i in tests["item"][w[mine]]}, key=lambda i: (i is None, i))
                 k = len(first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r["block"]] * k, pa.string()), pa.array(np.arange(k), pa.int32()),
-                        pa.array(r["doc_ids"], pa.int64()), pa.array(n_words, pa.int64()),
+                        pa.array([r["block"]] * k, pa.int64()), pa.array(np.arange(k), pa.int32()),
+                        pa.array(r["doc_ids"], pa.int64()), pa.array(r["hashes"], pa.int64()), pa.array(n_words, pa.int64()),
                         pa.array([spans.get(i, ([], []))[0] for i in range(k)], pa.list_(pa.int64())),
                         pa.array([spans.get(i, ([], []))[1] for i in range(k)], pa.list_(pa.int64())),
                         pa.array([items.get(i, []) for i in range(k)], pa.list_(pa.string())),
@@ -223,7 +226,7 @@ def _search(shared, reach: int | None, rarity):
                     schema=out,
                 )
 
-    return run, "block string, at int, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
+    return run, "block long, at int, doc_id long, h long, n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
 def _inside(tests, keys, w, pos, reach, first, n) -> bool:
@@ -240,7 +243,7 @@ def _inside(tests, keys, w, pos, reach, first, n) -> bool:
 def _chunks(benchmark: DataFrame, window: int, chunk_bytes: int):
     """Tests in chunks of bounded bytes. They pass through the driver one chunk at a time."""
     items, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     for r in rows.distinct().toLocalIterator():
         if items and size + len(r["text"] or "") > chunk_bytes:
             yield windows([x[0] for x in items], [x[1] for x in items], window)
@@ -276,31 +279,31 @@ def search(
 ) -> DataFrame:
     """Occurrences of the benchmark's windows in the indexed documents.
 
-    Returns a row per document: doc_id, n_words, spans (array of start, end: unions of hit words), items (ids of the
-    items that occur, sorted as strings). With ``reach``, proximity matches instead of phrases: occurrences of a window's
-    rarest term that have all its other terms within that many words, in any order; the span is that one word.
+    Returns a row per document: doc_id, h (xxhash64 of its text), n_words, spans (array of start, end: unions of hit words),
+    items (ids of the items that occur, sorted as strings; a null for items without an id). With ``reach``, proximity
+    matches instead of phrases: occurrences of a window's rarest term that have all its other terms within that many words,
+    in any order; the span is that one word.
     """
     spark = index.sparkSession
-    found = None
-    # a block is known by its first document and content
-    named = index.withColumn("block", F.sha2(F.concat(F.col("terms"), F.col("postings"), F.array_join(F.col("doc_ids"), ",", "-").cast("binary")), 256))
-    some = 0
+    found, more = None, None
     for tests in _chunks(benchmark, window, chunk_bytes):
         shared = spark.sparkContext.broadcast(tests)
         rarity = None if reach is None else spark.sparkContext.broadcast(_counted(index, shared))
         run, schema = _search(shared, reach, rarity)
-        got = named.mapInArrow(run, schema)
-        found = got if found is None else found.unionByName(got)
-        some += 1
-    if some > 1:
-        found = found.groupBy("block", "at", "doc_id", "n_words").agg(
+        got = index.mapInArrow(run, schema)
+        if found is None:
+            found = got
+        else:  # of further chunks, the documents that hold something of them
+            got = cut(got.where("size(items) > 0"))
+            more = got if more is None else more.unionByName(got)
+    spans = F.array_sort(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")))
+    if more is not None:
+        found = found.unionByName(more).groupBy("block", "at", "doc_id", "h", "n_words").agg(
             F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
-    spans = F.array_sort(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")))
-    if some > 1:
         spans = union_of(spans)
-    return found.select("doc_id", "n_words", spans.alias("spans"), "items")
+    return found.select("doc_id", "h", "n_words", spans.alias("spans"), "items")
 
 
 def union_of(spans):
@@ -321,10 +324,10 @@ def union_of(spans):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """A row per document: doc_id, h (xxhash64 of its text), n_words, n_hit, n_items, items_sha256, contaminated."""
     found = search(build_index(docs), benchmark, window)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "h", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )

@@ -35,29 +35,29 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(
     "op10_decontamination",
     r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-dn AS (SELECT doc_id, w, coalesce(len(w), 0) AS n FROM d),
+dn AS (SELECT r, doc_id, w, coalesce(len(w), 0) AS n FROM d),
 b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bn AS (SELECT item_id, w, len(w) AS n FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item_id, least(n, 10) AS k, array_to_string(w[i : i + least(n, 10) - 1], ' ') AS g
        FROM (SELECT item_id, w, n, unnest(generate_series(1, greatest(1, n - 9))) AS i FROM bn)),
 ks AS (SELECT DISTINCT k FROM bw),
-dw AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS g
-       FROM (SELECT doc_id, w, k, unnest(generate_series(1, n - k + 1)) AS i FROM dn, ks WHERE n >= k)),
-h AS (SELECT dw.doc_id, dw.i, dw.k, bw.item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
-hits AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM h) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
-        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+dw AS (SELECT r, i, k, array_to_string(w[i : i + k - 1], ' ') AS g
+       FROM (SELECT r, w, k, unnest(generate_series(1, n - k + 1)) AS i FROM dn, ks WHERE n >= k)),
+h AS (SELECT dw.r, dw.i, dw.k, bw.item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
+hits AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(i, i + k - 1)) AS p FROM h) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY r)
 SELECT dn.doc_id, CAST(dn.n AS BIGINT) AS n_words, CAST(coalesce(hits.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(its.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(its.ids, '')) AS items_sha256,
        coalesce(hits.n_hit, 0) > 0 AS contaminated
-FROM dn LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
+FROM dn LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 """,
 )
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_docs(spark, sf_dir), _docs(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(_docs(spark, sf_dir), _docs(spark, sf_dir, "benchmark")).drop("h")
 
 
 @_register(
