@@ -1,80 +1,81 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Documents are cut into blocks of at most ``block_words`` words. Every source owns exact block quotas: whole passes over
-all of its blocks, then a further part of a pass, in a keyed random order. A binary tree over the output shards splits
-the vector of quotas: each node hands its left half a multivariate-hypergeometric draw, so that every leaf holds exact
-block counts whose sum over the leaves is the quota. A shard then takes its own range of each source's permuted blocks
-(the ranges are disjoint) and shuffles them locally.
+Documents are cut into blocks of at most ``block_words`` words. Every source owns an exact quota of blocks: whole passes over
+all of its blocks, then a further part of a pass, in a keyed random order. A binary tree over the output shards splits the
+quotas: a node hands its left half a multivariate-hypergeometric draw of its blocks, source after source, so that every leaf
+holds exact block counts whose sums over the leaves are the quotas. A shard then takes its own range of each source's
+permuted blocks (the ranges are disjoint), and ``shards_of`` shuffles their texts locally. What a document gives is summed
+over the shards' draws.
 
-Only counts travel: the text is read once, for sizes, and blocks are (row, number) pairs until ``materialise``.
+Sources are rows of a table, however many: their ranks, targets and quotas are DataFrame steps, and the tree is descended
+for runs of ``CHUNK`` sources in tasks of their own, below a tree over the runs. The texts are read for sizes, and again
+for the drawn blocks.
 
-Defined results: null text has size 0 and gives no block; a null source is a source of its own that sorts last; rows
-that repeat a doc_id are mixed as separate documents, one result row each; an empty table gives an empty mix; further
-columns of the input are ignored by ``draw``.
+Defined results: null text has size 0 and gives no block; a null source is a source of its own that sorts last; rows that
+repeat a doc_id are separate documents, one result row each; rows that are alike in id, text and source are interchangeable
+copies, and which of them gives more is not defined, how much they give is; a very long text is many blocks; an empty table
+gives an empty mix; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenflow.checkpoints import cut
+from lumenflow.llm import _bytes as B
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources are the rows of a mixing table; more than this many is taken for a mistaken source column.
-MAX_SOURCES = 20_000
+#: Sources whose quotas a task splits, and rows of a table of sources up to which it is broadcast (under 10 MB).
+CHUNK, FEW = 4096, 20_000
 
 
-def targets(sizes: list[int], weights: tuple[float, ...], share: float, cap: float) -> list[float]:
-    """Words that each source should give: ``share`` of all, by weights that repeat, none above ``cap`` times its size.
+class Tree:
+    """A splitting tree over shards whose leaves have room for a given number of blocks each."""
 
-    What a source can't hold is dealt again over the others by weight, until none is above its limit.
-    """
-    w = [float(weights[i % len(weights)]) for i in range(len(sizes))]
-    out, free = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    left = share * sum(sizes)
-    while free:
-        total = sum(w[i] for i in free)
-        over = [i for i in free if left * w[i] / total > cap * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * w[i] / total
-            break
-        for i in over:
-            out[i] = cap * sizes[i]
-        left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return out
-
-
-def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source in each shard, [shards, sources]; columns sum to ``quotas``.
-
-    A node over the shards [a, b) passes blocks to its left half in proportion to the number of its shards.
-    """
-    out = np.zeros((shards, len(quotas)), dtype=np.int64)
-
-    def descend(a: int, b: int, have: np.ndarray) -> None:
-        if b - a == 1:
-            out[a] = have
-            return
-        m = (a + b) // 2
-        total = int(have.sum())
-        n = total * (m - a) // (b - a)
-        rng = np.random.default_rng([seed, a, b])
-        # the marginals of a multivariate-hypergeometric draw, one source after the other, hold for counts of any size
-        left, rest = np.zeros_like(have), total
-        for i, k in enumerate(have):
-            rest -= int(k)
-            if n and k:
-                left[i] = draw_count(rng, int(k), rest, n)
-                n -= int(left[i])
-        descend(a, m, left)
-        descend(m, b, have - left)
-
-    descend(0, shards, np.asarray(quotas, dtype=np.int64))
-    return out
+    def __init__(self, room: list[int]) -> None:
+        self.n = len(room)
+        self.room = {}
+
+        def fill(a: int, b: int) -> int:
+            m = (a + b) // 2
+            self.room[a, b] = int(room[a]) if b - a == 1 else fill(a, m) + fill(m, b)
+            return self.room[a, b]
+
+        fill(0, self.n)
+
+    def split(self, quota: int, rng: np.random.Generator) -> list[int]:
+        """Deal a source's blocks over the shards. A node passes its left half a hypergeometric draw among the room that is
+        left in its halves: one source after the other, this is the multivariate-hypergeometric draw of the node."""
+        out = [0] * self.n
+
+        def descend(a: int, b: int, k: int) -> None:
+            if b - a == 1:
+                out[a] = k
+            elif k:
+                m = (a + b) // 2
+                left = draw_count(rng, self.room[a, m], self.room[m, b], k)
+                descend(a, m, left)
+                descend(m, b, k - left)
+            self.room[a, b] -= k
+
+        descend(0, self.n, int(quota))
+        return out
+
+
+def split_tree(quotas: Iterable[int], room: list[int], seed: int, first: int = 0) -> Iterator[list[int]]:
+    """Blocks of each source in each shard; sums over the sources are ``room``. ``first``: number of the first source."""
+    tree = Tree(room)
+    for i, k in enumerate(quotas):
+        yield tree.split(k, np.random.default_rng([seed, first + i]))
+
+
+def even(total: int, shards: int) -> list[int]:
+    return [total * (i + 1) // shards - total * i // shards for i in range(shards)]
 
 
 def draw_count(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -87,17 +88,84 @@ def draw_count(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     return int(min(max(round(rng.normal(n * p, sd)), n - bad, 0), good, n))
 
 
+def _key(seed: int, *cols: Column) -> Column:
+    return F.xxhash64(F.lit(seed), *cols)
+
+
 def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    """A row per document: doc_id, source, size, two hashes of id and text, and its number among equal rows (``copy``)."""
+    text = F.col("text")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *_identity(),
     )
+    same = rows.groupBy("doc_id", "source", "size", "k1", "k2").agg(F.count("*").alias("n"))
+    return same.select("doc_id", "source", "size", "k1", "k2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
 
 
-def _key(seed: int, *cols: Column) -> Column:
-    return F.xxhash64(F.lit(seed), *cols)
+def _identity() -> list[Column]:
+    id_ = F.col("doc_id").cast("long")
+    return [F.xxhash64(id_, F.col("text")).alias("k1"), F.xxhash64(F.lit(1), F.col("text"), id_).alias("k2")]
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= FEW else table
+
+
+def _ranked(table: DataFrame, column: str) -> DataFrame:
+    """``sid``: a row's place by the column's bytes, null last, without a task that holds all rows."""
+    ranged = cut(table.repartitionByRange(64, F.asc_nulls_last(column)).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per range
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    w = Window.partitionBy("_p").orderBy(F.asc_nulls_last(column))
+    return ranged.withColumn("_r", F.row_number().over(w) - 1).join(F.broadcast(before), "_p").withColumn("sid", F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
+
+
+def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """``target`` for rows (sid, source_size): words that each source should give, ``share`` of all by weights that repeat,
+    none above ``cap`` times its size.
+
+    What a source can't hold is dealt again over the others by weight, until none is above its limit: each round is one sum.
+    """
+    w = F.get(F.array(*[F.lit(float(x)) for x in weights]), (F.col("sid") % len(weights)).cast("int"))
+    rows = cut(sources.withColumn("w", w).withColumn("full", F.col("source_size") == 0))
+    limit = cap * F.col("source_size")
+    total = rows.agg(F.sum("source_size").alias("n")).first()["n"] or 0
+    while True:
+        got = rows.agg(F.sum(F.when(F.col("full"), limit)).alias("held"), F.sum(F.when(~F.col("full"), F.col("w"))).alias("w")).first()
+        left, rest = share * total - float(got["held"] or 0), float(got["w"] or 0)
+        deal = F.lit(left) * F.col("w") / F.lit(rest or 1.0)
+        over = ~F.col("full") & (deal > limit)
+        if rows.where(over).isEmpty():
+            return rows.withColumn("target", F.when(F.col("full"), limit.cast("double")).otherwise(deal)).drop("w", "full")
+        rows = cut(rows.withColumn("full", F.col("full") | over))
+
+
+def leaves(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(sid, leaf: blocks of each shard) for rows (sid, quota): a tree over runs of sources, then one within each run."""
+    runs = cut(quotas.groupBy(F.floor(F.col("sid") / CHUNK).cast("long").alias("run")).agg(F.sum("quota").alias("quota")))
+    total = int(runs.agg(F.sum("quota")).first()[0] or 0)
+
+    def rows(keys: list, got: list, name: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=[name, "leaf"])
+
+    def top(batches):
+        tree = Tree(even(total, shards))
+        for b in batches:
+            runs_, quota = b.column(0).to_pylist(), b.column(1).to_pylist()
+            yield rows(runs_, [tree.split(k, np.random.default_rng([seed, 1, r])) for r, k in zip(runs_, quota, strict=True)], "run")
+
+    # a row per CHUNK sources passes through one task
+    tops = runs.repartition(1).sortWithinPartitions("run").mapInArrow(top, "run long, leaf array<long>")
+
+    def within(batches):
+        for b in B.runs(batches, ["run"]):
+            sid, quota = B.column(b, "sid").to_pylist(), B.column(b, "quota").to_pylist()
+            tree = Tree(B.column(b, "leaf")[0].as_py())
+            yield rows(sid, [tree.split(k, np.random.default_rng([seed, 2, s])) for s, k in zip(sid, quota, strict=True)], "sid")
+
+    both = quotas.withColumn("run", F.floor(F.col("sid") / CHUNK).cast("long")).join(cut(tops), "run")
+    return both.repartition("run").sortWithinPartitions("run", "sid").mapInArrow(within, "sid long, leaf array<long>")
 
 
 def draw(
@@ -112,125 +180,104 @@ def draw(
 ) -> tuple[DataFrame, DataFrame]:
     """Plan a mix.
 
-    Returns (documents, draws). documents: rid, doc_id, source, size, source_size, target. draws: rid, doc_id, source,
-    shard, place (order in the shard), block, pass, first_word, n_words - one row for each time a block is taken.
-    ``rid`` tells rows apart that repeat a doc_id.
+    Returns (documents, draws). documents: doc_id, source, size, source_size, target, k1, k2, copy. draws: doc_id, source,
+    k1, k2, copy, shard, place (order in the shard), block, pass, n_words - one row for each time a block is taken. k1, k2
+    and copy tell rows apart. A draw's shard is found in an array of ``shards`` numbers.
     """
-    spark = docs.sparkSession
     sized = cut(_sized(docs))
-    per = (
-        sized.groupBy("source")
-        .agg(F.sum("size").alias("source_size"), F.sum(F.ceil(F.col("size") / block_words)).alias("blocks"))
-        .limit(MAX_SOURCES + 1)
-        .collect()
-    )
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: is the source column right?")
-    # UTF-8 bytes sort as code points do
-    per.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [int(r["source_size"]) for r in per]
-    goal = targets(sizes, weights, share, cap)
-    rows = []
-    for i, r in enumerate(per):
-        full = int(goal[i] // sizes[i]) if sizes[i] else 0
-        n = int(r["blocks"])
-        bins = max(1, min(4096, -(-n // bucket_blocks)))
-        rows.append((i, r["source"], sizes[i], float(goal[i]), full, float(goal[i] - full * sizes[i]), n, bins))
-    table = spark.createDataFrame(
-        rows,
-        "sid int, source string, source_size long, target double, full int, part double, blocks long, bins int",
-    )
-    # at most MAX_SOURCES short rows
-    docs2 = sized.join(
-        F.broadcast(table.withColumnRenamed("source", "s2")), sized.source.eqNullSafe(F.col("s2")), "inner"
-    ).drop("s2")
+    blocks_of = F.ceil(F.col("size") / block_words)
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(blocks_of).alias("blocks"))
+    table = cut(targets(_ranked(per, "source"), weights, share, cap))
+    n_sources = table.count()
+    table = table.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
+    table = table.withColumn("part", F.col("target") - F.col("passes") * F.col("source_size"))
+    table = table.withColumn("bins", F.greatest(F.lit(1), F.ceil(F.col("blocks") / bucket_blocks)).cast("long"))
+    named = _small(table.withColumnRenamed("source", "s2"), n_sources)
+    docs2 = sized.join(named, sized.source.eqNullSafe(F.col("s2"))).drop("s2")
     blocks = (
         docs2.where("size > 0")
-        .select(
-            "rid", "doc_id", "source", "size", "sid", "full", "part", "bins",
-            F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / block_words) - 1).cast("int"))).alias("block"),
-        )
-        .withColumn("first_word", F.col("block").cast("long") * block_words)
-        .withColumn("n_words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("first_word")))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("full"))).alias("pass"))
-        .withColumn("h", _key(seed, F.col("doc_id"), F.col("block"), F.col("pass")))
-        .withColumn("bin", F.pmod(_key(seed + 1, F.col("h")), F.col("bins")).cast("int"))
+        .select("*", F.explode(F.sequence(F.lit(0), (blocks_of - 1).cast("int"))).alias("block"))
+        .withColumn("n_words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block").cast("long") * block_words))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass"))
+        .withColumn("h", _key(seed, *[F.col(c) for c in ("k1", "k2", "source", "copy", "block", "pass")]))
+        .withColumn("bin", F.pmod(_key(seed + 1, F.col("h")), F.col("bins")))
+        .select("doc_id", "source", "k1", "k2", "copy", "sid", "passes", "part", "block", "n_words", "pass", "h", "bin")
     )
     # Order in a source's pass: bins in turn, keyed order within a bin. A bin holds a bounded number of blocks, so that a
     # source with a third of all rows is dealt over many tasks.
-    tally = blocks.groupBy("sid", "pass", "bin").agg(F.count("*").alias("nb"), F.sum("n_words").alias("wb"))
+    tally = cut(blocks.groupBy("sid", "pass", "bin").agg(F.count("*").alias("nb"), F.sum("n_words").alias("wb")))
+    n_bins = tally.count()
     before = Window.partitionBy("sid", "pass").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = tally.select(
-        "sid", "pass", "bin",
-        F.coalesce(F.sum("nb").over(before), F.lit(0)).alias("rank0"),
-        F.coalesce(F.sum("wb").over(before), F.lit(0)).alias("word0"),
+        "sid", "pass", "bin", F.coalesce(F.sum("nb").over(before), F.lit(0)).alias("rank0"), F.coalesce(F.sum("wb").over(before), F.lit(0)).alias("word0")
     )
-    within = Window.partitionBy("sid", "pass", "bin").orderBy("h", "rid", "block")
-    ranked = (
-        blocks.withColumn("r", F.row_number().over(within) - 1)
-        .withColumn("w", F.sum("n_words").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_words"))
-        .join(starts, ["sid", "pass", "bin"])
-        .withColumn("rank", F.col("rank0") + F.col("r"))
-        .withColumn("words_before", F.col("word0") + F.col("w"))
+    within = Window.partitionBy("sid", "pass", "bin").orderBy("h", "k1", "k2", "copy", "block")
+    ranked = cut(
+        blocks.withColumn("_r", F.row_number().over(within) - 1)
+        .withColumn("_w", F.sum("n_words").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_words"))
+        .join(_small(starts, n_bins), ["sid", "pass", "bin"])
         # the last pass goes as far as its share: the cut is at the block border nearest to it
-        .where((F.col("pass") < F.col("full")) | (F.col("words_before") + F.col("n_words") / 2 <= F.col("part")))
-        .select(
-            "rid", "doc_id", "source", "sid", "pass", "block", "first_word", "n_words", "h",
-            (F.col("pass").cast("long") * 0 + F.col("rank")).alias("rank"),
-        )
+        .where((F.col("pass") < F.col("passes")) | (F.col("word0") + F.col("_w") + F.col("n_words") / 2 <= F.col("part")))
+        .select("doc_id", "source", "k1", "k2", "copy", "sid", "pass", "block", "n_words", "h", (F.col("rank0") + F.col("_r")).alias("rank"))
     )
-    ranked = cut(ranked)
-    got = {(r["sid"], r["pass"]): r["n"] for r in ranked.groupBy("sid", "pass").agg(F.count("*").alias("n")).collect()}
-    quotas = np.array([sum(n for (s, _), n in got.items() if s == i) for i in range(len(per))], dtype=np.int64)
-    leaves = split_tree(quotas, shards, seed) if len(per) else np.zeros((shards, 0), dtype=np.int64)
-    ends = leaves.cumsum(axis=0)  # [shards, sources]
-    base = []
-    for i in range(len(per)):
-        passes = sorted(p for s, p in got if s == i)
-        at = 0
-        for p in passes:
-            base.append((i, p, at, [int(x) for x in ends[:, i]]))
-            at += got[i, p]
-    # sources x passes rows of `shards` numbers
-    ranges = spark.createDataFrame(base, "sid int, pass int, at long, ends array<long>")
+    got = cut(ranked.groupBy("sid", "pass").agg(F.count("*").alias("n")))
+    quotas = got.groupBy("sid").agg(F.sum("n").alias("quota"))
+    leaf = leaves(quotas, shards, seed)
+    # the shards' ranges of a source's blocks, and where each of its passes begins among them
+    at = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = F.transform("leaf", lambda x, i: F.aggregate(F.slice("leaf", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y))
+    ranges = cut(got.withColumn("at", at).join(leaf, "sid").select("sid", "pass", "at", ends.alias("ends")))
     draws = (
-        ranked.join(F.broadcast(ranges), ["sid", "pass"])
+        ranked.join(F.broadcast(ranges) if n_sources * shards <= FEW else ranges, ["sid", "pass"])
         .withColumn("pos", F.col("rank") + F.col("at"))
         .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("pos"))))
-        .select(
-            "rid", "doc_id", "source", "shard", _key(seed + 2, F.col("h"), F.col("pass")).alias("place"),
-            "block", "pass", "first_word", "n_words",
-        )
+        .select("doc_id", "source", "k1", "k2", "copy", "shard", _key(seed + 2, F.col("h"), F.col("pass")).alias("place"), "block", "pass", "n_words")
     )
-    return docs2.select("rid", "doc_id", "source", "size", "source_size", "target"), draws
+    return docs2.select("doc_id", "source", "size", "source_size", "target", "k1", "k2", "copy"), draws
 
 
-def shuffled(draws: DataFrame) -> DataFrame:
-    """The draws with each shard in one partition's order: a local shuffle by the keyed place."""
-    return draws.repartition("shard").sortWithinPartitions("shard", "place", "rid", "block", "pass")
+def block_texts(docs: DataFrame, block_words: int = 256) -> DataFrame:
+    """(k1, k2, block, text): each block's text, from its first word to its last."""
 
+    def f(part: pa.RecordBatch) -> list | None:
+        data, offs = B.bytes_of(B.column(part, "text"))
+        s, e, row = B.tokens(data, offs, B.NOT_SPACE)
+        if not len(s):
+            return None
+        n = np.bincount(row, minlength=part.num_rows)
+        place = np.arange(len(s)) - (np.cumsum(n) - n)[row]
+        first = np.flatnonzero(place % block_words == 0)
+        last = np.append(first[1:], len(s)) - 1
+        size = e[last] - s[first]
+        at = np.repeat(s[first] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        texts = B.binaries(data[at], np.concatenate([[0], np.cumsum(size)])).cast(pa.string())
+        keys = (B.column(part, c).take(pa.array(row[first])) for c in ("k1", "k2"))
+        return [*keys, place[first] // block_words, texts]
 
-def materialise(docs: DataFrame, draws: DataFrame) -> DataFrame:
-    """The drawn blocks' words: shard, place, doc_id, block, pass, text. A row that repeats a doc_id with another text
-    can't be told from it here, so doc_id must be unique."""
-    words = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all("text", F.lit(f"({WORD})"), 1).alias("_w")
-    )
-    return (
-        draws.join(words, "doc_id")
-        .withColumn(
-            "text", F.array_join(F.slice("_w", (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
-        )
-        .select("shard", "place", "doc_id", "block", "pass", "text")
-    )
+    run = B.mapper(f, ["k1", "k2", "block", "text"], [pa.int64(), pa.int64(), pa.int32(), pa.string()])
+    return docs.select(*_identity(), "text").mapInArrow(run, "k1 long, k2 long, block int, text string")
+
+
+def shards_of(docs: DataFrame, block_words: int = 256, **options) -> DataFrame:
+    """The mix itself: a row for each drawn block, shard, place, doc_id, source, block, pass, n_words, text; the rows of a
+    shard are together and in the order of ``place``, a keyed one. Words that a document gives are summed over its rows."""
+    _, draws = draw(docs, block_words=block_words, **options)
+    # rows that are alike have equal blocks: one of them is enough
+    texts = block_texts(docs, block_words).dropDuplicates(["k1", "k2", "block"])
+    rows = draws.join(texts, ["k1", "k2", "block"]).select("shard", "place", "doc_id", "source", "block", "pass", "n_words", "text")
+    return rows.repartition("shard").sortWithinPartitions("shard", "place", "doc_id", "block", "pass")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, taken (words of the mix, repeats counted) and
-    n_shards (shards that hold a part of it)."""
+    n_shards (shards that hold a part of it), summed over the shards' draws."""
     rows, draws = draw(docs, **options)
-    taken = draws.groupBy("rid").agg(F.sum("n_words").alias("taken"), F.countDistinct("shard").alias("n_shards"))
-    return rows.join(taken, "rid", "left").select(
+    same = ["k1", "k2", "copy"]
+    # a source tells rows apart that have the same id and text
+    by_shard = draws.groupBy(*same, F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "shard").agg(F.sum("n_words").alias("n"))
+    taken = by_shard.groupBy(*same, "s", "none").agg(F.sum("n").alias("taken"), F.count("*").alias("n_shards"))
+    keyed = rows.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
+    return keyed.join(taken, [*same, "s", "none"], "left").select(
         "doc_id", "source", "size", "source_size", "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
         F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards"),

@@ -57,41 +57,93 @@ def lower(t):
 # mixing
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], (5, 2, 1), 1.5, 2.0) == [200.0, 2 / 3 * 250, 1 / 3 * 250]
-    assert mixing.targets([0, 10], (1,), 1.5, 2.0) == [0.0, 15.0] and mixing.targets([], (1,), 1.5, 2.0) == []
+def plain_targets(sizes: list[int], weights: tuple[float, ...], share: float, cap: float) -> list[float]:
+    w = [float(weights[i % len(weights)]) for i in range(len(sizes))]
+    out, free, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s], share * sum(sizes)
+    while over := [i for i in free if left * w[i] / sum(w[j] for j in free) > cap * sizes[i]]:
+        for i in over:
+            out[i] = cap * sizes[i]
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in over]
+    for i in free:
+        out[i] = left * w[i] / sum(w[j] for j in free)
+    return out
+
+
+def test_targets(spark):
+    for sizes in ([100, 100, 100], [0, 10], [5, 1000, 3, 0, 40, 7, 7]):
+        got = mixing.targets(spark.createDataFrame(list(enumerate(sizes)), "sid long, source_size long"), (5, 2, 1), 1.5, 2.0).orderBy("sid").collect()
+        assert np.allclose([r["target"] for r in got], plain_targets(sizes, (5, 2, 1), 1.5, 2.0))
+    assert plain_targets([100, 100, 100], (5, 2, 1), 1.5, 2.0) == [200.0, 2 / 3 * 250, 1 / 3 * 250]
 
 
 def test_tree_splits_exactly():
-    q = np.array([1000, 1, 0, 37])
-    leaves = mixing.split_tree(q, 7, 3)
-    assert (leaves.sum(0) == q).all() and (leaves >= 0).all() and np.ptp(leaves.sum(1)) <= 3
-    assert (mixing.split_tree(q, 7, 3) == leaves).all() and mixing.draw_count(np.random.default_rng(1), 10**10, 10**10, 10**9) > 0
+    q = [1000, 1, 0, 37]
+    got = [np.array(list(mixing.split_tree(q, mixing.even(1038, 7), 3))) for _ in range(2)]
+    assert (got[0].sum(1) == q).all() and (got[0] >= 0).all() and got[0].sum(0).tolist() == mixing.even(1038, 7) and (got[0] == got[1]).all()
+    # a source's share of a leaf is hypergeometric: mean and variance over many seeds
+    x = np.array([list(mixing.split_tree([300, 700], [100] * 10, s))[0][0] for s in range(2000)])
+    assert abs(x.mean() - 30) < 0.4 and abs(x.var() - 100 * 0.3 * 0.7 * 900 / 999) < 2
+    assert mixing.draw_count(np.random.default_rng(1), 10**10, 10**10, 10**9) > 0
+
+
+def plain_taken(rows: list[tuple], block: int, share: float = 1.5) -> dict:
+    """Words that each source gives, up to a block: whole passes, then blocks up to the share that is left."""
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(WS.findall(t or ""))
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    return dict(zip(order, plain_targets([size[s] for s in order], (5, 2, 1), share, 2.0), strict=True))
 
 
 def test_mix(spark, docs, rows, none):
     got = {r["doc_id"]: r for r in mixing.mix(docs, block_words=16, shards=8).collect()}
     again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(7), block_words=16, shards=8).collect()}
     assert len(got) == len(rows)
+    goal = plain_taken([(i, t, s) for i, t, _, s, _ in rows], 16)
     for i, t, _, s, _ in rows:
         assert got[i]["size"] == len(WS.findall(t or "")) and got[i]["taken"] <= 2 * got[i]["size"] and got[i]["source"] == s
-        assert got[i]["taken"] == again[i]
+        assert got[i]["taken"] == again[i] and abs(got[i]["target"] - goal[s]) < 1e-6
     for s in {r[3] for r in rows}:
         mine = [r for r in got.values() if r["source"] == s]
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 16
     assert mixing.mix(none).count() == 0
 
 
-def test_draws_are_disjoint_and_whole(docs):
-    _, draws = mixing.draw(docs, block_words=16, shards=8)
-    assert draws.groupBy("rid", "block", "pass").count().where("count > 1").count() == 0
-    texts = mixing.materialise(docs.select("doc_id", "text"), draws)
-    assert texts.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == draws.agg(F.sum("n_words")).first()[0]
-
-
-def test_repeated_ids_are_separate_documents(spark):
-    d = spark.createDataFrame([(1, "a b c", None, "s", 0), (1, "a b c d", None, "s", 0)], DOCS)
-    assert sorted(r["size"] for r in mixing.mix(d).collect()) == [3, 4]
+def test_shards_hold_what_is_taken(docs, rows):
+    """Each shard's rows are blocks of the texts, the shards are even, and a document's words sum up to what it gives."""
+    options = {"block_words": 16, "shards": 8}
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, **options).collect()}
+    parts = mixing.shards_of(docs, **options).collect()
+    text, words, sizes = {r[0]: r[1] for r in rows}, {}, {}
+    for r in parts:
+        w = WS.findall(text[r["doc_id"]])[16 * r["block"] : 16 * r["block"] + 16]
+        assert WS.findall(r["text"]) == w and len(w) == r["n_words"]
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(w)
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + 1
+    assert words == {i: n for i, n in taken.items() if n} and len({(r["doc_id"], r["block"], r["pass"]) for r in parts}) == len(parts)
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_mix_of_repeated_rows(spark):
+    """Reruns agree on repeated ids and rows; many equal rows don't share a key."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(6) if i % 3 else None, " ".join(rng.choice(WORDS[:4]) for _ in range(rng.randint(0, 9))), rng.choice(["s", "t", None])) for i in range(600)]
+    rows += [(1, "a b c", "s")] * 200
+    d = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, copy int")
+    every = [sorted(map(str, mixing.mix(x, block_words=2, shards=4).collect())) for x in (d.repartition(3), d.repartition(8), d.orderBy(F.desc("text")))]
+    assert len(every[0]) == len(rows) and every[0] == every[1] == every[2]
+    goal = plain_taken(rows, 2)
+    by = {r["source"]: r for r in mixing.mix(d, block_words=2).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert all(abs(by[s]["taken"] - t) <= 2 and abs(by[s]["target"] - t) < 1e-6 for s, t in goal.items())
+    h = mixing.draw(d, block_words=2)[1].where("doc_id = 1")
+    assert h.count() == h.select("place").distinct().count()
+
+
+def test_many_sources_mix(spark):
+    d = spark.range(25000).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text"), F.format_string("site%07d", "id").alias("source"))
+    got = mixing.mix(d, block_words=2, shards=4).agg(F.count("*").alias("n"), F.sum("taken").alias("t"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).first()
+    assert got["n"] == 25000 and abs(got["t"] - 150000) <= 25000 and got["over"] <= 0
 
 
 # near duplicates
