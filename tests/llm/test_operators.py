@@ -347,6 +347,37 @@ def test_topk(spark):
     assert topk.search(df.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_of_repeated_rows_and_long_components(spark):
+    rng = random.Random(6)
+    v = [(rng.randrange(40), [float(rng.randint(-3000, 3000)) for _ in range(3)]) for _ in range(200)] + [(20, [5.0, 5.0, 5.0])] * 3
+    df = spark.createDataFrame([(*r, "a", 2) for r in v], "vec_id long, embedding array<double>, part string, shelf int").repartition(4)
+    want = []
+    for q in (0, 20):
+        pairs = sorted((-int(64 * 64 * np.dot(x, y)), c) for i, x in v if i == q for c, y in v if c != q)[:20]
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(pairs)]
+    assert sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0).collect()) == want
+
+
+def test_topk_prunes_clustered_vectors(spark, monkeypatch):
+    """Of all pairs of a query and a row, few are scored where vectors lie in clusters; results stay exact."""
+    monkeypatch.setattr(topk, "SHELF", 256)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(24, 8)) * 4
+    x = (centre[rng.integers(0, 24, 6000)] + rng.normal(size=(6000, 8)) * 0.05).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    pairs = topk.scored(df, F.col("vec_id") % 20 == 0).where("query_id is null").agg(F.sum("score")).first()[0]
+    print("share of pairs", pairs / (300 * 6000))
+    assert pairs < 0.2 * 300 * 6000
+    f = np.floor(64 * x.astype(float))
+    want = set()
+    for q in range(0, 6000, 20):
+        s = (f @ f[q]).astype(int)
+        best = sorted((-s[c], c) for c in np.argpartition(-s, 60)[:61] if c != q)[:20]
+        want |= {(q, n + 1, int(c), int(-t)) for n, (t, c) in enumerate(best)}
+    got = {tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0).collect()}
+    assert {(q, n, s) for q, n, _, s in got} == {(q, n, s) for q, n, _, s in want} and len(got & want) >= 0.95 * len(want)
+
+
 # secrets
 
 
