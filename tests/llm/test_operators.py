@@ -441,6 +441,53 @@ def test_masking(spark):
     assert got == {1: 'é [SECRET]" end', 2: None, 3: "clean"}
 
 
+def test_masking_keeps_odd_columns(spark):
+    d = spark.createDataFrame(
+        [(None, "token=abcdefgh12 x password=secretsecret", 1, "k", 2.0, "n"), (1, "token=abcdefgh12", 2, "l", 3.0, "m"), (1, "clean", 3, "l", 4.0, "o"), (1, "clean", 3, "l", 4.0, "o")],
+        "doc_id int, text string, _h int, `a.b` string, spans double, row_ string",
+    )
+    got = secret_scan.masked(d)
+    assert got.columns == d.columns
+    assert sorted((tuple(r)[1:] for r in got.collect()), key=str) == sorted(
+        [("[SECRET] x [SECRET]", 1, "k", 2.0, "n"), ("[SECRET]", 2, "l", 3.0, "m"), ("clean", 3, "l", 4.0, "o"), ("clean", 3, "l", 4.0, "o")], key=str
+    )
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    one = "token=abcdefgh1234 and words here "
+    d = spark.createDataFrame([(1, one * 20000)], "doc_id long, text string")
+    secret_scan.report(d).collect()
+    began = time.perf_counter()
+    r = secret_scan.report(d).first()
+    took = time.perf_counter() - began
+    print("seconds for 20000 matches", took)
+    assert r["n_assign"] == 20000 and r["spans"].endswith(f"assign:{34 * 19999}:{34 * 19999 + 18}") and took < 20
+    began = time.perf_counter()
+    assert secret_scan.masked(d.where("doc_id = 1")).first()["text"] == "[SECRET] and words here " * 20000
+    print("seconds to mask", time.perf_counter() - began)
+
+
+def test_false_discoveries_on_shuffled_text(spark, sf):
+    """Ordinary tokens with their letters shuffled, which look random but for their letters' counts, and random tokens."""
+    rng = random.Random(23)
+    words = sorted({w.lower() for r in spark.read.parquet(f"{sf}/documents.parquet").limit(200).collect() for w in re.findall(r"[A-Za-z]{3,12}", r["text"] or "")})
+    al = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def shuffled():
+        t = list("".join(rng.choice(words) for _ in range(rng.randint(5, 8))))
+        rng.shuffle(t)
+        return "".join(t)
+
+    rows = [(i, " ".join(shuffled() for _ in range(20))) for i in range(500)]
+    rows += [(1000 + i, "".join(rng.choice(al) for _ in range(40))) for i in range(100)]
+    got = {r["doc_id"]: r["n_random"] for r in secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong, right = sum(v for i, v in got.items() if i < 1000), sum(v for i, v in got.items() if i >= 1000)
+    print("false", wrong, "of 10000; true", right, "of 100")
+    assert right >= 95 and wrong <= 0.1 * (wrong + right)
+
+
 # models
 
 
