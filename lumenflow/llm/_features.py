@@ -40,12 +40,14 @@ def of_words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int, a
     return index, offs
 
 
-def summed(weights: np.ndarray, index: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Mean weight over each word's features."""
-    if len(offs) == 1:
-        return np.zeros((0, *weights.shape[1:]), weights.dtype)
-    got = np.add.reduceat(weights[index], offs[:-1], axis=0)  # every word has a feature: the word itself
-    return got / np.diff(offs).reshape(-1, *([1] * (weights.ndim - 1)))
+def summed(weights: np.ndarray, index: np.ndarray, offs: np.ndarray, block: int = 64) -> np.ndarray:
+    """Mean weight over each word's features, a block of columns at a time."""
+    out = np.zeros((len(offs) - 1, weights.shape[1]), weights.dtype)
+    if len(out):
+        for lo in range(0, weights.shape[1], block):
+            part = weights[index] if weights.shape[1] <= block else weights[:, lo : lo + block][index]
+            out[:, lo : lo + block] = np.add.reduceat(part, offs[:-1], axis=0)  # every word has a feature: the word itself
+    return out / np.diff(offs)[:, None]
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,4 +1,4 @@
-"""Bounded, deterministic training samples."""
+"""Bounded, deterministic training samples, and models fitted on them in a task."""
 
 from __future__ import annotations
 
@@ -6,62 +6,77 @@ import pickle
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenflow.checkpoints import cut
+
+#: Rows of a table of values up to which it is broadcast (a few MB).
+FEW = 20_000
+
 
 def unit(*cols: Column | str, seed: int = 0) -> Column:
     """A keyed number in [0, 1) of some columns."""
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= FEW else table
+
+
 def stratified(df: DataFrame, by: str, key: str, most: int, text: str = "text", seed: int = 0) -> DataFrame | None:
-    """(value, text, u): about ``most`` rows of each value of ``by``, those with the lowest keyed numbers ``u``.
+    """(value, text, u): about ``most`` rows of each value of ``by``, those with the lowest keyed numbers ``u`` of key and text.
 
-    A first pass counts all rows of each value; the second reads those under the value's share, without a sort or a
-    shuffle. None if there is no value.
+    A first pass counts all rows of each value; the second reads those under the value's share. Rows that repeat key and text
+    count once. None if there is no value.
     """
-    counts = {r[by]: r["n"] for r in df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).limit(1000).collect()}
-    if not counts:
+    rows = df.where(F.col(by).isNotNull()).select(F.col(by).alias("value"), F.col(text).alias("text"), unit(key, text, seed=seed).alias("u"))
+    counts = cut(rows.groupBy("value").agg((float(most) / F.count("*")).alias("share")))
+    n = counts.count()
+    if not n:
         return None
-    share = F.coalesce(*[F.when(F.col(by) == F.lit(v), F.lit(min(1.0, most / n))) for v, n in sorted(counts.items())], F.lit(0.0))
-    u = unit(key, seed=seed)
-    return df.where(F.col(text).isNotNull() & (u < share)).select(F.col(by).alias("value"), F.col(text).alias("text"), u.alias("u")).limit(
-        2 * most * len(counts)
-    )
+    some = rows.where("text is not null").join(_small(counts, n), "value").where("u < share").select("value", "text", "u")
+    return some.dropDuplicates(["value", "u"])
+
+
+def rooms(sizes: dict[object, int], most_bytes: int) -> dict[object, int]:
+    """Bytes dealt evenly over values that need ``sizes``: one that needs less than an even share leaves the rest to others."""
+    out, left = {}, most_bytes
+    for n, v in enumerate(sorted(sizes, key=lambda v: (sizes[v], str(v)))):
+        out[v] = left // (len(sizes) - n)
+        left -= min(sizes[v], out[v])
+    return out
 
 
-def within(rows: list[tuple], most_bytes: int) -> list[tuple]:
-    """Rows (value, text, u, ...) of at most ``most_bytes`` of text, in the order of ``u``.
+def bounded(sample: DataFrame, most_bytes: int) -> DataFrame:
+    """Rows (value, text, u, ...) of at most ``most_bytes`` of text, dealt evenly over the values.
 
-    The bytes are dealt evenly over the values: one that needs less than an even share leaves the rest to the others. A
-    value's rows are taken by ``u``; a text that doesn't fit into what its value has left is passed over. A value of which
-    no text fits gets its shortest one beyond the limit, so that no value is lost.
+    A value's rows are taken by ``u``, those apart that are longer than the value's room. A value of which no text fits gets
+    its shortest one beyond the limit, so that no value is lost. A number for each value passes through the driver.
     """
-    size = lambda r: len(r[1].encode())
-    by: dict[object, list[tuple]] = {}
-    for r in sorted(rows, key=lambda r: (r[2], str(r[0]), r[1])):
-        by.setdefault(r[0], []).append(r)
-    out, left = [], most_bytes
-    for n, v in enumerate(sorted(by, key=lambda v: (sum(map(size, by[v])), str(v)))):
-        room, got = left // (len(by) - n), []
-        for r in by[v]:
-            if size(r) <= room:
-                got.append(r)
-                room -= size(r)
-        left -= sum(map(size, got))
-        out += got or [min(by[v], key=size)]
-    return sorted(out, key=lambda r: (r[2], str(r[0]), r[1]))
+    rows = cut(sample.withColumn("bytes_", F.octet_length("text").cast("long")))
+    per = {r["value"]: r for r in rows.groupBy("value").agg(F.sum("bytes_").alias("n"), F.min("bytes_").alias("least")).collect()}
+    if not per:
+        return rows.drop("bytes_")
+    room = rooms({v: r["n"] for v, r in per.items()}, most_bytes)
+    kind = rows.schema["value"].dataType.simpleString()
+    table = sample.sparkSession.createDataFrame([(v, room[v], per[v]["least"] > room[v]) for v in per], f"value {kind}, room_ long, none_ boolean")
+    fits = F.col("bytes_") <= F.col("room_")
+    in_turn = Window.partitionBy("value").orderBy("u", "text").rowsBetween(Window.unboundedPreceding, 0)
+    short = F.row_number().over(Window.partitionBy("value").orderBy("bytes_", "u", "text")) == 1
+    taken = rows.join(_small(table, len(per)), "value").withColumn("run_", F.sum(F.when(fits, F.col("bytes_")).otherwise(0)).over(in_turn)).withColumn("short_", short)
+    return taken.where((fits & (F.col("run_") <= F.col("room_"))) | (F.col("none_") & F.col("short_"))).select(*sample.columns)
 
 
 def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object], most_bytes: int):
-    """A model fitted in one task from a bounded sample (value, text, u): its rows in the order of ``u``, up to
-    ``most_bytes`` of text, dealt over the values. Texts don't reach the driver; the model does."""
+    """A model fitted in one task on (value, text, further columns but u): the sample's rows in the order of ``u``, up to
+    ``most_bytes`` of text. Texts don't reach the driver; the model does."""
+    names = ["value", "text", *[c for c in sample.columns if c not in ("value", "text", "u")]]
 
     def run(batches):
-        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-        got = [(value, text) for value, text, _ in within(rows, most_bytes)]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got))], pa.binary())], names=["model"])
+        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(len(names))), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
 
-    rows = sample.select("value", "text", "u").repartition(1).mapInArrow(run, "model binary").collect()
+    ordered = bounded(sample, most_bytes).repartition(1).sortWithinPartitions("u", "value", "text").select(*names)
+    rows = ordered.mapInArrow(run, "model binary").collect()
     return pickle.loads(rows[0]["model"]) if rows else fit([])

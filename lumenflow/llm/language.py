@@ -5,11 +5,15 @@ texts of one language use and the others hardly do; transitions between language
 every word's posterior, so that the parts of a code-switched text get their own labels; a document's language is the one
 with the largest share of posterior mass over its words.
 
-Chains are runs of at most ``CHAIN`` words of a document, all of its words in turn. Training sees chains of single
+Chains are runs of ``CHAIN`` words of a document with ``OVER`` words before and after them, whose posteriors are left to the
+neighbouring chains: the messages over a border come from words that are read. Training sees chains of single
 languages and joined ones, whose label changes, from a bounded sample of labelled rows; prediction sees only the text.
 
+The number of labels is free: the weights are ``MOST`` numbers at most, and with many labels their features share places.
+
 Defined results: null text and text without a letter give `und` with score 0 (as does every text when there is nothing to
-learn from); rows that repeat an id are separate; an empty table gives no rows; other columns are ignored.
+learn from); rows that repeat an id are separate; a text is read whole, however long; an empty table gives no rows; other
+columns are ignored, or kept whatever their names.
 """
 
 from __future__ import annotations
@@ -20,14 +24,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lumenflow.llm import _bytes as B
 from lumenflow.llm import _features as W
 from lumenflow.llm._sampling import fitted, stratified
 
-CHAIN = 64
-BITS, AFFIXES, GRAMS = 17, (1, 2, 3), (2, 3)
+CHAIN, OVER = 64, 16
+#: Bits of a feature's place, fewer where there are so many labels that the weights would be more than MOST numbers.
+BITS, MOST = 17, 1 << 24
+AFFIXES, GRAMS = (1, 2, 3), (2, 3)
 UNKNOWN = "und"
+#: Letters that count as half known besides those of a text.
+DOUBT = 40.0
 
 
 @dataclass
@@ -35,14 +45,17 @@ class Field:
     """A trained chain: labels, feature weights, transition scores, and the lexicon with its weight."""
 
     labels: list[str]
-    weights: np.ndarray  # [2**BITS, labels]
+    bits: int
+    weights: np.ndarray  # [2**bits, labels]
     transitions: np.ndarray  # [from, to]
     lexicon: np.ndarray  # sorted word hashes
     owner: np.ndarray  # the label that a lexicon word belongs to
     lexical: np.ndarray  # [labels]: what a lexicon word adds to its label
+    seen: np.ndarray  # sorted hashes of all words of the sample
+    usual: float  # the least share of a sample's text's letters that stand in words which other texts have too
 
     def emissions(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        index, offs = W.of_words(low, starts, ends, BITS, AFFIXES, GRAMS)
+        index, offs = W.of_words(low, starts, ends, self.bits, AFFIXES, GRAMS)
         out = W.summed(self.weights, index, offs)
         at, has = self.listed(hashes)
         out[has, self.owner[at[has]]] += self.lexical[self.owner[at[has]]]
@@ -74,10 +87,9 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarr
     for i in range(t - 2, -1, -1):
         eb = e[:, i + 1] * b
         has = mask[:, i + 1, None]
-        joint = ahead[:, i, :, None] * move[None] * eb[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        pairs += (joint * has[:, :, None]).sum(axis=0)
         nb = eb @ move.T
+        whole = (ahead[:, i] * nb).sum(axis=1, keepdims=True)
+        pairs += move * (ahead[:, i].T @ (eb * has / whole))
         b = np.where(has, nb / nb.sum(axis=1, keepdims=True), b)
         back[:, i] = b
     post = ahead * back
@@ -116,6 +128,10 @@ def chains(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(place == 0) - 1, place
 
 
+def _known(met: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    return (met + DOUBT / 2) / (letters + DOUBT)
+
+
 def fit(sample: list[tuple[str, str]], epochs: int = 3, rate: float = 0.5, lexicon_min: int = 5, seed: int = 3) -> Field | None:
     """Train on (label, text) rows by AdaGrad on the chains' conditional likelihood."""
     labels = sorted({v for v, _ in sample})
@@ -133,10 +149,14 @@ def fit(sample: list[tuple[str, str]], epochs: int = 3, rate: float = 0.5, lexic
     np.add.at(seen, (kind, truth), 1)
     total = seen.sum(axis=1)
     listed = np.flatnonzero((total >= lexicon_min) & (seen.max(axis=1) >= 0.8 * total))
+    bits = min(BITS, max(8, MOST.bit_length() - 1 - (k - 1).bit_length()))
     field = Field(
-        labels, np.zeros((1 << BITS, k)), np.zeros((k, k)), words[listed], seen[listed].argmax(axis=1), np.zeros(k)
+        labels, bits, np.zeros((1 << bits, k)), np.zeros((k, k)), words[listed], seen[listed].argmax(axis=1), np.zeros(k), words, 0.0
     )
-    index, at = W.of_words(low, s[first], e[first], BITS, AFFIXES, GRAMS)
+    once = np.unique(row.astype(np.int64) * len(words) + kind)
+    shared = np.bincount(once % len(words), minlength=len(words)) > 1
+    field.usual = float(_known(np.bincount(row, (e - s) * shared[kind]), np.bincount(row, e - s)).min())
+    index, at = W.of_words(low, s[first], e[first], bits, AFFIXES, GRAMS)
     chain, place = chains(row)
     bounds = np.append(np.flatnonzero(place == 0), len(row))
     rng = np.random.default_rng(seed)
@@ -149,13 +169,13 @@ def fit(sample: list[tuple[str, str]], epochs: int = 3, rate: float = 0.5, lexic
         order = rng.permutation(size)
         for i in range(0, size, 128):
             take = order[i : i + 128]
-            idx = np.full((len(take), CHAIN), -1)
+            idx = np.full((len(take), int(np.diff(bounds)[take].max())), -1)
             for j, c in enumerate(take):
                 span = np.arange(bounds[c], bounds[c + 1])
                 if j % 4 == 0 and len(span) > 8:  # the first part of one chain and the last of another
                     other = take[(j + 1) % len(take)]
                     cut_at = int(rng.integers(2, len(span) - 2))
-                    span = np.concatenate([span[:cut_at], np.arange(bounds[other], bounds[other + 1])[cut_at:]])
+                    span = np.concatenate([span[:cut_at], np.arange(bounds[other], bounds[other + 1])[cut_at:]])[: idx.shape[1]]
                 idx[j, : len(span)] = span
             mask = idx >= 0
             used, inverse = np.unique(kind[idx[mask]], return_inverse=True)
@@ -174,12 +194,18 @@ def fit(sample: list[tuple[str, str]], epochs: int = 3, rate: float = 0.5, lexic
             diff = diff[mask]
             per_word = np.zeros((len(used), k))
             np.add.at(per_word, inverse, diff)
-            touched, back = np.unique(feats, return_inverse=True)
-            g = np.zeros((len(touched), k))
-            np.add.at(g, back, np.repeat(per_word / lens[:, None], lens, axis=0))
-            g = g / len(take) + 1e-4 * field.weights[touched]
-            sums[0][touched] += g * g
-            field.weights[touched] -= rate * g / np.sqrt(sums[0][touched])
+            by_place = np.argsort(feats, kind="stable")
+            places = feats[by_place]
+            begin = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+            touched, owner = places[begin], np.repeat(np.arange(len(used)), lens)[by_place]
+            per_word /= len(take)
+            for lo in range(0, k, 64):
+                cols = slice(lo, lo + 64)
+                w = field.weights[touched, cols]
+                g = np.add.reduceat((per_word[:, cols] / lens[:, None])[owner], begin, axis=0) + 1e-4 * w
+                square = sums[0][touched, cols] + g * g
+                sums[0][touched, cols] = square
+                field.weights[touched, cols] = w - rate * g / np.sqrt(square)
             real = np.zeros((k, k))
             both = mask[:, 1:] & mask[:, :-1]
             np.add.at(real, (y[:, :-1][both], y[:, 1:][both]), 1)
@@ -188,7 +214,7 @@ def fit(sample: list[tuple[str, str]], epochs: int = 3, rate: float = 0.5, lexic
             field.transitions -= 0.2 * g / np.sqrt(sums[1])
             g = np.zeros(k)
             np.add.at(g, lx[lx >= 0], per_word[np.flatnonzero(lx >= 0), lx[lx >= 0]])
-            g = g / len(take) + 1e-3 * field.lexical
+            g = g + 1e-3 * field.lexical
             sums[2] += g * g
             field.lexical -= 0.2 * g / np.sqrt(sums[2])
     field.weights = field.weights.astype(np.float32)
@@ -197,22 +223,31 @@ def fit(sample: list[tuple[str, str]], epochs: int = 3, rate: float = 0.5, lexic
     return field
 
 
-def tagged(field: Field, low: np.ndarray, s: np.ndarray, e: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Posteriors of all words, [words, labels]."""
+def tagged(field: Field, low: np.ndarray, s: np.ndarray, e: np.ndarray, row: np.ndarray):
+    """(words, their posteriors [words, labels]) of runs of words, all of them in turn; then the hashes of the distinct
+    words and each word's place among them."""
     words, first, kind = W.distinct(B.span_hashes(low, s, e))
     emit = field.emissions(low, s[first], e[first], words)
-    chain, place = chains(row)
-    out = np.empty((len(row), len(field.labels)), np.float32)
-    bounds = np.append(np.flatnonzero(place == 0), len(row))
-    for i in range(0, len(bounds) - 1, 1024):  # so many chains at once
-        a, z = bounds[i], bounds[min(i + 1024, len(bounds) - 1)]
-        c = chain[a:z] - chain[a]
-        scores = np.zeros((int(c[-1]) + 1, CHAIN, len(field.labels)), np.float32)
-        mask = np.zeros(scores.shape[:2], bool)
-        scores[c, place[a:z]] = emit[kind[a:z]]
-        mask[c, place[a:z]] = True
-        out[a:z] = posteriors(scores, mask, field.transitions)[mask]
-    return out
+    k = len(field.labels)
+    _, place = chains(row)
+    start = np.flatnonzero(place == 0)
+    end = np.append(start[1:], len(row))
+    begin = np.searchsorted(row, row[start], "left")  # of the document
+    stop = np.searchsorted(row, row[start], "right")
+    left, right = np.maximum(start - OVER, begin), np.minimum(end + OVER, stop)
+    at_once = max(1, min(1024, (1 << 21) // ((CHAIN + 2 * OVER) * k)))
+
+    def blocks():
+        for i in range(0, len(start), at_once):
+            a, z, lo, hi = (x[i : i + at_once] for x in (start, end, left, right))
+            at = lo[:, None] + np.arange(int((hi - lo).max()))[None, :]
+            mask = at < hi[:, None]
+            scores = np.zeros((*at.shape, k), np.float32)
+            scores[mask] = emit[kind[at[mask]]]
+            own = (at >= a[:, None]) & (at < z[:, None])
+            yield at[own], posteriors(scores, mask, field.transitions)[own]
+
+    return blocks(), words, kind
 
 
 def _no_letter(text: bytes) -> bool:
@@ -224,17 +259,21 @@ def _predictor(shared, keep: list[str]):
         field = shared.value
         data, offs = B.bytes_of(B.column(part, "text"))
         n = part.num_rows
-        labels, score, second = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+        labels, score, known = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
         if field is not None and len(data):
             low = B.LOWER[data]
             s, e, row = B.tokens(low, offs, W.LETTERS)
             plain = np.concatenate([[0], np.cumsum(W.LETTERS[data] & (data < 128))])
             ascii_ = plain[offs[1:]] - plain[offs[:-1]]  # ASCII letters of each text
             if len(s):
-                post = tagged(field, low, s, e, row)
+                blocks, words, kind = tagged(field, low, s, e, row)
                 mass = np.zeros((n, len(field.labels)))
-                for j in range(len(field.labels)):
-                    mass[:, j] = np.bincount(row, post[:, j] * (e - s), minlength=n)
+                for at, post in blocks:
+                    whose, first = np.unique(row[at], return_index=True)  # the words come in order
+                    mass[whose] += np.add.reduceat(post * (e - s)[at][:, None], first, axis=0)
+                letters = np.bincount(row, e - s, minlength=n)
+                met = np.bincount(row, (e - s) * np.isin(words, field.seen)[kind], minlength=n)
+                known = _known(met, letters)
                 total = mass.sum(axis=1)
                 best = mass.argmax(axis=1)
                 for i in np.flatnonzero(total > 0):
@@ -242,7 +281,7 @@ def _predictor(shared, keep: list[str]):
                         continue
                     labels[i] = field.labels[best[i]]
                     score[i] = min(1.0, mass[i, best[i]] / total[i])
-        return [*(B.column(part, c) for c in keep), pa.array(labels, pa.string()), pa.array(score)]
+        return [*(B.column(part, c) for c in keep), pa.array(labels, pa.string()), pa.array(score), pa.array(known)]
 
     return f
 
@@ -254,17 +293,21 @@ def train(docs: DataFrame, learn: Column, most: int = 600, most_bytes: int = 6 <
     return None if sample is None else fitted(sample, lambda got: fit(got, **options), most_bytes)
 
 
-def identify(
-    docs: DataFrame, field: Field | None, keep: dict[str, tuple[str, pa.DataType]] | None = None, names: tuple[str, str] = ("lang_pred", "score")
-) -> DataFrame:
-    """A row per document: the columns of ``keep`` (name: Spark and Arrow type; doc_id by default), then the language and
-    its score under ``names``."""
-    keep = keep or {"doc_id": ("long", pa.int64())}
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # 2**BITS x labels numbers
-    run = B.mapper(_predictor(shared, list(keep)), [*keep, *names], [*(t for _, t in keep.values()), pa.string(), pa.float64()])
-    schema = ", ".join([*(f"`{c}` {t}" for c, (t, _) in keep.items()), f"`{names[0]}` string", f"`{names[1]}` double"])
-    columns = [F.col(c).cast(t).alias(c) for c, (t, _) in keep.items()]
-    return docs.select(*columns, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
+def identify(docs: DataFrame, field: Field | None, whole: bool = False) -> DataFrame:
+    """A row per document: doc_id, lang_pred, score, and ``known``, the share of the letters that stand in words of the
+    training sample (a text of few letters counts as half known). With ``whole``, all columns under the names c0, c1, ..,
+    and text, before these."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)  # MOST numbers, the labels and the sample's words
+    if whole:
+        rows = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    else:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keep = [f for f in rows.schema.fields if whole or f.name == "doc_id"]
+    arrow = [to_arrow_type(f.dataType) for f in keep]
+    names = [f.name for f in keep]
+    run = B.mapper(_predictor(shared, names), [*names, "lang_pred", "score", "known"], [*arrow, pa.string(), pa.float64(), pa.float64()])
+    found = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("known", DoubleType())]
+    return rows.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in keep), *found]))
 
 
 def segments(field: Field, text: str) -> list[tuple[int, int, str]]:
@@ -273,7 +316,10 @@ def segments(field: Field, text: str) -> list[tuple[int, int, str]]:
     low = B.LOWER[data]
     s, e, row = B.tokens(low, offs, W.LETTERS)
     out: list[tuple[int, int, str]] = []
-    for a, z, j in zip(s, e, tagged(field, low, s, e, row).argmax(axis=1) if len(s) else [], strict=True):
+    label = np.zeros(len(s), np.int64)
+    for at, post in tagged(field, low, s, e, row)[0] if len(s) else ():
+        label[at] = post.argmax(axis=1)
+    for a, z, j in zip(s, e, label, strict=True):
         if out and out[-1][2] == field.labels[j]:
             out[-1] = (out[-1][0], int(z), out[-1][2])
         else:

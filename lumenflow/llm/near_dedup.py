@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenflow.checkpoints import cut
@@ -298,6 +298,29 @@ def near_duplicates(
     return known.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents without those that a smaller one is linked with, in a row's own terms: documents come by id, null last,
+    then by the hash of their texts, and of rows that repeat id and text one stays. All columns stay, whatever their names."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    own = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    # the row travels as one struct, so that no name of its columns can clash
+    rows = docs.select(F.struct("*").alias("row_"), F.col("doc_id").cast("long").alias("doc_"), F.xxhash64("text").alias("hash_"))
+    back = [F.col("row_").getField(c).alias(c) for c in docs.columns]
+    if own.isEmpty():
+        gone = near_duplicates(ids, **options).where("not kept").select(F.col("doc_id").alias("id_"))
+        return rows.join(gone, F.col("doc_") == F.col("id_"), "left_anti").select(*back)
+    # distinct documents get numbers in their order, which take the place of ids
+    some = cut(ids.select("doc_id", "h").distinct().repartitionByRange(64, F.asc_nulls_last("doc_id"), "h").withColumn("_p", F.spark_partition_id()))
+    sizes = some.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per range
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(F.asc_nulls_last("doc_id"), "h"))
+    numbers = cut(some.withColumn("_r", place).join(F.broadcast(before), "_p").select(F.col("doc_id").alias("id_"), F.col("h").alias("h_"), (F.col("_r") + F.col("_b")).alias("n_")))
+    same = lambda i, h: F.col(i).eqNullSafe(F.col("id_")) & (F.col(h) == F.col("h_"))
+    texts = ids.join(numbers, same("doc_id", "h")).select(F.col("n_").alias("doc_id"), "text")
+    kept = near_duplicates(texts, **options).where("kept").select(F.col("doc_id").alias("n_")).distinct()
+    return rows.join(numbers.join(kept, "n_"), same("doc_", "hash_")).dropDuplicates(["n_"]).select(*back)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets meet the threshold, as a stored table."""
     left, right = (sets.select(F.col("id").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")

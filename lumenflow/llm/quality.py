@@ -5,11 +5,12 @@ patterns of the corpus estimates how often each labeller votes what on good and
 posterior. A linear scorer over hashed byte trigrams is trained on these posteriors, so that texts on which the labellers
 abstain or disagree are scored by what they have in common with the others.
 
-Vote counts cover all rows; their number is bounded by 3 to the power of the number of labellers. The scorer learns from
-at most about ``most`` texts of each posterior class, the ones with the lowest keyed hashes.
+Vote counts cover all rows; their number is bounded by 3 to the power of the number of labellers. The scorer learns, in a
+task, from at most about ``most`` texts of each posterior class, the ones with the lowest keyed hashes, and ``most_bytes``.
 
-Defined results: null and empty text get the labellers' votes on an empty text; an empty table gives no rows; rows that
-repeat an id are separate; very long texts are read whole; other columns are ignored.
+Defined results: null and empty text get the labellers' votes on an empty text, and aren't kept; an empty table gives no
+rows; rows that repeat an id are separate, equal texts score alike; very long texts are read whole; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenflow.llm import _bytes as B
-from lumenflow.llm._sampling import unit, within
+from lumenflow.llm._sampling import fitted, unit
 
 BITS = 16
+#: Votes that the priors of a labeller's accuracies are worth, on bad texts and on good ones.
+PRIOR = (20.0, 100.0)
 
 
 def _class(chars: str) -> np.ndarray:
@@ -125,18 +128,15 @@ def votes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.stack([f(m) for f in LABELLERS.values()], axis=1).astype(np.uint8)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over vote patterns: (posterior of good for each, P(vote | class) [2, labellers, 3], share of good).
 
-    Starts from the votes; each labeller is taken for independent of the others given the class. Its votes on good texts
-    have a prior worth half the corpus that presumes it specific (it calls few good texts bad), without which the bad
-    texts that only one kind of labeller sees would be taken for good ones.
+    Starts from the votes; each labeller is taken for independent of the others given the class. ``PRIOR`` votes, however
+    large the corpus, presume that a labeller calls few good texts bad and some bad ones; the rest is what the votes show.
     """
-    total = float(counts.sum())
     bad = (patterns == 1).sum(axis=1)
     post = np.where(bad > 0, 0.1, 0.95)
-    # (votes, of which bad) that the prior is worth in each class
-    prior = {0: (0.02 * total + 1e-3, 0.3), 1: (0.5 * total + 1e-3, 0.002)}
+    prior = {0: (PRIOR[0], 0.3), 1: (PRIOR[1], 0.002)}
     table, share = np.zeros((2, patterns.shape[1], 3)), 0.5
     for _ in range(rounds):
         for c, w in ((1, post * counts), (0, (1 - post) * counts)):
@@ -245,14 +245,13 @@ def train(docs: DataFrame, most: int = 700, most_bytes: int = 6 << 20, seed: int
                 u = B.column(part, "u").to_numpy(zero_copy_only=False)
                 at = np.flatnonzero(u < np.where(p >= 0.5, share[1], share[0]))
                 if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [B.column(part, "text").take(pa.array(at)).cast(pa.string()), pa.array(p[at]), pa.array(u[at])], names=["text", "p", "u"]
-                    )
-
-    chosen = docs.select("text", unit("doc_id", seed=seed).alias("u")).mapInArrow(pick, "text string, p double, u double").limit(4 * most)
-    some = [(r["p"] >= 0.5, r["text"] or "", r["u"], r["p"]) for r in chosen.toLocalIterator()]
-    got = [(text, p) for _, text, _, p in within(some, most_bytes)]  # the bytes are dealt over the two sides
-    w, b = fit([t for t, _ in got], np.array([p for _, p in got]))
+                    text = B.column(part, "text").take(pa.array(at)).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(p[at] >= 0.5), text, pa.array(u[at]), pa.array(p[at])], names=["value", "text", "u", "p"])
+
+    # texts above the larger share aren't looked at
+    some = docs.select(F.coalesce("text", F.lit("")).alias("text"), unit("doc_id", "text", seed=seed).alias("u")).where(F.col("u") < max(share))
+    chosen = some.mapInArrow(pick, "value boolean, text string, u double, p double").dropDuplicates(["value", "u"])
+    w, b = fitted(chosen, lambda got: fit([t for _, t, _ in got], np.array([p for _, _, p in got])), most_bytes)
     return Scorer(known, w, b)
 
 

@@ -111,7 +111,7 @@ def _fold(modulus: int):
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     field = language.train(docs, _fold(3) != 1)
-    return language.identify(docs, field).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, field).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "known")
 
 
 @_register("op4_toxicity")

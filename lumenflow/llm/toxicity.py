@@ -4,11 +4,14 @@ A sentence's probability is a logistic function of the hashed affixes and words
 1 - prod(1 - p). The gradient of the documents' likelihood reaches each sentence in proportion to its share in the
 noisy-or, so that training on document labels finds the sentences that explain them, and ``sentences`` gives these.
 
-Sentences end at ., !, ? and line ends. The model learns from a bounded sample of labelled rows; its inputs are texts.
-
-Defined results: null and empty text have no sentence and score 0; a text without an end mark is one sentence; labels that
-are null, or whose document is missing, teach nothing, and conflicting labels of a document count as toxic; with no label
-of either kind to learn from, all scores are 0; rows that repeat an id are separate; an empty table gives no rows.
+Sentences end at ., !, ? and line ends. The model learns, in a task, from a bounded sample of labelled rows; its inputs are
+texts.
+
+Defined results: null and empty text have no sentence and score 0; a text without an end mark is one sentence, and a text is
+read whole, however long; labels that are null, or whose document is missing, teach nothing, conflicting labels of an id
+count as toxic, and each text of an id that repeats has its label; with no label of either kind to learn from, all scores
+are 0; equal words weigh alike, and equal texts score alike; rows that repeat an id are separate; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.llm import _bytes as B
 from lumenflow.llm import _features as W
-from lumenflow.llm._sampling import unit, within
+from lumenflow.llm._sampling import fitted, unit
 
 BITS, AFFIXES = 18, (3, 4, 5, 6, 7, 8)
 _END = np.zeros(256, bool)
@@ -119,28 +122,32 @@ def scored(model: Model, data: np.ndarray, offs: np.ndarray):
     return np.clip(-np.expm1(log_clean), 0, 1), p, owner, a, z
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, most_bytes: int = 12 << 20, seed: int = 43):
-    """((label, text) rows, odds): about ``most`` labelled documents of each kind, the ones with the lowest keyed hashes,
-    up to ``most_bytes`` of text in all, dealt over the kinds. Only ids are sorted out; texts are read for the chosen ones."""
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, seed: int = 43) -> tuple[DataFrame, dict[int, int]]:
+    """((value, text, u) rows, number of labelled ids of each kind): about ``most`` labelled ids of each kind, the ones with the
+    lowest keyed hashes. Only ids are sorted out; texts are read for the chosen ones."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("y")
     )
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, min(1.0, most / counts.get(1, 1))).otherwise(min(1.0, most / counts.get(0, 1)))
-    # at most 4 * most short rows
-    some = known.where(unit("doc_id", seed=seed) < share).limit(4 * most).groupBy("doc_id").agg(F.max("y").alias("y"))
+    # about 2 * most short rows: each id is there once
+    some = known.where(unit("doc_id", seed=seed) < share)
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
-    some = [(r["y"], r["text"], r["u"]) for r in rows.select("y", "text", unit("doc_id", seed=seed).alias("u")).toLocalIterator()]
-    got = [(y, text) for y, text, _ in within(some, most_bytes)]
-    n = [sum(1 for v, _ in got if v == k) for k in (0, 1)]
-    if not all(n):
-        return got, 1.0
-    return got, (counts[0] / n[0]) / (counts[1] / n[1])
+    return rows.select(F.col("y").alias("value"), "text", unit("doc_id", "text", seed=seed).alias("u")).dropDuplicates(["value", "u"]), counts
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, most_bytes: int = 12 << 20, **options) -> Model | None:
+    """A model from about ``most`` labelled documents of each kind, ``most_bytes`` of text in all."""
+    rows, counts = sample(docs, labels, learn, most, **options)
+    if len(counts) < 2:
+        return None
 
+    def weighed(got: list[tuple]) -> Model | None:
+        n = [sum(1 for y, _ in got if y == k) for k in (0, 1)]
+        return fit(got, (counts[0] / n[0]) / (counts[1] / n[1])) if all(n) else None
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, **options) -> Model | None:
-    rows, odds = sample(docs, labels, learn, **options)
-    return fit(rows, odds)
+    return fitted(rows, weighed, most_bytes)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

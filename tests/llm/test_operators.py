@@ -522,19 +522,64 @@ def test_language(spark, docs, none):
 def test_bounded_samples_keep_rare_labels(spark):
     """One label on a thousandth of the rows, another only on a text above the limit; the limit binds."""
     rng = random.Random(13)
-    rows = [("common", "x" * 400, rng.random() * 0.05) for _ in range(600)] + [("rare", "y" * 400, rng.random()) for _ in range(8)]
+    rows = [("common", f"{i:03d}" + "x" * 397, rng.random() * 0.05) for i in range(600)] + [("rare", "y" * 400, rng.random()) for _ in range(8)]
     rows += [("long", "z" * 90000, 0.5), ("common", "x" * 90000, 0.0)]
-    got = _sampling.within(rows, 40000)
+    df = spark.createDataFrame(rows, "value string, text string, u double").repartition(3)
+    got = [tuple(r) for r in _sampling.bounded(df, 40000).collect()]
     n = {v: sum(r[0] == v for r in got) for v in ("common", "rare", "long")}
-    assert n["rare"] == 8 and n["long"] == 1 and 40 <= n["common"] <= 100 and got == sorted(got, key=lambda r: r[2])
-    assert sum(len(t) for v, t, _ in got if v != "long") <= 40000 and _sampling.within(rows, 1 << 20) == sorted(rows, key=lambda r: (r[2], r[0], r[1]))
+    assert n["rare"] == 8 and n["long"] == 1 and 40 <= n["common"] <= 100
+    common = sorted(r for r in rows if r[0] == "common" and len(r[1]) == 400)
+    assert {r[1] for r in got if r[0] == "common"} == {r[1] for r in sorted(common, key=lambda r: r[2])[: n["common"]]}
+    assert sum(len(t) for v, t, _ in got if v != "long") <= 40000 and sorted(map(tuple, _sampling.bounded(df, 1 << 20).collect())) == sorted(rows)
+    assert _sampling.rooms({"a": 10, "b": 1000, "c": 500}, 600) == {"a": 200, "c": 295, "b": 295} and _sampling.bounded(df.limit(0), 9).count() == 0
     texts = [(i, f"{'un deux trois' if i % 1000 == 0 else 'one two three'} {i} " * 20, "fr" if i % 1000 == 0 else "en", "s", 0) for i in range(4000)]
-    d = spark.createDataFrame([*texts, (9999, "one two three " * 4000, "en", "s", 0)], DOCS)
+    d = spark.createDataFrame([*texts, *[(7, texts[7][1], "en", "s", 0)] * 50, (9999, "one two three " * 4000, "en", "s", 0)], DOCS)
     field = language.train(d, F.lit(True), most=300, most_bytes=12000)
     assert field.labels == ["en", "fr"]
-    lab = spark.createDataFrame([(r[0], 1, int(r[2] == "fr")) for r in texts], "doc_id long, quality int, toxic int")
-    some, odds = toxicity.sample(d, lab, F.lit(True), most=300, most_bytes=12000)
-    assert sum(y for y, _ in some) == 4 and len(some) > 20 and abs(odds - 3996 / (len(some) - 4)) < 1e-9
+    lab = spark.createDataFrame([(r[0], 1, int(r[2] == "fr")) for r in texts] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    some, counts = toxicity.sample(d, lab, F.lit(True), most=300)
+    some = some.collect()
+    assert sum(r["value"] for r in some) == 4 and len(some) > 200 and len({(r["text"]) for r in some}) == len(some) and counts == {0: 3996, 1: 4}
+
+
+def test_many_labels_are_learned(spark):
+    """1200 languages with words of their own; the weights keep to their bound."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(1200):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+        rows += [(k * 4 + j, " ".join(rng.choice(words) for _ in range(14)), f"l{k:04d}", "s", 0) for j in range(4)]
+    d = spark.createDataFrame(rows, DOCS)
+    field = language.train(d, F.col("doc_id") % 4 != 1, most=5, epochs=2)
+    assert len(field.labels) == 1200 and field.weights.size <= language.MOST
+    got = language.identify(d.where("doc_id % 4 = 1 and doc_id < 400"), field).join(d.select("doc_id", "lang"), "doc_id").collect()
+    right = sum(r["lang"] == r["lang_pred"] for r in got)
+    print("of 100 among 1200 languages", right)
+    assert len(got) == 100 and right >= 90
+
+
+def test_posteriors_cross_the_borders_of_chains(spark):
+    """A text of many chains gets the posteriors of one long chain."""
+    d, word = _speech(spark)
+    field = language.train(d, F.col("doc_id") % 3 >= 0)
+    text = " ".join([word("en") for _ in range(130)] + [word("fr") for _ in range(130)])
+    from lumenflow.llm import _bytes as B
+    from lumenflow.llm import _features as W
+
+    data, offs = B.bytes_of(pa.array([text, "le", text[:200]], pa.large_string()))
+    low = B.LOWER[data]
+    s, e, row = B.tokens(low, offs, W.LETTERS)
+    blocks, words, kind = language.tagged(field, low, s, e, row)
+    got, order = np.zeros((len(row), 3)), []
+    for at, post in blocks:
+        got[at] = post
+        order += at.tolist()
+    assert order == list(range(len(row)))
+    emit = field.emissions(low, s[np.unique(kind, return_index=True)[1]], e[np.unique(kind, return_index=True)[1]], words)[kind]
+    for r in range(3):
+        mine = np.flatnonzero(row == r)
+        whole = language.posteriors(emit[mine][None], np.ones((1, len(mine)), bool), field.transitions)[0]
+        assert np.abs(got[mine] - whole).max() < 1e-3
 
 
 def test_forward_backward_is_exact():
@@ -587,8 +632,29 @@ def test_quality(spark, docs, none):
     got = {r["doc_id"]: r["kept"] for r in quality.classify(d, scorer).collect()}
     assert sum(got[i] == (i % 5 != 0) for i in got) >= 0.98 * len(got)
     assert quality.classify(docs, scorer).count() == docs.count() and quality.classify(none, quality.train(none)).count() == 0
-    post, table, share = quality.estimate(np.array([[2, 2, 0], [2, 2, 1], [0, 0, 0]]), np.array([80.0, 15.0, 5.0]))
-    assert post[0] > 0.9 > post[1] and np.allclose(table.sum(axis=2), 1) and 0 < share < 1
+    assert {r["kept"] for r in quality.classify(docs.where("trim(text) = '' or text is null"), scorer).collect()} == {False}
+
+
+@pytest.mark.parametrize("size", [20_000, 2_000_000])
+def test_accuracies_of_planted_labellers_come_out(size):
+    """Labellers with known accuracies, whatever the size of the corpus; the posteriors are those of Bayes' rule."""
+    import itertools
+
+    share, bad_on_bad, bad_on_good = 0.8, np.array([0.7, 0.6, 0.5, 0.8, 0.4]), np.array([0.02, 0.05, 0.01, 0.1, 0.03])
+    good_on_good, good_on_bad = np.array([0.5, 0.3, 0.9, 0.6, 0.0]), np.array([0.1, 0.3, 0.2, 0.1, 0.0])
+    patterns = np.array(list(itertools.product((0, 1, 2), repeat=5)))
+    like = []
+    for b, g in ((bad_on_bad, good_on_bad), (bad_on_good, good_on_good)):
+        p = np.stack([1 - b - g, b, g])
+        like.append(np.prod(p[patterns, np.arange(5)[None, :]], axis=1))
+    mass = share * like[1] + (1 - share) * like[0]
+    some = mass * size >= 0.5
+    patterns, mass, like = patterns[some], mass[some], [x[some] for x in like]
+    post, table, got = quality.estimate(patterns, np.round(mass * size))
+    assert abs(got - share) < 0.02 and np.allclose(table.sum(axis=2), 1)
+    assert np.abs(table[0, :, 1] - bad_on_bad).max() < 0.04 and np.abs(table[1, :, 1] - bad_on_good).max() < 0.01
+    assert np.abs(table[1, :, 2] - good_on_good).max() < 0.04
+    assert np.average(np.abs(post - share * like[1] / mass), weights=mass) < 0.02
 
 
 # personal data

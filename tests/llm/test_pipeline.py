@@ -1,8 +1,10 @@
 """Each stage of the pipeline takes effect, keeps its columns, and is checked against plain code."""
 
+import random
 import re
 
 import corpus_pipeline
+from lumenflow.llm import mixing
 
 
 def test_stages(spark, sf, tmp_path):
@@ -13,7 +15,10 @@ def test_stages(spark, sf, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{n}")
         frames.append(docs)
         assert n == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
-    first, near, clean, masked, mix = ({r["doc_id"]: r for r in f.collect()} for f in frames)
+    first, near, clean, masked = ({r["doc_id"]: r for r in f.collect()} for f in frames[:4])
+    mix = {}
+    for r in frames[4].collect():
+        mix.setdefault(r["doc_id"], []).append(r)
     assert 0.97 * spark.read.parquet(f"{sf}/documents.parquet").count() <= len(first)
     assert set(mix) <= set(masked) == set(clean) < set(near) < set(first)
     # no two of those kept are linked
@@ -35,7 +40,46 @@ def test_stages(spark, sf, tmp_path):
     secret = re.compile(r"[0-9a-f]{32,}")
     assert any(secret.search(r["text"]) for r in clean.values()) and not any(secret.search(r["text"]) for r in masked.values())
     assert all(r["n_chars"] == len(r["text"]) for r in masked.values())
-    assert all(0 < r["taken"] <= 2 * r["size"] for r in mix.values())
+    space = re.compile(r"[^\x20\x09-\x0D]+")
+    for i, rows in mix.items():
+        w = space.findall(masked[i]["text"])
+        assert 0 < sum(r["n_words"] for r in rows) <= 2 * len(w)
+        assert all(space.findall(r["text"]) == w[256 * r["block"] : 256 * r["block"] + 256] for r in rows)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(frames[3]).collect()}
+    assert {i: n for i, n in taken.items() if n} == {i: sum(r["n_words"] for r in rows) for i, rows in mix.items()}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _h int, `_hash` string, `_id` int, spans string, `_language` string, `a.b` array<int>, row_ struct<`x.y`:int>"
+
+
+def test_repeated_rows_nulls_and_odd_columns(spark, sf, tmp_path):
+    """Rows that share an id go or stay each by itself; no name of a column clashes; nulls are kept or go as stated."""
+    rng = random.Random(3)
+    base = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and length(text) between 400 and 4000").limit(300).collect()
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    texts = [r["text"] for r in base]
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in base]
+    near = texts[0] + " end"
+    tail = lambda n: (n, "h", n, "s", "l", [n], (n,))
+    rows += [(base[5]["doc_id"], near, "en", None), (None, texts[1] + " end", "en", "a"), (None, " ".join(texts[7].split()[::-1]), "en", "a")]
+    rows += [rows[3], (base[9]["doc_id"], item + " " + " ".join(texts[8].split()[::-1]), "en", "b"), (1, None, None, None), (2, "", "en", "a")]
+    rows += [(-3, " ".join("".join(rng.choice("qxzjkwvy") for _ in range(9)) for _ in range(60)), None, "a")]
+    d = spark.createDataFrame([(*r, None, *tail(n)) for n, r in enumerate(rows)], ODD).repartition(4)
+    out = []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        d = stage(spark, d, sf)
+        assert d.columns == spark.createDataFrame([], ODD).columns
+        d.write.parquet(f"{tmp_path}/{len(out)}")
+        d = spark.read.parquet(f"{tmp_path}/{len(out)}")
+        out.append([(r["doc_id"], r["text"]) for r in d.collect()])
+    first, second, third, _ = out
+    want = [r[:2] for r in rows if r[1] and r[0] != -3]
+    assert set(first) == set(want) and len(first) == len(want), (set(want) ^ set(first))
+    # the near copy that shares an id goes, the other text of that id stays; a null id is a document like others
+    assert (base[5]["doc_id"], texts[5]) in second and (base[5]["doc_id"], near) not in second and (None, texts[1] + " end") not in second
+    assert (None, rows[len(base) + 2][1]) in second and second.count(rows[3][:2]) == 1
+    assert len(second) == len(set(second)) and (base[9]["doc_id"], texts[9]) in third and not any(t.startswith(item) for _, t in third)
+    corpus_pipeline.mix_sources(spark, d, sf).count()
 
 
 def test_empty(spark, tmp_path):
