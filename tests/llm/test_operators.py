@@ -683,6 +683,27 @@ def test_surrogates(spark, docs, none):
     assert pii.replace(none).count() == 0 and pii.replace(docs).count() == docs.count()
 
 
+def test_formats_of_numbers():
+    """Telephone numbers and account numbers in several formats, and numbers that are left alone."""
+    found = lambda t: [(x[2], t[x[0] : x[1]]) for x in pii.find(t)]
+    for t in ("+442079460958", "+33 1 23 45 67 89", "(555)5557713", "(555) 5557713", "+1 (974) 555-3436", "974-555-3436", "+49 30 1234567"):
+        assert found(f"call {t} now") == [("phone", t)], t
+        new = pii.surrogate(b"k", "phone", pii.find(t)[0][3], "", 0)
+        out = pii.dress(t, "phone", new)
+        assert out != t and re.sub(r"\d", "0", out) == re.sub(r"\d", "0", t)
+        if t[0] == "+":
+            code = pii.country(re.sub(r"\D", "", t))
+            assert re.sub(r"\D", "", out).startswith(code)
+    for t in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819"):
+        assert found(f"to {t}.") == [("iban", t)]
+        out = pii.dress(t, "iban", pii.surrogate(b"k", "iban", pii.find(t)[0][3], "", 0))
+        assert out[:2] == t[:2] and out != t and pii.mod97(out.replace(" ", "")) == 1 and len(out) == len(t)
+    for t in ("order 5555557713", "DE89370400440532013001", "page 555-7713", "12 345 678 items", "in 2019-2024", "version 3 of 1.2.3.4.5"):
+        assert found(t) == [], t
+    many = " ".join(f"a{i}@b.de" for i in range(20000))
+    assert len(pii.find(many)) == 20000
+
+
 def test_surrogates_stay_distinct(spark):
     ips = [("ip", f"10.0.{a}.{b}", "") for a in range(4) for b in range(250)] + [("ssn", f"{i:09d}", "") for i in range(500)] + [("name", f"anna w{i}", "f") for i in range(300)]
     got = pii.assign(spark.createDataFrame(ips, "kind string, value string, gender string"), b"k").collect()
