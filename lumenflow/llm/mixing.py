@@ -32,6 +32,8 @@ from lumenflow.llm import _bytes as B
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources whose quotas a task splits, and rows of a table of sources up to which it is broadcast (under 10 MB).
 CHUNK, FEW = 4096, 20_000
+#: Shard borders that are broadcast (8 bytes each), and how many of them one number stands for in a first look.
+BORDERS, STRIDE = 1_000_000, 64
 
 
 class Tree:
@@ -142,7 +144,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
 
 
 def leaves(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(sid, leaf: blocks of each shard) for rows (sid, quota): a tree over runs of sources, then one within each run."""
+    """(sid, ends: where each shard's range of a source's blocks ends) for rows (sid, quota): a tree over runs of sources, then
+    one within each run."""
     runs = cut(quotas.groupBy(F.floor(F.col("sid") / CHUNK).cast("long").alias("run")).agg(F.sum("quota").alias("quota")))
     total = int(runs.agg(F.sum("quota")).first()[0] or 0)
 
@@ -162,10 +165,11 @@ def leaves(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         for b in B.runs(batches, ["run"]):
             sid, quota = B.column(b, "sid").to_pylist(), B.column(b, "quota").to_pylist()
             tree = Tree(B.column(b, "leaf")[0].as_py())
-            yield rows(sid, [tree.split(k, np.random.default_rng([seed, 2, s])) for s, k in zip(sid, quota, strict=True)], "sid")
+            got = (tree.split(k, np.random.default_rng([seed, 2, s])) for s, k in zip(sid, quota, strict=True))
+            yield rows(sid, [np.cumsum(x) for x in got], "sid")
 
     both = quotas.withColumn("run", F.floor(F.col("sid") / CHUNK).cast("long")).join(cut(tops), "run")
-    return both.repartition("run").sortWithinPartitions("run", "sid").mapInArrow(within, "sid long, leaf array<long>")
+    return both.repartition("run").sortWithinPartitions("run", "sid").mapInArrow(within, "sid long, leaf array<long>").withColumnRenamed("leaf", "ends")
 
 
 def draw(
@@ -173,22 +177,24 @@ def draw(
     weights: tuple[float, ...] = (5, 2, 1),
     share: float = 1.5,
     cap: float = 2.0,
-    shards: int = 64,
+    shards: int | None = None,
     block_words: int = 256,
     bucket_blocks: int = 1024,
+    shard_words: int = 1 << 25,
     seed: int = 17,
 ) -> tuple[DataFrame, DataFrame]:
     """Plan a mix.
 
     Returns (documents, draws). documents: doc_id, source, size, source_size, target, k1, k2, copy. draws: doc_id, source,
     k1, k2, copy, shard, place (order in the shard), block, pass, n_words - one row for each time a block is taken. k1, k2
-    and copy tell rows apart. A draw's shard is found in an array of ``shards`` numbers.
+    and copy tell rows apart. Unless told otherwise, there are as many shards as hold ``shard_words`` each, eight at least.
     """
     sized = cut(_sized(docs))
     blocks_of = F.ceil(F.col("size") / block_words)
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(blocks_of).alias("blocks"))
     table = cut(targets(_ranked(per, "source"), weights, share, cap))
-    n_sources = table.count()
+    sums = table.agg(F.count("*").alias("n"), F.sum("target").alias("t")).first()
+    n_sources, shards = sums["n"], shards or max(8, int(-(-(sums["t"] or 0) // shard_words)))
     table = table.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     table = table.withColumn("part", F.col("target") - F.col("passes") * F.col("source_size"))
     table = table.withColumn("bins", F.greatest(F.lit(1), F.ceil(F.col("blocks") / bucket_blocks)).cast("long"))
@@ -225,12 +231,14 @@ def draw(
     leaf = leaves(quotas, shards, seed)
     # the shards' ranges of a source's blocks, and where each of its passes begins among them
     at = F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = F.transform("leaf", lambda x, i: F.aggregate(F.slice("leaf", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y))
-    ranges = cut(got.withColumn("at", at).join(leaf, "sid").select("sid", "pass", "at", ends.alias("ends")))
+    every = F.transform(F.sequence(F.lit(1), F.lit(-(-shards // STRIDE))), lambda i: F.get("ends", F.least(i * STRIDE, F.lit(shards)) - 1))
+    ranges = cut(got.withColumn("at", at).join(leaf, "sid").select("sid", "pass", "at", "ends", every.alias("every")))
+    passed = lambda borders: F.size(F.filter(borders, lambda e: e <= F.col("pos")))
     draws = (
-        ranked.join(F.broadcast(ranges) if n_sources * shards <= FEW else ranges, ["sid", "pass"])
+        ranked.join(F.broadcast(ranges) if n_sources * shards <= BORDERS else ranges, ["sid", "pass"])
         .withColumn("pos", F.col("rank") + F.col("at"))
-        .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("pos"))))
+        .withColumn("jump", passed("every") * STRIDE)
+        .withColumn("shard", F.col("jump") + passed(F.slice("ends", F.col("jump") + 1, F.lit(STRIDE))))
         .select("doc_id", "source", "k1", "k2", "copy", "shard", _key(seed + 2, F.col("h"), F.col("pass")).alias("place"), "block", "pass", "n_words")
     )
     return docs2.select("doc_id", "source", "size", "source_size", "target", "k1", "k2", "copy"), draws
