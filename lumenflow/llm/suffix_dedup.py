@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.checkpoints import cut
 from lumenflow.llm import _bytes as B
+from lumenflow.llm.near_dedup import Filter
 
 LENGTH, SEED = 100, 32
 HOT, NARROW = 10_000, 8
@@ -42,7 +43,7 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 _NEXT = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])
 _SAMPLED = np.isin(np.arange(PERIOD), COVER)
 #: Bytes of surroundings that are sorted at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -235,7 +236,7 @@ def _surroundings(many, hot, hotter):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in B.slices(batch, limit=4 * B.SLICE_BYTES):
+            for part in B.slices(batch, limit=2 * B.SLICE_BYTES):
                 data, offs = B.bytes_of(B.column(part, "text"))
                 doc, key = _numbers(part, "doc_id"), _numbers(part, "key")
                 rows = anchors(data, offs)
@@ -394,7 +395,23 @@ def dedup(docs: DataFrame) -> DataFrame:
     spans = cut(repeated_spans(texts))
     # a document's spans are few: overlapping ones were joined where they were found
     per = cut(spans.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("spans")))
-    rows = texts.join(per, ["doc_id", "key"], "left")
+    # a document that the bitmap of those with spans doesn't hold needs no join
+    some = Filter(per, "doc_id")
+    shared = some.share(docs.sparkSession)
+    spotted = texts.withColumn("spot", some.spot())
+
+    def held(part: pa.RecordBatch, yes: bool) -> pa.RecordBatch:
+        spot = B.column(part, "spot").to_numpy(zero_copy_only=False)
+        return part.filter(pa.array(((shared.value[spot >> 3] >> (spot & 7)) & 1).astype(bool) == yes))
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = held(batch, True)
+            if part.num_rows:
+                yield part.select(["doc_id", "key", "text"])
+
+    rows = spotted.mapInArrow(asking, "doc_id long, key long, text string").join(per, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
+    free = spotted.withColumn("spans", F.lit(None).cast("array<struct<a:bigint,z:bigint>>"))
 
     def f(part: pa.RecordBatch) -> list:
         data, offs = B.bytes_of(B.column(part, "text"))
@@ -418,4 +435,6 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     run = B.mapper(f, names, [*[pa.int64()] * 4, pa.string(), pa.string()])
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    alone = free.mapInArrow(lambda batches: run(held(b, False) for b in batches), schema)
+    return rows.mapInArrow(run, schema).unionByName(alone)
