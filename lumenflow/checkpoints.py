@@ -8,11 +8,14 @@ LOCAL_DIR = "/tmp/checkpoints/lumenflow"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where none is set (tests, one machine), a local one."""
+    """The folder named by spark.checkpoint.dir; where none is set, a local one if Spark runs on one machine, else an error:
+    executors and the driver don't share their disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
         if not where:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(LOCAL_DIR)
             where = LOCAL_DIR
     elif not spark.sparkContext.getCheckpointDir():

@@ -1,4 +1,4 @@
-"""Option records of the pipelines, with their defaults."""
+"""Option records of the pipelines. The defaults are those that published results rest on."""
 
 from __future__ import annotations
 

@@ -5,6 +5,7 @@ Iterative operators are loops of joins whose steps are cut by reliable checkpoin
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +76,21 @@ def dedupe(edges: DataFrame, order: str = "edge_id") -> DataFrame:
     return e.groupBy("lo", "hi").agg(first.alias("e")).select("e.*")
 
 
+def endpoints(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """Edges with the attributes of both ends, as <column>_src and <column>_dst: two equi joins."""
+    at = lambda n: nodes.select(F.col("id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in columns])
+    return edges.join(at("src"), "src").join(at("dst"), "dst")
+
+
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes' components, if there is one at most; else an error that counts them."""
+    comp = cut(components_of(nodes, edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
+    n = comp.select("component").distinct().count()
+    if n > 1:
+        raise ValueError(f"the graph has {n} components")
+    return comp
+
+
 def prune(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends are nodes."""
     ids = nodes.select("id")
@@ -136,19 +152,53 @@ def phantom_edges(pairs: DataFrame, comp: DataFrame, leaf: DataFrame, mode: str
     )
 
 
-def representatives_mst(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+def representatives_mst(nodes: DataFrame, comp: DataFrame, radius: float | None = None) -> DataFrame:
     """Edges that always connect all components: the spanning tree over the components' first nodes, by distance.
 
-    One node per component enters; they meet in a complete graph, so this is meant for the few components that remain
-    after bridging, and refuses more than 5000.
+    The forest of the pairs within a radius comes first; then the radius doubles, and pairs are formed only from nodes outside
+    the largest tree so far, since an edge of the spanning tree that is left leads out of a smaller one. The first radius is
+    the spacing of as many evenly spread nodes.
     """
-    rep = comp.groupBy("component").agg(F.min("id").alias("id")).join(nodes, "id")
-    if rep.count() > 5000:
-        raise ValueError("too many components for a complete graph: bridge within a radius first")
-    q = rep.select(F.col("id").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
-    pairs = rep.join(F.broadcast(q), F.col("component") < F.col("cb"))  # at most 5000 rows
-    d = F.sqrt(sum(((F.col(c) - F.col(f"b{c}")) * (F.col(c) - F.col(f"b{c}")) for c in "xyz"), F.lit(0.0)))
-    return spanning_forest(pairs.select(F.col("component").alias("ca"), "cb", F.col("id").alias("a"), "b", d.alias("dist")))
+    rep = cut(comp.groupBy("component").agg(F.min("id").alias("id")).join(nodes, "id").select("id", "component", *[F.col(c).cast("double").alias(c) for c in "xyz"]))
+    ends = rep.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}{m}") for c in "xyz" for f, m in ((F.min, 0), (F.max, 1))]).first()
+    out = rep.select(*[F.col("component").alias(c) for c in ("ca", "cb")], *[F.col("id").alias(c) for c in ("a", "b")], F.lit(0.0).alias("dist")).limit(0)
+    if ends["n"] < 2:
+        return out
+    sides = [ends[f"{c}1"] - ends[f"{c}0"] for c in "xyz"]
+    r = radius or max(sides) / ends["n"] ** (1 / max(1, sum(x > 0 for x in sides))) or 1.0
+    home = cut(rep.select("id", F.col("id").alias("tree")))
+    while True:
+        largest = home.groupBy("tree").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tree").limit(1).select("tree")
+        some = rep.join(home, "id").join(largest, "tree", "left_anti")
+        q = cut(rep.join(home, "id"))
+        pairs = _near(cut(some), q, r)
+        pairs = pairs.where("ta <> tb").select("ca", "cb", "a", "b", "dist").distinct()
+        # the trees are the nodes of this round's forest
+        tree = lambda c: home.select(F.col("id").alias(c), F.col("tree").alias(f"t{c}"))
+        found = cut(spanning_forest(pairs.join(tree("a"), "a").join(tree("b"), "b"), "ta", "tb", ["dist", "a", "b"]).select("ca", "cb", "a", "b", "dist"))
+        out = cut(out.unionByName(found))
+        linked = components(out.select("a", "b"))
+        home = cut(rep.select("id").join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("tree")))
+        if home.select("tree").distinct().count() == 1:
+            return out
+        r *= 2
+
+
+def _near(some: DataFrame, rep: DataFrame, r: float) -> DataFrame:
+    """Pairs of representatives within r, one of them in ``some``: an equi join on cells of that size."""
+    cell = lambda c: F.floor(F.col(c) / r).cast("long")
+    around = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", o, strict=True)]) for o in ((i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))])
+    ask = some.withColumn("o", F.explode(around)).select(
+        F.col("id").alias("p"), F.col("component").alias("cp"), F.col("tree").alias("tp"), *[F.col(c).alias(f"p{c}") for c in "xyz"], *[(cell(c) + F.col(f"o.{c}")).alias(f"c{c}") for c in "xyz"]
+    )
+    held = rep.select("id", "component", "tree", *"xyz", *[cell(c).alias(f"c{c}") for c in "xyz"])
+    d = F.sqrt(sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "xyz"), F.lit(0.0)))
+    hit = ask.join(held, ["cx", "cy", "cz"]).where(F.col("tp") != F.col("tree")).withColumn("dist", d).where(F.col("dist") <= r)
+    first = F.col("cp") < F.col("component")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return hit.select(
+        pick("cp", "component", "ca"), pick("component", "cp", "cb"), pick("p", "id", "a"), pick("id", "p", "b"), pick("tp", "tree", "ta"), pick("tree", "tp", "tb"), "dist"
+    )
 
 
 def reduced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -174,6 +224,46 @@ def reduced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return direct.unionByName(long)
 
 
+def reduced_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The reduced graph with its geometry: (src, dst, chain, hops, path, length, mean_radius) for nodes (id, x, y, z, radius).
+
+    ``path`` lists a chain's nodes from src, the smaller end, to dst; a chain that begins and ends at one node goes by its
+    smaller inner neighbour first. A chain is ordered in a task of its own, from a few numbers for each node.
+    """
+    short = cut(reduced(nodes, edges))
+    e = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    inner = degrees(nodes, edges).where("degree = 2").select("id")
+    within = e.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    chain = cut(components_of(inner, within.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
+    links = chain.select(F.col("id").alias("src"), F.col("component").alias("chain")).join(e, "src")
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = ["chain", "path"]
+        near: dict[int, list[int]] = {}
+        for s, d in zip(pdf["src"], pdf["dst"], strict=True):
+            near.setdefault(int(s), []).append(int(d))
+        ends = sorted((d, s) for s, ds in near.items() for d in ds if d not in near)
+        if not ends:  # a ring
+            return pd.DataFrame(columns=names)
+        path = [ends[0][0], ends[0][1]]
+        while path[-1] in near:
+            path.append(next((d for d in sorted(near[path[-1]]) if d != path[-2]), path[-2]))
+        return pd.DataFrame([(pdf["chain"].iloc[0], path)], columns=names)
+
+    ordered = links.groupBy("chain").applyInPandas(order, "chain long, path array<long>")
+    direct = short.where("chain is null").select("src", "dst", "chain", "hops", F.array("src", "dst").alias("path"))
+    long = short.where("chain is not null").join(ordered, "chain").select("src", "dst", "chain", "hops", "path")
+    both = cut(direct.unionByName(long))
+    at = nodes.select(F.col("id").alias("node"), "x", "y", "z", "radius")
+    steps = both.select("src", "dst", "chain", F.posexplode("path").alias("pos", "node")).join(at, "node")
+    w = Window.partitionBy("src", "dst", "chain").orderBy("pos")
+    d = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w)) for c in "xyz"), F.lit(0.0)))
+    sums = steps.withColumn("_d", d).groupBy("src", "dst", "chain").agg(F.sum("_d").alias("length"), F.avg("radius").alias("mean_radius"))
+    same = (both["src"] == F.col("s")) & (both["dst"] == F.col("d")) & both["chain"].eqNullSafe(F.col("c"))
+    sums = sums.select(F.col("src").alias("s"), F.col("dst").alias("d"), F.col("chain").alias("c"), "length", "mean_radius")
+    return both.join(sums, same).select("src", "dst", "chain", "hops", "path", "length", "mean_radius")
+
+
 def accumulate(tree: DataFrame, own: DataFrame) -> DataFrame:
     """Sum of each node's own amount and those below it: tree (id, parent), own (id, own) -> (id, total).
 
@@ -196,8 +286,8 @@ def add_bridges(nodes: DataFrame, edges: DataFrame, bridges: DataFrame, radius:
 
     New ids follow the largest old ones by a prefix sum over the bridges, not by a scan of the points in one task.
     """
-    top_n = int(nodes.agg(F.max("id")).first()[0] or -1) + 1
-    top_e = int(edges.agg(F.max("edge_id")).first()[0] or -1) + 1
+    largest = lambda df, c: -1 if (got := df.agg(F.max(c)).first()[0]) is None else int(got)
+    top_n, top_e = largest(nodes, "id") + 1, largest(edges, "edge_id") + 1
     b = bridges.withColumn("_n", F.size("points"))
     w = Window.orderBy("bridge_id").rowsBetween(Window.unboundedPreceding, -1)  # a row per accepted bridge
     b = b.withColumn("_n0", F.coalesce(F.sum("_n").over(w), F.lit(0)) + top_n).withColumn("_e0", F.coalesce(F.sum(F.col("_n") + 1).over(w), F.lit(0)) + top_e)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenflow.checkpoints import cut
+
 
 def histogram(v: DataFrame, by: list[str], value: str, low: float, high: float, bins: int, truth: str | None = None) -> DataFrame:
     """Counts per bin [e, e + width), the last one closed: (by.., bin, n[, g]); ``g`` counts rows where ``truth`` holds.
@@ -57,6 +59,71 @@ def band_search(spark: SparkSession, v: DataFrame, by: list[str], value: str, tr
     return band_scores(dense_cumulative(spark, hist, by, bins), totals, by, upper_triangle(spark, bins))
 
 
+def linspace(low: float, high: float, n: int) -> list[float]:
+    return [low + i * ((high - low) / (n - 1)) for i in range(n)]
+
+
+def band_dice(cum: DataFrame, totals: DataFrame, by: list[str], bands: DataFrame, low: float, high: float, bins: int) -> DataFrame:
+    """Mean overlap of bands of values (lo, hi) on a fine histogram's cumulative counts: both end bins count whole."""
+    width = (high - low) / bins
+    at = lambda c: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col(c) - low) / width))).cast("int")
+    edges = bands.withColumn("_a", at("lo")).withColumn("_b", at("hi") + 1)
+    lo = cum.select(*by, F.col("edge").alias("_a"), F.col("cn").alias("n0"), F.col("cg").alias("g0"))
+    hi = cum.select(*by, F.col("edge").alias("_b"), F.col("cn").alias("n1"), F.col("cg").alias("g1"))
+    pairs = edges.join(lo, "_a").join(hi, ["_b", *by]).join(totals, by)
+    dice = 2.0 * (F.col("g1") - F.col("g0")) / ((F.col("n1") - F.col("n0")) + F.col("truth") + F.lit(1e-8))
+    return pairs.groupBy("lo", "hi").agg(F.avg(dice).alias("mean_dice"))
+
+
+def two_level_band_search(v: DataFrame, by: list[str], value: str, truth: str, low: float, high: float, bins: int = 2000, grid: int = 60, fine: int = 50) -> DataFrame:
+    """The best band of a coarse grid, and of a fine one within two coarse steps of its ends: rows (level, lo, hi, mean_dice). One
+    pass over the voxels serves both. Equal bands go to the smaller upper end, then the smaller lower one."""
+    spark = v.sparkSession
+    cum = cut(dense_cumulative(spark, histogram(v, by, value, low, high, bins, truth), by, bins))
+    totals = cut(v.groupBy(*by).agg(F.sum(F.col(truth).cast("int")).cast("long").alias("truth")))
+    place = linspace(low, high, grid)
+    coarse = spark.createDataFrame([(a, b) for i, a in enumerate(place) for b in place[i + 1 :]], "lo double, hi double")
+    top = best(band_dice(cum, totals, by, coarse, low, high, bins), "mean_dice", "hi", "lo").first()
+    if top is None:
+        return spark.createDataFrame([], "level string, lo double, hi double, mean_dice double")
+    reach = 2 * (place[1] - place[0])
+    los = [max(x, low) for x in linspace(top["lo"] - reach, top["lo"] + reach, fine)]
+    his = [min(x, high) for x in linspace(top["hi"] - reach, top["hi"] + reach, fine)]
+    near = spark.createDataFrame(sorted({(a, b) for a in los for b in his if b > a}), "lo double, hi double")
+    found = best(band_dice(cum, totals, by, near, low, high, bins), "mean_dice", "hi", "lo").first()
+    return spark.createDataFrame([("coarse", *top), ("fine", *found)], "level string, lo double, hi double, mean_dice double")
+
+
+def scale_sweep(scores: DataFrame, by: list[str], voxel: list[str], sweeps: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
+    """Mean soft overlap for each number of scales: ``sweeps`` (n, scale) lists the scales of each n, ``scores`` holds (by..,
+    voxel.., scale, score, truth). A voxel's score is the largest over the scales: (n, mean_dice)."""
+    top = scores.join(F.broadcast(sweeps), "scale").groupBy("n", *by, *voxel).agg(F.max(score).alias("s"), F.max(truth).cast("double").alias("t"))  # a row for each n and scale
+    dice = (2 * F.sum(F.col("s") * F.col("t")) + 1e-8) / (F.sum("s") + F.sum("t") + 1e-8)
+    return top.groupBy("n", *by).agg(dice.alias("d")).groupBy("n").agg(F.avg("d").alias("mean_dice"))
+
+
+def coordinate_search(f: Callable[[dict], float], grid: dict[str, list], start: dict | None = None, rounds: int = 1) -> tuple[dict, float, list[tuple[dict, float]]]:
+    """Best parameters by changing one at a time, in the order of ``grid``, to the value with the largest f: (parameters, value,
+    trials). Equal values keep what was there before; each trial can be a Spark job."""
+    at = {k: v[0] for k, v in grid.items()} | (start or {})
+    top, trials = f(dict(at)), []
+    trials.append((dict(at), top))
+    for _ in range(rounds):
+        before = dict(at)
+        for name, values in grid.items():
+            for x in values:
+                if x == at[name]:
+                    continue
+                trial = at | {name: x}
+                v = f(dict(trial))
+                trials.append((trial, v))
+                if v > top:
+                    at, top = trial, v
+        if at == before:
+            break
+    return at, top, trials
+
+
 def best(scores: DataFrame, score: str, *ties: str, n: int = 1) -> DataFrame:
     """The top rows in a total order; equal scores go by the tie columns."""
     return scores.orderBy(F.desc(score), *ties).limit(n)

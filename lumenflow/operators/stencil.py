@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenflow.checkpoints import cut
+from lumenflow.operators import voxel
+
 
 def offsets(connectivity: int = 26) -> list[tuple[int, int, int]]:
     most = {6: 1, 18: 2, 26: 3}[connectivity]
@@ -90,20 +93,6 @@ def eigen3(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Colum
     return [one, F.when(flat, q).otherwise(3 * q - one - three), three]
 
 
-def by_magnitude(values: list[Column]) -> list[Column]:
-    """Three numbers in ascending order of their absolute value: a sorting network of columns."""
-
-    def pair(x: Column, y: Column) -> tuple[Column, Column]:
-        swap = F.abs(x) > F.abs(y)
-        return F.when(swap, y).otherwise(x), F.when(swap, x).otherwise(y)
-
-    a, b, c = values
-    a, b = pair(a, b)
-    b, c = pair(b, c)
-    a, b = pair(a, b)
-    return [a, b, c]
-
-
 def with_eigen(v: DataFrame) -> DataFrame:
     """l1, l2, l3: Hessian eigenvalues in ascending order of magnitude. Each step is a projection of its own, so that the
     expressions stay small."""
@@ -123,6 +112,48 @@ def tubularity(l1: Column, l2: Column, l3: Column, alpha: float = 0.5, beta: flo
     return F.when((l2 < 0) & (l3 < 0), v).otherwise(0.0)
 
 
+def factors(l1: Column, l2: Column, l3: Column, alpha: float, beta: float, c: Column | float) -> list[Column]:
+    """The three factors of tubularity: by the section's roundness, the length, and the structure's strength."""
+    c = F.lit(c) if isinstance(c, (int, float)) else c
+    ra = F.abs(l2) / (F.abs(l3) + 1e-9)
+    rb = F.abs(l1) / (F.sqrt(F.abs(l2) * F.abs(l3)) + 1e-9)
+    s2 = l1 * l1 + l2 * l2 + l3 * l3
+    return [1 - F.exp(-ra * ra / (2 * alpha * alpha)), F.exp(-rb * rb / (2 * beta * beta)), 1 - F.exp(-s2 / (2 * c * c))]
+
+
+def strongest(v: DataFrame, by: list[str]) -> DataFrame:
+    """``c``: half of the largest norm of the eigenvalues in each group."""
+    s = F.sqrt(F.col("l1") * F.col("l1") + F.col("l2") * F.col("l2") + F.col("l3") * F.col("l3"))
+    if not by:
+        return v.crossJoin(F.broadcast(v.agg((F.max(s) / 2 + 1e-9).alias("c"))))  # one row
+    return v.join(v.groupBy(*by).agg((F.max(s) / 2 + 1e-9).alias("c")), by)
+
+
+def factor_maps(v: DataFrame, shape: tuple[int, int, int], scales: list[float], alpha: float = 0.5, beta: float = 0.5, c: float | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by.., i, j, k, v, scale, a, b): vesselness over scales with the scale that wins, the first of equal ones, and its factors;
+    zeros where no scale sees a bright tube. ``c`` is half of the largest norm of each scale unless it is given."""
+    by = by or []
+    every = None
+    for s in scales:
+        h = with_eigen(gaussian_hessian(v, shape, s, by=by))
+        h = cut(h.withColumn("c", F.lit(float(c))) if c is not None else strongest(cut(h), by))
+        a, b, g = factors(F.col("l1"), F.col("l2"), F.col("l3"), alpha, beta, F.col("c"))
+        h = h.select(*by, "i", "j", "k", F.lit(float(s)).alias("scale"), a.alias("a"), b.alias("b"), F.when((F.col("l2") < 0) & (F.col("l3") < 0), a * b * g).otherwise(0.0).alias("v"))
+        every = h if every is None else every.unionByName(h)
+    return max_over_scales(every, [*by, "i", "j", "k"], companions=["a", "b"])
+
+
+def clipped_vesselness(v: DataFrame, shape: tuple[int, int, int], scales: list[float], low: float = -200.0, high: float = 400.0, gamma: float = 15.0, by: list[str] | None = None, **options) -> DataFrame:
+    """Vesselness of intensities that are clipped to [low, high] and brought to [0, 1] in each group, with a fixed strength
+    ``gamma``: (by.., i, j, k, v, scale, a, b)."""
+    x = v.withColumn("value", voxel.clip(F.col("value"), low, high))
+    if by:
+        x = voxel.minmax(x, by, epsilon=1e-8)
+    else:
+        x = voxel.minmax(x.withColumn("_all", F.lit(0)), ["_all"], epsilon=1e-8).drop("_all")
+    return factor_maps(x.drop("value").withColumnRenamed("norm", "value"), shape, scales, c=gamma, by=by, **options)
+
+
 def max_over_scales(v: DataFrame, keys: list[str], score: str = "v", scale: str = "scale", companions: list[str] | None = None) -> DataFrame:
     """Per voxel the largest score over the scales, the first scale of equal ones, with that scale's other columns; a voxel
     without a score above 0 keeps zeros."""
@@ -239,7 +270,8 @@ def smooth_blocks(v: DataFrame, sigma: float, size: int = 32, by: list[str] | No
         x[tuple((at - lo).T)] = pdf["value"]
         for axis in range(3):
             p = np.pad(x, [(r, r) if a == axis else (0, 0) for a in range(3)], mode="edge")
-            x = np.apply_along_axis(lambda line: np.convolve(line, w, mode="valid"), axis, p)
+            n = x.shape[axis]
+            x = sum(w[m] * p.take(np.arange(2 * r - m, 2 * r - m + n), axis) for m in range(2 * r + 1))
         b = pdf[["bi", "bj", "bk"]].iloc[0].to_numpy()
         own = ((at >= b * size) & (at < (b + 1) * size)).all(1)
         out = pdf.loc[own, [*by, "i", "j", "k"]].copy()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenflow.checkpoints import cut
-from lumenflow.config import Completion, FlowNetwork, Landmarks
+from lumenflow.config import Completion, FlowNetwork, GapFilling, Landmarks
 from lumenflow.functions import physics
-from lumenflow.operators import distance, graph, landmarks, paths, skeleton, solve, spatial, stencil, voxel
+from lumenflow.operators import distance, gaps, graph, landmarks, paths, skeleton, solve, spatial, stencil, voxel
 from lumenflow.plans.catalog import query
 
 
@@ -73,13 +73,66 @@ def complete_gaps(nodes: DataFrame, edges: DataFrame, cost: DataFrame, geometry:
     role = lambda n: F.col("i").eqNullSafe(F.col(f"{n}i")) & (F.col("j") == F.col(f"{n}j")) & (F.col("k") == F.col(f"{n}k"))
     cells = box.join(cost.select("i", "j", "k", "cost"), ["i", "j", "k"]).select("gap", "i", "j", "k", "cost", F.when(role("a"), "a").when(role("b"), "b").otherwise("").alias("role"))
     path = cut(paths.shortest_in_box(cells, ["gap"]))
-    samples = path.join(geometry.select("i", "j", "k", "geo", "hu"), ["i", "j", "k"]).withColumn("cosine", F.lit(None).cast("double"))
+    samples = path.join(geometry.select("i", "j", "k", "geo", "hu"), ["i", "j", "k"]).select("gap", "pos", F.col("geo").alias("a"), F.lit(1.0).alias("b"), "hu", F.lit(None).cast("double").alias("cosine"))
     score = paths.bridge_score(samples, ["gap"], "pos")
     size = path.groupBy("gap").agg(F.count("*").alias("voxels"))
     out = gaps.join(score, "gap").join(size, "gap")
     return out.select("a", "b", "dist", "voxels", "score", voxel.tri_state(F.col("score"), c.auto, c.review).alias("action"))
 
 
+def fill_gaps(voxels: DataFrame, skeleton: DataFrame, shape: tuple[int, int, int], c: GapFilling = GapFilling(), resume: float = 0.44) -> tuple[DataFrame, DataFrame]:
+    """(report, components) of the gaps of one skeleton (vid, i, j, k) in voxel units.
+
+    ``voxels``: (vid, i, j, k, v: vesselness, a, b: its factors, hu: plausibility, fx, fy, fz: flow). Tips where a vessel breaks
+    off, on islands of enough voxels, are paired within the gap if they face each other; each pair is traced from both
+    sides, or else bridged by the path of first arrival; bridges are scored, and accepted ones join components.
+    Report: (gap, a, b, dist, ai.. bk, method, score, action).
+    """
+    near = cut(stencil.neighbour_edges(skeleton))
+    nodes = skeleton.select(F.col("vid").alias("id"))
+    links = near.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    comp = cut(graph.components_of(nodes, links))
+    large = graph.island_filter(nodes, links, c.island_voxels).select(F.col("id").alias("vid"))
+    tips = gaps.break_tips(skeleton, voxels.select("vid", F.col("v").alias("value")), shape, resume).join(large, "vid", "left_semi")
+    inner = skeleton.select(F.col("vid").alias("inner_vid"), *[F.col(o).alias(f"_{o}") for o in "ijk"])
+    out = [F.col(o) - F.col(f"_{o}") for o in "ijk"]
+    norm = F.sqrt(sum((x * x for x in out), F.lit(0.0)))
+    tips = cut(
+        tips.join(inner, "inner_vid").select(
+            F.col("vid").alias("id"), *[F.col(o).cast("double").alias(x) for o, x in zip("ijk", "xyz", strict=True)], *[(d / norm).alias(f"u{x}") for d, x in zip(out, "xyz", strict=True)]
+        )
+    )
+    pairs = spatial.facing_pairs(tips, c.gap_mm, ["ux", "uy", "uz"], c.facing).select("a", "b", "dist")
+    w = Window.orderBy("a", "b")  # a row per gap
+    pairs = pairs.withColumn("gap", F.row_number().over(w))
+    at = lambda n: tips.select(F.col("id").alias(n), *[F.col(x).cast("int").alias(f"{n}{o}") for x, o in zip("xyz", "ijk", strict=True)], *[F.col(f"u{x}").alias(f"{n}_{x}") for x in "xyz"])
+    found = cut(pairs.join(at("a"), "a").join(at("b"), "b"))
+    box = found
+    for o in "ijk":
+        lo, hi = F.least(f"a{o}", f"b{o}") - 3, F.greatest(f"a{o}", f"b{o}") + 3
+        box = box.withColumn(o, F.explode(F.sequence(lo, hi)))
+    cells = cut(box.join(voxels.drop("vid"), ["i", "j", "k"]))
+    traced = cut(gaps.trace_both(cells.select("gap", "i", "j", "k", "fx", "fy", "fz", "v"), found, ["gap"], shape, resume, c.step, c.blend, c.gap_mm, c.converge))
+    met = traced.where("met").groupBy("gap").agg(F.max(F.when(F.col("side") == "a", F.col("pos"))).alias("na"), F.max(F.when(F.col("side") == "b", F.col("pos"))).alias("nb"))
+    both = traced.join(met, "gap").select(
+        "gap", F.when(F.col("side") == "a", F.col("pos")).otherwise(F.col("na") + 1 + F.col("nb") - F.col("pos")).alias("pos"), "x", "y", "z", F.lit("flow").alias("method")
+    )
+    role = lambda n: (F.col("i") == F.col(f"{n}i")) & (F.col("j") == F.col(f"{n}j")) & (F.col("k") == F.col(f"{n}k"))
+    rest = cells.join(met, "gap", "left_anti").select("gap", "i", "j", "k", stencil.cost([(F.col("v"), 1.0)]).alias("cost"), F.when(role("a"), "a").when(role("b"), "b").otherwise("").alias("role"))
+    marched = gaps.fast_march(rest, ["gap"]).select("gap", "pos", *[F.col(o).cast("double").alias(x) for o, x in zip("ijk", "xyz", strict=True)], F.lit("fast_march").alias("method"))
+    path = cut(both.unionByName(marched))
+    step = paths.steps(path, ["gap"], "pos", ["x", "y", "z"])
+    size = F.sqrt(sum((F.col(f"d_{x}") * F.col(f"d_{x}") for x in "xyz"), F.lit(0.0))) + 1e-9
+    u = step.select("gap", "pos", "method", "x", "y", "z", *[(F.col(f"d_{x}") / size).alias(f"u{x}") for x in "xyz"])
+    wp = Window.partitionBy("gap").orderBy("pos")
+    cosine = sum((F.col(f"u{x}") * F.lag(f"u{x}").over(wp) for x in "xyz"), F.lit(0.0))
+    samples = u.withColumn("cosine", cosine).select("gap", "pos", "method", "cosine", *[F.floor(F.col(x) + 0.5).cast("int").alias(o) for x, o in zip("xyz", "ijk", strict=True)])
+    samples = samples.join(voxels.select("i", "j", "k", "a", "b", "hu"), ["i", "j", "k"])
+    score = paths.bridge_score(samples, ["gap"], "pos").join(path.groupBy("gap").agg(F.max("method").alias("method")), "gap")
+    report = cut(found.join(score, "gap").select("gap", "a", "b", "dist", *[f"{n}{o}" for n in "ab" for o in "ijk"], "method", "score", gaps.actions(F.col("score"), c.auto, c.review, "rejected").alias("action")))
+    return report, gaps.merge_components(comp, report.where("action = 'accepted'").select("a", "b"))
+
+
 def match_landmarks(before: DataFrame, after: DataFrame, patches_before: DataFrame, patches_after: DataFrame, c: Landmarks = Landmarks()) -> DataFrame:
     """Match table of points in one frame: clustered bifurcations (id, x, y, z) of two images, and patches (id, patch)."""
     snapped = landmarks.snap(before, after, c.radius_mm)

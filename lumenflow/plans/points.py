@@ -204,9 +204,10 @@ def pressure_by_sample(spark: SparkSession, sf: str) -> DataFrame:
 @query("first_incident_edge", f"WITH {_P}, {_G}, x AS (SELECT src AS id, dst AS o, radius FROM ge UNION ALL SELECT dst, src, radius FROM ge) SELECT p.id, round(coalesce(min_by(x.radius, x.o), 1.5), 6) AS radius FROM p LEFT JOIN x USING (id) GROUP BY 1")
 def first_incident_edge(spark: SparkSession, sf: str) -> DataFrame:
     p, e = _edges(spark, sf)
-    ends = e.select(F.col("src").alias("id"), F.col("dst").alias("edge_id"), "radius").union(e.select("dst", "src", "radius"))
-    best = ends.groupBy("id").agg(F.min_by("radius", "edge_id").alias("radius"))
-    return p.select("id").join(best, "id", "left").select("id", F.round(F.coalesce("radius", F.lit(1.5)), 6).alias("radius"))
+    # an edge's other end tells its edges apart at a node: edges in both directions, each with its far end as number
+    both = e.select("src", "dst", F.col("dst").alias("far"), "radius").union(e.select("dst", "src", "src", "radius"))
+    first = graph.first_incident(p, both.select(F.col("src"), F.lit(None).cast("long").alias("dst"), F.col("far").alias("edge_id"), "radius"), "radius")
+    return first.select("id", F.round("radius", 6).alias("radius"))
 
 
 @query("edge_dedupe", "WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_partkey % 200 AS src, l_suppkey % 200 AS dst FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY edge_id) AS n FROM e WHERE src <> dst) SELECT edge_id, src, dst FROM k WHERE n = 1")
@@ -218,24 +219,25 @@ def edge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 @query("prune_invalid_edges", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 20) AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def prune_invalid_edges(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    good = table(spark, sf, "part").where("p_size < 20").select(F.col("p_partkey").alias("l_partkey"))
-    done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return li.join(good, "l_partkey", "left_semi").join(done, "l_orderkey", "left_semi").select("l_orderkey", "l_partkey")
+    good = table(spark, sf, "part").where("p_size < 20").select((-1 - F.col("p_partkey")).alias("id"))
+    done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    edges = li.select(F.col("l_orderkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"))  # two kinds of nodes
+    return graph.prune(edges, good.union(done)).select(F.col("src").alias("l_orderkey"), (-1 - F.col("dst")).alias("l_partkey"))
 
 
 @query(
     "bridge_score",
-    f"""WITH {_P}, {_pairs(0.05)}, s AS (SELECT a, b, range AS pos, 0.5 + 0.4 * sin(a + range) AS geo, 1 / (1 + exp(-(dist * 1000 - 30) / 10.0)) AS hu, cos(0.1 * range) AS cosine FROM e, range(10)),
-d AS (SELECT *, geo - lag(geo) OVER (PARTITION BY a, b ORDER BY pos) AS dd FROM s)
-SELECT a, b, round(0.35 * avg(geo) + 0.25 / (1 + coalesce(var_samp(dd), 0)) + 0.25 * avg(hu) + 0.15 * avg(cosine), 6) AS score FROM d GROUP BY 1, 2""",
+    f"""WITH {_P}, {_pairs(0.05)}, s AS (SELECT a, b, range AS pos, 0.5 + 0.4 * sin(a + range) AS a_, 0.9 - 0.02 * range AS b_, 1 / (1 + exp(-(dist * 1000 - 30) / 10.0)) AS hu, cos(0.1 * range) AS cosine FROM e, range(10)),
+d AS (SELECT *, a_ - lag(a_) OVER (PARTITION BY a, b ORDER BY pos) AS dd FROM s)
+SELECT a, b, round(0.35 * avg(a_ * b_) + 0.25 / (1 + 100 * coalesce(var_samp(dd), 0)) + 0.25 * avg(hu) + 0.15 * avg(cosine), 6) AS score FROM d GROUP BY 1, 2""",
 )
 def bridge_score(spark: SparkSession, sf: str) -> DataFrame:
     e = spatial.radius_pairs(_p(spark, sf), 0.05)
     s = e.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(9)))).select(
-        "a", "b", "pos", (0.5 + 0.4 * F.sin(F.col("a") + F.col("pos"))).alias("geo"), metrics.soft_gate(F.col("dist") * 1000, 30, 0.1).alias("hu"),
+        F.col("a").alias("p"), F.col("b").alias("q"), "pos", (0.5 + 0.4 * F.sin(F.col("a") + F.col("pos"))).alias("a"), (0.9 - 0.02 * F.col("pos")).alias("b"), metrics.soft_gate(F.col("dist") * 1000, 30, 0.1).alias("hu"),
         F.cos(0.1 * F.col("pos")).alias("cosine"),
     )
-    return paths.bridge_score(s, ["a", "b"], "pos").select("a", "b", F.round("score", 6).alias("score"))
+    return paths.bridge_score(s, ["p", "q"], "pos").select(F.col("p").alias("a"), F.col("q").alias("b"), F.round("score", 6).alias("score"))
 
 
 @query("straight_bridges", f"WITH {_P}, {_pairs(0.05)}, n AS (SELECT e.a, e.b, greatest(10, CAST(ceil(dist * 400) AS INT)) AS n, s.x AS x0, t.x AS x1 FROM e JOIN p s ON s.id = a JOIN p t ON t.id = b) SELECT a, b, CAST(unnest(range(n)) AS INT) AS pos, round(x0 + (x1 - x0) * unnest(range(n)) / (n - 1) + 1e-10, 6) + 0.0 AS x FROM n")

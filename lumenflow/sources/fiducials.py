@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Columns of a point line.
-COLUMNS = "id,x,y,z,ow,ox,oy,oz,vis,sel,lock,label,desc,associatedNodeID".split(",")
+#: Fixed values of the format: its first line, the columns of a point line, and the prefix of node names.
+VERSION = "# Markups fiducial file version = 4.11"
+COLUMNS = "# columns = id,x,y,z,ow,ox,oy,oz,vis,sel,lock,label,desc,associatedNodeID"
+NODE = "vtkMRMLMarkupsFiducialNode_"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -32,14 +34,21 @@ def seed(spark: SparkSession, path: str) -> tuple[float, float, float]:
     return r["x"], r["y"], r["z"]
 
 
-def write(points: DataFrame, path: str, system: str = "LPS") -> None:
-    """Write points (x, y, z in RAS, label) as one file with an explicit coordinate system. A point list is a small report."""
+def lines(points: DataFrame, system: str | None = "LPS", digits: int = 4, prefix: str = "pt_", numbered: bool = False) -> DataFrame:
+    """(place, value): the lines of a file for points (x, y, z in RAS, label). ``system``: that of the numbers, named in the
+    header; None leaves them in RAS and unnamed. Points are named by prefix and label, or numbered by label from 0."""
     s = -1.0 if system == "LPS" else 1.0
-    line = F.format_string(
-        "%s,%.4f,%.4f,%.4f,0,0,0,1,1,1,0,%s,,", F.concat(F.lit("pt_"), "label"), F.col("x") * s, F.col("y") * s, F.col("z"), F.col("label")
-    )
-    head = points.sparkSession.createDataFrame(
-        [(0, "# Markups fiducial file version = 4.11"), (1, f"# CoordinateSystem = {system}"), (2, "# columns = " + ",".join(COLUMNS))], "n int, value string"
-    )
-    body = points.select(F.lit(3).alias("n"), line.alias("value"))
-    head.unionByName(body).repartition(1).sortWithinPartitions("n", "value").select("value").write.mode("overwrite").text(path)
+    name = F.col("label")
+    if numbered:
+        points = points.withColumn("_n", F.row_number().over(Window.orderBy("label", "x", "y", "z")) - 1)  # a point list is a small report
+        name = F.col("_n")
+    xyz = [(F.col("x") * s, "x"), (F.col("y") * s, "y"), (F.col("z"), "z")]
+    line = F.concat(F.lit(prefix), name.cast("string"), *[F.format_string(f",%.{digits}f", v.cast("double")) for v, _ in xyz], F.lit(",0,0,0,1,1,1,0,"), F.col("label"), F.lit(",,"))
+    head = [VERSION, *([f"# CoordinateSystem = {system}"] if system else []), COLUMNS]
+    first = points.sparkSession.createDataFrame(list(enumerate(head)), "place int, value string")
+    return first.unionByName(points.select(F.lit(len(head)).alias("place"), line.alias("value")))
+
+
+def write(points: DataFrame, path: str, system: str | None = "LPS", **options) -> None:
+    """Write points as one file, see ``lines``. A point list is a small report."""
+    lines(points, system, **options).repartition(1).sortWithinPartitions("place", "value").select("value").write.mode("overwrite").text(path)

@@ -112,3 +112,31 @@ def test_incremental(spark, tmp_path):
     (src / "2.csv").write_text("id,label\nb,y\nc,z\n")
     go()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_image_data_and_tables(spark):
+    from lumenflow.sources import images
+
+    v = spark.createDataFrame([("a", i, j, k, i + 10 * j + 100 * k) for i in range(2) for j in range(2) for k in range(2)], "sample_id string, i int, j int, k int, value int")
+    x = images.render(v, (2, 2, 2), (-0.5, 1.0, 2.0), (3.0, 0.0, 1.0)).first()["value"]
+    assert 'Origin="2.5 0.0 1.0" Spacing="0.5 1.0 2.0"' in x and 'type="Int32"' in x and ">1 0 11 10 101 100 111 110<" in x
+    t = spark.createDataFrame([("b", 1.0, 2.0), ("a", 3.0, None)], "id string, x double, y double")
+    lines = [r["value"] for r in images.console(t, "id", ["x", "y"], 8, 2).collect()]
+    assert lines == ["id             x       y", "a           3.00       -", "b           1.00    2.00", "MEAN        2.00    2.00"]
+
+
+def test_fiducial_variants(spark):
+    from lumenflow.sources import fiducials
+
+    p = spark.createDataFrame([(1.0, -2.0, 3.0, "BIF_000")], "x double, y double, z double, label string")
+    get = lambda **o: [r["value"] for r in fiducials.lines(p, **o).orderBy("place").collect()]
+    assert get()[1:] == ["# CoordinateSystem = LPS", fiducials.COLUMNS, "pt_BIF_000,-1.0000,2.0000,3.0000,0,0,0,1,1,1,0,BIF_000,,"]
+    assert get(system=None, digits=3, prefix=fiducials.NODE, numbered=True)[1:] == [fiducials.COLUMNS, f"{fiducials.NODE}0,1.000,-2.000,3.000,0,0,0,1,1,1,0,BIF_000,,"]
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from lumenflow.__main__ import main
+
+    assert main(["list"]) == 0 and "hard_dice_by_group" in capsys.readouterr().out
+    assert main(["query", "select_members", "--data", sf, "--out", f"{tmp_path}/o", "--format", "csv"]) == 0
+    assert spark.read.csv(f"{tmp_path}/o", header=True).columns == ["p_partkey", "p_size"]
