@@ -28,6 +28,8 @@ from lumenflow.llm import _features as W
 from lumenflow.llm._sampling import fitted, unit
 
 BITS, AFFIXES = 18, (3, 4, 5, 6, 7, 8)
+#: Pairs of a row and a feature that are counted at once.
+PAIRS = 1 << 20
 _END = np.zeros(256, bool)
 _END[[ord("."), ord("!"), ord("?"), ord("\n"), ord("\r")]] = True
 
@@ -51,6 +53,38 @@ def _word_sums(weights: np.ndarray, index: np.ndarray, offs: np.ndarray) -> np.n
     return np.add.reduceat(weights[index], offs[:-1]) if len(offs) > 1 else np.zeros(0, weights.dtype)
 
 
+def _sample_features(texts: list[str]):
+    """(features of the distinct words, their offsets; for each word that a sentence holds, once: the sentence and the word's
+    place; row of each sentence). Texts are hashed in runs of bounded bytes."""
+    table = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    hashes, features, sizes, sents, kinds, owners = [], [], [], [], [], []
+    rows = sentences_ = words = 0
+    for part in B.slices(table):
+        low, s, e, sent, owner, _, _ = _parse(*B.bytes_of(B.column(part, "text")))
+        if len(s):
+            h, first, kind = W.distinct(B.span_hashes(low, s, e))
+            index, at = W.of_words(low, s[first], e[first], BITS, AFFIXES, ())
+            # a word counts once in a sentence
+            pairs = np.unique(sent.astype(np.int64) * len(h) + kind)
+            sents.append(pairs // len(h) + sentences_)
+            kinds.append(pairs % len(h) + words)
+            hashes.append(h)
+            features.append(index)
+            sizes.append(np.diff(at))
+            words += len(h)
+        owners.append(owner + rows)
+        sentences_ += len(owner)
+        rows += part.num_rows
+    if not words:
+        z = np.zeros(0, np.int64)
+        return z, np.zeros(1, np.int64), z, z, z
+    index, size = np.concatenate(features), np.concatenate(sizes)
+    _, first, place = W.distinct(np.concatenate(hashes))
+    begin, n = (np.cumsum(size) - size)[first], size[first]
+    index = index[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    return index, np.concatenate([[0], np.cumsum(n)]), np.concatenate(sents), place[np.concatenate(kinds)], np.concatenate(owners)
+
+
 def fit(sample: list[tuple[int, str]], odds: float = 1.0, rounds: int = 150, rate: float = 0.3, l1: float = 1e-5, least_z: float = 5.0):
     """Train on (label, text) rows. ``odds``: how often a clean row stands for another in the corpus, relative to a toxic
     one.
@@ -61,26 +95,30 @@ def fit(sample: list[tuple[int, str]], odds: float = 1.0, rounds: int = 150, rat
     y = np.array([int(v) for v, _ in sample])
     if not len(y) or y.all() or not y.any():
         return None
-    data, offs = B.bytes_of(pa.array([t for _, t in sample], pa.large_string()))
-    low, s, e, sent, owner, _, _ = _parse(data, offs)
-    if not len(s):
+    index, at, sent, kind, owner = _sample_features([t for _, t in sample])
+    if not len(sent):
         return None
-    words, first, kind = W.distinct(B.span_hashes(low, s, e))
-    index, at = W.of_words(low, s[first], e[first], BITS, AFFIXES, ())
-    # a word counts once in a sentence
-    pairs = np.unique(sent.astype(np.int64) * len(words) + kind)
-    sent, kind = pairs // len(words), pairs % len(words)
+    words = len(at) - 1
     doc = owner[sent]
     lens = np.diff(at)
     held = np.zeros((2, 1 << BITS))
-    seen = np.unique(doc.astype(np.int64) * len(words) + kind)
-    for label in (0, 1):
-        mine = seen[y[seen // len(words)] == label]
-        # a feature counts once in a row
-        n = lens[mine % len(words)]
-        places = np.repeat(at[mine % len(words)] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        both = np.unique(np.repeat(mine // len(words), n) << BITS | index[places])
-        held[label] = np.bincount(both & ((1 << BITS) - 1), minlength=1 << BITS)
+    seen = np.unique(doc.astype(np.int64) * words + kind)
+    # a feature counts once in a row; whole rows, so many features at once
+    load = np.cumsum(lens[seen % words])
+    row_ends = np.append(np.flatnonzero(np.diff(seen // words)) + 1, len(seen))
+    start = 0
+    while start < len(seen):
+        reach = np.searchsorted(load, (load[start - 1] if start else 0) + PAIRS, "right")
+        fit_ = row_ends[(row_ends > start) & (row_ends <= reach)]
+        end = int(fit_[-1]) if len(fit_) else int(row_ends[np.searchsorted(row_ends, start, "right")])
+        mine = seen[start:end]
+        n = lens[mine % words]
+        places = np.repeat(at[mine % words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.unique(np.repeat(mine // words, n) << BITS | index[places])
+        toxic = y[both >> BITS] == 1
+        for label in (0, 1):
+            held[label] += np.bincount(both[toxic == label] & ((1 << BITS) - 1), minlength=1 << BITS)
+        start = end
     n1, n0 = int(y.sum()), int((1 - y).sum())
     pool = (held[0] + held[1]) / len(y)
     z = (held[1] / n1 - held[0] / n0) / np.sqrt(np.maximum(pool * (1 - pool), 1e-12) * (1 / n1 + 1 / n0))
@@ -96,7 +134,7 @@ def fit(sample: list[tuple[int, str]], odds: float = 1.0, rounds: int = 150, rat
         any_ = -np.expm1(log_clean)
         # d log-likelihood / d z of each sentence
         up = np.where(y == 1, np.exp(log_clean) / np.maximum(any_, 1e-12), -1.0)[owner] * p * each[owner]
-        gw = np.bincount(index, np.repeat(np.bincount(kind, up[sent], minlength=len(words)), lens), minlength=1 << BITS)
+        gw = np.bincount(index, np.repeat(np.bincount(kind, up[sent], minlength=words), lens), minlength=1 << BITS)
         gw[~usable] = 0
         g2 += gw * gw
         step = rate / np.sqrt(g2)
