@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm import decontaminate, language, mixing, near_dedup, pii, quality, secret_scan, suffix_dedup, topk, toxicity
+from lumenflow.llm import decontaminate, divergence, exact_dedup, language, mixing, near_dedup, pii, quality, secret_scan, suffix_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -154,3 +154,49 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op7_pii")
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(_docs(spark, sf_dir))
+
+
+@_register(
+    "op11_exact_dedup",
+    r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM t
+""",
+)
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.unhex(exact_dedup.digest(F.col("text"))).alias("digest")
+    rows = exact_dedup.classes(_docs(spark, sf_dir), [F.col("doc_id"), digest])
+    return rows.select("row_.doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("row_.digest")).alias("text_sha256"))
+
+
+@_register(
+    "op12_source_divergence",
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS m FROM x GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM x GROUP BY 1, 2, 3),
+k AS (SELECT g.lang, g.source, v.term, v.m, coalesce(c.n, 0) AS n
+      FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+z AS (SELECT *, CAST(sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source) AS HUGEINT) AS own,
+             CAST(sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang, source) AS HUGEINT) AS whole FROM k),
+p AS (SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 1)) // own AS p,
+             1 + (CAST(1000000000 AS HUGEINT) * (m + 1)) // whole AS q FROM z),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+""",
+)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_docs(spark, sf_dir))
