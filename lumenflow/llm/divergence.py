@@ -3,9 +3,10 @@
 A plain relational plan: terms are exploded and counted by group (lang, source), groups meet their language's kept
 vocabulary so that absent terms count 0, each group meets the others by language and term, and windows rank the sums.
 
-Only counts are shuffled, never texts: occurrences and documents of a term are summed within each task first. A language's
-vocabulary meets the groups in ``SPREAD`` parts of their own keys, so that a language with most of the rows is spread over
-tasks. Of the terms of a group each task sends on only the first ranks.
+Only counts are shuffled, never texts: occurrences and documents of a term are summed within each task first. The kept terms'
+counts are a stored table of the groups that have them; zeros exist only while the groups meet. A language's vocabulary meets
+the groups in ``SPREAD`` parts of their own keys, so that a language with most of the rows is spread over tasks. Of the terms
+of a group each task sends on only the first ranks.
 
 Defined results: null text, lang and source count as ''; a group without terms gives every kept term with count 0; a
 language that keeps no term (V = 0) gives pairs of value 0 and no terms; a group without other sources of its language has
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenflow.checkpoints import cut
+from lumenflow.checkpoints import cut, stored
 
 #: Parts of a language's vocabulary, each of which meets the language's groups under a key of its own.
 SPREAD = 64
@@ -27,25 +28,29 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def terms(text: Column) -> Column:
-    """Runs of letters and of characters beyond ASCII; only A-Z are lower-cased."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    """Runs of letters and of characters beyond ASCII, found as what is left between runs of others; only A-Z are lower-cased."""
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), "")
+
+
+def _blank(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, d): occurrences and documents; a null term where a document has none."""
-    blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    words = docs.select(*blank, terms(F.coalesce("text", F.lit(""))).alias("w"))
+    """(lang, source, term, n, d): occurrences and documents. Each task sums first; all groups' counts of a term meet in one
+    task, where those of a language follow without another shuffle."""
+    words = docs.select(_blank("lang"), _blank("source"), terms(F.coalesce("text", F.lit(""))).alias("w"))
     # first all words, then each of them once: one explode gives occurrences and documents
     both = words.select("lang", "source", F.size("w").alias("k"), F.concat("w", F.array_distinct("w")).alias("w"))
-    rows = both.select("lang", "source", "k", F.posexplode_outer("w").alias("at", "term"))
-    n = F.sum(F.when(F.col("at") < F.col("k"), 1).otherwise(0)).alias("n")
-    d = F.sum(F.when(F.col("at") >= F.col("k"), 1).otherwise(0)).alias("d")
-    return rows.groupBy("lang", "source", "term").agg(n, d)
+    rows = both.select("lang", "source", "k", F.posexplode("w").alias("at", "term"))
+    once = F.when(F.col("at") < F.col("k"), 1).otherwise(0)
+    return rows.groupBy("lang", "source", "term").agg(F.sum(once).alias("n"), F.sum(1 - once).alias("d"))
 
 
 def _share(n: str, total: str, scale: int) -> Column:
-    """1 + floor(scale * (n + 1) / total), exactly."""
-    return F.expr(f"1 + ({scale}BD * ({n} + 1)) div {total}")
+    """1 + floor(scale * (n + 1) / total), exactly: in decimals where 64 bits don't hold the product."""
+    fits = 2**63 // scale - 2
+    return F.expr(f"1 + if({n} < {fits}L, ({scale}L * ({n} + 1)) div {total}, ({scale}BD * ({n} + 1)) div {total})")
 
 
 def _gap(p: str, q: str) -> Column:
@@ -55,33 +60,34 @@ def _gap(p: str, q: str) -> Column:
 def audit(docs: DataFrame, min_docs: int = 3, most: int = 200, scale: int = 1_000_000_000) -> DataFrame:
     """Rows (lang, source, part, item, value, rank): of part ``pair`` for each other source, of part ``term`` for the
     ``most`` terms that the group uses most beyond its language."""
-    counted = cut(counts(docs))
     of_term = Window.partitionBy("lang", "term")
-    kept = cut(
-        counted.where("term is not null")
-        .select("lang", "source", "term", "n", F.sum("d").over(of_term).alias("docs"), F.sum("n").over(of_term).alias("m"), F.row_number().over(of_term.orderBy("source")).alias("nr"))
+    kept = stored(
+        counts(docs)
+        .select("*", F.sum("d").over(of_term).alias("docs"), F.sum("n").over(of_term).alias("m"), F.row_number().over(of_term.orderBy("source")).alias("nr"))
         .where(F.col("docs") >= min_docs)
+        .select("lang", "source", "term", "n", "m", "nr"),
+        "vocabulary",
     )
     groups = cut(
-        counted.select("lang", "source").distinct()
+        docs.select(_blank("lang"), _blank("source")).distinct()
         .join(kept.groupBy("lang", "source").agg(F.sum("n").alias("own")), ["lang", "source"], "left")
         .join(kept.groupBy("lang").agg(F.sum("n").alias("whole"), F.count_if(F.col("nr") == 1).alias("v")), "lang", "left")
         .select("lang", "source", (F.coalesce("own", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("own"), (F.col("whole") + F.col("v")).alias("whole"), F.coalesce("v", F.lit(0)).alias("v"))
     )
-    part = F.pmod(F.xxhash64("term"), F.lit(SPREAD)).cast("int")
-    vocabulary = kept.where("nr = 1").select("lang", "term", "m", part.alias("part"))
-    spread = groups.where("v > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    every = vocabulary.join(spread, ["lang", "part"]).select("lang", "source", "term", "m", "own", "whole")
-    dense = cut(
+    # every group with every kept term of its language
+    part = F.pmod(F.xxhash64("term"), F.lit(SPREAD)).cast("int").alias("part")
+    spread = groups.where("v > 0").select("lang", "source", "own", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    every = kept.where("nr = 1").select("lang", "term", part).join(spread, ["lang", "part"]).select("lang", "source", "term", "own")
+    dense = (
         every.join(kept.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
-        .select("lang", "source", "term", "n", _share("n", "own", scale).alias("p"), _share("m", "whole", scale).alias("q"))
+        .select("lang", "term", "source", "own", F.coalesce("n", F.lit(0)).alias("n"))
+        .select("lang", "term", "source", _share("n", "own", scale).alias("p"))
+        .repartition("lang", "term")  # named, so that both sides below are one shuffle
     )
-    one = dense.select("lang", "term", "source", "p")
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("r"))
+    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
     pairs = (
-        one.join(other, ["lang", "term"]).where("source <> item")
-        .groupBy("lang", "source", "item").agg(F.sum(_gap("p", "r")).alias("value"))
+        dense.join(other, ["lang", "term"]).where("source <> item")
+        .groupBy("lang", "source", "item").agg(F.sum(_gap("p", "q")).alias("value"))
     )
     bare = groups.where("v = 0").select("lang", "source")
     pairs = pairs.unionByName(
@@ -89,5 +95,6 @@ def audit(docs: DataFrame, min_docs: int = 3, most: int = 200, scale: int = 1_00
     )
     ranks = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     ranked = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(ranks).alias("rank"))
-    above = dense.where("n > 0 and p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap("p", "q").alias("value"))
+    shares = kept.join(groups, ["lang", "source"]).select("lang", "source", "term", _share("n", "own", scale).alias("p"), _share("m", "whole", scale).alias("q"))
+    above = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap("p", "q").alias("value"))
     return ranked.unionByName(above.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= most))
