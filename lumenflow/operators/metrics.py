@@ -34,6 +34,11 @@ def auc(v: DataFrame, by: list[str], score: str, truth: str) -> DataFrame:
     samples of any size need one row per distinct score in the window.
     """
     per = v.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(truth).cast("int")).alias("p"))
+    return auc_of_counts(per, by, score)
+
+
+def auc_of_counts(per: DataFrame, by: list[str], score: str) -> DataFrame:
+    """The same from counts: ``per`` holds (by.., score, n, p), rows and positive ones of each distinct score."""
     w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     ranked = per.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2.0)
     pos, total = F.sum("p"), F.sum("n")

@@ -48,6 +48,23 @@ def band_scores(cum: DataFrame, totals: DataFrame, by: list[str], grid: DataFram
     return pairs.groupBy("lo", "hi").agg(F.avg(dice).alias("mean_dice"))
 
 
+def exact_dice(both: str, pred: str, truth: str) -> Column:
+    """Overlap of counts in billionths, rounded down: a whole number, so that sums over samples don't depend on their order."""
+    return F.expr(f"(2000000000BD * {both}) div greatest(1, {pred} + {truth})")
+
+
+def exact_band_scores(cum: DataFrame, totals: DataFrame, sample: str, bands: DataFrame) -> DataFrame:
+    """Summed overlap over the samples of each band, in billionths: ``bands`` are (group.., lo, hi), the columns of ``bands`` but the
+    edges name the groups; ``cum`` are (group.., sample, edge, cn, cg), ``totals`` (group.., sample, truth)."""
+    group = [c for c in bands.columns if c not in ("lo", "hi")]
+    by = [*group, sample]
+    lo = cum.select(*by, F.col("edge").alias("lo"), F.col("cn").alias("n0"), F.col("cg").alias("g0"))
+    hi = cum.select(*by, F.col("edge").alias("hi"), F.col("cn").alias("n1"), F.col("cg").alias("g1"))
+    pairs = bands.join(lo, [*group, "lo"]).join(hi, [*by, "hi"]).join(totals, by)
+    each = pairs.select(*group, "lo", "hi", exact_dice("(g1 - g0)", "(n1 - n0)", "truth").alias("score"))
+    return each.groupBy(*group, "lo", "hi").agg(F.sum("score").alias("score"))
+
+
 def upper_triangle(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n + 1).select(F.col("id").cast("int").alias("lo")).select("lo", F.explode(F.sequence(F.col("lo") + 1, F.lit(n + 1))).alias("hi")).where(F.col("hi") <= n)
 
