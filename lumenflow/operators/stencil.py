@@ -45,6 +45,16 @@ def neighbour_counts(mask: DataFrame, connectivity: int = 26, by: list[str] | No
     return mask.join(n, [*by, "vid"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
 
 
+def neighbour_counts_replicated(mask: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """Neighbours of each voxel of a mask as a 3x3x3 filter counts them that repeats the volume's border outwards: a voxel at
+    the border meets its own face, edge or corner again."""
+    steps = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("ijk", o, strict=True)]) for o in offsets(26)])
+    near = mask.select("vid", "i", "j", "k", F.explode(steps).alias("o"))
+    at = [F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(c) + F.col(f"o.{c}"))).alias(c) for c, n in zip("ijk", shape, strict=True)]
+    hit = near.select("vid", *at).join(mask.select("i", "j", "k"), ["i", "j", "k"]).groupBy("vid").agg(F.count("*").alias("degree"))
+    return mask.join(hit, "vid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
 def _line(axis: str, by: list[str]) -> Window:
     return Window.partitionBy(*by, *[c for c in "ijk" if c != axis]).orderBy(axis)
 

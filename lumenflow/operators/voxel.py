@@ -251,6 +251,13 @@ def bezier(spark: SparkSession, points: list[tuple[float, float, float]], sample
     return t.select("t", *[at(a).alias(c) for a, c in enumerate("xyz")])
 
 
+def bezier_curves(points: DataFrame, samples: int = 2000) -> DataFrame:
+    """Points (x, y, z) of the cubic curves of a table, a row of control points x0 .. z3 each."""
+    t = (F.col("_s") / (samples - 1)).alias("t")
+    at = lambda c: F.expr(f"(1-t)*(1-t)*(1-t)*{c}0 + 3*(1-t)*(1-t)*t*{c}1 + 3*(1-t)*t*t*{c}2 + t*t*t*{c}3").alias(c)
+    return points.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).select("*", t).select(*[at(c) for c in "xyz"])
+
+
 def tube(v: DataFrame, curve: DataFrame, radius: float) -> DataFrame:
     """Voxels within a radius of a sampled curve, with the least squared distance: curve points are dealt to the voxels of
     their bounding cubes, so that the join is on equal voxels."""

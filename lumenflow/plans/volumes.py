@@ -1,4 +1,8 @@
-"""Queries on synthetic volumes: masks, stencils, distance transforms, tiling, resampling and shapes."""
+"""Queries on volumes that are made of the driver's lines: masks, stencils, distance transforms, tiling, resampling, shapes.
+
+A volume is n voxels wide and high; its depth grows with the orders. A voxel's value is the largest discount of its lines,
+its ``q`` their smallest quantity; voxels without a line hold zeros.
+"""
 
 from __future__ import annotations
 
@@ -9,29 +13,44 @@ from pyspark.sql import functions as F
 
 from lumenflow.operators import distance, graph, metrics, spatial, stencil, voxel
 from lumenflow.plans.catalog import query
+from lumenflow.session import table
 
 
 def _v(n: int) -> str:
-    return f"v AS (SELECT range AS vid, CAST(range % {n} AS INT) AS i, CAST(range // {n} % {n} AS INT) AS j, CAST(range // {n * n} AS INT) AS k FROM range({n**3}))"
+    place = f"l_partkey % {n} + {n} * (l_suppkey % {n} + {n} * (l_orderkey // {n * n}))"
+    return f"""cells AS (SELECT unnest(range({n * n} * (SELECT max(l_orderkey) // {n * n} + 1 FROM lineitem))) AS vid),
+lines AS (SELECT {place} AS vid, max(l_discount) * 10 AS value, CAST(min(l_quantity) AS INT) AS q FROM lineitem GROUP BY 1),
+v AS (SELECT cells.vid, CAST(cells.vid % {n} AS INT) AS i, CAST(cells.vid // {n} % {n} AS INT) AS j, CAST(cells.vid // {n * n} AS INT) AS k, coalesce(lines.value, 0.0::DOUBLE) AS value, coalesce(lines.q, 0) AS q
+      FROM cells LEFT JOIN lines USING (vid))"""
+
+
+def _depth(spark: SparkSession, sf: str, n: int) -> int:
+    return table(spark, sf, "lineitem").agg(F.expr(f"max(l_orderkey) div {n * n} + 1")).first()[0]
 
 
-_TUBE = "(i - 16) * (i - 16) + (j - 16) * (j - 16) <= 9"
-_TWO = "((i - 8) * (i - 8) + (j - 8) * (j - 8) <= 9 OR ((i - 3) * (i - 3) + (k - 12) * (k - 12) <= 2 AND j <= 3))"
-_BAR = "(i BETWEEN 2 AND 13 AND j BETWEEN 7 AND 9 AND k = 8)"
-_LINE = "((i = 8 AND j = 8) OR (i = k AND j = 3 AND k < 9) OR (k = 5 AND j = 8 AND i > 8))"
-_FIELD = "sin(0.3 * i) + cos(0.2 * j) + 0.01 * k"
+def _grid(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    at = voxel.vid(F.col("l_partkey") % n, F.col("l_suppkey") % n, F.expr(f"l_orderkey div {n * n}"), n, n)
+    x = table(spark, sf, "lineitem").groupBy(at.alias("vid")).agg((F.max("l_discount") * 10).alias("value"), F.min("l_quantity").cast("int").alias("q"))
+    return voxel.grid(spark, n, n, _depth(spark, sf, n)).join(x, "vid", "left").fillna(0, ["value", "q"])
 
 
-def _grid(spark: SparkSession, n: int) -> DataFrame:
-    return voxel.grid(spark, n, n, n)
+def _masked(spark: SparkSession, sf: str, n: int, where: str) -> DataFrame:
+    return _grid(spark, sf, n).where(where)
 
 
-def _masked(spark: SparkSession, n: int, where: str) -> DataFrame:
-    return _grid(spark, n).where(where)
+#: About two thirds of the voxels, and about a ninth of them.
+_DENSE, _SPARSE = "q >= 6", "q >= 22"
+_TUBE = "((i - 16) * (i - 16) + (j - 16) * (j - 16) <= 9 AND q >= 2)"
+_TWO = "(((i - 8) * (i - 8) + (j - 8) * (j - 8) <= 9 OR ((i - 3) * (i - 3) + (k % 16 - 12) * (k % 16 - 12) <= 2 AND j <= 3)) AND q >= 2)"
+_A, _B = "(q BETWEEN 4 AND 24)", "(value BETWEEN 0.35 AND 0.85)"
+_FIELD = "value + 0.3 * sin(0.37 * vid)"
+#: Windows along the axes.
+_WIN = "WINDOW wi AS (PARTITION BY j, k ORDER BY i), wj AS (PARTITION BY i, k ORDER BY j), wk AS (PARTITION BY i, j ORDER BY k)"
+_F = f"{_v(16)}, f AS (SELECT vid, i, j, k, {_FIELD} AS value, q FROM v)"
 
 
-def _field(spark: SparkSession, n: int = 16) -> DataFrame:
-    return _grid(spark, n).withColumn("value", F.expr(_FIELD))
+def _field(spark: SparkSession, sf: str) -> DataFrame:
+    return _grid(spark, sf, 16).withColumn("value", F.expr(_FIELD))
 
 
 def _r(c: str, digits: int = 6):
@@ -49,174 +68,179 @@ o AS (SELECT a.x AS di, b.x AS dj, c.x AS dk FROM (SELECT range - 1 AS x FROM ra
 e AS (SELECT s.vid AS src, t.vid AS dst FROM s, o JOIN s t ON t.i = s.i + di AND t.j = s.j + dj AND t.k = s.k + dk)"""
 
 
-@query("mask_label", f"WITH {_v(32)} SELECT count(*) AS n FROM v WHERE {_TUBE}")
+@query("mask_label", f"WITH {_v(32)} SELECT k, count(*) AS n FROM v WHERE {_TUBE} GROUP BY 1")
 def mask_label(spark: SparkSession, sf: str) -> DataFrame:
-    v = _grid(spark, 32).withColumn("value", F.when(F.expr(_TUBE), 2).otherwise(0))
-    return voxel.label_mask(v, 2).agg(F.count("*").alias("n"))
+    v = _grid(spark, sf, 32).withColumn("value", F.when(F.expr(_TUBE), 2).otherwise(0))
+    return voxel.label_mask(v, 2).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query("bbox_crop", f"WITH {_v(32)}, b AS (SELECT min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM v WHERE {_TUBE}) SELECT i - i0 AS i, j - j0 AS j, count(*) AS n FROM v, b WHERE i BETWEEN i0 AND i1 AND j BETWEEN j0 AND j1 GROUP BY 1, 2")
+@query("bbox_crop", f"WITH {_v(32)}, w AS (SELECT *, k // 4 AS sample FROM v), b AS (SELECT sample, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1, min(k) AS k0, max(k) AS k1 FROM w WHERE q >= 40 GROUP BY 1) SELECT CAST(sample AS INT) AS sample, i - i0 AS i, j - j0 AS j, k - k0 AS k, q FROM w JOIN b USING (sample) WHERE i BETWEEN i0 AND i1 AND j BETWEEN j0 AND j1 AND k BETWEEN k0 AND k1")
 def bbox_crop(spark: SparkSession, sf: str) -> DataFrame:
-    v = _grid(spark, 32).withColumn("sample", F.lit("a"))
-    return voxel.crop(v, v.where(_TUBE), ["sample"]).groupBy("i", "j").agg(F.count("*").alias("n"))
+    v = _grid(spark, sf, 32).withColumn("sample", F.expr("cast(k div 4 as int)"))
+    return voxel.crop(v, v.where("q >= 40"), ["sample"]).select("sample", "i", "j", "k", "q")
 
 
-@query("box_between_points", f"WITH {_v(32)} SELECT count(*) AS n, min(vid) AS lo, max(vid) AS hi FROM v WHERE i BETWEEN 0 AND 22 AND j BETWEEN 10 AND 32 AND k BETWEEN 3 AND 31")
+@query("box_between_points", f"WITH {_v(32)} SELECT count(*) AS n, min(vid) AS lo, max(vid) AS hi, CAST(sum(q) AS BIGINT) AS total FROM v WHERE i BETWEEN 0 AND 22 AND j BETWEEN 10 AND 32 AND k BETWEEN 3 AND 31")
 def box_between_points(spark: SparkSession, sf: str) -> DataFrame:
-    return voxel.box_between(_grid(spark, 32), (5, 20, 13), (12, 22, 25)).agg(F.count("*").alias("n"), F.min("vid").alias("lo"), F.max("vid").alias("hi"))
+    return voxel.box_between(_grid(spark, sf, 32), (5, 20, 13), (12, 22, 25)).agg(F.count("*").alias("n"), F.min("vid").alias("lo"), F.max("vid").alias("hi"), F.sum("q").alias("total"))
 
 
-@query("pad_to_size", f"WITH {_v(16)} SELECT k, CAST(sum(CASE WHEN i < 12 AND j < 12 AND k < 12 THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS total, count(*) AS n FROM v GROUP BY 1")
+@query("pad_to_size", f"WITH {_v(16)}, n AS (SELECT max(k) + 1 AS n FROM v), g AS (SELECT range AS k FROM range((SELECT n + 3 FROM n))) SELECT CAST(g.k AS INT) AS k, CAST(count(*) FILTER (WHERE v.i < 12 AND v.j < 12 AND q >= 6) AS BIGINT) AS held, CAST(256 AS BIGINT) AS n FROM g LEFT JOIN v ON v.k = g.k GROUP BY 1")
 def pad_to_size(spark: SparkSession, sf: str) -> DataFrame:
-    small = _grid(spark, 12).withColumn("value", F.lit(1.0))
-    return voxel.pad(spark, small, (16, 16, 16)).groupBy("k").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+    small = _masked(spark, sf, 16, f"i < 12 AND j < 12 AND {_DENSE}").withColumn("value", F.lit(1.0))
+    return voxel.pad(spark, small, (16, 16, _depth(spark, sf, 16) + 3)).groupBy("k").agg(F.sum("value").cast("long").alias("held"), F.count("*").alias("n"))
 
 
-@query("flip_axis", f"WITH {_v(16)} SELECT 15 - i AS i, j, k FROM v WHERE {_TWO}")
+@query("flip_axis", f"WITH {_v(16)} SELECT 15 - i AS i, j, k, q FROM v WHERE {_TWO}")
 def flip_axis(spark: SparkSession, sf: str) -> DataFrame:
-    return voxel.flip(_masked(spark, 16, _TWO), "i", 16).select("i", "j", "k")
-
-
-_A, _B = "(i - 8) * (i - 8) + (j - 8) * (j - 8) <= 9", "(i - 10) * (i - 10) + (k - 8) * (k - 8) <= 9"
+    return voxel.flip(_masked(spark, sf, 16, _TWO), "i", 16).select("i", "j", "k", "q")
 
 
 @query("mask_union", f"WITH {_v(16)} SELECT vid FROM v WHERE {_A} UNION SELECT vid FROM v WHERE {_B}")
 def mask_union(spark: SparkSession, sf: str) -> DataFrame:
-    return voxel.union(_masked(spark, 16, _A), _masked(spark, 16, _B))
+    return voxel.union(_masked(spark, sf, 16, _A), _masked(spark, sf, 16, _B))
 
 
 @query("mask_intersect", f"WITH {_v(16)} SELECT vid FROM v WHERE {_A} INTERSECT SELECT vid FROM v WHERE {_B}")
 def mask_intersect(spark: SparkSession, sf: str) -> DataFrame:
-    return voxel.intersect(_masked(spark, 16, _A), _masked(spark, 16, _B))
+    return voxel.intersect(_masked(spark, sf, 16, _A), _masked(spark, sf, 16, _B))
 
 
 @query("mask_except", f"WITH {_v(16)} SELECT vid FROM v WHERE {_A} EXCEPT SELECT vid FROM v WHERE {_B}")
 def mask_except(spark: SparkSession, sf: str) -> DataFrame:
-    return voxel.difference(_masked(spark, 16, _A), _masked(spark, 16, _B))
+    return voxel.difference(_masked(spark, sf, 16, _A), _masked(spark, sf, 16, _B))
 
 
 @query("mask_painter", f"WITH {_v(16)} SELECT vid, CAST(CASE WHEN {_B} THEN 3 WHEN {_A} THEN 2 ELSE 1 END AS INT) AS label FROM v WHERE i > 2")
 def mask_painter(spark: SparkSession, sf: str) -> DataFrame:
-    base = _masked(spark, 16, "i > 2")
+    base = _masked(spark, sf, 16, "i > 2")
     return voxel.paint((base, 1), (base.where(_A), 2), (base.where(_B), 3))
 
 
-@query("binary_closing", f"WITH {_v(16)} SELECT vid FROM v WHERE i BETWEEN 4 AND 11 AND j BETWEEN 4 AND 11 AND k BETWEEN 4 AND 11")
+_SIX = "o AS (SELECT * FROM (VALUES (0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(di, dj, dk))"
+
+
+@query(
+    "binary_closing",
+    f"""WITH {_v(16)}, {_SIX}, m AS (SELECT i, j, k FROM v WHERE {_SPARSE}), d AS (SELECT DISTINCT i + di AS i, j + dj AS j, k + dk AS k FROM m, o)
+SELECT a.i, a.j, a.k FROM d a, o JOIN d b ON b.i = a.i + di AND b.j = a.j + dj AND b.k = a.k + dk GROUP BY 1, 2, 3 HAVING count(*) = 7""",
+)
 def binary_closing(spark: SparkSession, sf: str) -> DataFrame:
-    """A block with a one-voxel hole is closed to the whole block."""
-    m = _masked(spark, 16, "i BETWEEN 4 AND 11 AND j BETWEEN 4 AND 11 AND k BETWEEN 4 AND 11 AND NOT (i = 7 AND j = 7 AND k = 7)")
-    return voxel.closing(m, stencil.offsets(6)).select(voxel.vid(F.col("i"), F.col("j"), F.col("k"), 16, 16).alias("vid"))
+    return voxel.closing(_masked(spark, sf, 16, _SPARSE), stencil.offsets(6)).select("i", "j", "k")
 
 
-@query("fill_holes", f"WITH {_v(16)} SELECT vid FROM v WHERE i BETWEEN 4 AND 11 AND j BETWEEN 4 AND 11 AND k BETWEEN 4 AND 11")
+@query(
+    "fill_holes",
+    f"""WITH RECURSIVE {_v(16)}, {_EDGES.format(mask=f"NOT ({_DENSE})", most=1)}, z AS (SELECT max(k) AS z FROM v),
+r(id) AS (SELECT vid FROM s, z WHERE i IN (0, 15) OR j IN (0, 15) OR k IN (0, z) UNION SELECT e.dst FROM r JOIN e ON e.src = r.id)
+SELECT vid FROM v WHERE {_DENSE} UNION SELECT vid FROM s WHERE vid NOT IN (SELECT id FROM r)""",
+)
 def fill_holes(spark: SparkSession, sf: str) -> DataFrame:
     """Background components that don't touch the border are filled."""
-    v = _grid(spark, 16)
-    solid = "(i BETWEEN 4 AND 11 AND j BETWEEN 4 AND 11 AND k BETWEEN 4 AND 11 AND NOT (i BETWEEN 6 AND 8 AND j = 7 AND k = 7))"
-    out = v.where(f"NOT {solid}")
+    v = _grid(spark, sf, 16)
+    out = v.where(f"NOT ({_DENSE})")
     e = stencil.neighbour_edges(out, 6).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     comp = graph.components_of(out.select(F.col("vid").alias("id")), e).withColumnRenamed("id", "vid")
-    border = reduce(lambda a, b: a | b, [F.col(c).isin(0, 15) for c in "ijk"])
+    border = F.col("i").isin(0, 15) | F.col("j").isin(0, 15) | F.col("k").isin(0, _depth(spark, sf, 16) - 1)
     open_ = out.where(border).join(comp, "vid").select("component").distinct()
-    return v.where(solid).select("vid").union(comp.join(open_, "component", "left_anti").select("vid"))
+    return v.where(_DENSE).select("vid").union(comp.join(open_, "component", "left_anti").select("vid"))
 
 
-@query("skeleton_edges", f"WITH {_v(16)}, {_EDGES.format(mask=_LINE, most=3)} SELECT src, dst FROM e WHERE src < dst")
+@query("skeleton_edges", f"WITH {_v(16)}, {_EDGES.format(mask=_SPARSE, most=3)} SELECT src, dst FROM e WHERE src < dst")
 def skeleton_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return stencil.neighbour_edges(_masked(spark, 16, _LINE))
+    return stencil.neighbour_edges(_masked(spark, sf, 16, _SPARSE))
 
 
 @query("neighbor_degree", f"WITH {_v(16)}, {_EDGES.format(mask=_TWO, most=3)} SELECT s.vid, count(e.dst) AS degree FROM s LEFT JOIN e ON e.src = s.vid GROUP BY 1")
 def neighbor_degree(spark: SparkSession, sf: str) -> DataFrame:
-    return stencil.neighbour_counts(_masked(spark, 16, _TWO)).select("vid", "degree")
+    return stencil.neighbour_counts(_masked(spark, sf, 16, _TWO)).select("vid", "degree")
 
 
 @query("neighbor_degree_6", f"WITH {_v(16)}, {_EDGES.format(mask=_TWO, most=1)} SELECT s.vid, count(e.dst) AS degree FROM s LEFT JOIN e ON e.src = s.vid GROUP BY 1")
 def neighbor_degree_6(spark: SparkSession, sf: str) -> DataFrame:
-    return stencil.neighbour_counts(_masked(spark, 16, _TWO), 6).select("vid", "degree")
+    return stencil.neighbour_counts(_masked(spark, sf, 16, _TWO), 6).select("vid", "degree")
+
 
+@query("neighbor_degree_replicated", f"WITH {_v(16)}, m AS (SELECT * FROM v WHERE {_TWO}), z AS (SELECT max(k) AS z FROM v), o AS (SELECT a.x AS di, b.x AS dj, c.x AS dk FROM (SELECT range - 1 AS x FROM range(3)) a, (SELECT range - 1 AS x FROM range(3)) b, (SELECT range - 1 AS x FROM range(3)) c), h AS (SELECT m.vid, t.vid AS near FROM m, z, o LEFT JOIN m t ON t.i = least(greatest(m.i + di, 0), 15) AND t.j = least(greatest(m.j + dj, 0), 15) AND t.k = least(greatest(m.k + dk, 0), z)) SELECT vid, count(near) - 1 AS degree FROM h GROUP BY 1")
+def neighbor_degree_replicated(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours as a filter counts them that repeats the volume's border voxels outwards."""
+    return stencil.neighbour_counts_replicated(_masked(spark, sf, 16, _TWO), (16, 16, _depth(spark, sf, 16))).select("vid", "degree")
 
-@query("bifurcations", f"WITH {_v(16)}, {_EDGES.format(mask=_LINE, most=3)} SELECT src AS vid, count(*) AS degree FROM e GROUP BY 1 HAVING count(*) >= 3")
+
+@query("bifurcations", f"WITH {_v(16)}, {_EDGES.format(mask=_SPARSE, most=3)} SELECT src AS vid, count(*) AS degree FROM e GROUP BY 1 HAVING count(*) >= 3")
 def bifurcations(spark: SparkSession, sf: str) -> DataFrame:
-    return stencil.neighbour_counts(_masked(spark, 16, _LINE)).where("degree >= 3").select("vid", "degree")
+    return stencil.neighbour_counts(_masked(spark, sf, 16, _SPARSE)).where("degree >= 3").select("vid", "degree")
 
 
-@query("leaf_nodes", f"WITH {_v(16)}, {_EDGES.format(mask=_LINE, most=3)} SELECT s.vid FROM s LEFT JOIN e ON e.src = s.vid GROUP BY 1 HAVING count(e.dst) <= 1")
+@query("leaf_nodes", f"WITH {_v(16)}, {_EDGES.format(mask=_SPARSE, most=3)} SELECT s.vid FROM s LEFT JOIN e ON e.src = s.vid GROUP BY 1 HAVING count(e.dst) <= 1")
 def leaf_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    m = _masked(spark, 16, _LINE)
+    m = _masked(spark, sf, 16, _SPARSE)
     return graph.leaves(m.select(F.col("vid").alias("id")), stencil.neighbour_edges(m)).select(F.col("id").alias("vid"))
 
 
-@query("degree_hist", f"WITH {_v(16)}, {_EDGES.format(mask=_LINE, most=3)}, d AS (SELECT s.vid, count(e.dst) AS degree FROM s LEFT JOIN e ON e.src = s.vid GROUP BY 1) SELECT degree, count(*) AS n FROM d GROUP BY 1")
+@query("degree_hist", f"WITH {_v(16)}, {_EDGES.format(mask=_SPARSE, most=3)}, d AS (SELECT s.vid, count(e.dst) AS degree FROM s LEFT JOIN e ON e.src = s.vid GROUP BY 1) SELECT degree, count(*) AS n FROM d GROUP BY 1")
 def degree_hist(spark: SparkSession, sf: str) -> DataFrame:
-    m = _masked(spark, 16, _LINE)
+    m = _masked(spark, sf, 16, _SPARSE)
     return graph.degrees(m.select(F.col("vid").alias("id")), stencil.neighbour_edges(m)).groupBy("degree").agg(F.count("*").alias("n"))
 
 
 @query(
     "component_island_filter",
-    f"""WITH RECURSIVE {_v(16)}, {_EDGES.format(mask="(" + _TWO + " OR (i > 12 AND j > 13 AND k < 3))", most=1)},
+    f"""WITH RECURSIVE {_v(16)}, {_EDGES.format(mask=_SPARSE, most=1)},
 r(a, b) AS (SELECT vid, vid FROM s UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b), c AS (SELECT a AS id, min(b) AS component FROM r GROUP BY 1)
-SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM c QUALIFY count(*) OVER (PARTITION BY component) >= 20""",
+SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM c QUALIFY count(*) OVER (PARTITION BY component) >= 4""",
 )
 def component_island_filter(spark: SparkSession, sf: str) -> DataFrame:
-    m = _masked(spark, 16, "(" + _TWO + " OR (i > 12 AND j > 13 AND k < 3))")
+    m = _masked(spark, sf, 16, _SPARSE)
     e = stencil.neighbour_edges(m, 6).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return graph.island_filter(m.select(F.col("vid").alias("id")), e, 20)
-
-
-def _f(di: int = 0, dj: int = 0, dk: int = 0) -> str:
-    return f"(sin(0.3 * (i + {di})) + cos(0.2 * (j + {dj})) + 0.01 * (k + {dk}))".replace("+ -", "- ")
+    return graph.island_filter(m.select(F.col("vid").alias("id")), e, 4)
 
 
-def _c1(axis: str, inner: str = "") -> str:
-    d = {"i": (1, 0, 0), "j": (0, 1, 0), "k": (0, 0, 1)}[axis]
-    return f"CASE WHEN {axis} IN (0, 15) THEN 0 ELSE ({_f(*d)} - {_f(*[-x for x in d])}) / 2 END"
+def _c1(axis: str, value: str = "value") -> str:
+    return f"coalesce((lead({value}) OVER w{axis} - lag({value}) OVER w{axis}) / 2, 0)"
 
 
-def _c2(axis: str) -> str:
-    d = {"i": (1, 0, 0), "j": (0, 1, 0), "k": (0, 0, 1)}[axis]
-    return f"CASE WHEN {axis} IN (0, 15) THEN 0 ELSE {_f(*d)} - 2 * {_f()} + {_f(*[-x for x in d])} END"
-
-
-@query("gradient_central", f"WITH {_v(16)} SELECT vid, {', '.join(_sql_r(_c1(a), f'd{a}') for a in 'ijk')} FROM v")
+@query("gradient_central", f"WITH {_F} SELECT vid, {', '.join(_sql_r(_c1(a), f'd{a}') for a in 'ijk')} FROM f {_WIN}")
 def gradient_central(spark: SparkSession, sf: str) -> DataFrame:
-    v = _field(spark)
+    v = _field(spark, sf)
     for a in "ijk":
         v = stencil.central(v, a)
     return v.select("vid", *[_r(f"d{a}") for a in "ijk"])
 
 
-def _g1(axis: str) -> str:
-    d = {"i": (1, 0, 0), "j": (0, 1, 0), "k": (0, 0, 1)}[axis]
-    m = [-x for x in d]
-    return f"CASE WHEN {axis} = 0 THEN {_f(*d)} - {_f()} WHEN {axis} = 15 THEN {_f()} - {_f(*m)} ELSE ({_f(*d)} - {_f(*m)}) / 2 END / 0.5"
+def _g1(axis: str, value: str = "value") -> str:
+    nxt, last = f"lead({value}) OVER w{axis}", f"lag({value}) OVER w{axis}"
+    return f"CASE WHEN {nxt} IS NULL AND {last} IS NULL THEN 0 WHEN {nxt} IS NULL THEN {value} - {last} WHEN {last} IS NULL THEN {nxt} - {value} ELSE ({nxt} - {last}) / 2 END"
 
 
-@query("gradient_onesided", f"WITH {_v(16)} SELECT vid, {', '.join(_sql_r(_g1(a), f'g{a}') for a in 'ijk')} FROM v")
+@query("gradient_onesided", f"WITH {_F} SELECT vid, {', '.join(_sql_r(f'({_g1(a)}) / 0.5', f'g{a}') for a in 'ijk')} FROM f {_WIN}")
 def gradient_onesided(spark: SparkSession, sf: str) -> DataFrame:
-    v = _field(spark)
+    v = _field(spark, sf)
     for a in "ijk":
         v = stencil.one_sided(v, a, 0.5)
     return v.select("vid", *[_r(f"g{a}") for a in "ijk"])
 
 
-@query("hessian_fd", f"WITH {_v(16)} SELECT vid, {', '.join(_sql_r(_c2(a), f'd{a}{a}') for a in 'ijk')}, 0.0::DOUBLE AS dij, 0.0::DOUBLE AS dik, 0.0::DOUBLE AS djk FROM v WHERE i BETWEEN 1 AND 14 AND j BETWEEN 1 AND 14 AND k BETWEEN 1 AND 14")
+_SECOND = ", ".join(f"coalesce(lead(value) OVER w{a} - 2 * value + lag(value) OVER w{a}, 0) AS d{a}{a}" for a in "ijk")
+_MIXED = ", ".join(f"{_c1(b, f'd{a}')} AS d{a}{b}" for a, b in ("ij", "ik", "jk"))
+_HESS = f"{_F}, h1 AS (SELECT *, {_c1('i')} AS di, {_c1('j')} AS dj FROM f {_WIN}), h AS (SELECT *, {_SECOND}, {_MIXED} FROM h1 {_WIN})"
+_SIXTH = ("ii", "jj", "kk", "ij", "ik", "jk")
+
+
+@query("hessian_fd", f"WITH {_HESS} SELECT vid, {', '.join(_sql_r(f'd{c}', f'd{c}') for c in _SIXTH)} FROM h")
 def hessian_fd(spark: SparkSession, sf: str) -> DataFrame:
-    """The field is a sum of terms of one axis each, so that inner mixed derivatives vanish."""
-    h = stencil.hessian(_field(spark)).where("i BETWEEN 1 AND 14 AND j BETWEEN 1 AND 14 AND k BETWEEN 1 AND 14")
-    return h.select("vid", *[_r(f"d{c}") for c in ("ii", "jj", "kk", "ij", "ik", "jk")])
+    return stencil.hessian(_field(spark, sf)).select("vid", *[_r(f"d{c}") for c in _SIXTH])
 
 
-@query("eig3_closed_form", f"WITH {_v(16)} SELECT vid, CAST(sum AS DOUBLE) AS trace, {_sql_r('CAST(prod AS DOUBLE)', 'det')}, {_sql_r('CAST(sq AS DOUBLE)', 'squares', 4)} FROM (SELECT vid, i + j + k AS sum, 1.0 * i * j * k - i * 4 - j * 1 - k * 9 + 2 * 3 * 1 * 2 AS prod, i * i + j * j + k * k + 2.0 * (9 + 1 + 4) AS sq FROM v)")
+@query("eig3_closed_form", f"WITH {_v(16)}, m AS (SELECT vid, value * 10 AS a, CAST(q AS DOUBLE) AS b, CAST(k % 7 AS DOUBLE) AS c FROM v) SELECT vid, {_sql_r('a + b + c', 'trace', 4)}, {_sql_r('a * b * c - b * 1 - a * 4 - c * 9 + 2 * 3 * 1 * 2', 'det', 4)}, {_sql_r('a * a + b * b + c * c + 2.0 * (9 + 1 + 4)', 'squares', 4)} FROM m")
 def eig3_closed_form(spark: SparkSession, sf: str) -> DataFrame:
     """Eigenvalues by their symmetric functions: sum, product and sum of squares of the matrix's trace, determinant and norm."""
     lit = F.lit
-    v = _grid(spark, 16)
-    e = stencil.eigen3(F.col("i") * 1.0, F.col("j") * 1.0, F.col("k") * 1.0, lit(3.0), lit(1.0), lit(2.0))
+    v = _grid(spark, sf, 16)
+    e = stencil.eigen3(F.col("value") * 10, F.col("q") * 1.0, (F.col("k") % 7) * 1.0, lit(3.0), lit(1.0), lit(2.0))
     v = v.select("vid", *[x.alias(f"l{n}") for n, x in enumerate(e)])
     s, p, q = F.expr("l0 + l1 + l2"), F.expr("l0 * l1 * l2"), F.expr("l0 * l0 + l1 * l1 + l2 * l2")
-    return v.select("vid", (F.round(s, 6) + 0.0).alias("trace"), (F.round(p, 6) + 0.0).alias("det"), (F.round(q, 4) + 0.0).alias("squares"))
+    return v.select("vid", (F.round(s, 4) + 0.0).alias("trace"), (F.round(p, 4) + 0.0).alias("det"), (F.round(q, 4) + 0.0).alias("squares"))
 
 
 def _vess(l1: str, l2: str, l3: str, c: str = "0.25") -> str:
@@ -226,254 +250,255 @@ def _vess(l1: str, l2: str, l3: str, c: str = "0.25") -> str:
     )
 
 
-_ORD = "l AS (SELECT vid, list_sort([abs(a) * 1e6 + 0.0, abs(b) * 1e6, abs(c) * 1e6]) AS _s, a, b, c FROM m)"
+_EIGEN = """n1 AS (SELECT *, (dii + djj + dkk) / 3 AS m FROM h),
+n2 AS (SELECT *, sqrt(((dii - m) * (dii - m) + (djj - m) * (djj - m) + (dkk - m) * (dkk - m) + 2 * (dij * dij + dik * dik + djk * djk)) / 6) AS p FROM n1),
+n3 AS (SELECT *, (dii - m) / p AS a, (djj - m) / p AS b, (dkk - m) / p AS c, dij / p AS d, dik / p AS e, djk / p AS g FROM n2),
+n4 AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (a * (b * c - g * g) - d * (d * c - g * e) + e * (d * g - b * e)) / 2))) / 3 AS phi FROM n3),
+n5 AS (SELECT *, m + 2 * p * cos(phi) AS x, m + 2 * p * cos(phi + 2 * pi() / 3) AS z FROM n4),
+n6 AS (SELECT *, list_sort([abs(x), abs(3 * m - x - z), abs(z)]) AS o, [x, 3 * m - x - z, z] AS w FROM n5),
+l AS (SELECT *, list_filter(w, lambda y: abs(y) = o[1])[1] AS l1, list_filter(w, lambda y: abs(y) = o[2])[1] AS l2, list_filter(w, lambda y: abs(y) = o[3])[1] AS l3 FROM n6)"""
 
 
-@query(
-    "vesselness_scale",
-    f"""WITH {_v(16)}, m AS (SELECT vid, {_c2('i')} AS a, {_c2('j')} AS b, {_c2('k')} AS c FROM v WHERE i BETWEEN 1 AND 14 AND j BETWEEN 1 AND 14 AND k BETWEEN 1 AND 14),
-o AS (SELECT vid, x, row_number() OVER (PARTITION BY vid ORDER BY abs(x)) AS r FROM (SELECT vid, unnest([a, b, c]) AS x FROM m)),
-l AS (SELECT vid, max(x) FILTER (WHERE r = 1) AS l1, max(x) FILTER (WHERE r = 2) AS l2, max(x) FILTER (WHERE r = 3) AS l3 FROM o GROUP BY 1)
-SELECT vid, {_sql_r(_vess('l1', 'l2', 'l3'), 'v', 5)} FROM l""",
-)
+@query("vesselness_scale", f"WITH {_HESS}, {_EIGEN} SELECT vid, {_sql_r(_vess('l1', 'l2', 'l3'), 'v', 5)} FROM l")
 def vesselness_scale(spark: SparkSession, sf: str) -> DataFrame:
-    h = stencil.hessian(_field(spark)).where("i BETWEEN 1 AND 14 AND j BETWEEN 1 AND 14 AND k BETWEEN 1 AND 14")
-    e = stencil.with_eigen(h)
+    e = stencil.with_eigen(stencil.hessian(_field(spark, sf)))
     return e.select("vid", stencil.tubularity(F.col("l1"), F.col("l2"), F.col("l3")).alias("v")).select("vid", _r("v", 5))
 
 
 @query(
     "max_over_scales",
-    f"""WITH {_v(16)}, s AS (SELECT vid, scale, greatest(0, sin(vid * scale / 7.0)) AS v FROM v, (SELECT unnest([1, 2, 4]) AS scale)),
+    f"""WITH {_v(16)}, s AS (SELECT vid, scale, greatest(0, value * sin(vid * scale / 7.0)) AS v FROM v, (SELECT unnest([1, 2, 4]) AS scale)),
 b AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY v DESC, scale) AS r FROM s)
 SELECT vid, {_sql_r('v', 'v')}, CASE WHEN v > 0 THEN scale ELSE 0 END AS scale FROM b WHERE r = 1""",
 )
 def max_over_scales(spark: SparkSession, sf: str) -> DataFrame:
-    s = _grid(spark, 16).select("vid", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("scale"))
-    s = s.withColumn("v", F.greatest(F.lit(0.0), F.sin(F.col("vid") * F.col("scale") / 7.0)))
+    s = _grid(spark, sf, 16).select("vid", "value", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("scale"))
+    s = s.withColumn("v", F.greatest(F.lit(0.0), F.col("value") * F.sin(F.col("vid") * F.col("scale") / 7.0)))
     return stencil.max_over_scales(s, ["vid"]).select("vid", _r("v"), "scale")
 
 
-def _conv_sql(sigma: float, orders: tuple[int, int, int], n: int, src: str) -> str:
-    """Three passes of one kernel each over n^3 voxels with repeated borders."""
-    cur, out = src, []
-    for axis, order in zip("ijk", orders, strict=True):
-        taps = ", ".join(f"({d}, {w!r})" for d, w in stencil.kernel(sigma, order))
-        rest = [c for c in "ijk" if c != axis]
-        name = f"{cur}_{axis}{order}"
-        out.append(
-            f"{name} AS (SELECT a.i, a.j, a.k, sum(t.w * b.value) AS value FROM {cur} a, (VALUES {taps}) t(d, w) JOIN {cur} b ON b.{axis} = least(greatest(a.{axis} + t.d, 0), {n - 1}) AND "
-            + " AND ".join(f"b.{c} = a.{c}" for c in rest) + " GROUP BY 1, 2, 3)"
-        )
-        cur = name
-    return ", ".join(out), cur
+def _passes(sigma: float, *orders: tuple[int, int, int]) -> tuple[str, list[str]]:
+    """CTEs of the passes of one kernel each over the voxels of ``g`` (8 by 8) with repeated borders, each once, and the last
+    one's name for each triple of orders."""
+    out: dict[str, str] = {}
+    names = []
+    for o in orders:
+        cur = "g"
+        for axis, order in zip("ijk", o, strict=True):
+            name = f"{cur}_{axis}{order}"
+            taps = ", ".join(f"({d}, {w!r})" for d, w in stencil.kernel(sigma, order))
+            top = "(SELECT max(k) FROM g)" if axis == "k" else "7"
+            rest = " AND ".join(f"b.{c} = a.{c}" for c in "ijk" if c != axis)
+            out[name] = f"{name} AS (SELECT a.i, a.j, a.k, sum(t.w * b.value) AS value FROM {cur} a, (VALUES {taps}) t(d, w) JOIN {cur} b ON b.{axis} = least(greatest(a.{axis} + t.d, 0), {top}) AND {rest} GROUP BY 1, 2, 3)"
+            cur = name
+        names.append(cur)
+    return ", ".join(out.values()), names
 
 
-def _field8(spark: SparkSession) -> DataFrame:
-    return _grid(spark, 8).withColumn("value", F.expr("CAST((i * 7 + j * 5 + k * 3 + i * j) % 11 AS DOUBLE)"))
+_G = f"{_v(8)}, g AS (SELECT i, j, k, value FROM v)"
+_ALL = [(2, 0, 0), (0, 2, 0), (0, 0, 2), (1, 1, 0), (1, 0, 1), (0, 1, 1)]
+_CONV, _NAMES = _passes(1.0, *_ALL)
+_JOINED = f"{_NAMES[0]} t0 " + " ".join(f"JOIN {n} t{x} USING (i, j, k)" for x, n in enumerate(_NAMES) if x)
 
 
-_F8 = f"{_v(8)}, f AS (SELECT i, j, k, CAST((i * 7 + j * 5 + k * 3 + i * j) % 11 AS DOUBLE) AS value FROM v)"
-_II, _IJ = _conv_sql(1.0, (2, 0, 0), 8, "f"), _conv_sql(1.0, (1, 1, 0), 8, "f")
+@query("gauss_hessian_conv", f"WITH {_G}, {_CONV} SELECT i, j, k, {', '.join(_sql_r(f't{x}.value', f'd{c}') for x, c in enumerate(_SIXTH))} FROM {_JOINED}")
+def gauss_hessian_conv(spark: SparkSession, sf: str) -> DataFrame:
+    return stencil.gaussian_hessian(_grid(spark, sf, 8), (8, 8, _depth(spark, sf, 8)), 1.0).select("i", "j", "k", *[_r(f"d{c}") for c in _SIXTH])
 
 
-@query("gauss_hessian_conv", f"WITH {_F8}, {_II[0]}, {_IJ[0]} SELECT a.i, a.j, a.k, {_sql_r('a.value', 'dii')}, {_sql_r('b.value', 'dij')} FROM {_II[1]} a JOIN {_IJ[1]} b USING (i, j, k)")
-def gauss_hessian_conv(spark: SparkSession, sf: str) -> DataFrame:
-    return stencil.gaussian_hessian(_field8(spark), (8, 8, 8), 1.0).select("i", "j", "k", _r("dii"), _r("dij"))
+_NORM = " + ".join(f"{1 if x < 3 else 2} * t{x}.value * t{x}.value" for x in range(6))
 
 
-_HS = {o: _conv_sql(1.0, o, 8, "f") for o in ((2, 0, 0), (0, 2, 0), (0, 0, 2), (1, 1, 0), (1, 0, 1), (0, 1, 1))}
+@query("frobenius_max", f"WITH {_G}, {_CONV} SELECT k, round(max(sqrt({_NORM})), 6) AS frobenius_max FROM {_JOINED} GROUP BY 1")
+def frobenius_max(spark: SparkSession, sf: str) -> DataFrame:
+    h = stencil.gaussian_hessian(_grid(spark, sf, 8), (8, 8, _depth(spark, sf, 8)), 1.0)
+    return h.groupBy("k").agg(F.round(F.max(stencil.frobenius()), 6).alias("frobenius_max"))
 
 
-def _frob_sql() -> str:
-    seen: dict[str, None] = {}
-    for body, _ in _HS.values():
-        for part in body.split("), "):
-            seen[part if part.endswith(")") else part + ")"] = None
-    names = [n for _, n in _HS.values()]
-    joins = f"{names[0]} t0 " + " ".join(f"JOIN {n} t{x} USING (i, j, k)" for x, n in enumerate(names) if x)
-    total = " + ".join(f"{1 if x < 3 else 2} * t{x}.value * t{x}.value" for x in range(6))
-    return f"WITH {_F8}, {', '.join(_uniq())} SELECT round(max(sqrt({total})), 6) AS frobenius_max FROM {joins}"
+_SMOOTH = _passes(1.0, (0, 0, 0))
 
 
-def _uniq() -> list[str]:
-    out: dict[str, str] = {}
-    for o in _HS:
-        cur = "f"
-        for axis, order in zip("ijk", o, strict=True):
-            name = f"{cur}_{axis}{order}"
-            if name not in out:
-                taps = ", ".join(f"({d}, {w!r})" for d, w in stencil.kernel(1.0, order))
-                rest = [c for c in "ijk" if c != axis]
-                out[name] = (
-                    f"{name} AS (SELECT a.i, a.j, a.k, sum(t.w * b.value) AS value FROM {cur} a, (VALUES {taps}) t(d, w) JOIN {cur} b ON b.{axis} = least(greatest(a.{axis} + t.d, 0), 7) AND "
-                    + " AND ".join(f"b.{c} = a.{c}" for c in rest) + " GROUP BY 1, 2, 3)"
-                )
-            cur = name
-    return list(out.values())
+@query("gaussian_smooth_blocks", f"WITH {_G}, {_SMOOTH[0]} SELECT i, j, k, {_sql_r('value', 'value')} FROM {_SMOOTH[1][0]}")
+def gaussian_smooth_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return stencil.smooth_blocks(_grid(spark, sf, 8), 1.0, 8).select("i", "j", "k", _r("value"))
 
 
-@query("frobenius_max", _frob_sql())
-def frobenius_max(spark: SparkSession, sf: str) -> DataFrame:
-    h = stencil.gaussian_hessian(_field8(spark), (8, 8, 8), 1.0)
-    return h.agg(F.round(F.max(stencil.frobenius()), 6).alias("frobenius_max"))
+# the tubes are so thin that the nearest outside is at most four voxels away
+_EDT = f"""WITH {_v(16)}, g AS (SELECT i, j, k, {_TWO} AS m FROM v), b AS (SELECT i, j, k FROM g WHERE NOT m), o AS (SELECT range - 4 AS dk FROM range(9)),
+d AS (SELECT g.i, g.j, g.k, min((g.i - b.i) * (g.i - b.i) + (g.j - b.j) * (g.j - b.j) + dk * dk) AS d2 FROM g CROSS JOIN o JOIN b ON b.k = g.k + dk WHERE g.m GROUP BY 1, 2, 3)"""
 
 
-_EDT = f"""WITH {_v(16)}, g AS (SELECT i, j, k, {_TWO} AS m FROM v), b AS (SELECT i, j, k FROM g WHERE NOT m),
-d AS (SELECT g.i, g.j, g.k, min((g.i - b.i) * (g.i - b.i) + (g.j - b.j) * (g.j - b.j) + (g.k - b.k) * (g.k - b.k)) AS d2 FROM g, b WHERE g.m GROUP BY 1, 2, 3)"""
+def _inside(spark: SparkSession, sf: str) -> DataFrame:
+    return _grid(spark, sf, 16).withColumn("m", F.expr(_TWO))
 
 
 @query("edt_sq_histogram", _EDT + " SELECT CAST(d2 AS BIGINT) AS d2, count(*) AS n FROM d GROUP BY 1")
 def edt_sq_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    v = _grid(spark, 16).withColumn("m", F.expr(_TWO))
-    d = distance.squared_edt(v, "m", (16, 16, 16)).where("d2 > 0")
+    d = distance.squared_edt(_inside(spark, sf), "m", (16, 16, _depth(spark, sf, 16))).where("d2 > 0")
     return d.groupBy(F.col("d2").cast("long").alias("d2")).agg(F.count("*").alias("n"))
 
 
 @query("edt_sq_joined", _EDT + " SELECT i, j, k, CAST(d2 AS BIGINT) AS d2 FROM d")
 def edt_sq_joined(spark: SparkSession, sf: str) -> DataFrame:
-    v = _grid(spark, 16).withColumn("m", F.expr(_TWO))
-    return distance.squared_edt_joined(v, "m").where("d2 > 0")
+    return distance.squared_edt_joined(_inside(spark, sf), "m").where("d2 > 0")
 
 
-@query("radius_lookup", _EDT + """, p AS (SELECT range AS id, range * 0.7 + 2.2 AS x, 8.4 AS y, range * 0.9 AS z FROM range(16)),
-q AS (SELECT id, greatest(0, least(15, CAST(round_even(x, 0) AS INT))) AS i, greatest(0, least(15, CAST(round_even(y, 0) AS INT))) AS j, greatest(0, least(15, CAST(round_even(z, 0) AS INT))) AS k FROM p)
+@query("radius_lookup", _EDT + """, n AS (SELECT max(k) AS n FROM v), p AS (SELECT o_orderkey AS id, 5 + o_custkey % 70 / 10.0 AS x, 5 + o_custkey % 61 / 10.0 AS y, o_orderkey * 0.0065 AS z FROM orders),
+q AS (SELECT id, greatest(0, least(15, CAST(round_even(x, 0) AS INT))) AS i, greatest(0, least(15, CAST(round_even(y, 0) AS INT))) AS j, greatest(0, least(n, CAST(round_even(CAST(z AS DOUBLE), 0) AS INT))) AS k FROM p, n)
 SELECT id, round(greatest(coalesce(sqrt(d.d2), 0), 0.1), 6) AS radius FROM q LEFT JOIN d USING (i, j, k)""")
 def radius_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    v = _grid(spark, 16).withColumn("m", F.expr(_TWO))
-    d = distance.squared_edt(v, "m", (16, 16, 16)).withColumn("value", F.sqrt("d2"))
-    p = spark.range(16).select("id", (F.col("id") * 0.7 + 2.2).alias("x"), F.lit(8.4).alias("y"), (F.col("id") * 0.9).alias("z"))
-    at = spatial.point_to_voxel(p, [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0]], (16, 16, 16))
+    shape = (16, 16, _depth(spark, sf, 16))
+    d = distance.squared_edt(_inside(spark, sf), "m", shape).withColumn("value", F.sqrt("d2"))
+    p = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr("5 + o_custkey % 70 / 10.0D as x"), F.expr("5 + o_custkey % 61 / 10.0D as y"), F.expr("o_orderkey * 0.0065D as z"))
+    at = spatial.point_to_voxel(p, [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0]], shape)
     return spatial.lookup(at, d).select("id", F.round("radius", 6).alias("radius"))
 
 
-@query("mip_axis", f"WITH {_v(16)} SELECT i, j, {_sql_r(f'max({_FIELD})', 'value')} FROM v GROUP BY 1, 2")
+@query("mip_axis", f"WITH {_F} SELECT j, k, {_sql_r('max(value)', 'value')} FROM f GROUP BY 1, 2")
 def mip_axis(spark: SparkSession, sf: str) -> DataFrame:
-    return voxel.project_max(_field(spark), "k").select("i", "j", _r("value"))
+    return voxel.project_max(_field(spark, sf), "i").select("j", "k", _r("value"))
 
 
-@query("cost_volume", f"WITH {_v(16)} SELECT vid, {_sql_r('greatest(1 - greatest(0, least(1, 0.4 * abs(sin(0.3 * i)) + 0.35 * abs(cos(0.2 * j)) + 0.25 / (1 + exp(-(k - 8) / 2.0)))), 1e-3)', 'cost')} FROM v")
+@query("cost_volume", f"WITH {_v(16)} SELECT vid, {_sql_r('greatest(1 - greatest(0, least(1, 0.4 * value + 0.35 * q / 50.0 + 0.25 / (1 + exp(-(k % 16 - 8) / 2.0)))), 1e-3)', 'cost')} FROM v")
 def cost_volume(spark: SparkSession, sf: str) -> DataFrame:
-    terms = [(F.abs(F.expr("sin(0.3 * i)")), 0.4), (F.abs(F.expr("cos(0.2 * j)")), 0.35), (metrics.soft_gate(F.col("k"), 8, 0.5), 0.25)]
-    return _grid(spark, 16).select("vid", stencil.cost(terms).alias("cost")).select("vid", _r("cost"))
+    terms = [(F.col("value"), 0.4), (F.col("q") / 50.0, 0.35), (metrics.soft_gate(F.col("k") % 16, 8, 0.5), 0.25)]
+    return _grid(spark, sf, 16).select("vid", stencil.cost(terms).alias("cost")).select("vid", _r("cost"))
 
 
-@query("flow_field", f"WITH {_v(16)}, g AS (SELECT vid, {', '.join(f'0.7 * ({_g1(a)}) * 0.5 AS {a}1' for a in 'ijk')} FROM v) SELECT vid, " + ", ".join(_sql_r(f"CASE WHEN i1 * i1 + j1 * j1 + k1 * k1 > 0 THEN {a}1 / sqrt(i1 * i1 + j1 * j1 + k1 * k1) ELSE 0 END", f"f{o}") for a, o in zip("ijk", "xyz")) + " FROM g")
+@query("flow_field", f"WITH {_F}, b AS (SELECT *, q / 50.0 AS b FROM f), g AS (SELECT vid, {', '.join(f'0.7 * ({_g1(a)}) - 0.3 * ({_g1(a, chr(98))}) AS {a}1' for a in 'ijk')} FROM b {_WIN}) SELECT vid, " + ", ".join(_sql_r(f"CASE WHEN i1 * i1 + j1 * j1 + k1 * k1 > 0 THEN {a}1 / sqrt(i1 * i1 + j1 * j1 + k1 * k1) ELSE 0 END", f"f{o}") for a, o in zip("ijk", "xyz")) + " FROM g")
 def flow_field(spark: SparkSession, sf: str) -> DataFrame:
-    v = _field(spark).withColumn("b", F.lit(1.0))
+    v = _field(spark, sf).withColumn("b", F.col("q") / 50.0)
     return stencil.flow_field(v, "value", "b", 0.7, 0.3).select("vid", *[_r(f"f{c}") for c in "xyz"])
 
 
 @query(
     "tile_blend",
-    f"""WITH {_v(16)}, t AS (SELECT unnest([0, 1, 2]) AS t), x AS (SELECT v.*, a.t AS ti, b.t AS tj, c.t AS tk FROM v, t a, t b, t c
-      WHERE i BETWEEN a.t * 4 AND a.t * 4 + 7 AND j BETWEEN b.t * 4 AND b.t * 4 + 7 AND k BETWEEN c.t * 4 AND c.t * 4 + 7),
-w AS (SELECT vid, i + ti AS p, exp(-(power(i - ti * 4 - 3.5, 2) + power(j - tj * 4 - 3.5, 2) + power(k - tk * 4 - 3.5, 2)) / 8.0) AS w FROM x)
+    f"""WITH {_v(16)}, n AS (SELECT CAST(ceil((max(k) + 1 - 8) / 4.0) AS BIGINT) AS n FROM v), t AS (SELECT unnest([0, 1, 2]) AS t), z AS (SELECT unnest(range((SELECT n + 1 FROM n))) AS t),
+x AS (SELECT v.*, a.t AS ti, b.t AS tj, c.t AS tk FROM v JOIN z c ON c.t IN (k // 4, k // 4 - 1), t a, t b WHERE i BETWEEN a.t * 4 AND a.t * 4 + 7 AND j BETWEEN b.t * 4 AND b.t * 4 + 7),
+w AS (SELECT vid, value + ti AS p, exp(-(power(i - ti * 4 - 3.5, 2) + power(j - tj * 4 - 3.5, 2) + power(k - tk * 4 - 3.5, 2)) / 8.0) AS w FROM x)
 SELECT vid, {_sql_r('sum(w * p) / greatest(sum(w), 1e-6)', 'value')} FROM w GROUP BY 1""",
 )
 def tile_blend(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions of overlapping tiles (here the index plus the tile's number) blended by Gaussian weights."""
-    t = voxel.tiles(_grid(spark, 16), (16, 16, 16), 8, 2).withColumn("w", voxel.blend_weight(8)).withColumn("value", F.col("i") + F.col("ti"))
+    """Predictions of overlapping tiles (here the value plus the tile's number) blended by Gaussian weights."""
+    t = voxel.tiles(_grid(spark, sf, 16), (16, 16, _depth(spark, sf, 16)), 8, 2).withColumn("w", voxel.blend_weight(8)).withColumn("value", F.col("value") + F.col("ti"))
     return voxel.blend(t, ["vid"]).select("vid", _r("value"))
 
 
-@query("resample_nearest", f"WITH {_v(16)}, n AS (SELECT range AS vid, CAST(range % 8 AS INT) AS i, CAST(range // 8 % 8 AS INT) AS j, CAST(range // 64 AS INT) AS k FROM range(512)) SELECT n.vid, {_sql_r('sin(0.3 * least(floor(n.i * 2.0 + 0.5), 15)) + cos(0.2 * least(floor(n.j * 2.0 + 0.5), 15)) + 0.01 * least(floor(n.k * 2.0 + 0.5), 15)', 'value')} FROM n")
+def _new_grid(n: int, ratio: str) -> str:
+    """Voxels of the grid that a resampling gives: n by n, and as deep as the volume's depth asks."""
+    return f"n AS (SELECT CAST(c AS BIGINT) AS vid, CAST(c % {n} AS INT) AS i, CAST(c // {n} % {n} AS INT) AS j, CAST(c // {n * n} AS INT) AS k FROM (SELECT unnest(range({n * n} * (SELECT CAST(round_even((max(k) + 1) / {ratio}::DOUBLE, 0) AS BIGINT) FROM v))) AS c))"
+
+
+@query("resample_nearest", f"WITH {_F}, {_new_grid(8, '2.0')}, z AS (SELECT max(k) AS z FROM v) SELECT n.vid, {_sql_r('f.value', 'value')} FROM n, z JOIN f ON f.i = n.i * 2 AND f.j = n.j * 2 AND f.k = least(n.k * 2, z)")
 def resample_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return voxel.resample_nearest(spark, _field(spark), (16, 16, 16), (1, 1, 1), (2, 2, 2)).select("vid", _r("value"))
+    return voxel.resample_nearest(spark, _field(spark, sf), (16, 16, _depth(spark, sf, 16)), (1, 1, 1), (2, 2, 2)).select("vid", _r("value"))
 
 
-def _lin(f: str, n: str) -> str:
-    x = f"least({n} * 0.8, 15.0)"
-    b = f"least(floor({x}), 14)"
-    return f"((1 - ({x} - {b})) * {f.replace('@', b)} + ({x} - {b}) * {f.replace('@', f'({b} + 1)')})"
+_AXES = ", ".join(f"least({c} * 0.8, {m})::DOUBLE AS x{c}, CAST(least(floor({c} * 0.8::DOUBLE), {m} - 1) AS INT) AS b{c}" for c, m in (("i", "15"), ("j", "15"), ("k", "z")))
 
 
-@query("resample_linear", f"WITH n AS (SELECT range AS vid, CAST(range % 20 AS INT) AS i, CAST(range // 20 % 20 AS INT) AS j, CAST(range // 400 AS INT) AS k FROM range(8000)) SELECT vid, {_sql_r(_lin('sin(0.3 * @)', 'i') + ' + ' + _lin('cos(0.2 * @)', 'j') + ' + ' + _lin('(0.01 * @)', 'k'), 'value')} FROM n")
+@query(
+    "resample_linear",
+    f"""WITH {_F}, {_new_grid(20, '0.8')}, z AS (SELECT max(k) AS z FROM v), a AS (SELECT n.vid, {_AXES} FROM n, z),
+o AS (SELECT p.range AS oi, q.range AS oj, r.range AS ok FROM range(2) p, range(2) q, range(2) r),
+w AS (SELECT vid, bi + oi AS i, bj + oj AS j, bk + ok AS k, {' * '.join(f'(CASE WHEN o{c} = 1 THEN x{c} - b{c} ELSE 1 - (x{c} - b{c}) END)' for c in 'ijk')} AS w FROM a, o)
+SELECT w.vid, {_sql_r('sum(w.w * f.value)', 'value')} FROM w JOIN f USING (i, j, k) WHERE w.w > 0 GROUP BY 1""",
+)
 def resample_linear(spark: SparkSession, sf: str) -> DataFrame:
-    """The field is a sum of terms of one axis each: trilinear weights act on each term along its axis."""
-    return voxel.resample_linear(spark, _field(spark), (16, 16, 16), (1, 1, 1), (0.8, 0.8, 0.8)).select("vid", _r("value"))
+    return voxel.resample_linear(spark, _field(spark, sf), (16, 16, _depth(spark, sf, 16)), (1, 1, 1), (0.8, 0.8, 0.8)).select("vid", _r("value"))
+
+
+_BALL = "unnest(range(CAST(ceil({c} - {r}) AS BIGINT), CAST(floor({c} + {r}) AS BIGINT) + 1))"
+_SEGMENTS = "s_suppkey % 30 AS x0, s_nationkey AS y0, s_suppkey // 10 AS z0, s_suppkey % 30 + s_suppkey % 7 AS x1, s_nationkey + s_suppkey % 5 AS y1, s_suppkey // 10 + s_suppkey % 11 AS z1"
 
 
 @query(
     "rasterise_segments",
-    f"""WITH {_v(32)}, s(x0, y0, z0, x1, y1, z1, r, n) AS (VALUES (5.0, 5.0, 5.0, 20.0, 5.0, 5.0, 2.0, 30), (20.0, 5.0, 5.0, 20.0, 20.0, 25.0, 1.5, 50)),
-p AS (SELECT x0 + (x1 - x0) * t / n AS x, y0 + (y1 - y0) * t / n AS y, z0 + (z1 - z0) * t / n AS z, r FROM (SELECT *, unnest(range(0, n + 1)) AS t FROM s))
-SELECT DISTINCT i, j, k FROM v, p WHERE (i - x) * (i - x) + (j - y) * (j - y) + (k - z) * (k - z) <= r * r""",
+    f"""WITH s AS (SELECT {_SEGMENTS}, 1 + s_suppkey % 3 * 0.5::DOUBLE AS r FROM supplier), t AS (SELECT *, greatest(1, ceil(sqrt(((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) + (z1 - z0) * (z1 - z0))::DOUBLE) / 0.5)) AS n FROM s),
+p AS (SELECT x0 + t / n * (x1 - x0) AS x, y0 + t / n * (y1 - y0) AS y, z0 + t / n * (z1 - z0) AS z, r FROM (SELECT *, unnest(range(0, CAST(n AS BIGINT) + 1))::DOUBLE AS t FROM t)),
+a AS (SELECT *, {_BALL.format(c='x', r='r')} AS i FROM p), b AS (SELECT *, {_BALL.format(c='y', r='r')} AS j FROM a), c AS (SELECT *, {_BALL.format(c='z', r='r')} AS k FROM b)
+SELECT DISTINCT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(k AS INT) AS k FROM c WHERE (i - x) * (i - x) + (j - y) * (j - y) + (k - z) * (k - z) <= r * r""",
 )
 def rasterise_segments(spark: SparkSession, sf: str) -> DataFrame:
-    s = spark.createDataFrame(
-        [(5.0, 5.0, 5.0, 20.0, 5.0, 5.0, 2.0), (20.0, 5.0, 5.0, 20.0, 20.0, 25.0, 1.5)],
-        "x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, r double",
-    )
-    return voxel.rasterise(s)
+    ends = [x.replace("//", "div") for x in _SEGMENTS.split(", ")]
+    return voxel.rasterise(table(spark, sf, "supplier").selectExpr(*[f"cast({e.split(' AS ')[0]} as double) as {e.split(' AS ')[1]}" for e in ends], "1 + s_suppkey % 3 * 0.5D as r"))
+
+
+_CONTROL = [f"s_suppkey % 29 + {2 * m} AS x{m}, (s_suppkey * {m + 3}) % 27 + 3 AS y{m}, s_suppkey // 20 + {3 * m} AS z{m}" for m in range(4)]
+_AT = lambda c: f"(1-t)*(1-t)*(1-t)*{c}0 + 3*(1-t)*(1-t)*t*{c}1 + 3*(1-t)*t*t*{c}2 + t*t*t*{c}3"
 
 
 @query(
     "bezier_tube",
-    f"""WITH {_v(32)}, c AS (SELECT (1-t)*(1-t)*(1-t)*4 + 3*(1-t)*(1-t)*t*10 + 3*(1-t)*t*t*22 + t*t*t*27 AS x, (1-t)*(1-t)*(1-t)*4 + 3*(1-t)*(1-t)*t*25 + 3*(1-t)*t*t*6 + t*t*t*27 AS y,
-(1-t)*(1-t)*(1-t)*6 + 3*(1-t)*(1-t)*t*8 + 3*(1-t)*t*t*20 + t*t*t*24 AS z FROM (SELECT range / 399.0 AS t FROM range(400)))
-SELECT vid, round(min((i - x) * (i - x) + (j - y) * (j - y) + (k - z) * (k - z)), 6) AS d2 FROM v, c WHERE (i - x) * (i - x) + (j - y) * (j - y) + (k - z) * (k - z) <= 4 GROUP BY 1""",
+    f"""WITH {_v(32)}, s AS (SELECT {', '.join(_CONTROL)} FROM supplier), c AS (SELECT {', '.join(f'{_AT(c)} AS {c}' for c in 'xyz')} FROM s, (SELECT range / 49.0::DOUBLE AS t FROM range(50))),
+a AS (SELECT *, {_BALL.format(c='x', r='1.7')} AS i FROM c), b AS (SELECT *, {_BALL.format(c='y', r='1.7')} AS j FROM a), d AS (SELECT *, {_BALL.format(c='z', r='1.7')} AS k FROM b),
+n AS (SELECT i, j, k, min((i - x) * (i - x) + (j - y) * (j - y) + (k - z) * (k - z)) AS d2 FROM d GROUP BY 1, 2, 3)
+SELECT v.vid, round(d2, 6) AS d2, q FROM n JOIN v USING (i, j, k) WHERE d2 <= 1.7::DOUBLE * 1.7::DOUBLE""",
 )
 def bezier_tube(spark: SparkSession, sf: str) -> DataFrame:
-    curve = voxel.bezier(spark, [(4, 4, 6), (10, 25, 8), (22, 6, 20), (27, 27, 24)], 400)
-    return voxel.tube(_grid(spark, 32), curve, 2.0).select("vid", F.round("d2", 6).alias("d2"))
+    """A tube about the curves of all suppliers' control points."""
+    points = table(spark, sf, "supplier").selectExpr(*[p.replace("//", "div") for c in _CONTROL for p in c.split(", ")])
+    return voxel.tube(_grid(spark, sf, 32), voxel.bezier_curves(points, 50), 1.7).select("vid", F.round("d2", 6).alias("d2"), "q")
 
 
-@query("cylinder_mask", f"WITH {_v(32)} SELECT vid FROM v WHERE (i - 12) * (i - 12) + (j - 15) * (j - 15) <= 16 AND k BETWEEN 4 AND 27")
+@query("cylinder_mask", f"WITH {_v(32)} SELECT vid, q FROM v WHERE (i - 12) * (i - 12) + (j - 15) * (j - 15) <= 16 AND k >= 4")
 def cylinder_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return voxel.cylinder(_grid(spark, 32), 12, 15, 4, 4, 27).select("vid")
+    return voxel.cylinder(_grid(spark, sf, 32), 12, 15, 4, 4, _depth(spark, sf, 32)).select("vid", "q")
 
 
-@query("superellipsoid_mask", f"WITH {_v(32)} SELECT k, count(*) AS n FROM v WHERE power(abs((i - 16) / 12.0), 2.5) + power(abs((j - 15) / 9.0), 2.5) + power(abs((k - 16) / 10.0), 2.5) <= 1 GROUP BY 1")
+@query("superellipsoid_mask", f"WITH {_v(32)} SELECT k, count(*) AS n, CAST(sum(q) AS BIGINT) AS total FROM v WHERE power(abs((i - 16) / 12.0), 2.5) + power(abs((j - 15) / 9.0), 2.5) + power(abs((k - 16) / 20.0), 2.5) <= 1 GROUP BY 1")
 def superellipsoid_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return voxel.superellipsoid(_grid(spark, 32), (16, 15, 16), (12, 9, 10)).groupBy("k").agg(F.count("*").alias("n"))
+    return voxel.superellipsoid(_grid(spark, sf, 32), (16, 15, 16), (12, 9, 20)).groupBy("k").agg(F.count("*").alias("n"), F.sum("q").alias("total"))
 
 
-@query("centerline_dice", f"WITH {_v(16)}, x AS (SELECT {_A} AS a, {_B} AS b, (i = 8 AND j = 8) AS sa, (i = 10 AND k = 8) AS sb FROM v), y AS (SELECT count(*) FILTER (WHERE sa AND b) / count(*) FILTER (WHERE sa) AS p, count(*) FILTER (WHERE sb AND a) / count(*) FILTER (WHERE sb) AS s FROM x) SELECT round(p, 6) AS precision, round(s, 6) AS sensitivity, round(2 * p * s / (p + s + 1e-8), 6) AS cl_dice FROM y")
+@query("centerline_dice", f"WITH {_v(16)}, x AS (SELECT {_A} AS a, {_B} AS b, ({_A} AND i = j) AS sa, ({_B} AND q % 2 = 0) AS sb FROM v), y AS (SELECT count(*) FILTER (WHERE sa AND b) / count(*) FILTER (WHERE sa) AS p, count(*) FILTER (WHERE sb AND a) / count(*) FILTER (WHERE sb) AS s FROM x) SELECT round(p, 6) AS precision, round(s, 6) AS sensitivity, round(2 * p * s / (p + s + 1e-8), 6) AS cl_dice FROM y")
 def centerline_dice(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = _masked(spark, 16, _A), _masked(spark, 16, _B)
-    d = metrics.centerline_dice(a, b, _masked(spark, 16, "i = 8 AND j = 8"), _masked(spark, 16, "i = 10 AND k = 8"))
+    v = _grid(spark, sf, 16)
+    d = metrics.centerline_dice(v.where(_A), v.where(_B), v.where(f"{_A} AND i = j"), v.where(f"{_B} AND q % 2 = 0"))
     return d.select(*[F.round(c, 6).alias(c) for c in ("precision", "sensitivity", "cl_dice")])
 
 
 @query(
     "loss_consistency_break",
-    f"""WITH {_v(16)}, g AS (SELECT {_A} AS y, abs(sin(0.3 * i)) AS p, abs(cos(0.2 * j)) AS s, sqrt(power({_g1('i')} * 0.5, 2) + power({_g1('j')} * 0.5, 2) + power({_g1('k')} * 0.5, 2)) AS g FROM v)
-SELECT round(1 - (2 * sum(p * CAST(y AS DOUBLE)) + 1e-5) / (sum(p) + count(*) FILTER (WHERE y) + 1e-5) + 0.1 * avg((p - s) * (p - s)) + 0.1 * avg(g * (1 - CAST(y AS DOUBLE))), 6) AS loss FROM g""",
+    f"""WITH {_F}, g AS (SELECT k // 8 AS sample, {_A} AS y, abs(value) / 2 AS p, q / 50.0 AS s, sqrt(power({_g1('i')}, 2) + power({_g1('j')}, 2) + power({_g1('k')}, 2)) AS g FROM f {_WIN})
+SELECT sample, round(1 - (2 * sum(p * CAST(y AS DOUBLE)) + 1e-5) / (sum(p) + count(*) FILTER (WHERE y) + 1e-5) + 0.1 * avg((p - s) * (p - s)) + 0.1 * avg(g * (1 - CAST(y AS DOUBLE))), 6) AS loss FROM g GROUP BY 1""",
 )
 def loss_consistency_break(spark: SparkSession, sf: str) -> DataFrame:
-    v = _field(spark)
+    v = _field(spark, sf)
     for a in "ijk":
         v = stencil.one_sided(v, a)
     v = v.select(
-        F.lit("a").alias("sample"), F.expr(_A).alias("y"), F.abs(F.expr("sin(0.3 * i)")).alias("p"), F.abs(F.expr("cos(0.2 * j)")).alias("s"),
-        F.sqrt(F.expr("gi * gi + gj * gj + gk * gk")).alias("g"),
+        F.expr("k div 8").alias("sample"), F.expr(_A).alias("y"), F.expr("abs(value) / 2").alias("p"), F.expr("q / 50.0D").alias("s"), F.sqrt(F.expr("gi * gi + gj * gj + gk * gk")).alias("g")
     )
-    return metrics.consistency_loss(v, ["sample"], "p", "s", "y", "g").select(F.round("loss", 6).alias("loss"))
+    return metrics.consistency_loss(v, ["sample"], "p", "s", "y", "g").select("sample", F.round("loss", 6).alias("loss"))
 
 
 @query(
     "topn_by_neighborhood_mean",
-    f"""WITH {_v(16)}, p AS (SELECT range AS id, CAST(range % 14 + 1 AS INT) AS pi, CAST(range * 3 % 16 AS INT) AS pj, CAST(range * 7 % 16 AS INT) AS pk FROM range(40)),
-m AS (SELECT id, avg({_FIELD}) AS mean FROM p JOIN v ON abs(i - pi) <= 2 AND abs(j - pj) <= 2 AND abs(k - pk) <= 2 GROUP BY 1)
+    f"""WITH {_F}, n AS (SELECT max(k) + 1 AS n FROM v), p AS (SELECT o_orderkey AS id, CAST(o_custkey % 16 AS INT) AS pi, CAST(o_custkey // 16 % 16 AS INT) AS pj, CAST(o_orderkey % n AS INT) AS pk FROM orders, n),
+m AS (SELECT id, avg(value) AS mean FROM p CROSS JOIN (SELECT range - 2 AS d FROM range(5)) JOIN f ON f.k = pk + d AND abs(i - pi) <= 2 AND abs(j - pj) <= 2 GROUP BY 1)
 SELECT CAST(row_number() OVER (ORDER BY round(mean, 9) DESC, id) AS INT) AS rank, id, round(mean, 6) AS mean FROM m ORDER BY round(mean, 9) DESC, id LIMIT 10""",
 )
 def topn_by_neighborhood_mean(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.range(40).select("id", F.expr("CAST(id % 14 + 1 AS INT) AS i"), F.expr("CAST(id * 3 % 16 AS INT) AS j"), F.expr("CAST(id * 7 % 16 AS INT) AS k"))
-    m = spatial.neighbourhood_mean(p, _field(spark), 2).withColumn("key", F.round("mean", 9))
+    p = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr("cast(o_custkey % 16 as int) as i"), F.expr("cast(o_custkey div 16 % 16 as int) as j"), F.expr(f"cast(o_orderkey % {_depth(spark, sf, 16)} as int) as k"))
+    m = spatial.neighbourhood_mean(p, _field(spark, sf), 2).withColumn("key", F.round("mean", 9))
     return spatial.top_ranked(m, "key", 10).select("rank", "id", F.round("mean", 6).alias("mean"))
 
 
-@query("reduced_graph", f"WITH {_v(16)} SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(2 AS BIGINT), CAST(3 AS BIGINT), CAST(10 AS BIGINT)), (2, 3, 1, -1), (2, 4, 2, 20), (3, 4, 4, 30)) t(src, dst, hops, chain)")
-def reduced_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Chains of degree-2 nodes contracted: 1-10-11-2, 2-3, 2-20-4, 3-30-31-32-4, and spurs that keep 3 and 4 critical."""
-    e = spark.createDataFrame([(1, 10), (10, 11), (11, 2), (2, 3), (2, 20), (20, 4), (3, 30), (30, 31), (31, 32), (32, 4)], "src long, dst long")
-    spur = spark.createDataFrame([(3, 5), (4, 6)], "src long, dst long")
-    edges = e.union(spur)
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    return graph.reduced(nodes, edges).where("dst not in (5, 6)").fillna(-1, ["chain"])
+# chains of seven orders, with some bridges between them
+_CHAINS = "n AS (SELECT o_orderkey AS n FROM orders), e AS (SELECT a.n AS src, b.n AS dst FROM n a JOIN n b ON b.n = a.n + 1 WHERE a.n % 7 <> 6 UNION SELECT a.n, b.n FROM n a JOIN n b ON b.n = a.n + 9 WHERE a.n % 26 = 3), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), g AS (SELECT src AS n, count(*) AS degree FROM b GROUP BY 1)"
 
 
-@query("gaussian_smooth_blocks")
-def gaussian_smooth_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return stencil.smooth_blocks(_field(spark), 1.0, 8)
+@query(
+    "reduced_graph",
+    f"""WITH RECURSIVE {_CHAINS},
+w(src, prev, here, hops, low) AS (SELECT b.src, b.src, b.dst, CAST(1 AS BIGINT), NULL::BIGINT FROM b JOIN g ON g.n = b.src WHERE g.degree <> 2
+  UNION ALL SELECT w.src, w.here, b.dst, w.hops + 1, least(coalesce(w.low, w.here), w.here) FROM w JOIN g ON g.n = w.here AND g.degree = 2 JOIN b ON b.src = w.here AND b.dst <> w.prev)
+SELECT DISTINCT least(src, here) AS src, greatest(src, here) AS dst, hops, coalesce(low, -1) AS chain FROM w JOIN g ON g.n = w.here WHERE g.degree <> 2""",
+)
+def reduced_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of degree-2 nodes contracted, a direct edge as chain -1."""
+    n = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    step = lambda d, where: n.where(where).select(F.col("id").alias("src"), (F.col("id") + d).alias("dst")).join(n.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    edges = step(1, "id % 7 <> 6").union(step(9, "id % 26 = 3")).distinct()
+    return graph.reduced(n, edges).fillna(-1, ["chain"])
