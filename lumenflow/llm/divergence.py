@@ -1,7 +1,8 @@
 """Divergence audit: how far each source's use of terms is from the other sources of its language, and by which terms.
 
-A plain relational plan: terms are exploded and counted by group (lang, source), groups meet their language's kept
-vocabulary so that absent terms count 0, each group meets the others by language and term, and windows rank the sums.
+A plain relational plan: texts explode into terms, which are counted by group (lang, source), groups meet their language's kept
+vocabulary so that absent terms count 0, each group meets the others by language and term, and windows rank the sums. The
+explosion runs on Arrow batches, where a text's words are summed as they are found; the rest is DataFrame operations.
 
 Only counts are shuffled, never texts: occurrences and documents of a term are summed within each task first. The kept terms'
 counts are a stored table of the groups that have them; zeros exist only while the groups meet. A language's vocabulary meets
@@ -17,34 +18,61 @@ beyond 64 bits times the scale stay exact.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenflow.checkpoints import cut, stored
+from lumenflow.llm import _bytes as B
 
 #: Parts of a language's vocabulary, each of which meets the language's groups under a key of its own.
 SPREAD = 64
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def terms(text: Column) -> Column:
-    """Runs of letters and of characters beyond ASCII, found as what is left between runs of others; only A-Z are lower-cased."""
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), "")
+#: Sums that a task holds before it sends them on.
+HELD = 400_000
+#: ASCII letters in lower case, bytes of characters beyond ASCII as they are, any other byte as a space.
+SPACED = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
 
 
 def _blank(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, source, term, n, d) of a task's texts. A term is a run of letters and of characters beyond ASCII, the bytes
+    that the table doesn't make a space; sums are sent on whenever ``HELD`` of them are held."""
+    n: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    d: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+    def send() -> Iterator[pa.RecordBatch]:
+        for (lang, source), c in n.items():
+            of = d[lang, source]
+            columns = [pa.repeat(lang, len(c)), pa.repeat(source, len(c)), pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64()), pa.array([of[t] for t in c], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "d"])
+        n.clear()
+        d.clear()
+
+    for batch in batches:
+        for part in B.slices(batch):
+            lang, source = (B.column(part, c).to_pylist() for c in ("lang", "source"))
+            for group, text in zip(zip(lang, source, strict=True), B.column(part, "text").cast(pa.large_binary()).to_pylist(), strict=True):
+                words = (text or b"").translate(SPACED).split()
+                n[group].update(words)
+                d[group].update(set(words))
+            if sum(map(len, n.values())) > HELD:
+                yield from send()
+    yield from send()
+
+
 def counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, d): occurrences and documents. Each task sums first; all groups' counts of a term meet in one
-    task, where those of a language follow without another shuffle."""
-    words = docs.select(_blank("lang"), _blank("source"), terms(F.coalesce("text", F.lit(""))).alias("w"))
-    # first all words, then each of them once: one explode gives occurrences and documents
-    both = words.select("lang", "source", F.size("w").alias("k"), F.concat("w", F.array_distinct("w")).alias("w"))
-    rows = both.select("lang", "source", "k", F.posexplode("w").alias("at", "term"))
-    once = F.when(F.col("at") < F.col("k"), 1).otherwise(0)
-    return rows.groupBy("lang", "source", "term").agg(F.sum(once).alias("n"), F.sum(1 - once).alias("d"))
+    """(lang, source, term, n, d): occurrences and documents. Each task sums first; then all groups' counts of a language's term
+    meet in one task, a row for each of them and task."""
+    words = docs.select(_blank("lang"), _blank("source"), F.col("text").cast("string").alias("text"))
+    rows = words.mapInArrow(_explode, "lang string, source string, term binary, n long, d long")
+    rows = rows.withColumn("term", F.col("term").cast("string")).repartition("lang", "term")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def _share(n: str, total: str, scale: int) -> Column:

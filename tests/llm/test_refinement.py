@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def test_deduplicated_keeps_columns(spark):
 
 
 def _plain_audit(rows, least=3, most=200):
-    low = str.maketrans(divergence.UPPER, divergence.LOWER)
+    low = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
     docs = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(low))) for _, t, lang, source in rows]
     out = []
     for lang in {d[0] for d in docs}:
@@ -118,6 +119,22 @@ def test_audit(spark, rows):
     assert sorted(tuple(r) for r in got.collect()) == _plain_audit(rows)
 
 
+def test_sums_are_sent_in_parts(monkeypatch):
+    """A task with little room sends a term's sums more than once; together they are the same."""
+    monkeypatch.setattr(divergence, "HELD", 3)
+    columns = [pa.array([r[c] or "" if c > 1 else r[c] for r in AUDIT], pa.string()) for c in (2, 3, 1)]
+    batch = pa.RecordBatch.from_arrays(columns, ["lang", "source", "text"])
+    got = list(divergence._explode(iter([batch.slice(i, 2) for i in range(0, len(AUDIT), 2)])))
+    assert len(got) > 5
+    n, d = Counter(), Counter()
+    for row in pa.Table.from_batches(got).to_pylist():
+        n[row["lang"], row["source"], row["term"].decode()] += row["n"]
+        d[row["lang"], row["source"], row["term"].decode()] += row["d"]
+    low = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+    words = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(low))) for _, t, lang, source in AUDIT]
+    assert n == Counter((lang, s, t) for lang, s, w in words for t in w) and d == Counter((lang, s, t) for lang, s, w in words for t in set(w))
+
+
 def test_audit_keeps_the_first_ranks_only(spark):
     word = lambda i: "w" + "".join("abcdefghij"[int(c)] for c in str(i))
     rows = [(i, " ".join(word(j) for j in range(300) if (i + j) % 3), "en", "ab"[i % 2]) for i in range(12)]
