@@ -14,8 +14,9 @@ No group is expanded into all pairs, yet no link between candidates is lost:
    size that are held once in a task. What remains apart then has no link left to find.
 
 Defined results: null or empty text, and text without words, has an empty set that is linked with nothing; a row with a
-null id is linked with nothing; rows that repeat an id are one node; very long texts are taken whole; an empty table gives
-no rows; other columns are ignored.
+null id is linked with nothing; rows that repeat an id are one node, so that what any of them is linked with belongs to one
+component, while n_shingles is each row's own; very long texts are taken whole; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -286,7 +287,7 @@ def near_duplicates(
     )
     plain = _verified(cut(met.where("y is not null").select(F.col("id").alias("a"), F.col("y").alias("b"))), sets, percent)
     meet = cut(met.where("y is null").join(people.select("id", "n"), "id").select("id", "n", F.col("other").alias("component"), "block"))
-    links = first.unionByName(plain).unionByName(_met(meet, of, sets, percent))
+    links = first.unionByName(plain).unionByName(_met(meet, of, sets, percent)).unionByName(_shared(of_class))
     final = components(cut(links)).select("id", "component")
     known = (
         of_class.join(final.withColumnRenamed("id", "class_id"), "class_id", "left")
@@ -298,6 +299,12 @@ def near_duplicates(
     return known.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _shared(of_class: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that repeat an id: they are one node."""
+    both = of_class.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("hi")).where("a < hi").select("doc_id", "a")
+    return of_class.join(both, "doc_id").select("a", F.col("class_id").alias("b")).where("a < b").distinct()
+
+
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents without those that a smaller one is linked with, in a row's own terms: documents come by id, null last,
     then by the hash of their texts, and of rows that repeat id and text one stays. All columns stay, whatever their names."""

@@ -63,19 +63,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(
     "op8_near_dedup",
     r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 1], ' ') AS g
-      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 1))) AS i FROM d WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+s AS (SELECT DISTINCT row, doc_id, array_to_string(w[i : i + 1], ' ') AS g
+      FROM (SELECT row, doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+inter AS (SELECT a.row AS x, b.row AS y, any_value(a.doc_id) AS a, any_value(b.doc_id) AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT DISTINCT a, b FROM inter JOIN n x ON x.row = inter.x JOIN n y ON y.row = inter.y WHERE 100 * k >= 80 * (x.n + y.n - k)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
 c AS (SELECT id, min(root) AS component FROM r GROUP BY id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c.component, d.doc_id)) AS component_id,
        least(d.doc_id, coalesce(c.component, d.doc_id)) = d.doc_id AS kept
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
+FROM d LEFT JOIN n USING (row) LEFT JOIN c ON c.id = d.doc_id
 """,
 )
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,6 +184,53 @@ def test_near_duplicates_of_nothing_and_null_ids(spark, none):
     assert len(got) == 4 and all(r["kept"] for r in got)
 
 
+def test_near_duplicates_of_repeated_ids_are_one_node(spark):
+    """Rows of one id lend their links to it, whichever of its texts has them."""
+    a, b, c = ("one two three four five six", "red green blue cyan pink grey", "up down left right in out")
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, c), (9, c), (11, c + " far off"), (11, "lone text here now"), (13, None), (13, a), (20, "x y z"), (20, "x y z"), (21, "p q r s")]
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    got = near_dedup.near_duplicates(d, shingle=2)
+    out = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got.collect())
+    assert out == sorted((i, 3 if i <= 9 or i == 13 and t else i, i == 3 or i in (11, 20, 21) or (i == 13 and not t)) for i, t in rows)
+
+
+def test_repeated_ids_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(30)) for _ in range(12)]
+    rows = []
+    for _ in range(90):
+        w = rng.choice(texts).split()
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows.append((rng.randrange(60), " ".join(w)))
+    sets = [(i, set(zip(t.split(), t.split()[1:], strict=False))) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, (i, p) in enumerate(sets):
+        for j, q in sets[x + 1 :]:
+            if 100 * len(p & q) >= 80 * len(p | q):
+                lo, hi = sorted((top(i), top(j)))
+                root[hi] = lo
+    d = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    got = near_dedup.near_duplicates(d, shingle=2).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in got) == sorted((i, top(i), len(p)) for i, p in sets)
+
+
+def test_links_at_the_threshold_are_not_lost(spark):
+    """Three thousand pairs of a similarity of exactly 0.8: 88 of 99 shingles each, 88 of 110 in all."""
+    rows = []
+    for k in range(3000):
+        w = [f"w{k}x{j}" for j in range(100)]
+        rows += [(2 * k, " ".join(w), None, None, 0), (2 * k + 1, " ".join(w[:89] + [f"v{k}x{j}" for j in range(11)]), None, None, 0)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=2)
+    assert got.where("doc_id % 2 = 1 and component_id <> doc_id - 1").count() <= 1
+
+
 def test_leftover_components_meet_in_blocks(spark, monkeypatch):
     """A chain of near copies that its bucket's smallest member links only in part, with tiny chunks and blocks."""
     monkeypatch.setattr(near_dedup, "CHUNK", 4)
