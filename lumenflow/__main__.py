@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from lumenflow.plans import catalog, gaps, pipelines, points, tabular, volumes  # noqa: F401 - the plans register themselves
+from lumenflow.plans import catalog, gaps, points, tabular, vessels, volumes  # noqa: F401 - the plans register themselves
 from lumenflow.session import get_session
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenflow.checkpoints import cut
+from lumenflow.functions import physics
 
 #: Links that a task of an iterative operator takes.
 LINKS = 100_000
@@ -282,7 +283,8 @@ def accumulate(tree: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def add_bridges(nodes: DataFrame, edges: DataFrame, bridges: DataFrame, radius: float = 1.5) -> tuple[DataFrame, DataFrame]:
-    """Add bridges (bridge_id, a, b, points: interior points in order) as new nodes and edges that aren't fixed.
+    """Add bridges (bridge_id, a, b, points: interior points in order) as new nodes and edges that aren't fixed, with the
+    bridges' own ``radius`` where they have one, see ``bridge_radii``.
 
     New ids follow the largest old ones by a prefix sum over the bridges, not by a scan of the points in one task.
     """
@@ -295,6 +297,26 @@ def add_bridges(nodes: DataFrame, edges: DataFrame, bridges: DataFrame, radius:
     new_nodes = inner.select((F.col("_n0") + F.col("_p")).cast("long").alias("id"), "q.x", "q.y", "q.z")
     chain = F.concat(F.array(F.col("a").cast("long")), F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: (F.col("_n0") + i - 1).cast("long")), F.array(F.col("b").cast("long")))
     chain = F.when(F.col("_n") == 0, F.array(F.col("a").cast("long"), F.col("b").cast("long"))).otherwise(chain)
-    links = b.select("_e0", F.posexplode(F.arrays_zip(F.slice(chain, 1, F.size(chain) - 1).alias("s"), F.slice(chain, 2, F.size(chain) - 1).alias("d"))).alias("_p", "q"))
-    new_edges = links.select((F.col("_e0") + F.col("_p")).cast("long").alias("edge_id"), F.col("q.s").alias("src"), F.col("q.d").alias("dst"), F.lit(float(radius)).alias("radius"), F.lit(False).alias("is_fixed"))
+    wide = F.coalesce(F.col("radius"), F.lit(float(radius))) if "radius" in bridges.columns else F.lit(float(radius))
+    links = b.select("_e0", wide.alias("_r"), F.posexplode(F.arrays_zip(F.slice(chain, 1, F.size(chain) - 1).alias("s"), F.slice(chain, 2, F.size(chain) - 1).alias("d"))).alias("_p", "q"))
+    new_edges = links.select((F.col("_e0") + F.col("_p")).cast("long").alias("edge_id"), F.col("q.s").alias("src"), F.col("q.d").alias("dst"), F.col("_r").alias("radius"), F.lit(False).alias("is_fixed"))
     return nodes.select("id", "x", "y", "z").unionByName(new_nodes), edges.unionByName(new_edges, allowMissingColumns=True)
+
+
+def bridge_radii(nodes: DataFrame, edges: DataFrame, bridges: DataFrame, default: float = 1.5, least: float = 0.5) -> DataFrame:
+    """The bridges (a, b, ..) with a ``radius`` by the cube law from the first edge at each of their ends (src, dst, edge_id,
+    radius), ``default`` for an end without one."""
+    first = first_incident(nodes, edges, "radius", default)
+    at = lambda n: first.select(F.col("id").alias(n), F.col("radius").alias(f"_r{n}"))
+    both = bridges.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    ends = [F.coalesce(F.col(f"_r{n}"), F.lit(float(default))) for n in "ab"]
+    return both.withColumn("radius", physics.bridge_radius(*ends, least)).drop("_ra", "_rb")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
+    """The rows with their place from 0 in an order without ties: ranges are numbered by themselves, after the sizes of those before."""
+    dealt = cut(rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per range
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return dealt.withColumn("_r", place).join(F.broadcast(before), "_p").withColumn(name, (F.col("_r") + F.col("_b")).cast("long")).drop("_p", "_r", "_b")

@@ -119,20 +119,18 @@ def scale_sweep(scores: DataFrame, by: list[str], voxel: list[str], sweeps: Data
     return top.groupBy("n", *by).agg(dice.alias("d")).groupBy("n").agg(F.avg("d").alias("mean_dice"))
 
 
-def coordinate_search(f: Callable[[dict], float], grid: dict[str, list], start: dict | None = None, rounds: int = 1) -> tuple[dict, float, list[tuple[dict, float]]]:
-    """Best parameters by changing one at a time, in the order of ``grid``, to the value with the largest f: (parameters, value,
-    trials). Equal values keep what was there before; each trial can be a Spark job."""
+def coordinate_search(evaluate: Callable[[list[dict]], list[float]], grid: dict[str, list], start: dict | None = None, rounds: int = 1) -> tuple[dict, float, list[tuple[dict, float]]]:
+    """Best parameters by changing one at a time, in the order of ``grid``, to the value with the largest result: (parameters,
+    value, trials). ``evaluate`` gets all values of a parameter at once, so that they can share one Spark job; equal results
+    keep what was there before, then the first."""
     at = {k: v[0] for k, v in grid.items()} | (start or {})
-    top, trials = f(dict(at)), []
-    trials.append((dict(at), top))
+    top = evaluate([dict(at)])[0]
+    trials = [(dict(at), top)]
     for _ in range(rounds):
         before = dict(at)
         for name, values in grid.items():
-            for x in values:
-                if x == at[name]:
-                    continue
-                trial = at | {name: x}
-                v = f(dict(trial))
+            asked = [at | {name: x} for x in values if x != at[name]]
+            for trial, v in zip(asked, evaluate(asked) if asked else [], strict=True):
                 trials.append((trial, v))
                 if v > top:
                     at, top = trial, v
@@ -141,6 +139,16 @@ def coordinate_search(f: Callable[[dict], float], grid: dict[str, list], start:
     return at, top, trials
 
 
+def overlaps(v: DataFrame, by: list[str], candidates: list[dict], score: Callable[[Callable[[str], Column]], Column], truth: str) -> list[float]:
+    """Mean soft overlap over the samples of each candidate's score with the truth, in one job: voxels meet the candidates, a few
+    rows, as an array, and sums are taken within tasks first. ``score`` gets a function from a parameter's name to its column."""
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), *[F.lit(float(x)).alias(k) for k, x in c.items()]) for n, c in enumerate(candidates)])
+    each = v.withColumn("_c", F.explode(rows)).select(*by, F.col("_c.n").alias("_n"), score(lambda k: F.col(f"_c.{k}")).alias("_s"), F.col(truth).cast("double").alias("_t"))
+    dice = (2 * F.sum(F.col("_s") * F.col("_t")) + 1e-5) / (F.sum("_s") + F.sum("_t") + 1e-5)
+    got = {r["_n"]: r["d"] for r in each.groupBy("_n", *by).agg(dice.alias("d")).groupBy("_n").agg(F.avg("d").alias("d")).collect()}  # a row per candidate
+    return [got[n] for n in range(len(candidates))]
+
+
 def best(scores: DataFrame, score: str, *ties: str, n: int = 1) -> DataFrame:
     """The top rows in a total order; equal scores go by the tie columns."""
     return scores.orderBy(F.desc(score), *ties).limit(n)
@@ -159,33 +167,31 @@ def threshold_sweep(v: DataFrame, by: list[str], level: Column, truth: str, step
     return grid.join(sums, [*by, "threshold"], "left").select(*by, "threshold", dice.alias("dice"))
 
 
-def nelder_mead(f: Callable[[list[float]], float], start: list[float], step: float = 0.25, rounds: int = 200, tolerance: float = 1e-6):
-    """Minimise a function of a few numbers by a moving simplex; each value can be a Spark job. Returns (point, value)."""
+def nelder_mead(evaluate: Callable[[list[list[float]]], list[float]], start: list[float], step: float = 0.25, rounds: int = 200, tolerance: float = 1e-6) -> tuple[list[float], float]:
+    """Minimise a function of a few numbers by a moving simplex: (point, value).
+
+    ``evaluate`` gets lists of points, each of which can be one Spark job: the first has the simplex, and each round's has all
+    points that the round could ask for, the mirrored, far and two near ones and the simplex drawn towards its best point.
+    """
     n = len(start)
     points = [list(start)] + [[x + step * (i == j) * (abs(x) or 1) for j, x in enumerate(start)] for i in range(n)]
-    simplex = sorted(((f(p), p) for p in points), key=lambda s: s[0])
+    order = lambda s: sorted(s, key=lambda p: p[0])
+    simplex = order(zip(evaluate(points), points, strict=True))
     for _ in range(rounds):
-        (best_v, best_p), (worst_v, worst_p) = simplex[0], simplex[-1]
-        if worst_v - best_v < tolerance:
+        (low, best_), (high, worst) = simplex[0], simplex[-1]
+        if high - low < tolerance:
             break
         centre = [sum(p[j] for _, p in simplex[:-1]) / n for j in range(n)]
-        move = lambda a: [c + a * (c - w) for c, w in zip(centre, worst_p, strict=True)]  # noqa: B023, E731
-        trial = move(1.0)
-        v = f(trial)
-        if v < best_v:
-            far = move(2.0)
-            w = f(far)
-            new = (w, far) if w < v else (v, trial)
-        elif v < simplex[-2][0]:
-            new = (v, trial)
+        moved = [[c + a * (c - w) for c, w in zip(centre, worst, strict=True)] for a in (1.0, 2.0, 0.5, -0.5)]
+        drawn = [[b + 0.5 * (x - b) for x, b in zip(p, best_, strict=True)] for _, p in simplex[1:]]
+        values = evaluate(moved + drawn)
+        mirror, far, outer, inner = zip(values, moved, strict=False)
+        if mirror[0] < low:
+            new = min(mirror, far, key=lambda p: p[0])
+        elif mirror[0] < simplex[-2][0]:
+            new = mirror
         else:
-            inner = move(-0.5 if v >= worst_v else 0.5)
-            w = f(inner)
-            if w < min(v, worst_v):
-                new = (w, inner)
-            else:  # towards the best point
-                shrunk = [[b + 0.5 * (x - b) for x, b in zip(p, best_p, strict=True)] for _, p in simplex[1:]]
-                simplex = sorted([simplex[0], *((f(p), p) for p in shrunk)], key=lambda s: s[0])
-                continue
-        simplex = sorted([*simplex[:-1], new], key=lambda s: s[0])
+            near, limit = (outer, mirror[0]) if mirror[0] < high else (inner, high)
+            new = near if near[0] < limit else None
+        simplex = order([*simplex[:-1], new] if new else [simplex[0], *zip(values[4:], drawn, strict=True)])
     return simplex[0][1], simplex[0][0]

@@ -178,29 +178,6 @@ def pressure_sweeps(spark: SparkSession, sf: str) -> DataFrame:
     return solve.jacobi(e, bc, 4).select("id", F.round("p", 6).alias("p"))
 
 
-@query("pressure_solve")
-def pressure_solve(spark: SparkSession, sf: str) -> DataFrame:
-    """Pressures of the whole network by conjugate gradients: components without a boundary node are held at 0."""
-    p, e = _edges(spark, sf)
-    e = cut(e)
-    comp = graph.components_of(p, e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    bc = p.where("id % 10 = 0").select("id", (F.col("id") % 100).cast("double").alias("p"))
-    held = cut(bc.unionByName(solve.floating(p, comp, bc).select("id", F.lit(0.0).alias("p"))))
-    inner, rhs = solve.eliminate(solve.laplacian(e), held)
-    x = solve.conjugate_gradients(inner, rhs)
-    return held.select("id", "p").unionByName(x.select("id", F.col("x").alias("p")))
-
-
-@query("pressure_by_sample")
-def pressure_by_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Each label is a small network of its own."""
-    p, e = _edges(spark, sf, 0.1)
-    lab = lambda c: p.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
-    e = e.join(lab("src"), "src").join(lab("dst"), "dst").where("lsrc = ldst").select(F.col("lsrc").alias("sample_id"), "src", "dst", "g")
-    bc = p.where("id % 10 = 0").select(F.col("label").alias("sample_id"), "id", (F.col("id") % 100).cast("double").alias("p"))
-    return solve.solve_samples(e, bc)
-
-
 @query("first_incident_edge", f"WITH {_P}, {_G}, x AS (SELECT src AS id, dst AS o, radius FROM ge UNION ALL SELECT dst, src, radius FROM ge) SELECT p.id, round(coalesce(min_by(x.radius, x.o), 1.5), 6) AS radius FROM p LEFT JOIN x USING (id) GROUP BY 1")
 def first_incident_edge(spark: SparkSession, sf: str) -> DataFrame:
     p, e = _edges(spark, sf)

@@ -2,11 +2,11 @@
 
 import pytest
 
-from lumenflow.plans import catalog, gaps, pipelines, points, tabular, volumes  # noqa: F401
+from lumenflow.plans import catalog, gaps, points, tabular, vessels, volumes  # noqa: F401
 from tests import oracle
 
 #: Long-running loops are compared by the driver's run; here one of each kind is enough.
-SLOW = {"phantom_mst", "pressure_solve", "cluster_centroids", "component_count", "closest_pair_per_component", "floating_components", "fill_holes", "flow_network_pressures", "representative_tree"}
+SLOW = {"phantom_mst", "pressure_solve", "cluster_centroids", "component_count", "closest_pair_per_component", "floating_components", "fill_holes", "flow_network_pressures", "representative_tree", "thin_skeleton"}
 
 
 @pytest.fixture(scope="module")

@@ -108,7 +108,7 @@ def test_bridges_get_new_ids(spark):
 
 
 def test_nelder_mead_finds_a_minimum():
-    p, v = search.nelder_mead(lambda x: (x[0] - 1) ** 2 + (x[1] + 2) ** 2, [0.0, 0.0])
+    p, v = search.nelder_mead(lambda xs: [(x[0] - 1) ** 2 + (x[1] + 2) ** 2 for x in xs], [0.0, 0.0])
     assert v < 1e-3 and abs(p[0] - 1) < 0.05
 
 
@@ -213,7 +213,7 @@ def test_factor_maps_of_a_tube(spark):
 
 
 def test_coordinate_search_climbs():
-    at, top, trials = search.coordinate_search(lambda p: -((p["x"] - 3) ** 2) - (p["y"] - 1) ** 2, {"x": [0, 1, 3, 5], "y": [0, 1, 2]}, rounds=3)
+    at, top, trials = search.coordinate_search(lambda ps: [-((p["x"] - 3) ** 2) - (p["y"] - 1) ** 2 for p in ps], {"x": [0, 1, 3, 5], "y": [0, 1, 2]}, rounds=3)
     assert at == {"x": 3, "y": 1} and top == 0 and trials[0] == ({"x": 0, "y": 0}, -10)
 
 

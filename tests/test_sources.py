@@ -81,18 +81,6 @@ def test_polydata(spark, tmp_path):
     assert pick(e2, ["src", "dst"]) == pick(edges.where("file like '%a.vtp'"), ["src", "dst"])
 
 
-def test_thinning_keeps_the_topology(spark):
-    v = voxel.grid(spark, 14, 14, 14)
-    ring = v.where("(i - 6.5)*(i - 6.5) + (j - 6.5)*(j - 6.5) BETWEEN 9 AND 30 AND k BETWEEN 5 AND 7").withColumn("s", F.lit("ring"))
-    bar = v.where("i BETWEEN 1 AND 12 AND j BETWEEN 5 AND 7 AND k BETWEEN 5 AND 7").withColumn("s", F.lit("bar"))
-    out = skeleton.thin(ring.unionByName(bar), ["s"])
-    cells = {s: {(r["i"], r["j"], r["k"]) for r in out.where(F.col("s") == s).collect()} for s in ("ring", "bar")}
-    assert len(skeleton._parts(cells["ring"], skeleton._ALL)) == 1 and len(cells["ring"]) < ring.count() / 3
-    counts = stencil.neighbour_counts(out.where("s = 'ring'").select("vid", "i", "j", "k"))
-    assert counts.where("degree < 2").count() == 0  # still a ring
-    assert len(skeleton._parts(cells["bar"], skeleton._ALL)) == 1 and 1 <= len(cells["bar"]) <= 20
-
-
 def test_trees(spark):
     p = spark.range(40).select(F.lit("t").alias("tree_id"), F.col("id").alias("point_id"), *[(F.col("id") * m % 17).cast("double").alias(c) for c, m in zip("xyz", (3, 5, 7))])
     t = skeleton.grow(p).orderBy("node_id").collect()
