@@ -1,7 +1,7 @@
 """Corpus pipeline: stages that each apply one training-data operator to what the stage before kept.
 
 1. language: documents go in which no language is found, of whose words none has a third of the mass, or whose words the
-   learned languages don't know;
+   learned languages don't know; where no document has a label, no language can be learned, and all documents stay;
 2. near duplicates: of each group linked over five-word shingles at a similarity of 0.8, the smallest doc_id stays;
 3. decontamination: documents that hold ten consecutive words of a benchmark item (or a shorter item whole) go;
 4. secrets: the found spans are masked in the text, and n_chars counts the new text;
@@ -25,9 +25,11 @@ LEAST_SHARE, LEAST_KNOWN = 1 / 3, 0.2
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     field = language.train(docs, fold != 1)
+    if field is None:
+        return docs
     named = language.identify(docs, field, whole=True)
     # a small sample knows few words of its own languages
-    known = min(LEAST_KNOWN, field.usual / 2) if field else 0.0
+    known = min(LEAST_KNOWN, field.usual / 2)
     kept = named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE) & (F.col("known") >= known))
     return kept.drop("lang_pred", "score", "known").toDF(*docs.columns)
 
