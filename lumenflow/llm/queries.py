@@ -111,14 +111,14 @@ def _fold(modulus: int):
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     field = language.train(docs, _fold(3) != 1)
-    return language.identify(docs, field).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "known")
+    return language.identify(docs, field).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "known")
 
 
 @_register("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     model = toxicity.train(docs, _docs(spark, sf_dir, "labels"), _fold(4) != 2)
-    return toxicity.score(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 @_register("op1_quality")

@@ -87,3 +87,12 @@ def test_empty(spark, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_corpus_without_labels_stays(spark, sf):
+    """No language can be learned, so that none is missing; the stage gives the documents back."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.keep_language(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.count() == docs.count()
