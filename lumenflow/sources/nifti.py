@@ -1,14 +1,17 @@
 """Volumes in single-file NIfTI-1 format as a Spark data source, and their writer.
 
 ``spark.dataSource.register(NiftiSource)`` then ``spark.read.format("nifti").load(folder)`` gives a row per non-zero voxel
-(or every voxel with option dense): file, vid, i, j, k, value. ``headers`` gives shape, affine and spacing. Files are read
-through Spark's own readers, so any store that Spark reads will do; a file is one task.
+(or every voxel with option dense): file, vid, i, j, k, value. ``headers`` gives shape, affine and spacing. The functions here read
+files whole through Spark's own readers, so any store that Spark reads will do, a file in a task; ``volumes.NiftiSource``
+reads large files in slabs.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
 import struct
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,29 @@ TYPES = {2: np.uint8, 4: np.int16, 8: np.int32, 16: np.float32, 64: np.float64,
 _CODES = {np.dtype(v): k for k, v in TYPES.items()}
 
 
-def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, float, float]]:
-    """(voxels [i, j, k], 4x4 affine, spacing) of a file; sform before qform before the spacing alone."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+#: Bytes that hold a header.
+HEAD = 352
+
+
+class Header(NamedTuple):
+    """What a file says of its voxels: the array is [i, j, k], first index fastest, from byte ``offset`` on."""
+
+    shape: tuple[int, int, int]
+    dtype: np.dtype
+    offset: int
+    slope: float
+    shift: float
+    affine: np.ndarray
+    spacing: tuple[float, float, float]
+
+    def scaled(self, data: np.ndarray) -> np.ndarray:
+        return data * self.slope + self.shift if self.slope not in (0.0, 1.0) or (self.slope and self.shift) else data
+
+
+def header(raw: bytes) -> Header:
+    """The header from a file's first ``HEAD`` bytes, decompressed; sform before qform before the spacing alone."""
+    if len(raw) < HEAD - 4:
+        raise ValueError("not a NIfTI-1 file")
     end = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
     if struct.unpack(f"{end}i", raw[:4])[0] != 348:
         raise ValueError("not a NIfTI-1 file")
@@ -33,9 +55,6 @@ def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, float, float
     at, slope, shift = struct.unpack(f"{end}3f", raw[108:120])
     qcode, scode = struct.unpack(f"{end}2h", raw[252:256])
     shape = tuple(max(1, d) for d in (dim[1:4] if dim[0] >= 3 else (*dim[1 : 1 + dim[0]], 1, 1)[:3]))
-    data = np.frombuffer(raw, np.dtype(TYPES[code]).newbyteorder(end), int(np.prod(shape)), int(at)).reshape(shape, order="F")
-    if slope not in (0.0, 1.0) or (slope and shift):
-        data = data * slope + shift
     affine = np.diag([*pix[1:4], 1.0])
     if scode > 0:
         affine[:3] = np.array(struct.unpack(f"{end}12f", raw[280:328])).reshape(3, 4)
@@ -51,7 +70,22 @@ def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, float, float
         )
         affine[:3, :3] = turn * (pix[1], pix[2], pix[3] * (pix[0] or 1.0))
         affine[:3, 3] = x, y, z
-    return data, affine, tuple(float(p) for p in pix[1:4])
+    return Header(shape, np.dtype(TYPES[code]).newbyteorder(end), int(at), slope, shift, affine, tuple(float(p) for p in pix[1:4]))
+
+
+def _plain(raw: bytes, most: int | None = None) -> bytes:
+    """A file's bytes, or its first ones, decompressed if they have to be."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw if most is None else raw[:most]
+    return gzip.decompress(raw) if most is None else gzip.GzipFile(fileobj=io.BytesIO(raw)).read(most)
+
+
+def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, float, float]]:
+    """(voxels [i, j, k], 4x4 affine, spacing) of a file."""
+    raw = _plain(raw)
+    h = header(raw)
+    data = np.frombuffer(raw, h.dtype, int(np.prod(h.shape)), h.offset).reshape(h.shape, order="F")
+    return h.scaled(data), h.affine, h.spacing
 
 
 def build(data: np.ndarray, affine: np.ndarray, compress: bool = False) -> bytes:
@@ -80,14 +114,15 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
-    """A row per file: file, nx, ny, nz, affine, spacing."""
+    """A row per file: file, nx, ny, nz, affine, spacing. No voxel is decoded; see ``volumes`` for a source that doesn't read them
+    either."""
 
     def run(batches):
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data, affine, spacing = parse(raw)
+                h = header(_plain(raw, HEAD))
                 yield pa.RecordBatch.from_pylist(
-                    [{"file": name, **dict(zip(("nx", "ny", "nz"), data.shape, strict=True)), "affine": affine.tolist(), "spacing": list(spacing)}],
+                    [{"file": name, **dict(zip(("nx", "ny", "nz"), h.shape, strict=True)), "affine": h.affine.tolist(), "spacing": list(h.spacing)}],
                     schema=pa.schema(
                         [("file", pa.string()), *((c, pa.int32()) for c in ("nx", "ny", "nz")), ("affine", pa.list_(pa.list_(pa.float64()))), ("spacing", pa.list_(pa.float64()))]
                     ),
