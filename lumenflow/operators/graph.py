@@ -156,16 +156,21 @@ def phantom_edges(pairs: DataFrame, comp: DataFrame, leaf: DataFrame, mode: str
 def representatives_mst(nodes: DataFrame, comp: DataFrame, radius: float | None = None) -> DataFrame:
     """Edges that always connect all components: the spanning tree over the components' first nodes, by distance.
 
-    The forest of the pairs within a radius comes first; then the radius doubles, and pairs are formed only from nodes outside
-    the largest tree so far, since an edge of the spanning tree that is left leads out of a smaller one. The first radius is
-    the spacing of as many evenly spread nodes.
+    The forest of the pairs within a radius comes first; then the radius doubles, or grows eightfold after a round that found no
+    pair, and pairs are formed only from nodes outside the largest tree so far, since an edge of the spanning tree that is left
+    leads out of a smaller one. The first radius is the spacing of as many evenly spread nodes in the box of the middle nine
+    tenths of each coordinate, so that single far nodes don't widen it. Coordinates must be numbers.
     """
     rep = cut(comp.groupBy("component").agg(F.min("id").alias("id")).join(nodes, "id").select("id", "component", *[F.col(c).cast("double").alias(c) for c in "xyz"]))
-    ends = rep.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}{m}") for c in "xyz" for f, m in ((F.min, 0), (F.max, 1))]).first()
+    usable = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    inner = [F.percentile_approx(c, F.array(F.lit(0.05), F.lit(0.95)), 1000).alias(c) for c in "xyz"]
+    ends = rep.agg(F.count("*").alias("n"), F.count_if(~(usable("x") & usable("y") & usable("z"))).alias("bad"), *inner).first()
     out = rep.select(*[F.col("component").alias(c) for c in ("ca", "cb")], *[F.col("id").alias(c) for c in ("a", "b")], F.lit(0.0).alias("dist")).limit(0)
+    if ends["bad"]:
+        raise ValueError(f"{ends['bad']} nodes without coordinates")
     if ends["n"] < 2:
         return out
-    sides = [ends[f"{c}1"] - ends[f"{c}0"] for c in "xyz"]
+    sides = [ends[c][1] - ends[c][0] for c in "xyz"]
     r = radius or max(sides) / ends["n"] ** (1 / max(1, sum(x > 0 for x in sides))) or 1.0
     home = cut(rep.select("id", F.col("id").alias("tree")))
     while True:
@@ -182,7 +187,7 @@ def representatives_mst(nodes: DataFrame, comp: DataFrame, radius: float | None
         home = cut(rep.select("id").join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("tree")))
         if home.select("tree").distinct().count() == 1:
             return out
-        r *= 2
+        r *= 8 if found.isEmpty() else 2
 
 
 def _near(some: DataFrame, rep: DataFrame, r: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenflow.functions import draws
+from lumenflow.operators import graph
 
 
 def members(rows: DataFrame, column: str, allowed: list) -> DataFrame:
@@ -44,13 +45,20 @@ def patches(mask: DataFrame, by: str, shape: tuple[int, int, int], size: int, n:
 
 
 def patch_values(volume: DataFrame, corners: DataFrame, by: str, size: int) -> DataFrame:
-    """The voxels of each patch, flipped: (by, patch, i, j, k, value) with indices from its corner."""
+    """The voxels of each patch, flipped: (by, patch, i, j, k, value) with indices from its corner. A patch lies in eight cells of its
+    own size at most, and meets the voxels of these only."""
+    held = corners
+    for c in "ijk":
+        first = F.floor(F.col(f"{c}0") / size).cast("int")
+        held = held.withColumn(f"_{c}", F.explode(F.sequence(first, F.floor((F.col(f"{c}0") + size - 1) / size).cast("int"))))
+    cell = [F.floor(F.col(c) / size).cast("int").alias(f"_{c}") for c in "ijk"]
+    both = volume.select(by, "i", "j", "k", "value", *cell).join(held, [by, "_i", "_j", "_k"])
     inside, out = F.lit(True), []
     for c in "ijk":
         inside = inside & F.col(c).between(F.col(f"{c}0"), F.col(f"{c}0") + size - 1)
         at = F.col(c) - F.col(f"{c}0")
         out.append(F.when(F.col(f"flip_{c}"), size - 1 - at).otherwise(at).cast("int").alias(c))
-    return volume.join(F.broadcast(corners), by).where(inside).select(by, "patch", *out, "value")  # n short rows for each sample
+    return both.where(inside).select(by, "patch", *out, "value")
 
 
 def neighbourhood(points: DataFrame, volume: DataFrame, r: int) -> DataFrame:
@@ -73,8 +81,9 @@ def quantile(values: DataFrame, column: str, shares: list[float], order: str) ->
         h = min(max(n * p + 0.5, 1.0), float(max(n, 1)))
         wanted.append((p, int(h), min(int(h) + 1, n), h - int(h)))
     table = spark.createDataFrame(wanted, "p double, lo long, hi long, part double")
-    # only the rows next to a quantile leave the sort
-    ranked = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.row_number().over(Window.orderBy(column, order)).cast("long").alias("r"))
+    # ranges of values are ranked by themselves; only the rows next to a quantile are needed
+    rows = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.col(order).alias("_o"))
+    ranked = graph.numbered(rows, ["x", "_o"], "r").withColumn("r", F.col("r") + 1)
     at = lambda c: ranked.select(F.col("r").alias(c), F.col("x").alias(f"x_{c}"))
     return table.join(at("lo"), "lo").join(at("hi"), "hi").select("p", (F.col("x_lo") + F.col("part") * (F.col("x_hi") - F.col("x_lo"))).alias("q"))
 

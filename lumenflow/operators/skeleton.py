@@ -158,18 +158,62 @@ def euler(mask: DataFrame, by: list[str] | None = None) -> DataFrame:
     return at.distinct().groupBy(*by).agg(F.sum(F.when(odd % 2 == 0, 1).otherwise(-1)).alias("euler"))
 
 
+def nearest_earlier(at: np.ndarray) -> np.ndarray:
+    """For each point the nearest of those before it, the first of equal ones; -1 for the first point.
+
+    Points lie in cubic cells, which are made anew, an eighth as large, whenever there are eight times as many; a point looks through
+    shells of cells about its own, until none farther out can hold a nearer or equal point.
+    """
+    n = len(at)
+    parent = np.full(n, -1)
+    if n < 2:
+        return parent
+    low = at.min(0)
+    extent = float((at.max(0) - low).max()) or 1.0
+    parts, made, cells = 1, 1, {}
+    shells: dict[int, list[tuple[int, int, int]]] = {}
+    key = lambda i: tuple(np.minimum((at[i] - low) / extent * parts, parts - 1).astype(int).tolist())
+    cells[key(0)] = [0]
+    for m in range(1, n):
+        if m >= 8 * made:
+            made, parts, cells = m, parts * 2, {}
+            for i in range(m):
+                cells.setdefault(key(i), []).append(i)
+        c, side = key(m), extent / parts
+        # how far the point is from the nearest face of its cell
+        within = at[m] - low - np.array(c) * side
+        room = max(0.0, float(min(within.min(), (side - within).min())))
+        best, first = np.inf, -1
+        for r in range(parts):
+            if r not in shells:
+                shells[r] = [o for o in itertools.product(range(-r, r + 1), repeat=3) if max(map(abs, o)) == r]
+            near = [i for o in shells[r] for i in cells.get((c[0] + o[0], c[1] + o[1], c[2] + o[2]), ())]
+            if near:
+                d = ((at[near] - at[m]) ** 2).sum(1)
+                top = float(d.min())
+                if top <= best:
+                    low_i = min(i for i, x in zip(near, d.tolist(), strict=True) if x == top)
+                    first = low_i if top < best else min(first, low_i)
+                    best = top
+            # rounding may put a point a little outside of its cell
+            if best < (room + r * side) ** 2 * (1 - 1e-9):
+                break
+        parent[m] = first
+        cells.setdefault(c, []).append(m)
+    return parent
+
+
 def grow(points: DataFrame, by: str = "tree_id", root_radius: float = 5.5, least_radius: float = 0.8) -> DataFrame:
     """A tree over each group's points (by, point_id, x, y, z), rooted at its smallest id: points join in order of id, each
     at the nearest point that is in the tree. Radii follow the cube law from the number of leaves below, the share of the
-    root's flow is at most 1: (by, node_id, parent_id, x, y, z, flow, radius)."""
+    root's flow is at most 1: (by, node_id, parent_id, x, y, z, flow, radius). A tree is one group in memory, a few numbers
+    for each point."""
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id").reset_index(drop=True)
         at = pdf[["x", "y", "z"]].to_numpy(float)
-        parent = np.full(len(at), -1)
-        for n in range(1, len(at)):
-            parent[n] = int(((at[:n] - at[n]) ** 2).sum(1).argmin())
+        parent = nearest_earlier(at)
         leaf = np.ones(len(at), bool)
         leaf[parent[parent >= 0]] = False
         flow = leaf.astype(float)

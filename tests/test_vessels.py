@@ -223,3 +223,36 @@ def test_traces_do_not_depend_on_their_batch(spark, monkeypatch, gap_count, batc
                 last = points[-1]
                 here = fields.get((n, *map(int, np.floor(last + 0.5))), (0, 0, 0, 0))[3] > 0.97 if not goal else np.linalg.norm((tips[n, 1 - s] - last) * mm) < 1.5
                 assert got[n, "ab"[s]][0]["found"] == bool(here and len(points) > 1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 300, 5000])
+def test_nearest_earlier_points(n):
+    rng = np.random.default_rng(n)
+    for at in (rng.normal(size=(n, 3)), rng.integers(0, 6, size=(n, 3)).astype(float), np.concatenate([rng.normal(size=(n, 3)) * 1e-3, [[1e6, 0, 0], [1e6, 0, 1]]])):
+        want = [-1] + [int(((at[:m] - at[m]) ** 2).sum(1).argmin()) for m in range(1, len(at))]
+        assert skeleton.nearest_earlier(at).tolist() == want
+
+
+def test_trees_of_many_points(spark):
+    """A hundred thousand points take seconds, not the square of their number."""
+    p = spark.range(100_000).select(F.lit("t").alias("tree_id"), F.col("id").alias("point_id"), *[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(10**6)) / 1e4).alias(c) for c in "xyz"])
+    t = skeleton.grow(p)
+    assert t.count() == 100_000 and t.where("parent_id >= node_id").count() == 0
+
+
+def test_far_nodes_do_not_widen_the_search(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(150, 3)), [[3e4, 0, 0]]])
+    nodes = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double, z double")
+    tree = graph.representatives_mst(nodes, nodes.select("id", F.col("id").alias("component"))).collect()
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    inside, total = {0}, 0.0
+    while len(inside) < len(x):
+        out = [i for i in range(len(x)) if i not in inside]
+        a, b = min(((i, j) for i in inside for j in out), key=lambda p: d[p])
+        inside.add(b)
+        total += d[a, b]
+    assert len(tree) == 150 and abs(sum(r["dist"] for r in tree) / total - 1) < 1e-9
+    with pytest.raises(ValueError, match="coordinates"):
+        bad = nodes.withColumn("x", F.when(F.col("id") == 3, float("nan")).otherwise(F.col("x")))
+        graph.representatives_mst(bad, bad.select("id", F.col("id").alias("component")))
