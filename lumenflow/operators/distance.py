@@ -31,11 +31,24 @@ def _envelope(f: np.ndarray, weight: float) -> np.ndarray:
     return f[q] + weight * (np.arange(n) - q) ** 2
 
 
-def _pass(axis: str, weight: float):
+#: Lines of one axis are passed in bundles of so many by so many.
+BUNDLE = 32
+
+
+def _pass(axis: str, rest: list[str], weight: float):
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(axis)
-        pdf["d2"] = _envelope(pdf["d2"].to_numpy(copy=True), weight)
-        return pdf
+        at = [pdf[c].to_numpy() for c in (axis, *rest)]
+        order = np.lexsort(at)
+        d2 = pdf["d2"].to_numpy()[order]
+        line = np.stack([x[order] for x in at[1:]], 1)
+        first = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]).any(1)]))
+        for n, m in zip(first, [*first[1:], len(d2)], strict=True):
+            if d2[n:m].any():  # a line of zeros stays as it is
+                d2[n:m] = _envelope(d2[n:m], weight)
+        out = np.empty_like(d2)
+        out[order] = d2
+        pdf["d2"] = out
+        return pdf.drop(columns=["_0", "_1"])
 
     return f
 
@@ -43,15 +56,17 @@ def _pass(axis: str, weight: float):
 def squared_edt(v: DataFrame, inside: str, shape: tuple[int, int, int], spacing=(1.0, 1.0, 1.0), by: list[str] | None = None) -> DataFrame:
     """Squared distance of each voxel of a dense volume to the nearest voxel where ``inside`` is false: (by.., i, j, k, d2).
 
-    Three passes over the lines of one axis each: a line is a group of at most one axis' length. A volume without an
-    outside has null distances.
+    Three passes over the lines of one axis each, in bundles of neighbouring lines: a group is at most one axis long and ``BUNDLE``
+    lines wide and high. A volume without an outside has null distances.
     """
     by = by or []
     kinds = {f.name: f.dataType.simpleString() for f in v.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "i int, j int, k int, d2 double"])
     cur = v.select(*by, "i", "j", "k", F.when(F.col(inside), float("inf")).otherwise(0.0).alias("d2"))
     for axis, s in zip("kji", reversed(spacing), strict=True):
-        cur = cur.groupBy(*by, *[c for c in "ijk" if c != axis]).applyInPandas(_pass(axis, s * s), schema)
+        rest = [c for c in "ijk" if c != axis]
+        bundled = cur.select("*", *[F.floor(F.col(c) / BUNDLE).alias(f"_{n}") for n, c in enumerate(rest)])
+        cur = bundled.groupBy(*by, "_0", "_1").applyInPandas(_pass(axis, rest, s * s), schema)
     return cur.withColumn("d2", F.when(F.col("d2") < float("inf"), F.col("d2")))
 
 
