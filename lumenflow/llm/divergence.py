@@ -31,7 +31,7 @@ from lumenflow.llm import _bytes as B
 #: Parts of a language's vocabulary, each of which meets the language's groups under a key of its own.
 SPREAD = 64
 #: Sums that a task holds before it sends them on.
-HELD = 400_000
+HELD = 800_000
 #: ASCII letters in lower case, bytes of characters beyond ASCII as they are, any other byte as a space.
 SPACED = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
 
@@ -100,22 +100,32 @@ def audit(docs: DataFrame, min_docs: int = 3, most: int = 200, scale: int = 1_00
         docs.select(_blank("lang"), _blank("source")).distinct()
         .join(kept.groupBy("lang", "source").agg(F.sum("n").alias("own")), ["lang", "source"], "left")
         .join(kept.groupBy("lang").agg(F.sum("n").alias("whole"), F.count_if(F.col("nr") == 1).alias("v")), "lang", "left")
-        .select("lang", "source", (F.coalesce("own", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("own"), (F.col("whole") + F.col("v")).alias("whole"), F.coalesce("v", F.lit(0)).alias("v"))
+        .select(
+            "lang", "source", (F.coalesce("own", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("own"), (F.col("whole") + F.col("v")).alias("whole"), F.coalesce("v", F.lit(0)).alias("v"),
+            F.monotonically_increasing_id().alias("g"),  # a number for each group, which holds from here on
+        )
     )
+    used = kept.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", "m", "g", "own", "whole")
     # every group with every kept term of its language
     part = F.pmod(F.xxhash64("term"), F.lit(SPREAD)).cast("int").alias("part")
-    spread = groups.where("v > 0").select("lang", "source", "own", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
-    every = kept.where("nr = 1").select("lang", "term", part).join(spread, ["lang", "part"]).select("lang", "source", "term", "own")
+    spread = groups.where("v > 0").select("lang", "g", "own", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    every = kept.where("nr = 1").select("lang", "term", part).join(spread, ["lang", "part"]).select("lang", "term", "g", "own")
     dense = (
-        every.join(kept.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
-        .select("lang", "term", "source", "own", F.coalesce("n", F.lit(0)).alias("n"))
-        .select("lang", "term", "source", _share("n", "own", scale).alias("p"))
+        every.join(used.select("term", "g", "n"), ["term", "g"], "left")
+        .select("lang", "term", "g", "own", F.coalesce("n", F.lit(0)).alias("n"))
+        .select("lang", "term", "g", _share("n", "own", scale).alias("p"))
         .repartition("lang", "term")  # named, so that both sides below are one shuffle
     )
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
+    other = dense.select("lang", "term", F.col("g").alias("h"), F.col("p").alias("q"))
+    # each two groups meet once, for both directions
+    sums = (
+        dense.join(other, ["lang", "term"]).where("g < h")
+        .groupBy("g", "h").agg(F.sum(_gap("p", "q")).alias("to"), F.sum(_gap("q", "p")).alias("fro"))
+    )
+    ways = F.array(F.struct(F.col("g"), F.col("h"), F.col("to").alias("value")), F.struct(F.col("h").alias("g"), F.col("g").alias("h"), F.col("fro").alias("value")))
     pairs = (
-        dense.join(other, ["lang", "term"]).where("source <> item")
-        .groupBy("lang", "source", "item").agg(F.sum(_gap("p", "q")).alias("value"))
+        sums.select(F.explode(ways).alias("w")).select("w.*").join(groups.select("g", "lang", "source"), "g")
+        .join(groups.select(F.col("g").alias("h"), F.col("source").alias("item")), "h").select("lang", "source", "item", "value")
     )
     bare = groups.where("v = 0").select("lang", "source")
     pairs = pairs.unionByName(
@@ -123,6 +133,6 @@ def audit(docs: DataFrame, min_docs: int = 3, most: int = 200, scale: int = 1_00
     )
     ranks = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     ranked = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(ranks).alias("rank"))
-    shares = kept.join(groups, ["lang", "source"]).select("lang", "source", "term", _share("n", "own", scale).alias("p"), _share("m", "whole", scale).alias("q"))
+    shares = used.select("lang", "source", "term", _share("n", "own", scale).alias("p"), _share("m", "whole", scale).alias("q"))
     above = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap("p", "q").alias("value"))
     return ranked.unionByName(above.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= most))
