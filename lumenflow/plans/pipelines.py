@@ -84,8 +84,8 @@ def fill_gaps(
     ``voxels``: (vid, i, j, k, v: vesselness, a, b: its factors, hu: plausibility, fx, fy, fz: flow). Tips where a vessel breaks
     off, on islands of enough voxels, are paired within the gap if they face each other; each pair is traced from both
     sides, or else bridged by the path of first arrival through a cost of vesselness, geometry and plausibility; bridges are
-    scored, and accepted ones join components. Report: (gap, a, b, dist, ai.. bk, method, score, action); gaps are known by
-    their tips.
+    scored, and accepted ones join components. Report: (gap, a, b, dist, ai.. bk, method, score, action); gaps are
+    numbered from 1 in the order of their tips.
     """
     near = cut(stencil.neighbour_edges(skeleton))
     nodes = skeleton.select(F.col("vid").alias("id"))
@@ -102,14 +102,14 @@ def fill_gaps(
         )
     )
     pairs = spatial.facing_pairs(tips, c.gap_mm, ["ux", "uy", "uz"], c.facing).select("a", "b", "dist")
-    pairs = pairs.withColumn("gap", F.concat_ws("-", "a", "b"))
+    pairs = graph.numbered(pairs, ["a", "b"], "gap").withColumn("gap", F.col("gap") + 1)
     at = lambda n: tips.select(F.col("id").alias(n), *[F.col(o).alias(f"{n}{o}") for o in "ijk"], *[F.col(f"u{x}").alias(f"{n}_{x}") for x in "xyz"])
     found = cut(pairs.join(at("a"), "a").join(at("b"), "b"))
     box = found
     for o in "ijk":
         lo, hi = F.least(f"a{o}", f"b{o}") - 3, F.greatest(f"a{o}", f"b{o}") + 3
         box = box.withColumn(o, F.explode(F.sequence(lo, hi)))
-    cells = cut(box.join(voxels.drop("vid"), ["i", "j", "k"]))
+    cells = cut(box.drop("a", "b").join(voxels.drop("vid"), ["i", "j", "k"]))  # a and b are the tips there, factors here
     traced = cut(gaps.trace_both(cells.select("gap", "i", "j", "k", "fx", "fy", "fz", "v"), found, ["gap"], shape, resume, c.step, c.blend, c.gap_mm, c.converge, spacing=spacing))
     met = traced.where("met").groupBy("gap").agg(F.max(F.when(F.col("side") == "a", F.col("pos"))).alias("na"), F.max(F.when(F.col("side") == "b", F.col("pos"))).alias("nb"))
     both = traced.join(met, "gap").select(
