@@ -32,6 +32,8 @@ from lumenflow.llm import _bytes as B
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources whose quotas a task splits, and rows of a table of sources up to which it is broadcast (under 10 MB).
 CHUNK, FEW = 4096, 20_000
+#: Parts of a shard that are shuffled in tasks of their own, a power of two.
+RUNS = 16
 #: Shard borders that are broadcast (8 bytes each), and how many of them one number stands for in a first look.
 BORDERS, STRIDE = 1_000_000, 64
 
@@ -267,13 +269,16 @@ def block_texts(docs: DataFrame, block_words: int = 256) -> DataFrame:
 
 
 def shards_of(docs: DataFrame, block_words: int = 256, **options) -> DataFrame:
-    """The mix itself: a row for each drawn block, shard, place, doc_id, source, block, pass, n_words, text; the rows of a
-    shard are together and in the order of ``place``, a keyed one. Words that a document gives are summed over its rows."""
+    """The mix itself: a row for each drawn block, shard, place, doc_id, source, block, pass, n_words, text. A shard's rows are in the
+    order of ``place``, a keyed one, in ``RUNS`` runs of consecutive places: a task sorts a run, not a shard, and a run's rows are
+    together. Words that a document gives are summed over its rows."""
     _, draws = draw(docs, block_words=block_words, **options)
     # rows that are alike have equal blocks: one of them is enough
     texts = block_texts(docs, block_words).dropDuplicates(["k1", "k2", "block"])
     rows = draws.join(texts, ["k1", "k2", "block"]).select("shard", "place", "doc_id", "source", "block", "pass", "n_words", "text")
-    return rows.repartition("shard").sortWithinPartitions("shard", "place", "doc_id", "block", "pass")
+    # places are spread evenly over 64 bits: their upper bits name a run
+    run = F.shiftright("place", 64 - RUNS.bit_length() + 1)
+    return rows.repartition(F.col("shard"), run).sortWithinPartitions("shard", "place", "doc_id", "block", "pass")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
