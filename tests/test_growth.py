@@ -1,5 +1,9 @@
 """Larger and deeper inputs: what the small tables don't show."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from lumenflow.operators import distance, selection, spatial
 from lumenflow.plans import catalog, gaps, points, tabular, vessels, volumes  # noqa: F401
 from tests import oracle
 
@@ -8,6 +12,50 @@ def _lines(spark, path, rows):
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_orderkey long, l_discount double, l_quantity double").write.parquet(f"{path}/lineitem.parquet")
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_box_between_points_stays_in_the_cube_of_a_deep_volume(spark, tmp_path):
     _lines(spark, tmp_path, [(1, 12, 34 * 1024, 0.1, 7.0), (1, 12, 5 * 1024, 0.1, 3.0)])
     oracle.same(catalog.QUERIES["box_between_points"](spark, str(tmp_path)), catalog.ORACLE_SQL["box_between_points"], oracle.connect(str(tmp_path)))
+
+
+def _deep(spark, n):
+    """Two lines along k with few outside places, one of them without any."""
+    return spark.range(2 * n).select((F.col("id") % 2).cast("int").alias("i"), F.lit(0).alias("j"), F.expr("cast(id div 2 as int)").alias("k")).withColumn(
+        "in", (F.col("i") == 1) | ~F.col("k").isin(3, n // 2, n // 2 + 1, n - 9)
+    )
+
+
+def _deep_d2(n):
+    k = np.arange(n)
+    line = np.min([(k - z) ** 2 for z in (3, n // 2, n // 2 + 1, n - 9)], axis=0)
+    return {(i, int(z)): int(line[z]) + i for i in (0, 1) for z in k}
+
+
+def test_long_lines_are_cut_to_pieces(spark):
+    n = 2 * distance.PIECE + 100
+    got = distance.squared_edt_joined(_deep(spark, n), "in")
+    assert _plan(got).count("collect_list") == 2  # arrays along j and i only
+    assert {(r["i"], r["k"]): r["d2"] for r in got.collect()} == _deep_d2(n)
+
+
+def test_bundles_never_hold_the_longest_axis(spark):
+    n = 2 * distance.PIECE + 100
+    got = distance.squared_edt(_deep(spark, n), "in", (2, 1, n))
+    assert _plan(got).count("FlatMapGroupsInPandas") == 2
+    assert {(r["i"], r["k"]): r["d2"] for r in got.collect()} == _deep_d2(n)
+
+
+def test_points_are_not_dealt_to_a_cube_each(spark):
+    v = spark.range(64).select(*[F.expr(f"cast(id div {n} % 4 as int)").alias(c) for c, n in zip("ijk", (1, 4, 16), strict=True)], F.col("id").cast("double").alias("value"))
+    p = spark.range(1000).select("id", F.lit(1).alias("i"), F.lit(4).alias("j"), F.lit(0).alias("k"))
+    mean = spatial.neighbourhood_mean(p, v, 1)
+    patch = selection.neighbourhood(p, v, 1)
+    for df in (mean, patch):
+        text = _plan(df)
+        assert "Generate" not in text[text.index("Join") : text.index("Range (0, 1000")]
+    near = [float(i + 4 * 3 + 16 * k) for i in (0, 1, 2) for k in (0, 1)]
+    assert {(r["mean"], r["n"]) for r in mean.collect()} == {(sum(near) / 6, 6)} and mean.count() == 1000
+    assert {tuple(r["patch"]) for r in patch.collect()} == {tuple(near)} and patch.count() == 1000
