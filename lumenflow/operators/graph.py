@@ -112,10 +112,13 @@ def closest_pairs(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     j = pairs.join(c.select(F.col("id").alias("a"), F.col("component").alias("_x")), "a").join(
         c.select(F.col("id").alias("b"), F.col("component").alias("_y")), "b"
     )
-    best = (
-        j.where("_x <> _y").groupBy(F.least("_x", "_y").alias("ca"), F.greatest("_x", "_y").alias("cb")).agg(F.min(F.struct("dist", "a", "b")).alias("m"))
-    )
-    return best.select("ca", "cb", "m.a", "m.b", "m.dist")
+    return closest(j.select("a", "b", "dist", F.col("_x").alias("ca"), F.col("_y").alias("cb")))
+
+
+def closest(pairs: DataFrame) -> DataFrame:
+    """The same from pairs (a, b, dist, ca, cb) that come with their components."""
+    best = pairs.where("ca <> cb").groupBy(F.least("ca", "cb").alias("_x"), F.greatest("ca", "cb").alias("_y")).agg(F.min(F.struct("dist", "a", "b")).alias("m"))
+    return best.select(F.col("_x").alias("ca"), F.col("_y").alias("cb"), "m.a", "m.b", "m.dist")
 
 
 def spanning_forest(edges: DataFrame, a: str = "ca", b: str = "cb", order: list[str] | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenflow.operators import distance, selection, spatial
+from lumenflow.operators import distance, graph, selection, spatial
 from lumenflow.plans import catalog, gaps, points, tabular, vessels, volumes  # noqa: F401
 from tests import oracle
 
@@ -59,3 +59,34 @@ def test_points_are_not_dealt_to_a_cube_each(spark):
     near = [float(i + 4 * 3 + 16 * k) for i in (0, 1, 2) for k in (0, 1)]
     assert {(r["mean"], r["n"]) for r in mean.collect()} == {(sum(near) / 6, 6)} and mean.count() == 1000
     assert {tuple(r["patch"]) for r in patch.collect()} == {tuple(near)} and patch.count() == 1000
+
+
+def _cloud(spark):
+    rng = np.random.default_rng(4)
+    lattice = [(x * 0.05, y * 0.05, 3.0) for x in range(6) for y in range(3)]  # neighbours at the radius itself, up to rounding
+    at = [*rng.normal(0, 0.12, (500, 3)).tolist(), *lattice, *rng.uniform(0, 0.01, (60, 3)).tolist(), (5.0, 5.0, 5.0), (5.0, 5.0, 5.0)]
+    order = rng.permutation(len(at))
+    return spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(order, at, strict=True)] + [(9000, None, 1.0, 1.0), (9001, None, 1.0, 1.0)], "id long, x double, y double, z double")
+
+
+def test_clusters_without_their_links(spark):
+    p = _cloud(spark)
+    want = dict(graph.components_of(p, spatial.radius_pairs(p, 0.05)).collect())
+    assert {r["id"]: r["component"] for r in spatial.clusters(p, 0.05).collect()} == want and len(set(want.values())) > 20
+    comp = spark.createDataFrame(list(want.items()), "id long, component long")
+    rows = spatial.across(p, comp, 0.15).collect()
+    got = {(r["a"], r["b"], round(r["dist"], 9), r["ca"], r["cb"]) for r in rows}
+    assert len(got) == len(rows)
+    assert got == {(r["a"], r["b"], round(r["dist"], 9), want[r["a"]], want[r["b"]]) for r in spatial.radius_pairs(p, 0.15).collect() if want[r["a"]] != want[r["b"]]}
+    e = spatial.radius_pairs(p, 0.05).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    assert sorted(spatial.sparse(p, 0.05).collect()) == sorted(graph.leaves(p, e).collect())
+
+
+def test_a_dense_ball_gives_few_links(spark, monkeypatch):
+    seen = []
+    real = graph.components
+    monkeypatch.setattr(graph, "components", lambda links, *a: seen.append(links.count()) or real(links, *a))
+    p = spark.range(3000).select("id", *[(F.rand(n) * 0.02).alias(c) for n, c in enumerate("xyz")])
+    p = spark.createDataFrame(p.collect(), p.schema)
+    assert spatial.distinct_points(p, 0.05).collect()[0]["n"] == 3000
+    assert sum(seen) < 3000  # of 4.5 million pairs
