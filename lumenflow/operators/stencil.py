@@ -80,12 +80,14 @@ def one_sided(v: DataFrame, axis: str, spacing: float = 1.0, value: str = "value
 
 
 def hessian(v: DataFrame, value: str = "value", by: list[str] | None = None) -> DataFrame:
-    """Second derivatives by finite differences: dii, djj, dkk, dij, dik, djk."""
-    for a in "ijk":
-        v = second(v, a, value, by)
-    for a, b in ("ij", "ik", "jk"):
-        v = central(central(v, a, value, by, out="_d"), b, "_d", by, out=f"d{a}{b}").drop("_d")
-    return v
+    """Second derivatives by finite differences: dii, djj, dkk, dij, dik, djk. Whatever runs along one axis is taken together, so
+    that the volume is dealt and sorted once for each axis."""
+    columns = v.columns
+    for n, a in enumerate("ijk"):
+        v = central(second(v, a, value, by), a, value, by, out=f"_d{a}")
+        for b in "ijk"[:n]:
+            v = central(v, a, f"_d{b}", by, out=f"d{b}{a}")
+    return v.select(*columns, *[f"d{c}" for c in ("ii", "jj", "kk", "ij", "ik", "jk")])
 
 
 def eigen3(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> list[Column]:

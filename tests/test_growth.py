@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenflow.operators import distance, graph, selection, spatial
+from lumenflow.operators import distance, graph, paths, selection, spatial, stencil
+from lumenflow.operators import gaps as gap_ops
 from lumenflow.plans import catalog, gaps, points, tabular, vessels, volumes  # noqa: F401
 from tests import oracle
 
@@ -90,3 +91,25 @@ def test_a_dense_ball_gives_few_links(spark, monkeypatch):
     p = spark.createDataFrame(p.collect(), p.schema)
     assert spatial.distinct_points(p, 0.05).collect()[0]["n"] == 3000
     assert sum(seen) < 3000  # of 4.5 million pairs
+
+
+def test_scores_of_arrays_are_those_of_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(b, n, *map(float, rng.random(5))) for b, size in enumerate((1, 2, 3, 10)) for n in range(size)]
+    s = spark.createDataFrame(rows, "g int, pos int, a double, b double, v double, hu double, cosine double")
+    one = s.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b", "v", "hu", "cosine"))).alias("s"))
+    both = one.select("g", paths.bridge_score_of(F.col("s")).alias("x"), gap_ops.weighted_score_of(F.col("s")).alias("y"))
+    want = paths.bridge_score(s, ["g"], "pos").withColumnRenamed("score", "x").join(gap_ops.weighted_score(s, ["g"], "pos").withColumnRenamed("score", "y"), "g")
+    at = lambda df: np.array(sorted((r["g"], r["x"], r["y"]) for r in df.collect()))
+    assert np.allclose(at(both), at(want), atol=1e-12)
+
+
+def test_bridge_samples_are_not_shuffled(spark, sf):
+    for q in ("bridge_score", "weighted_bridge_score"):
+        assert not any(x in _plan(catalog.QUERIES[q](spark, sf)) for x in ("Window", "Aggregate"))
+
+
+def test_a_hessian_deals_the_volume_once_for_each_axis(spark):
+    v = spark.range(27).select(*[F.expr(f"cast(id div {n} % 3 as int)").alias(c) for c, n in zip("ijk", (1, 3, 9), strict=True)], F.col("id").cast("double").alias("value"))
+    text = stencil.hessian(v)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 3
