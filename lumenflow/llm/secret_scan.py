@@ -10,7 +10,7 @@ no more than that share of them is expected to be random after all, whatever the
 The rest is judged against ordinary text, by a likelihood ratio: the probability of the token as text over that as a random
 string of its encoding. By Markov's inequality, no more than p of all text has a ratio of p or less, at any length, so that
 the ratio (times the number of encodings) is a p-value. The model of text is a chain over lower case, upper case, digits and
-signs, with letters by letter pairs that are counted on short words of a bounded sample of the documents; or a number, all
+signs, with letters by letter pairs that are counted on the short words of all documents; or a number, all
 digits alike: a string of digits only is never taken for a secret. A second step-up, at level ``fdr`` and again in each
 family, so that the many short tokens don't use up what the long ones can show, controls the share of ordinary tokens among
 the found ones; tokens that failed the battery count in it with a p-value of 1. P-values are counted in bins of 1/20 decade
@@ -51,8 +51,8 @@ START = [0.6, 0.2, 0.15, 0.05]
 STEPS = [[0.87, 0.04, 0.03, 0.06], [0.30, 0.60, 0.04, 0.06], [0.08, 0.05, 0.75, 0.12], [0.50, 0.20, 0.25, 0.05]]
 #: Characters that can stand in a token, in the order of the model's table.
 CHARSET = _LOWER + _UPPER + _DIGITS + _SIGNS
-#: Documents whose words give the letter pairs (about so many), and the weight of even pairs among the counts, in letters.
-WORD_DOCS, EVEN = 4000, 100.0
+#: The weight of even pairs among the counts of letter pairs, in letters.
+EVEN = 100.0
 #: Length classes: each holds the lengths up to the next border.
 LENGTHS = [20, 24, 32, 40, 64, 128]
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -131,12 +131,11 @@ def cauchy(*p: Column) -> Column:
     return F.greatest(0.5 - F.atan(sum(parts, F.lit(0.0)) / len(p)) / math.pi, F.lit(0.0))
 
 
-def letter_pairs(docs: DataFrame, n: int) -> dict[str, int]:
-    """Counts of the ASCII letter pairs in short words of about ``WORD_DOCS`` of ``n`` documents, the ones with the lowest keyed
-    hashes, in lower case. Words of ``LENGTHS[0]`` letters or more are candidates, and don't count."""
-    key = F.pmod(F.xxhash64(F.lit(53), "doc_id", "text"), F.lit(1 << 53)) / float(1 << 53)
+def letter_pairs(docs: DataFrame) -> dict[str, int]:
+    """Counts of the ASCII letter pairs in short words of all documents, in lower case. Words of ``LENGTHS[0]`` letters or more are
+    candidates, and don't count."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(f"(?<![A-Za-z0-9+/_=-])[a-z]{{2,{LENGTHS[0] - 1}}}(?![A-Za-z0-9+/_=-])"), 0)
-    some = docs.where(F.col("text").isNotNull() & (key < min(1.0, WORD_DOCS / max(1, n)))).select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    some = docs.where(F.col("text").isNotNull()).select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     at = F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i")
     pairs = some.select("w", "n", at).groupBy(F.expr("substring(w, i, 2)").alias("pair")).agg(F.sum("n").alias("n"))
     return {r["pair"]: r["n"] for r in pairs.collect()}
@@ -292,7 +291,7 @@ def scan(
         "tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["start"] + F.length(t["body"])) & (t["start"] < b["end"]))
     )
     bins = lambda p: F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * 20), F.lit(599)).cast("int")
-    rows = cut(rows.select("doc_id", "h", "base", _judged(free, text_costs(letter_pairs(docs, rows.count()))).alias("judged")))
+    rows = cut(rows.select("doc_id", "h", "base", _judged(free, text_costs(letter_pairs(docs))).alias("judged")))
     rows = rows.select(
         "doc_id", "h", "base",
         F.transform("judged", lambda t: F.struct(t["start"], t["end"], t["family"], bins(t["p_random"]).alias("random"), bins(t["p_text"]).alias("text"))).alias("judged"),
