@@ -145,14 +145,98 @@ def factor_maps(v: DataFrame, shape: tuple[int, int, int], scales: list[float],
     """(by.., i, j, k, v, scale, a, b): vesselness over scales with the scale that wins, the first of equal ones, and its factors;
     zeros where no scale sees a bright tube. ``c`` is half of the largest norm of each scale unless it is given."""
     by = by or []
-    every = None
-    for s in scales:
-        h = with_eigen(gaussian_hessian(v, shape, s, by=by))
-        h = cut(h.withColumn("c", F.lit(float(c))) if c is not None else strongest(cut(h), by))
-        a, b, g = factors(F.col("l1"), F.col("l2"), F.col("l3"), alpha, beta, F.col("c"))
-        h = h.select(*by, "i", "j", "k", F.lit(float(s)).alias("scale"), a.alias("a"), b.alias("b"), F.when((F.col("l2") < 0) & (F.col("l3") < 0), a * b * g).otherwise(0.0).alias("v"))
-        every = h if every is None else every.unionByName(h)
-    return max_over_scales(every, [*by, "i", "j", "k"], companions=["a", "b"])
+    h = cut(eigen_blocks(v, shape, scales, by))
+    norm = lambda n: F.sqrt(sum((F.col(f"l{n}_{m}") * F.col(f"l{n}_{m}") for m in (2, 3)), F.col(f"l{n}_1") * F.col(f"l{n}_1")))
+    if c is not None:
+        h = h.select("*", *[F.lit(float(c)).alias(f"c{n}") for n in range(len(scales))])
+    else:
+        most = [(F.max(norm(n)) / 2 + 1e-9).alias(f"c{n}") for n in range(len(scales))]
+        h = h.join(h.groupBy(*by).agg(*most), by) if by else h.crossJoin(F.broadcast(h.agg(*most)))  # one row
+    each = []
+    for n, s in enumerate(scales):
+        l1, l2, l3 = (F.col(f"l{n}_{m}") for m in (1, 2, 3))
+        fa, fb, fc = factors(l1, l2, l3, alpha, beta, F.col(f"c{n}"))
+        h = h.withColumns({f"a{n}": fa, f"b{n}": fb, f"s{n}": fc})
+        score = F.when((l2 < 0) & (l3 < 0), F.col(f"a{n}") * F.col(f"b{n}") * F.col(f"s{n}")).otherwise(0.0)
+        each.append(F.struct(score.alias("v"), F.lit(-float(s)).alias("less"), F.col(f"a{n}").alias("a"), F.col(f"b{n}").alias("b")))
+    best = h.select(*by, "i", "j", "k", (F.greatest(*each) if len(each) > 1 else each[0]).alias("_b"))
+    seen = lambda x: F.when(F.col("_b.v") > 0, x).otherwise(F.lit(0))
+    return best.select(*by, "i", "j", "k", F.col("_b.v").alias("v"), seen(-F.col("_b.less")).alias("scale"), seen(F.col("_b.a")).alias("a"), seen(F.col("_b.b")).alias("b"))
+
+
+#: Voxels that a block of ``eigen_blocks`` has about, and its least side.
+VOXELS, SIDE = 65536, 32
+
+
+def _eigen(d: list[np.ndarray]) -> np.ndarray:
+    """``eigen3`` and the order of ``with_eigen`` on arrays: (3, ..) in ascending order of magnitude."""
+    xx, yy, zz, xy, xz, yz = d
+    q = (xx + yy + zz) / 3
+    p2 = (xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)
+    flat = p2 < 1e-24
+    p = np.sqrt(np.where(flat, 1.0, p2) / 6)
+    a, b, c = (xx - q) / p, (yy - q) / p, (zz - q) / p
+    d, e, f = xy / p, xz / p, yz / p
+    phi = np.arccos(np.clip((a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2, -1.0, 1.0)) / 3
+    one = np.where(flat, q, q + 2 * p * np.cos(phi))
+    three = np.where(flat, q, q + 2 * p * np.cos(phi + 2 * math.pi / 3))
+    every = np.stack([one, np.where(flat, q, 3 * q - one - three), three])
+    return np.take_along_axis(every, np.argsort(np.abs(every), 0, kind="stable"), 0)
+
+
+def eigen_blocks(v: DataFrame, shape: tuple[int, int, int], scales: list[float], by: list[str]) -> DataFrame:
+    """Eigenvalues of ``gaussian_hessian`` at several scales side by side, in ascending order of magnitude, l<n>_1 to l<n>_3 for the
+    n-th scale, with borders repeated: voxels are dealt once, to blocks with a margin, and a task holds one block. Where voxels are missing they
+    count as 0; a place has a row if a kernel reaches it from a voxel, and nulls for scales whose kernel doesn't."""
+    taps = [[np.array([w for _, w in kernel(s, o)]) for o in range(3)] for s in scales]
+    reach = [len(t[0]) // 2 for t in taps]
+    r = max(reach)
+    side = [min(n, SIDE) for n in shape]
+    for a in (2, 1, 0):
+        side[a] = min(shape[a], max(side[a], VOXELS // math.prod(side[:a] + side[a + 1 :])))
+    kinds = {f.name: f.dataType.simpleString() for f in v.schema.fields}
+    names = [f"l{n}_{m}" for n in range(len(scales)) for m in (1, 2, 3)]
+    orders = [(2, 0, 0), (0, 2, 0), (0, 0, 2), (1, 1, 0), (1, 0, 1), (0, 1, 1)]
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), *(f"{c} {kinds[c]}" for c in "ijk"), *(f"{c} double" for c in names)])
+
+    def along(x: np.ndarray, axis: int, w: np.ndarray) -> np.ndarray:
+        n = x.shape[axis] - len(w) + 1
+        at = lambda m: tuple(slice(m, m + n) if a == axis else slice(None) for a in range(3))
+        return sum(t * x[at(m)] for m, t in enumerate(w))
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = pdf[["bi", "bj", "bk"]].iloc[0].to_numpy() * side
+        high = np.minimum(low + side, shape)
+        first, last = np.maximum(low - r, 0), np.minimum(high + r, shape)
+        at = tuple((pdf[["i", "j", "k"]].to_numpy() - first).T)
+        cells, there = np.zeros(last - first), np.zeros(last - first)
+        np.add.at(cells, at, pdf["value"].to_numpy(float))
+        there[at] = 1
+        pad = list(zip(first - (low - r), (high + r) - last, strict=True))
+        cells, there = np.pad(cells, pad, mode="edge"), np.pad(there, pad)
+        out, reached = [], []
+        for t, m, s in zip(taps, reach, scales, strict=True):
+            own = tuple(slice(r - m, n - (r - m)) for n in cells.shape)
+            one = [along(cells[own], 0, t[o]) for o in range(3)]
+            two = {(p, q): along(one[p], 1, t[q]) for p in range(3) for q in range(3 - p)}
+            seen = there[own]
+            for axis in range(3):
+                seen = along(seen, axis, np.ones(2 * m + 1))
+            seen = seen.ravel() > 0
+            reached.append(seen)
+            out += [np.where(seen, x, np.nan) for x in _eigen([(along(two[p, q], 2, t[o]) * s * s).ravel() for p, q, o in orders])]
+        kept = np.logical_or.reduce(reached)
+        place = np.stack(np.unravel_index(np.flatnonzero(kept), tuple(high - low)), 1) + low
+        got = pd.DataFrame({**{c: place[:, n] for n, c in enumerate("ijk")}, **{c: o[kept] for c, o in zip(names, out, strict=True)}})
+        for c in by:
+            got[c] = pdf[c].iloc[0]
+        return got[[*by, "i", "j", "k", *names]]
+
+    dealt = v.select(*by, "i", "j", "k", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    for c, size, n in zip("ijk", side, shape, strict=True):
+        lo, hi = F.floor((F.col(c) - r) / size), F.floor((F.col(c) + r) / size)
+        dealt = dealt.withColumn(f"b{c}", F.explode(F.sequence(F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, F.lit((n - 1) // size)).cast("int"))))
+    return dealt.groupBy(*by, "bi", "bj", "bk").applyInPandas(f, schema)
 
 
 def clipped_vesselness(v: DataFrame, shape: tuple[int, int, int], scales: list[float], low: float = -200.0, high: float = 400.0, gamma: float = 15.0, by: list[str] | None = None, **options) -> DataFrame:
