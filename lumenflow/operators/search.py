@@ -112,11 +112,21 @@ def two_level_band_search(v: DataFrame, by: list[str], value: str, truth: str, l
 
 
 def scale_sweep(scores: DataFrame, by: list[str], voxel: list[str], sweeps: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
-    """Mean soft overlap for each number of scales: ``sweeps`` (n, scale) lists the scales of each n, ``scores`` holds (by..,
-    voxel.., scale, score, truth). A voxel's score is the largest over the scales: (n, mean_dice)."""
-    top = scores.join(F.broadcast(sweeps), "scale").groupBy("n", *by, *voxel).agg(F.max(score).alias("s"), F.max(truth).cast("double").alias("t"))  # a row for each n and scale
-    dice = (2 * F.sum(F.col("s") * F.col("t")) + 1e-8) / (F.sum("s") + F.sum("t") + 1e-8)
-    return top.groupBy("n", *by).agg(dice.alias("d")).groupBy("n").agg(F.avg("d").alias("mean_dice"))
+    """Mean soft overlap for each number of scales: ``sweeps`` (n, scale), a parameter table, lists the scales of each n, ``scores``
+    holds (by.., voxel.., scale, score, truth). A voxel's score is the largest over the scales, of repeated rows too: (n,
+    mean_dice). A voxel is one row with a maximum for each n, whatever the number of sweeps."""
+    scales: dict[int, list] = {}
+    for n, scale in sorted(tuple(r) for r in sweeps.select("n", "scale").collect()):
+        scales.setdefault(n, []).append(scale)
+    tops = []
+    for m, each in enumerate(scales.values()):
+        within = F.col("scale").isin(each)
+        tops += [F.max(F.when(within, F.col(score))).alias(f"_s{m}"), F.max(F.when(within, F.col(truth))).cast("double").alias(f"_t{m}"), F.max(F.when(within, 1)).alias(f"_o{m}")]
+    held = scores.where(F.col("scale").isin(sorted({x for each in scales.values() for x in each})))
+    top = held.groupBy(*by, *voxel).agg(*tops)
+    sums = top.groupBy(*by).agg(*[x for m in range(len(scales)) for x in (F.sum(F.col(f"_s{m}") * F.col(f"_t{m}")).alias(f"_st{m}"), F.sum(f"_s{m}").alias(f"_ss{m}"), F.sum(f"_t{m}").alias(f"_tt{m}"), F.max(f"_o{m}").alias(f"_o{m}"))])
+    dice = [F.struct(F.lit(n).alias("n"), F.col(f"_o{m}").alias("o"), ((2 * F.col(f"_st{m}") + 1e-8) / (F.col(f"_ss{m}") + F.col(f"_tt{m}") + 1e-8)).alias("d")) for m, n in enumerate(scales)]
+    return sums.select(F.explode(F.array(*dice)).alias("e")).select("e.*").where("o = 1").groupBy("n").agg(F.avg("d").alias("mean_dice"))
 
 
 def coordinate_search(evaluate: Callable[[list[dict]], list[float]], grid: dict[str, list], start: dict | None = None, rounds: int = 1) -> tuple[dict, float, list[tuple[dict, float]]]:
