@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -177,19 +178,21 @@ def threshold_sweep(v: DataFrame, by: list[str], level: Column, truth: str, step
     return grid.join(sums, [*by, "threshold"], "left").select(*by, "threshold", dice.alias("dice"))
 
 
-def nelder_mead(evaluate: Callable[[list[list[float]]], list[float]], start: list[float], step: float = 0.25, rounds: int = 200, tolerance: float = 1e-6) -> tuple[list[float], float]:
+def nelder_mead(evaluate: Callable[[list[list[float]]], list[float]], start: list[float], step: float = 0.25, rounds: int | None = None, tolerance: float = 1e-6) -> tuple[list[float], float]:
     """Minimise a function of a few numbers by a moving simplex: (point, value).
 
     ``evaluate`` gets lists of points, each of which can be one Spark job: the first has the simplex, and each round's has all
     points that the round could ask for, the mirrored, far and two near ones and the simplex drawn towards its best point.
+    Unless told otherwise, as many rounds are taken as the search needs: until both the simplex's values and its points agree
+    with the best one's within ``tolerance``.
     """
     n = len(start)
     points = [list(start)] + [[x + step * (i == j) * (abs(x) or 1) for j, x in enumerate(start)] for i in range(n)]
     order = lambda s: sorted(s, key=lambda p: p[0])
     simplex = order(zip(evaluate(points), points, strict=True))
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         (low, best_), (high, worst) = simplex[0], simplex[-1]
-        if high - low < tolerance:
+        if high - low <= tolerance and all(abs(x - b) <= tolerance for _, p in simplex[1:] for x, b in zip(p, best_, strict=True)):
             break
         centre = [sum(p[j] for _, p in simplex[:-1]) / n for j in range(n)]
         moved = [[c + a * (c - w) for c, w in zip(centre, worst, strict=True)] for a in (1.0, 2.0, 0.5, -0.5)]
