@@ -28,7 +28,7 @@ def flow_network(volume: DataFrame, shape: tuple[int, int, int], spacing: tuple[
     comp = cut(graph.components_of(nodes, real.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
     leaf = cut(graph.leaves(nodes, real))
     near = spatial.radius_pairs(nodes.join(leaf.select("id"), "id", "left_semi"), c.gap_mm)
-    bridges = graph.phantom_edges(near, comp, leaf, c.gap_mode).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    bridges = cut(graph.phantom_edges(near, comp, leaf, c.gap_mode).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     at = lambda n: nodes.select(F.col("id").alias(n), F.col("radius").alias(f"r_{n}"), *[F.col(x).alias(f"{x}_{n}") for x in "xyz"])
     both = real.withColumn("is_phantom", F.lit(False)).unionByName(bridges.withColumn("is_phantom", F.lit(True)))
     length = F.sqrt(sum(((F.col(f"{x}_src") - F.col(f"{x}_dst")) * (F.col(f"{x}_src") - F.col(f"{x}_dst")) for x in "xyz"), F.lit(0.0)))
@@ -46,10 +46,9 @@ def flow_network(volume: DataFrame, shape: tuple[int, int, int], spacing: tuple[
     # one row
     fixed = leaf.select("id").join(F.broadcast(wide), F.col("id") == F.col("inlet"), "left")
     bc = fixed.select("id", F.when(F.col("inlet").isNotNull(), c.p_in_mmhg).otherwise(c.p_out_mmhg).cast("double").alias("p"))
-    whole = graph.components_of(nodes, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    whole = gaps.merge_components(comp, bridges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     held = cut(bc.unionByName(solve.floating(nodes, whole, bc).select("id", F.lit(c.p_out_mmhg).alias("p"))))
-    # a vessel's skeleton is long and thin: its tangles vanish too if nodes with more neighbours are eliminated
-    pressure = solve.network(edges, held, tolerance=1e-9, most=16)
+    pressure = cut(solve.network_by_blocks(edges, held, nodes))
     flow = solve.flows(edges, pressure.withColumn("p", physics.mmhg_to_pa(F.col("p"))))
     return nodes.join(pressure, "id").withColumnRenamed("p", "pressure_mmhg"), flow.withColumnRenamed("flow", "flow_mm3s")
 
