@@ -77,7 +77,7 @@ def test_a_network_with_places_takes_few_jobs(spark):
     assert len(tracker.getJobIdsForGroup("blocks")) < 120
 
 
-@pytest.mark.parametrize("name", ["bridge_score", "weighted_bridge_score"])
+@pytest.mark.parametrize("name", ["bridge_score", "weighted_bridge_score", "straight_bridges"])
 def test_pairs_take_a_few_operations_each(spark, sf, name):
     """Pairs neither walk through arrays, which no code is generated for, nor are rounded as decimal text."""
     text = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
