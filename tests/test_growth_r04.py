@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenflow.functions import special
-from lumenflow.operators import search, solve
+from lumenflow.operators import search, solve, spatial
 from lumenflow.plans import catalog, gaps, points, vessels  # noqa: F401
 
 
@@ -90,3 +90,25 @@ def test_rounding_is_that_of_round(spark):
     d = spark.createDataFrame([(v,) for v in x], "x double")
     got = d.select(F.round("x", 6) + 0.0, special.rounded(F.col("x"), 6), F.round("x", 1) + 0.0, special.rounded(F.col("x"), 1)).collect()
     assert all(str(r[0]) == str(r[1]) and str(r[2]) == str(r[3]) for r in got)
+
+
+def test_a_network_of_points_makes_no_rows_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(solve, "POINTS", 40)
+    monkeypatch.setattr(solve, "LOOK", 500)
+    monkeypatch.setattr(spatial, "radius_pairs", None)
+    rng = np.random.default_rng(11)
+    at = rng.uniform(0, 1, (240, 3)) * [1, 1, 0.2]
+    at[7] = at[8]  # the same place
+    label, w = np.arange(240) % 2, rng.uniform(0.5, 2, 240)
+    rows = [(int(s), i, *map(float, x), float(v)) for i, (s, x, v) in enumerate(zip(label, at, w, strict=True))] + [(0, 1000, None, 0.1, 0.1, 1.0), (1, 1001, float("nan"), 0.1, 0.1, 1.0)]
+    held = [(i, float(i % 9)) for i in range(0, 240, 7)] + [(1000, 2.0), (1001, 4.0)]
+    points = spark.createDataFrame(rows, "label int, id long, x double, y double, z double, w double")
+    got = solve.network_of_points(points, spark.createDataFrame(held, "id long, p double"), 0.35, lambda a, b, d: (a + b) / np.maximum(d, 0.01), ["label"]).collect()
+    dist = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    g = np.where((dist <= 0.35) & (label[:, None] == label[None]) & ~np.eye(240, dtype=bool), (w[:, None] + w[None]) / np.maximum(dist, 0.01), 0)
+    k, known = np.diag(g.sum(1)) - g, dict(held)
+    p = np.array([known.get(i, np.nan) for i in range(240)])
+    free = np.isnan(p)
+    p[free] = np.linalg.solve(k[np.ix_(free, free)], -k[np.ix_(free, ~free)] @ p[~free])
+    assert len(got) == 242 and all(abs(r["p"] - (p[r["id"]] if r["id"] < 240 else known[r["id"]])) < 1e-8 for r in got)
+    assert all((r["residual"] is None) == (r["id"] in known) and abs(r["residual"] or 0) < 1e-8 for r in got)
