@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenflow.functions import special
 from lumenflow.operators import search, solve, spatial
 from lumenflow.plans import catalog, gaps, points, vessels  # noqa: F401
+from tests import oracle
 
 
 def test_a_simplex_moves_until_it_has_converged():
@@ -112,3 +113,11 @@ def test_a_network_of_points_makes_no_rows_of_pairs(spark, monkeypatch):
     p[free] = np.linalg.solve(k[np.ix_(free, free)], -k[np.ix_(free, ~free)] @ p[~free])
     assert len(got) == 242 and all(abs(r["p"] - (p[r["id"]] if r["id"] < 240 else known[r["id"]])) < 1e-8 for r in got)
     assert all((r["residual"] is None) == (r["id"] in known) and abs(r["residual"] or 0) < 1e-8 for r in got)
+
+
+def test_pressures_of_repeated_ids(spark, tmp_path):
+    """Ids of two points, with and without links, and a point far from all."""
+    at = [(1, 0.0), (2, 0.01), (2, 0.5), (10, 0.02), (10, 0.51), (3, -3.0), (4, 5.0), (4, 6.0), (20, 8.0), (20, 9.0), (5, 0.52)]
+    spark.createDataFrame([(i, [x, 0.0, 0.0, 0.2, 0.1, 0.1], 0) for i, x in at], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("pressure_solve", "pressure_by_sample"):
+        oracle.same(catalog.QUERIES[name](spark, str(tmp_path)), catalog.ORACLE_SQL[name], oracle.connect(str(tmp_path)))
